@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
@@ -29,7 +29,7 @@ def connected_components(edges: DataFrame, left: str = "left_id", right: str = "
     Ids must be integers or strings; edges with a null end are left out, and loops make their node a component.
     """
     pairs = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).filter("a is not null and b is not null")
-    live = _checkpoint(pairs.filter("a <> b").distinct())
+    live = checkpointed(pairs.filter("a <> b").distinct())
     trees: list[DataFrame] = []
     for number in range(max_rounds):
         if live.isEmpty():
@@ -37,11 +37,11 @@ def connected_components(edges: DataFrame, left: str = "left_id", right: str = "
         order = lambda c: F.struct(F.xxhash64(c, F.lit(number)).alias("h"), F.col(c).alias("n"))  # noqa: B023, E731
         both = live.select("a", order("b").alias("to")).union(live.select(F.col("b").alias("a"), order("a").alias("to")))
         least = both.groupBy("a").agg(F.min("to").alias("to"))
-        tree = _checkpoint(least.select(F.col("a").alias("node"), F.least(order("a"), F.col("to"))["n"].alias("up")))
+        tree = checkpointed(least.select(F.col("a").alias("node"), F.least(order("a"), F.col("to"))["n"].alias("up")))
         trees.append(tree)
         first = live.join(tree, live["a"] == tree["node"]).select(F.col("up").alias("a"), "b")
         second = first.join(tree, first["b"] == tree["node"]).select("a", F.col("up").alias("b"))
-        live = _checkpoint(second.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        live = checkpointed(second.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     else:
         raise RuntimeError(f"components did not converge in {max_rounds} rounds")
     alone = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().select("node", F.col("node").alias("root"))
