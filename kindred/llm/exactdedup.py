@@ -22,6 +22,9 @@ from kindred.llm.shared import HEAVY_SHARE, SALTS, salted_lookup, scratch, writt
 
 #: Digests that a run's filter is made for.
 FILTER_DIGESTS = 1 << 17
+#: Bits for each hit of the filter that rows pass before they are sent to be verified, and its most bits (16 MB): beyond
+#: those more rows pass in vain, and none is lost.
+HIT_BITS, MOST_BITS = 16, 1 << 27
 
 
 def normalised(text: Column) -> Column:
@@ -101,14 +104,34 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int
     return out.select(F.col("id").alias(doc_id), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
+def _filter(hits: DataFrame, count: int) -> tuple[DataFrame, int]:
+    """Bitmaps of the hits' digests by bucket (of 2 ** 15 bits), and how many bits there are."""
+    bits = min(MOST_BITS, 1 << max(15, (count * HIT_BITS - 1).bit_length()))
+    return hits.select(_bit(bits).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("_bitmap")), bits
+
+
+def _bit(bits: int) -> Column:
+    return F.pmod(F.xxhash64("digest"), F.lit(bits)) + 1
+
+
+def _passing(rows: DataFrame, hits: DataFrame, count: int) -> DataFrame:
+    """Rows whose digest may be a hit."""
+    bitmaps, bits = _filter(hits, count)
+    place = F.bitmap_bit_position(_bit(bits)).cast("int")
+    byte = F.conv(F.hex(F.substring("_bitmap", F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    joined = rows.join(F.broadcast(bitmaps), F.bitmap_bucket_number(_bit(bits)) == F.col("_bucket"))
+    return joined.filter(F.expr("1") == F.call_function("shiftright", byte, place % 8).bitwiseAND(F.lit(1))).select(*rows.columns)
+
+
 def _verified(docs: DataFrame, index: MergeIndex, hits: DataFrame, total: int, text: str, doc_id: str) -> DataFrame:
     """Groups of equal texts among the rows with a hit: digest, norm_key, keep_id, rows.
 
-    Rows meet their digest in a join (heavy digests dealt over salts) and are grouped by the text; copies in one task
+    Only rows that a filter of the hits lets pass are sent. They meet their digest in a join (heavy digests dealt over salts) and are grouped by the text; copies in one task
     become one row before they are sent.
     """
     rows = docs.select(F.col(doc_id).alias("id"), F.length(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("size"), normalised(F.col(text)).alias("norm"))
     rows = rows.withColumn("digest", index.digest(F.col("norm")))
+    rows = _passing(rows, hits, hits.count())
     found = salted_lookup(rows, hits.select("digest", "rows"), "digest", "rows", total, "inner").drop("rows")
     one = found.groupBy("digest", "norm").agg(F.min(F.struct((-F.col("size")).alias("o"), F.col("id").alias("k"))).alias("best"), F.count(F.lit(1)).alias("rows"))
     return one.select("digest", F.sha2("norm", 512).alias("norm_key"), F.col("best.k").alias("keep_id"), "rows")
