@@ -27,7 +27,7 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 
 #: What unwanted and wanted sites call themselves; the labelled table puts these in hosts and paths.
 UNWANTED = ("cheap-pills", "spam-farm", "casino", "free-viagra", "win-bets", "xxx-cams", "loan-now", "hot-deals", "click-ads", "pills-shop", "poker-bonus", "fake-watches")
-WANTED = ("library", "news", "garden", "school", "museum", "weather", "recipes", "science", "village", "journal", "thing", "therend")
+WANTED = ("library", "news", "garden", "school", "museum", "weather", "recipes", "science", "village", "journal", "northern", "theses", "nation", "bathes", "thrush", "another", "tions")
 
 N_GRAMS, BITS = (3, 4, 5), 12
 
@@ -58,10 +58,12 @@ def _buckets(host: Column, path: Column, sizes: tuple[int, ...], bits: int) -> C
     def grams(text: Column, kind: str) -> Column:
         marked = F.concat(F.lit("^"), text, F.lit("$"))
         size = F.length(marked)
-        parts = [
-            F.transform(F.when(size >= n, F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1)))).otherwise(F.array().cast("array<int>")), lambda i, n=n: F.concat(F.lit(kind), F.substring(marked, i, F.lit(n))))
-            for n in sizes
-        ]
+
+        def cut(n: int) -> Column:
+            places = F.when(size >= n, F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1)))).otherwise(F.array().cast("array<int>"))
+            return F.transform(places, lambda i: F.concat(F.lit(kind), F.substring(marked, i, F.lit(n))))
+
+        parts = [cut(n) for n in sizes]
         return F.when(size > 2, F.concat(*parts)).otherwise(F.array().cast("array<string>"))
 
     return F.array_distinct(F.transform(F.concat(grams(host, "h"), grams(path, "p")), lambda g: F.pmod(F.xxhash64(g), F.lit(1 << bits)).cast("int")))
@@ -88,16 +90,16 @@ def train(spark: SparkSession, rows: list[tuple[str, int]] = TRAINING, sizes: tu
     n = len(rows)
     speed = [0.0] * (1 << bits)
     for _ in range(steps):
-        p = 1 / (1 + F.exp(-_margin(F.col("features"), _array(weights), F.lit(bias))))
-        errors = table.select(((p - F.col("label")) / F.sqrt(F.greatest(F.size("features"), F.lit(1)))).alias("e"), (p - F.col("label")).alias("b"), F.explode_outer("features").alias("bucket"))
-        # a row for each bucket, and one (null) for the intercept of rows without features
-        gradient = {r["bucket"]: r["e"] for r in errors.groupBy("bucket").agg(F.sum("e").alias("e")).collect()}
-        lean = table.select((p - F.col("label")).alias("b")).agg(F.avg("b")).first()[0]
-        for bucket, e in gradient.items():
-            if bucket is not None:
+        residual = 1 / (1 + F.exp(-_margin(F.col("features"), _array(weights), F.lit(bias)))) - F.col("label")
+        # bucket -1 stands for the intercept
+        parts = table.select(residual.alias("e"), F.size("features").alias("n"), F.explode(F.concat(F.col("features"), F.array(F.lit(-1)))).alias("bucket"))
+        share = F.when(F.col("bucket") < 0, F.lit(1.0)).otherwise(1 / F.sqrt(F.greatest(F.col("n"), F.lit(1))))
+        for bucket, e in parts.groupBy("bucket").agg(F.sum(F.col("e") * share)).collect():  # 2 ** bits rows at most
+            if bucket < 0:
+                bias -= 0.5 * e / n
+            else:
                 speed[bucket] = 0.8 * speed[bucket] - rate * (e / math.sqrt(n) + penalty * weights[bucket])
                 weights[bucket] += speed[bucket]
-        bias -= 0.5 * lean
     table.unpersist()
     return weights, bias
 
