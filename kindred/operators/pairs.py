@@ -175,7 +175,11 @@ def char_grams(text: Column, sizes: tuple[int, ...] = (3, 4, 5)) -> Column:
     def of_word(word: Column) -> Column:
         padded = F.concat(F.lit(" "), word, F.lit(" "))
         length, none = F.length(padded), F.array().cast("array<string>")
-        cuts = [F.when(length >= n, F.transform(F.sequence(F.lit(1), F.greatest(length - (n - 1), F.lit(1))), lambda i, n=n: F.substring(padded, i, F.lit(n)))).otherwise(none) for n in sizes]
+
+        def cut(n: int) -> Column:
+            return F.transform(F.sequence(F.lit(1), F.greatest(length - (n - 1), F.lit(1))), lambda i: F.substring(padded, i, F.lit(n)))
+
+        cuts = [F.when(length >= n, cut(n)).otherwise(none) for n in sizes]
         return F.concat(*cuts, F.when(length < min(sizes), F.array(padded)).otherwise(none))
 
     words = F.filter(F.split(F.lower(text), "\\s+"), lambda w: w != "")

@@ -249,7 +249,7 @@ def blocking_supplier(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(f"""WITH {_SUPPLIER}, {_BLOCK}, n AS (SELECT count(*) AS n FROM supplier), t AS (SELECT sum(n * (n - 1) // 2) AS t FROM (SELECT count(*) AS n FROM supplier GROUP BY s_nationkey))
-SELECT count(*) AS candidate_pairs, round(count(*) / (SELECT n * (n - 1) // 2 FROM n), 9) AS candidate_fraction, round(sum(CAST(a.s_nationkey = b.s_nationkey AS INTEGER)) / (SELECT t FROM t), 9) AS true_pair_candidate_recall
+SELECT count(*) AS candidate_pairs, round(count(*) / (SELECT n * (n - 1) // 2 FROM n), 9) AS candidate_fraction, round(coalesce(sum(CAST(a.s_nationkey = b.s_nationkey AS INTEGER)), 0) / greatest(1, (SELECT coalesce(t, 0) FROM t)), 9) AS true_pair_candidate_recall
 FROM blocked JOIN supplier a ON left_id = a.s_suppkey JOIN supplier b ON right_id = b.s_suppkey""")
 def candidate_stats_supplier(spark: SparkSession, d: str) -> DataFrame:
     df = _table(spark, d, "supplier").withColumn("bucket", F.floor(F.col("s_acctbal") / 500))
@@ -297,18 +297,17 @@ def weighted_edge_pruning_benchmark(spark: SparkSession, d: str) -> DataFrame:
     return pairs.weighted_edge_pruning(pairs.block_pairs(_filtered(spark, d)))
 
 
-@_query(r"""WITH words AS (SELECT 'l' AS side, p_partkey AS id, unnest(regexp_split_to_array(lower(p_name), '\s+')) AS w FROM part
-  UNION ALL SELECT 'r', s_suppkey, unnest(regexp_split_to_array(lower(s_name), '\s+')) FROM supplier),
-padded AS (SELECT side, id, ' ' || w || ' ' AS w FROM words WHERE w <> ''), sized AS (SELECT side, id, w, unnest([3, 4, 5]) AS n FROM padded),
-g AS (SELECT side, id, substr(w, i, n) AS gram, count(*) AS tf FROM (SELECT side, id, w, n, unnest(range(1, length(w) - n + 2)) AS i FROM sized WHERE length(w) >= n) GROUP BY 1, 2, 3),
-idf AS (SELECT gram, ln((1 + (SELECT count(*) FROM supplier)) / (1 + count(*))) + 1 AS idf FROM g WHERE side = 'r' GROUP BY gram),
-w AS (SELECT side, id, gram, tf * idf AS w FROM g JOIN idf USING (gram)), u AS (SELECT side, id, gram, w / sqrt(sum(w * w) OVER (PARTITION BY side, id)) AS w FROM w),
-s AS (SELECT l.id AS left_id, r.id AS right_id, sum(l.w * r.w) AS score FROM u l JOIN u r ON l.gram = r.gram AND l.side = 'l' AND r.side = 'r' GROUP BY 1, 2),
+@_query(r"""WITH words AS (SELECT item_id AS id, unnest(regexp_split_to_array(lower(text), '\s+')) AS w FROM benchmark),
+padded AS (SELECT id, ' ' || w || ' ' AS w FROM words WHERE w <> ''), sized AS (SELECT id, w, unnest([3, 4, 5]) AS n FROM padded),
+g AS (SELECT id, substr(w, i, n) AS gram, count(*) AS tf FROM (SELECT id, w, n, unnest(range(1, length(w) - n + 2)) AS i FROM sized WHERE length(w) >= n) GROUP BY 1, 2),
+idf AS (SELECT gram, ln((1 + (SELECT count(*) FROM benchmark)) / (1 + count(*))) + 1 AS idf FROM g GROUP BY gram),
+w AS (SELECT id, gram, tf * idf AS w FROM g JOIN idf USING (gram)), u AS (SELECT id, gram, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM w),
+s AS (SELECT l.id AS left_id, r.id AS right_id, sum(l.w * r.w) AS score FROM u l JOIN u r ON l.gram = r.gram GROUP BY 1, 2),
 k AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY round(score, 9) DESC, right_id) AS rank FROM s)
 SELECT left_id, right_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM k WHERE rank <= 3""")
-def tfidf_neighbours_part_supplier(spark: SparkSession, d: str) -> DataFrame:
-    found = pairs.tfidf_neighbours(_table(spark, d, "part"), _table(spark, d, "supplier"), "p_partkey", "p_name", "s_suppkey", "s_name", 3)
-    return found.withColumn("score", F.round("score", 6))
+def tfidf_neighbours_benchmark(spark: SparkSession, d: str) -> DataFrame:
+    b = _table(spark, d, "benchmark")
+    return pairs.tfidf_neighbours(b, b, "item_id", "text", "item_id", "text", 3).withColumn("score", F.round("score", 6))
 
 
 @_query("""SELECT doc_id AS record_id, min(doc_id) OVER (PARTITION BY text) AS component_id FROM documents""")
@@ -525,11 +524,10 @@ def convert_snapshots_part(spark: SparkSession, d: str) -> DataFrame:
 
 @_query()
 def candidate_selector(spark: SparkSession, d: str) -> DataFrame:
-    part, supplier = _table(spark, d, "part"), _table(spark, d, "supplier")
-    found = pairs.tfidf_neighbours(part, supplier, "p_partkey", "p_name", "s_suppkey", "s_name", 3)
-    prompts = selector.candidate_prompts(found, part, supplier, "p_partkey", "s_suppkey", ["p_name"], ["s_name"])
-    chosen = selector.select(prompts)
-    matches = part.select(F.col("p_partkey").alias("left_id"), F.col("p_size").cast("long").alias("right_id"))
+    b = _table(spark, d, "benchmark")
+    found = pairs.tfidf_neighbours(b, b, "item_id", "text", "item_id", "text", 3)
+    chosen = selector.select(selector.candidate_prompts(found, b, b, "item_id", "item_id", ["text"], ["text"]))
+    matches = b.select(F.col("item_id").alias("left_id"), F.col("item_id").alias("right_id"))
     return metrics.selector_metrics(selector.judge_selection(chosen, matches))
 
 
