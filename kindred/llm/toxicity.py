@@ -129,22 +129,23 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     return np.frombuffer(row["weights"], "<f4"), row["bias"]
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Add score to the id (and the columns in keep)."""
+def score(docs: DataFrame, model: tuple[np.ndarray, float], doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), name: str = "score") -> DataFrame:
+    """The id, the columns in keep, and the score under a name."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # 1 MB, whatever the corpus
+    inner = ["_id", *(f"_kept{i}" for i in range(len(keep))), "_score"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, bias = shared.value
         for batch in batches:
             values = [w[x].sum(dtype=np.float64) / np.sqrt(max(len(x), 1)) + bias for x in map(features, batch.column(1).to_pylist())]
             scores = 1 / (1 + np.exp(-np.clip(np.array(values, np.float64), -500, 500)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(scores)], names=["id", *keep, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(scores)], names=inner)
 
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("_text"), *keep)
-    fields = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in keep)
-    out = map_arrow(rows, work, f"id {docs.schema[doc_id].dataType.simpleString()}, {fields + ', ' if keep else ''}score double")
-    return out.withColumnRenamed("id", doc_id)
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text"), *[F.col(c).alias(n) for c, n in zip(keep, inner[1:])])
+    kinds = [docs.schema[c].dataType.simpleString() for c in (doc_id, *keep)]
+    out = map_arrow(rows, work, ", ".join(f"{n} {k}" for n, k in zip(inner, [*kinds, "double"])))
+    return out.toDF(doc_id, *keep, name)
 
 
 def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
