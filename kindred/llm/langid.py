@@ -14,6 +14,7 @@ rows with equal ids are judged each on its own; columns besides those named are
 from __future__ import annotations
 
 import pickle
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +35,13 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
+#: Runs of letters; digits, signs and marks between them tell no language.
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
 def counts(text: str | None) -> np.ndarray:
-    return np.bincount(buckets(code_points(text), SIZES, BITS), minlength=1 << BITS)
+    letters = " ".join(_LETTERS.findall(text)) if text else ""
+    return np.bincount(buckets(code_points(letters), SIZES, BITS), minlength=1 << BITS)
 
 
 def vector(text: str | None, idf: np.ndarray) -> np.ndarray:
