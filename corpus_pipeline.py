@@ -9,9 +9,15 @@ from kindred.llm import decontaminate, exactdedup, packing, simhash, toxicity
 from kindred.llm.shared import written
 
 
-def _keep(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The rows of documents whose id is among the decisions (one for each id, none null)."""
-    return docs.join(decisions.select(F.col("doc_id").alias("_kept")).distinct(), F.col("doc_id") == F.col("_kept"), "left_semi")
+def _without(docs: DataFrame, decisions: DataFrame, stays: str) -> DataFrame:
+    """The rows of documents but those that all decisions on their id let go.
+
+    Rows with equal ids stay or go together: they stay if one of them does. Rows without an id can't be named in a
+    decision, and stay. What goes is written first, so that its size is known when the join is planned: a short list
+    is sent to all tasks, a long one is joined by shuffling.
+    """
+    gone = decisions.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_gone")).agg(F.bool_or(F.expr(stays)).alias("_stays")).filter("not _stays").select("_gone")
+    return docs.join(written(gone, "gone"), F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,19 +29,26 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of texts that are equal but for white space."""
-    return _keep(docs, exactdedup.dedup(docs).filter("kept"))
+    """One row of each group of texts that are equal but for white space; of rows that are equal in all columns, one."""
+    decisions = written(exactdedup.dedup(docs), "exact-decisions")
+    kept = _without(docs, decisions, "kept")
+    again = decisions.filter("kept").groupBy("doc_id", "text_sha256").count().filter("count > 1").select(F.col("doc_id").alias("_again")).distinct()
+    again = written(again, "repeated")
+    if again.isEmpty():
+        return kept
+    same = F.col("doc_id").eqNullSafe(F.col("_again"))
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates())
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each SimHash component."""
-    return _keep(docs, simhash.near_duplicates(docs).filter("doc_id = component_id"))
+    return _without(docs, simhash.near_duplicates(docs), "doc_id = component_id")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which fewer than one word in twenty lies in a benchmark window."""
     found = decontaminate.judge(decontaminate.match(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
-    return _keep(docs, found.filter("not contaminated"))
+    return _without(docs, found, "not contaminated")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,3 +53,14 @@ def test_stages_keep_columns_and_clashing_ones(spark):
     for _, stage in P.STAGES[:-1]:
         out = stage(spark, docs, DATA)
         assert out.columns == docs.columns and 0 < out.count() <= docs.count()
+
+
+def test_stages_on_odd_rows(spark):
+    """Rows without an id stay, repeated rows are one, rows that share an id stay together, nothing gives nothing."""
+    rows = [(1, "alpha beta gamma delta epsilon"), (1, "alpha beta gamma delta epsilon"), (2, "alpha beta  gamma delta epsilon zeta"), (None, "no id here at all"), (None, None), (3, ""), (4, None), (5, "one own text here now"), (5, "quite another text over there")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = P.drop_copies(spark, docs, DATA)
+    assert sorted(r["doc_id"] or 0 for r in out.collect()) == [0, 0, 1, 2, 5, 5]  # the empty texts are those of null, 3 and 4
+    for _, stage in P.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), DATA).count() == 0
+        assert {r["doc_id"] for r in stage(spark, docs, DATA).collect()} >= {None, 1, 5}
