@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kindred import api
 from kindred.functions import compare as C
 from kindred.functions import text as X
-from kindred.operators import graph, metrics, neural, pairs, records, score, views
+from kindred.operators import graph, metrics, neural, pairs, records, runs, score, views
 from kindred.plans import synth, worldgraph
 from kindred.sources import convert, lookups, selector, sinks
 
@@ -573,3 +574,52 @@ def pair_lines_part(spark: SparkSession, d: str) -> DataFrame:
     p = _table(spark, d, "part").select("p_partkey", "p_name")
     joined = p.select((F.col("p_partkey") + 1).alias("k"), F.col("p_name").alias("left_p_name")).join(p.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("right_p_name")), "k").withColumn("label", F.lit(1))
     return sinks.pair_lines(joined, ["p_name"])
+
+
+# -- runs and the user's interface ------------------------------------------------------------------------------------
+
+
+@_query("""WITH b AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS f FROM events)
+SELECT user_id, max(event_id) FILTER (WHERE r = 1) AS best_step, max(value) FILTER (WHERE r = 1) AS best, max(event_id) FILTER (WHERE f = 1) AS final_step, max(value) FILTER (WHERE f = 1) AS final FROM b GROUP BY user_id""")
+def best_and_final_events(spark: SparkSession, d: str) -> DataFrame:
+    return runs.best_and_final(_table(spark, d, "events"), "user_id", "value", "event_id")
+
+
+@_query("SELECT min(n) AS min_n, max(n) AS max_n, round(avg(n), 9) AS mean_n FROM (SELECT count(*) AS n FROM conversations GROUP BY conv_id)")
+def batch_shapes_conversations(spark: SparkSession, d: str) -> DataFrame:
+    sizes = _table(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    return runs.batch_shapes(sizes, ["n"]).withColumn("mean_n", F.round("mean_n", 9))
+
+
+@_query("SELECT s_suppkey, s_name FROM supplier ORDER BY s_acctbal, s_suppkey LIMIT 7 OFFSET 3")
+def page_supplier(spark: SparkSession, d: str) -> DataFrame:
+    return runs.page(_table(spark, d, "supplier"), ["s_acctbal", "s_suppkey"], 3, 7).select("s_suppkey", "s_name")
+
+
+@_query("SELECT c_custkey, c_nationkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY md5(c_custkey || ':3'), c_custkey) AS r FROM customer) WHERE r <= 5")
+def cap_per_group_customer(spark: SparkSession, d: str) -> DataFrame:
+    return runs.cap_per_group(_table(spark, d, "customer"), ["c_nationkey"], ["c_custkey"], 5, 3).select("c_custkey", "c_nationkey")
+
+
+@_query("SELECT c_nationkey, max(m) FILTER (WHERE s = 'BUILDING') AS BUILDING, max(m) FILTER (WHERE s = 'MACHINERY') AS MACHINERY FROM (SELECT c_nationkey, c_mktsegment AS s, max(c_acctbal) AS m FROM customer GROUP BY 1, 2) GROUP BY c_nationkey")
+def threshold_pivot_customer(spark: SparkSession, d: str) -> DataFrame:
+    rows = _table(spark, d, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.max("c_acctbal").alias("m"))
+    return runs.threshold_pivot(rows, "c_nationkey", "c_mktsegment", "m", ["BUILDING", "MACHINERY"])
+
+
+@_query("""SELECT 's_name' AS field, 0.0::DOUBLE AS missing_rate, count(DISTINCT s_name) AS distinct_values, count(*) AS records, count(DISTINCT s_nationkey) AS entities FROM supplier UNION ALL SELECT 's_acctbal', 0.0, count(DISTINCT s_acctbal), count(*), count(DISTINCT s_nationkey) FROM supplier""")
+def describe_world_supplier(spark: SparkSession, d: str) -> DataFrame:
+    return runs.describe_world(_table(spark, d, "supplier"), "s_nationkey", ["s_name", "s_acctbal"])
+
+
+@_query("SELECT o_custkey AS entity, count(*) AS orders, sum(l_quantity) AS quantity FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_quantity) AS l_quantity FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey GROUP BY o_custkey")
+def joined_history_orders(spark: SparkSession, d: str) -> DataFrame:
+    lines = _table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").alias("l_quantity"))
+    joined = runs.joined_history(_table(spark, d, "orders"), lines, on="o_orderkey")
+    return joined.groupBy(F.col("o_custkey").alias("entity")).agg(F.count(F.lit(1)).alias("orders"), F.sum("l_quantity").alias("quantity"))
+
+
+@_query()
+def linker_clusters_supplier(spark: SparkSession, d: str) -> DataFrame:
+    s = _table(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_name", "s_acctbal")
+    return api.Linker(threshold=0.55, block="s_nationkey").fit_predict(s, "s_suppkey", {"s_name": "text", "s_acctbal": "numeric"})
