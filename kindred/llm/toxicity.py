@@ -111,7 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     there = known.count()
     share = min(1.0, sample / max(there, 1))
     chosen = known.filter(F.pmod(F.xxhash64("id", F.lit(23)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).join(chosen, "id")
+    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "id")  # about `sample` ids: the texts stay where they are
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
