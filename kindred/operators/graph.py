@@ -28,8 +28,8 @@ def connected_components(edges: DataFrame, left: str = "left_id", right: str = "
 
     Ids must be integers or strings; edges with a null end are left out, and loops make their node a component.
     """
-    pairs = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).filter("a is not null and b is not null")
-    live = checkpointed(pairs.filter("a <> b").distinct())
+    pairs = checkpointed(edges.select(F.col(left).alias("a"), F.col(right).alias("b")).filter("a is not null and b is not null").distinct())
+    live = pairs.filter("a <> b")
     trees: list[DataFrame] = []
     for number in range(max_rounds):
         if live.isEmpty():

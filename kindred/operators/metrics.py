@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kindred.operators.graph import checkpointed
+
 
 def with_target(pairs: DataFrame, entity: str = "entity_id") -> DataFrame:
     """target: 1 if both sides have the same entity."""
@@ -24,22 +26,19 @@ def score_counts(scored: DataFrame, digits: int | None = None, missing_positives
     return rows.groupBy("score").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
 
 
-def cumulative(counts: DataFrame, parts: int | None = None) -> DataFrame:
+def cumulative(counts: DataFrame) -> DataFrame:
     """Add tp and fp (counts of this score and all higher ones) to score counts, without a window over all rows.
 
-    Scores are range-partitioned from high to low; each part is summed by a window of its own, and what the parts
-    before it hold is added from a small table.
+    Scores are range-partitioned from high to low and written once; each part is summed by a window of its own, and
+    what the parts before it hold is added from a small table.
     """
-    spark = counts.sparkSession
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    low_high = counts.agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
-    width = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-300))
-    binned = counts.crossJoin(F.broadcast(low_high)).withColumn("_bin", F.least(F.floor((F.col("_hi") - F.col("score")) / width * n), F.lit(n - 1)).cast("int")).drop("_lo", "_hi")
-    sums = binned.groupBy("_bin").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))  # n rows at most
-    before = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    carried = sums.select("_bin", F.coalesce(F.sum("_p").over(before), F.lit(0)).alias("_tp"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_fp"))
-    within = Window.partitionBy("_bin").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = binned.withColumn("tp", F.sum("p").over(within)).withColumn("fp", F.sum("n").over(within)).join(F.broadcast(carried), "_bin")
+    order = F.col("score").desc()
+    dealt = checkpointed(counts.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()))
+    sums = dealt.groupBy("_part").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))  # a row for each part
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select("_part", F.coalesce(F.sum("_p").over(before), F.lit(0)).alias("_tp"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_fp"))
+    within = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = dealt.withColumn("tp", F.sum("p").over(within)).withColumn("fp", F.sum("n").over(within)).join(F.broadcast(carried), "_part")
     return summed.select("score", "p", "n", (F.col("tp") + F.col("_tp")).alias("tp"), (F.col("fp") + F.col("_fp")).alias("fp"))
 
 
@@ -49,8 +48,9 @@ def _ratio(a: Column, b: Column) -> Column:
 
 def curve(counts: DataFrame) -> DataFrame:
     """score, precision, recall, f1, and totals of the curve that a threshold at each score gives."""
-    totals = counts.agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
-    rows = cumulative(counts).crossJoin(F.broadcast(totals))  # a single row
+    summed = cumulative(counts)
+    totals = summed.agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
+    rows = summed.crossJoin(F.broadcast(totals))  # a single row
     precision, recall = _ratio(F.col("tp"), F.col("tp") + F.col("fp")), _ratio(F.col("tp"), F.col("positives"))
     return rows.withColumn("precision", precision).withColumn("recall", recall).withColumn("f1", 2 * precision * recall / F.greatest(precision + recall, F.lit(1e-12)))
 
@@ -124,6 +124,7 @@ def evaluate(name: str, records: DataFrame, record_id: str, entity: str, scored:
     """
     from kindred.operators.graph import component_labels
 
+    scored = checkpointed(scored.select("left_id", "right_id", "score", "target"))  # several aggregations read it
     size = records.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(entity).alias("e")).first()
     found = scored.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("target"), F.lit(0)).alias("p")).first()
     true_pairs = true_pair_count(records, entity).first()[0] if all_pairs else found["p"]

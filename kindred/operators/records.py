@@ -121,7 +121,7 @@ def sample_entities(df: DataFrame, entity: str, columns: list[str], n_entities:
 def zscores(df: DataFrame, columns: list[str], by: list[str] = (), limit: float = 100.0, suffix: str = "_z") -> DataFrame:
     """Standardise numbers by the population's deviation (per group of `by`), cut off at plus and minus the limit."""
     stats = df.groupBy(*by).agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
-    joined = df.join(F.broadcast(stats), list(by)) if by else df.crossJoin(F.broadcast(stats))  # without groups: a single row
+    joined = df.join(stats, list(by)) if by else df.crossJoin(F.broadcast(stats))  # without groups: a single row
     for c in columns:
         z = (F.col(c) - F.col(f"_mean_{c}")) / (F.col(f"_std_{c}") + F.lit(1e-20))
         joined = joined.withColumn(c + suffix, F.greatest(F.least(z, F.lit(limit)), F.lit(-limit)))

@@ -119,7 +119,7 @@ def observe(df: DataFrame, key: list[str], field_types: dict[str, str], config:
     """Values as a source may have them: missing, a nickname for a first name, or (texts and identifiers) corrupted."""
     out = df.withColumn("_o", F.xxhash64(*key, F.lit(seed)))
     if nicknames is not None and "first_name" in field_types:
-        out = out.join(F.broadcast(nicknames.limit(100_000).withColumnRenamed("name", "_nick")), F.lower("first_name") == F.col("_nick"), "left").drop("_nick")
+        out = out.join(nicknames.withColumnRenamed("name", "_nick"), F.lower("first_name") == F.col("_nick"), "left").drop("_nick")
         i = F.floor(draw("_o", "nick") * F.size("aliases")).cast("int") + 1
         use = F.col("aliases").isNotNull() & (draw("_o", "nickname") < config.nickname_rate)
         out = out.withColumn("first_name", F.when(use, F.initcap(F.element_at("aliases", i))).otherwise(F.col("first_name"))).drop("aliases")
