@@ -21,7 +21,7 @@ _PLAIN = re.compile("[\n!-~\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0132-\u0137\u0139-\u01
 _PIECE = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\u017e]+|[0-9]|[^\na-z0-9\xdf-\xf6\xf8-\u017e]+")
 
 #: Words and pieces of words that a worker remembers; beyond it, it starts anew.
-WORDS, PIECES = 300_000, 700_000
+WORDS, PIECES = 150_000, 350_000
 
 
 class _Memory:

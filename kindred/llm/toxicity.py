@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from kindred.llm.ngrams import buckets, code_points
 from kindred.llm.shared import held_out, map_arrow
 
-SIZES, BITS = (3, 4, 5, 6), 18
+SIZES, BITS = (4, 5), 18
 #: At most about so many labelled rows are learned from.
-SAMPLE = 8000
+SAMPLE = 6000
 THRESHOLD = 0.7
 
 
