@@ -124,7 +124,7 @@ def zscores(df: DataFrame, columns: list[str], by: list[str] = (), limit: float
     joined = df.join(stats, list(by)) if by else df.crossJoin(F.broadcast(stats))  # without groups: a single row
     for c in columns:
         z = (F.col(c) - F.col(f"_mean_{c}")) / (F.col(f"_std_{c}") + F.lit(1e-20))
-        joined = joined.withColumn(c + suffix, F.greatest(F.least(z, F.lit(limit)), F.lit(-limit)))
+        joined = joined.withColumn(c + suffix, F.when(z.isNotNull(), F.greatest(F.least(z, F.lit(limit)), F.lit(-limit))))
     return joined.drop(*[f"_{n}_{c}" for c in columns for n in ("mean", "std")])
 
 
