@@ -124,6 +124,22 @@ def adjusted_rand_embeddings(spark: SparkSession, d: str) -> DataFrame:
     return metrics.adjusted_rand(_clusters(spark, d), "label", "component_id").select(F.round("adjusted_rand", 9).alias("adjusted_rand"))
 
 
+def _linked(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of all pairs at the linker's threshold or above, however many; the two queries above take the 300 best, as their SQL does."""
+    nodes = _table(spark, d, "embeddings").select(F.col("vec_id").alias("record_id"), "label")
+    return graph.component_labels(nodes, _cosines(spark, d).filter(F.col("score") >= api.Linker.threshold), "record_id")
+
+
+@_query()
+def threshold_components_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    return _linked(spark, d).select("record_id", "label", "component_id")
+
+
+@_query()
+def threshold_adjusted_rand_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.adjusted_rand(_linked(spark, d), "label", "component_id").select(F.round("adjusted_rand", 9).alias("adjusted_rand"))
+
+
 @_query(f"""{_COSINES}, b AS (SELECT target, CAST(least(floor(least(greatest(score, 0), 1) * 30), 29) AS INTEGER) AS bin, count(*) AS n FROM scored GROUP BY 1, 2)
 SELECT target, bin, n, round(n / sum(n) OVER (PARTITION BY target) * 30, 9) AS density FROM b""")
 def score_histogram_embeddings(spark: SparkSession, d: str) -> DataFrame:
