@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions import compare as C
 from kindred.functions.text import sigmoid
+from kindred.operators.graph import checkpointed
 
 
 class PairScorer(Protocol):
@@ -77,14 +78,26 @@ def gamma_counts(pairs: DataFrame, columns: Sequence[str]) -> DataFrame:
     return pairs.groupBy(*[f"gamma_{c}" for c in columns]).agg(F.count(F.lit(1)).alias("n"))
 
 
+def term_frequencies(records: DataFrame, column: str) -> DataFrame:
+    """value, share: the share of each value among the column's values that are not null."""
+    counts = records.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    return counts.crossJoin(F.broadcast(total)).select("value", (F.col("n") / F.col("total")).alias("share"))  # one row
+
+
 @dataclass
 class FellegiSunter:
-    """m and u probabilities of each level of each column (index is the level), and the prior share of matches."""
+    """m and u probabilities of each level of each column (index is the level), and the prior share of matches.
+
+    frequencies: tables of (value, share) by column. Agreement on a value of such a column weighs log2(u / share) more
+    (u: of the exact level); values that aren't in the table weigh as the level does. Pairs need the column's left_ side.
+    """
 
     m: dict[str, list[float]]
     u: dict[str, list[float]]
     prior: float = 1e-3
     history: list[float] = field(default_factory=list)
+    frequencies: dict[str, DataFrame] = field(default_factory=dict)
 
     def match_weight(self) -> Column:
         """log2 of prior odds and of all m / u; a null level adds nothing."""
@@ -103,7 +116,14 @@ class FellegiSunter:
     def predict(self, pairs: DataFrame) -> DataFrame:
         """Add match_weight and score (the match probability) to pairs that have gammas."""
         odds = F.least(F.greatest(F.col("match_weight"), F.lit(-60.0)), F.lit(60.0))
-        return pairs.withColumn("match_weight", self.match_weight()).withColumn("score", sigmoid(odds * math.log(2)))
+        weighed = pairs.withColumn("match_weight", self.match_weight())
+        for c, shares in self.frequencies.items():
+            exact = len(self.u[c]) - 1
+            more = F.when(F.col(f"gamma_{c}") == exact, F.log2(F.lit(max(self.u[c][exact], 1e-12)) / F.col("_share")))
+            named = shares.select(F.col("value").alias("_value"), F.col("share").alias("_share"))
+            joined = weighed.join(named, F.col(f"left_{c}").cast("string") == F.col("_value"), "left")
+            weighed = joined.withColumn("match_weight", F.col("match_weight") + F.coalesce(more, F.lit(0.0))).drop("_value", "_share")
+        return weighed.withColumn("score", sigmoid(odds * math.log(2)))
 
 
 def estimate_u(records: DataFrame, record_id: str, plan: Mapping[str, tuple[str, tuple[float, ...]]], max_pairs: int = 1_000_000, seed: int = 1) -> dict[str, list[float]]:
@@ -175,7 +195,10 @@ def expectation_maximisation(pairs: DataFrame, plan: Mapping[str, tuple[str, tup
 
 
 def fit_fellegi_sunter(records: DataFrame, record_id: str, field_types: Mapping[str, str], recall: float = 0.7, max_pairs: int = 1_000_000) -> FellegiSunter:
-    """Train as the baseline does: prior from rules, u from random pairs, m by EM over up to three blocked pair sets."""
+    """Train as the baseline does: prior from rules, u from random pairs, m by EM over up to three blocked pair sets.
+
+    Categorical columns get term frequencies of the whole table; they adjust predictions, EM runs on levels alone.
+    """
     from kindred.operators.pairs import blocked_pairs, prior_rules
 
     plan = C.comparison_plan(dict(field_types))
@@ -190,7 +213,8 @@ def fit_fellegi_sunter(records: DataFrame, record_id: str, field_types: Mapping[
             if c != rule and model.history:
                 estimates[c].append(model.m[c])
     default = lambda c: [0.1 / (len(u[c]) - 1)] * (len(u[c]) - 1) + [0.9]
-    return FellegiSunter({c: np.mean(e, axis=0).tolist() if e else default(c) for c, e in estimates.items()}, u, prior)
+    frequencies = {c: checkpointed(term_frequencies(records, c)) for c, kind in field_types.items() if kind == "categorical"}
+    return FellegiSunter({c: np.mean(e, axis=0).tolist() if e else default(c) for c, e in estimates.items()}, u, prior, frequencies=frequencies)
 
 
 # -- trained scorers ---------------------------------------------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -389,6 +390,17 @@ def fellegi_sunter_customer(spark: SparkSession, d: str) -> DataFrame:
     return scored.select("left_id", "right_id", F.round("match_weight", 6).alias("match_weight"), F.round("score", 6).alias("score"))
 
 
+@_query(f"""WITH {_CUSTOMERS}, tf AS (SELECT c_mktsegment AS value, count(*) / (SELECT count(c_mktsegment) FROM customer) AS share FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY c_mktsegment),
+w AS (SELECT left_id, right_id, log2(0.01 / 0.99) + CASE WHEN left_c_mktsegment = right_c_mktsegment THEN log2(0.9 / 0.2) + log2(0.2 / share) ELSE log2(0.1 / 0.8) END + CASE WHEN left_bucket = right_bucket THEN log2(0.8 / 0.05) ELSE log2(0.2 / 0.95) END AS w FROM cp LEFT JOIN tf ON left_c_mktsegment = value)
+SELECT left_id, right_id, round(w, 6) AS match_weight, round(pow(2, w) / (1 + pow(2, w)), 6) AS score FROM w""")
+def fellegi_sunter_tf_customer(spark: SparkSession, d: str) -> DataFrame:
+    df = _customers(spark, d)
+    model = replace(_FS, frequencies={"c_mktsegment": score.term_frequencies(df, "c_mktsegment")})
+    found = pairs.blocked_pairs(df, "c_custkey", ["block"], ["c_mktsegment", "bucket"])
+    scored = model.score_pairs(found, {"c_mktsegment": "categorical", "bucket": "numeric"})
+    return scored.select("left_id", "right_id", F.round("match_weight", 6).alias("match_weight"), F.round("score", 6).alias("score"))
+
+
 @_query()
 def fellegi_sunter_em_customer(spark: SparkSession, d: str) -> DataFrame:
     kinds = {"c_mktsegment": "categorical", "bucket": "numeric"}

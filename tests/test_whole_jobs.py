@@ -1,11 +1,13 @@
 """Queries that do the whole job, against brute force."""
 
 import itertools
+import math
 import random
 
 import pytest
 
 from kindred import queries
+from kindred.operators import pairs, score
 
 
 def components(nodes, edges):
@@ -48,3 +50,18 @@ def test_all_pairs_at_the_threshold_are_linked(spark, tmp_path):
     assert {r["record_id"]: r["component_id"] for r in found} == want
     row = queries.queries()["threshold_adjusted_rand_embeddings"](spark, str(tmp_path)).first()
     assert row["adjusted_rand"] == pytest.approx(adjusted_rand(labels, want), abs=1e-8)
+
+
+def test_agreement_on_rare_values_weighs_more(spark):
+    """A fit counts categorical values over the whole table; agreement weighs log2(m / share), on values it doesn't know log2(m / u)."""
+    values = ["hot"] * 40 + ["warm"] * 15 + ["rare"] * 2 + [None] * 3
+    records = spark.createDataFrame([(i, v, i % 7) for i, v in enumerate(values)], "id long, seg string, n int")
+    model = score.fit_fellegi_sunter(records, "id", {"seg": "categorical", "n": "numeric"})
+    assert list(model.frequencies) == ["seg"]
+    data = [(0, 1, "hot", "hot"), (2, 3, "rare", "rare"), (4, 5, "hot", "rare"), (6, 7, "new", "new"), (8, 9, None, None)]
+    scored = model.score_pairs(spark.createDataFrame([(*x, 1, 2) for x in data], "left_id long, right_id long, left_seg string, right_seg string, left_n int, right_n int"), {"seg": "categorical", "n": "numeric"})
+    got = {r["left_id"]: r["match_weight"] for r in scored.collect()}
+    m, u = model.m["seg"], model.u["seg"]
+    base = math.log2(model.prior / (1 - model.prior)) + math.log2(model.m["n"][0] / model.u["n"][0])
+    want = {0: math.log2(m[1] / (40 / 57)), 2: math.log2(m[1] / (2 / 57)), 4: math.log2(m[0] / u[0]), 6: math.log2(m[1] / u[1]), 8: 0.0}
+    assert got == {k: pytest.approx(base + v) for k, v in want.items()}
