@@ -315,6 +315,29 @@ def weighted_edge_pruning_benchmark(spark: SparkSession, d: str) -> DataFrame:
     return pairs.weighted_edge_pruning(pairs.block_pairs(_filtered(spark, d)))
 
 
+_PURGED = f"""{_BLOCKS}, summed AS (SELECT n, sum(sum(n)) OVER w AS a, sum(sum(n * (n - 1) // 2)) OVER w AS c FROM sizes GROUP BY n WINDOW w AS (ORDER BY n)),
+steps AS (SELECT n, CAST(a AS DOUBLE) AS a, CAST(c AS DOUBLE) AS c, CAST(lag(a) OVER (ORDER BY n) AS DOUBLE) AS a1, CAST(lag(c) OVER (ORDER BY n) AS DOUBLE) AS c1 FROM summed),
+purged AS (SELECT coalesce(max(n) FILTER (WHERE a1 * c < CAST(1.025 AS DOUBLE) * a * c1), min(n)) AS most FROM steps),
+kept AS (SELECT id, b.token, n FROM blocks b JOIN sizes s ON b.token = s.token AND n <= (SELECT most FROM purged)), ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n, token) AS r, count(*) OVER (PARTITION BY id) AS a FROM kept),
+filtered AS (SELECT id, token, n FROM ranked WHERE r <= floor(a * 0.9 + 0.5))"""
+
+
+def _purged(spark: SparkSession, d: str) -> DataFrame:
+    """As _filtered, but blocks are purged by the operator's own rule."""
+    return pairs.filter_blocks(pairs.purge_blocks(pairs.token_blocks(_table(spark, d, "benchmark"), "item_id", ["text"])), 0.9)
+
+
+@_query(f"WITH {_PURGED} SELECT id, token, n FROM filtered")
+def purged_block_filtering_benchmark(spark: SparkSession, d: str) -> DataFrame:
+    return _purged(spark, d).select("id", "token", "n")
+
+
+@_query(f"""WITH {_PURGED}, w AS (SELECT l.id AS left_id, r.id AS right_id, count(*) AS weight FROM filtered l JOIN filtered r ON l.token = r.token AND l.id < r.id GROUP BY 1, 2)
+SELECT left_id, right_id, weight FROM w WHERE weight >= (SELECT avg(weight) FROM w)""")
+def purged_edge_pruning_benchmark(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.weighted_edge_pruning(pairs.block_pairs(_purged(spark, d)))
+
+
 @_query(r"""WITH words AS (SELECT item_id AS id, unnest(regexp_split_to_array(lower(text), '\s+')) AS w FROM benchmark),
 padded AS (SELECT id, ' ' || w || ' ' AS w FROM words WHERE w <> ''), sized AS (SELECT id, w, unnest([3, 4, 5]) AS n FROM padded),
 g AS (SELECT id, substr(w, i, n) AS gram, count(*) AS tf FROM (SELECT id, w, n, unnest(range(1, length(w) - n + 2)) AS i FROM sized WHERE length(w) >= n) GROUP BY 1, 2),

@@ -65,3 +65,23 @@ def test_agreement_on_rare_values_weighs_more(spark):
     base = math.log2(model.prior / (1 - model.prior)) + math.log2(model.m["n"][0] / model.u["n"][0])
     want = {0: math.log2(m[1] / (40 / 57)), 2: math.log2(m[1] / (2 / 57)), 4: math.log2(m[0] / u[0]), 6: math.log2(m[1] / u[1]), 8: 0.0}
     assert got == {k: pytest.approx(base + v) for k, v in want.items()}
+
+
+def test_blocks_are_purged_by_the_rule(spark, tmp_path):
+    """Even blocks of 15 rows are all kept, as the rule has it; a cap of 12 keeps none."""
+    spark.createDataFrame([(i, f"w{i // 15} own{i}") for i in range(60)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = queries.queries()["purged_block_filtering_benchmark"](spark, str(tmp_path)).collect()
+    assert sorted((r["id"], r["token"], r["n"]) for r in found) == [(i, f"w{i // 15}", 15) for i in range(60)]
+    assert queries.queries()["purged_edge_pruning_benchmark"](spark, str(tmp_path)).count() == 4 * (15 * 14 // 2)
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_purge_limit_against_brute_force(spark, seed):
+    g = random.Random(seed)
+    blocks = {f"t{k}": set(g.sample(range(80), min(80, int(2 + g.expovariate(0.15))))) for k in range(40)}
+    sizes = [len(b) for b in blocks.values()]
+    ratio = lambda n: sum(k * (k - 1) // 2 for k in sizes if k <= n) / sum(k for k in sizes if k <= n)
+    distinct = sorted(set(sizes))
+    limit = next((b for a, b in reversed(list(zip(distinct, distinct[1:]))) if ratio(b) < 1.025 * ratio(a)), distinct[0])
+    df = spark.createDataFrame([(i, t) for t, b in blocks.items() for i in b], "id long, token string")
+    assert pairs.purge_limit(df) == limit
