@@ -1,10 +1,11 @@
 """Chat formatting by quotation linking.
 
 A line's quote level is the number of `>` signs that begin it (spaces between them are allowed). Lines of one level in
-a row are a passage. Passages are normalised (marks taken off, white space collapsed, A-Z lower-cased) and hashed; a
-quoted passage of level n is looked for among the passages of level n - 1 of earlier messages of its conversation,
-first by hash and then by its text. The latest such message is what it was quoted from, and the message replies to the
-latest of those. Conversations are put in reply order: threads by their first message, messages of a thread by turn;
+a row are a passage; blank lines cut it into paragraphs. Passages, paragraphs and lines are normalised (marks taken off,
+white space collapsed, A-Z lower-cased) and hashed; a quoted passage of level n is looked for among the passages of level
+n - 1 of earlier messages of its conversation, by hash and text. If there is none, its paragraphs are looked for among
+such paragraphs, and the lines of those that aren't found among such lines. The latest such message is what it was quoted
+from, and the message replies to the latest of those. Conversations are put in reply order: threads by their first message, messages of a thread by turn;
 quoted lines are left out of the text.
 
 Only DataFrame functions run. Hashes are part of every join and shuffle key, so one conversation can't make a task
@@ -37,27 +38,51 @@ def _plain(line: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def passages(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
-    """One row per passage: conv, turn, place (of its first line), level, passage (normalised), hash."""
+def _cut(texts: Column, first: Column, last: Column) -> Column:
+    """The slices of an array from each place in first to that in last."""
+    return F.transform(first, lambda b, k: F.slice(texts, b, F.element_at(last, k + 1) - b + 1))
+
+
+def pieces(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
+    """One row per passage (kind 0), paragraph (1) and line (2): conv, turn, level, run and par (places of its passage and paragraph), kind, piece (normalised), hash."""
     lines = messages.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), _levels(F.col(text)).alias("lines"))
     # a passage begins where the level changes; its lines are those up to the next such place
     level = lambda i: F.element_at("lines", i)["level"]
     all_ = F.sequence(F.lit(1), F.size("lines"))
     begins = F.filter(all_, lambda i: (i == 1) | (level(i) != level(F.greatest(i - 1, F.lit(1)))))
-    cut = lines.withColumn("begins", begins)
-    stop = lambda k: F.coalesce(F.try_element_at("begins", k + 2), F.size("lines") + 1)
-    made = F.transform("begins", lambda b, k: F.struct(b.alias("place"), level(b).alias("level"), _plain(F.concat_ws(" ", F.transform(F.slice("lines", b, stop(k) - b), lambda x: x["line"]))).alias("passage")))
-    rows = cut.select("conv", "turn", F.explode(made).alias("p")).select("conv", "turn", "p.*")
-    return rows.filter("passage <> ''").withColumn("hash", F.xxhash64("passage"))
+    ends = F.filter(all_, lambda i: (i == F.size("lines")) | (level(i) != level(F.least(i + 1, F.size("lines")))))
+    runs = lines.withColumn("begins", begins).withColumn("ends", ends).select("conv", "turn", F.posexplode(_cut(F.col("lines"), F.col("begins"), F.col("ends"))).alias("run", "own"))
+    plain = runs.select("conv", "turn", "run", F.element_at("own", 1)["level"].alias("level"), F.transform("own", lambda x: _plain(x["line"])).alias("texts"))
+    # a paragraph is a row of lines that aren't blank
+    at = lambda i: F.element_at("texts", i)
+    all_ = F.sequence(F.lit(1), F.size("texts"))
+    first = F.filter(all_, lambda i: (at(i) != "") & ((i == 1) | (at(F.greatest(i - 1, F.lit(1))) == "")))
+    last = F.filter(all_, lambda i: (at(i) != "") & ((i == F.size("texts")) | (at(F.least(i + 1, F.size("texts"))) == "")))
+    joined = F.concat_ws(" ", F.filter("texts", lambda x: x != "")).alias("whole")
+    parts = plain.withColumn("first", first).withColumn("last", last).select("conv", "turn", "level", "run", joined, F.posexplode(_cut(F.col("texts"), F.col("first"), F.col("last"))).alias("par", "own"))
+    piece = lambda kind, x: F.struct(F.lit(kind).alias("kind"), x.alias("piece"))
+    whole = F.filter(F.array(piece(0, F.col("whole"))), lambda _: F.col("par") == 0)
+    made = F.concat(whole, F.array(piece(1, F.array_join("own", " "))), F.transform(F.array_distinct("own"), lambda x: piece(2, x)))
+    rows = parts.select("conv", "turn", "level", "run", "par", F.explode(made).alias("p")).select("conv", "turn", "level", "run", "par", "p.*")
+    return rows.withColumn("hash", F.xxhash64("piece"))
 
 
 def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
     """What each quoting message replies to: conv, turn, parent (a turn)."""
-    found = passages(messages, conv, turn, text).filter("conv is not null and turn is not null")
-    quoted = found.filter("level > 0").select("conv", "turn", (F.col("level") - 1).alias("level"), "hash", "passage").distinct()
-    sources = found.select("conv", F.col("turn").alias("parent"), "level", "hash", F.col("passage").alias("whole"))
-    joined = quoted.join(sources, ["conv", "level", "hash"]).filter("passage = whole and parent < turn")
-    return joined.groupBy("conv", "turn").agg(F.max("parent").alias("parent"))
+    found = pieces(messages, conv, turn, text).filter("conv is not null and turn is not null")
+    key = ["conv", "level", "kind", "hash"]
+    # quotes are written first: where there are few, their keys are sent to the sources, which then aren't shuffled
+    quoted = written(found.filter("level > 0").withColumn("level", F.col("level") - 1), "quotes")
+    sources = found.join(quoted.select(*key).distinct(), key, "left_semi").groupBy(*key, "piece", "turn").agg(F.lit(None).cast("int").alias("run"), F.lit(None).cast("int").alias("par"))
+    # the latest source before each quote, by a running maximum over both; at equal turns, quotes come first
+    both = quoted.withColumn("source", F.lit(False)).unionByName(sources.withColumn("source", F.lit(True)))
+    before = Window.partitionBy(*key, "piece").orderBy("turn", "source").rowsBetween(Window.unboundedPreceding, -1)
+    met = both.withColumn("parent", F.max(F.when(F.col("source"), F.col("turn"))).over(before)).filter("not source and parent is not null")
+    # what is found whole isn't looked for by its parts
+    best = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("parent")))
+    by_par = met.groupBy("conv", "turn", "run", "par").agg(best(0).alias("whole"), F.coalesce(best(1), best(2)).alias("part"))
+    by_run = by_par.groupBy("conv", "turn", "run").agg(F.coalesce(F.max("whole"), F.max("part")).alias("parent"))
+    return by_run.groupBy("conv", "turn").agg(F.max("parent").alias("parent"))
 
 
 def roots(links: DataFrame, max_rounds: int = 64) -> DataFrame:
