@@ -428,7 +428,7 @@ def fellegi_sunter_tf_customer(spark: SparkSession, d: str) -> DataFrame:
 def fellegi_sunter_em_customer(spark: SparkSession, d: str) -> DataFrame:
     kinds = {"c_mktsegment": "categorical", "bucket": "numeric"}
     df = _customers(spark, d)
-    model = score.fit_fellegi_sunter(df, "c_custkey", {"block": "identifier", **kinds}, max_pairs=200_000)
+    model = score.fit_fellegi_sunter(df, "c_custkey", {"block": "identifier", **kinds})
     found = pairs.blocked_pairs(df, "c_custkey", ["block"], list(kinds))
     return model.predict(score.add_gammas(found.withColumn("left_block", F.lit("")).withColumn("right_block", F.lit("")), C.comparison_plan({"block": "identifier", **kinds}))).select("left_id", "right_id", "match_weight", "score")
 

@@ -85,3 +85,11 @@ def test_purge_limit_against_brute_force(spark, seed):
     limit = next((b for a, b in reversed(list(zip(distinct, distinct[1:]))) if ratio(b) < 1.025 * ratio(a)), distinct[0])
     df = spark.createDataFrame([(i, t) for t, b in blocks.items() for i in b], "id long, token string")
     assert pairs.purge_limit(df) == limit
+
+
+def test_u_takes_the_operators_pairs(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, 2, "a", 3.0)], "c_custkey long, c_nationkey int, c_mktsegment string, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    asked, real = [], score.estimate_u
+    monkeypatch.setattr(score, "estimate_u", lambda records, record_id, plan, max_pairs: asked.append(max_pairs) or real(records, record_id, plan, max_pairs))
+    queries.queries()["fellegi_sunter_em_customer"](spark, str(tmp_path))
+    assert asked == [1_000_000]
