@@ -13,7 +13,8 @@ so their names may clash.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,24 +24,45 @@ from pyspark.sql import functions as F
 from kindred.llm.ngrams import buckets, code_points
 from kindred.llm.shared import held_out, map_arrow
 
-SIZES, BITS = (4, 5), 18
+SIZES, BITS = (3, 4, 5, 6), 18
 #: At most about so many labelled rows are learned from.
-SAMPLE = 6000
+SAMPLE = 8000
 THRESHOLD = 0.7
 
 
 def features(text: str | None, sizes: tuple[int, ...] = SIZES, bits: int = BITS) -> np.ndarray:
     """The distinct buckets of a text's n-grams, ascending."""
     found = np.zeros(1 << bits, bool)
-    found[buckets(code_points(text), sizes, bits)] = True
+    points = code_points(text)
+    for n in sizes:
+        found[buckets(points, (n,), bits)] = True
     return np.flatnonzero(found).astype(np.int32)
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Ascending buckets as compressed differences, a third of their size or less."""
+    return zlib.compress(np.diff(x, prepend=np.int32(0)).astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+class Packed(Sequence):
+    """Rows of buckets that stay packed until they are read."""
+
+    def __init__(self, rows: list[bytes]) -> None:
+        self.rows = rows
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        planes = np.frombuffer(zlib.decompress(self.rows[i]), np.uint8).reshape(4, -1)
+        return np.cumsum(np.ascontiguousarray(planes.T).view("<i4").ravel(), dtype=np.int32)
+
+
 def margins(rows: list[np.ndarray], w: np.ndarray) -> np.ndarray:
     return np.array([w[x].sum() / np.sqrt(max(len(x), 1)) for x in rows], np.float64)
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, rounds: int = 5, penalty: float = 1e-4, rate: float = 0.05, least: int = 3) -> tuple[np.ndarray, float]:
+def fit(rows: Sequence[np.ndarray], labels: np.ndarray, bits: int = BITS, rounds: int = 5, penalty: float = 1e-4, rate: float = 0.05, least: int = 3) -> tuple[np.ndarray, float]:
     """Weights (of unscaled features) and intercept.
 
     Features of fewer than `least` rows are left out. Every fourth row is kept from the regression and sets the slope
@@ -115,13 +137,13 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(2), pa.array([x.tobytes() for x in found], pa.binary())], names=["id", "label", "features"])
+            found = [packed(features(x.as_py())) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(2), pa.array(found, pa.binary())], names=["id", "label", "features"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns))]
         rows.sort()
-        w, bias = fit([np.frombuffer(x, np.int32) for _, _, x in rows], np.array([y for _, y, _ in rows], np.int64))
+        w, bias = fit(Packed([x for _, _, x in rows]), np.array([y for _, y, _ in rows], np.int64))
         yield pa.RecordBatch.from_pydict({"weights": [w.astype("<f4").tobytes()], "bias": [bias]})
 
     found = map_arrow(texts.select("id", "text", "label"), extract, "id string, label int, features binary")
@@ -138,7 +160,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], doc_id: str = "doc_i
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, bias = shared.value
         for batch in batches:
-            values = [w[x].sum(dtype=np.float64) / np.sqrt(max(len(x), 1)) + bias for x in map(features, batch.column(1).to_pylist())]
+            values = [w[x].sum(dtype=np.float64) / np.sqrt(max(len(x), 1)) + bias for x in (features(t.as_py()) for t in batch.column(1))]
             scores = 1 / (1 + np.exp(-np.clip(np.array(values, np.float64), -500, 500)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(scores)], names=inner)
 
