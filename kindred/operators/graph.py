@@ -2,25 +2,16 @@
 
 In each round every node points at the neighbour (or itself) with the smallest hash; edges are then drawn between the
 nodes pointed at, without loops and repeats. A constant share of nodes goes in each round, so rounds grow with the
-logarithm of the graph, even for long chains. Rounds are written to the shared checkpoint folder, which cuts lineage.
+logarithm of the graph, even for long chains. Rounds are written to the shared folder, which cuts lineage, and are deleted
+when the components are.
 """
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and "local" not in context.master:
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="kindred-"))
-    return df.checkpoint()
+from kindred.storage import drop_tables, written
 
 
 def connected_components(edges: DataFrame, left: str = "left_id", right: str = "right_id", max_rounds: int = 100) -> DataFrame:
@@ -28,7 +19,7 @@ def connected_components(edges: DataFrame, left: str = "left_id", right: str = "
 
     Ids must be integers or strings; edges with a null end are left out, and loops make their node a component.
     """
-    pairs = checkpointed(edges.select(F.col(left).alias("a"), F.col(right).alias("b")).filter("a is not null and b is not null").distinct())
+    pairs = written(edges.select(F.col(left).alias("a"), F.col(right).alias("b")).filter("a is not null and b is not null").distinct(), "edges")
     live = pairs.filter("a <> b")
     trees: list[DataFrame] = []
     for number in range(max_rounds):
@@ -37,21 +28,28 @@ def connected_components(edges: DataFrame, left: str = "left_id", right: str = "
         order = lambda c: F.struct(F.xxhash64(c, F.lit(number)).alias("h"), F.col(c).alias("n"))  # noqa: B023, E731
         both = live.select("a", order("b").alias("to")).union(live.select(F.col("b").alias("a"), order("a").alias("to")))
         least = both.groupBy("a").agg(F.min("to").alias("to"))
-        tree = checkpointed(least.select(F.col("a").alias("node"), F.least(order("a"), F.col("to"))["n"].alias("up")))
+        tree = written(least.select(F.col("a").alias("node"), F.least(order("a"), F.col("to"))["n"].alias("up")), "tree")
         trees.append(tree)
         first = live.join(tree, live["a"] == tree["node"]).select(F.col("up").alias("a"), "b")
         second = first.join(tree, first["b"] == tree["node"]).select("a", F.col("up").alias("b"))
-        live = checkpointed(second.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        before = live
+        live = written(second.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        if number:
+            drop_tables(before)
     else:
         raise RuntimeError(f"components did not converge in {max_rounds} rounds")
     alone = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().select("node", F.col("node").alias("root"))
     if not trees:
-        return alone
+        found = written(alone, "components")
+        drop_tables(pairs)
+        return found
     labels = trees[-1].select("node", F.col("up").alias("root"))
     for tree in reversed(trees[:-1]):
         deeper = labels.withColumnRenamed("node", "up")
         labels = tree.join(deeper, "up", "left").select("node", F.coalesce("root", "up").alias("root"))
-    return alone.join(labels.withColumnRenamed("root", "found"), "node", "left").select("node", F.coalesce("found", "root").alias("root"))
+    found = written(alone.join(labels.withColumnRenamed("root", "found"), "node", "left").select("node", F.coalesce("found", "root").alias("root")), "components")
+    drop_tables(pairs, live, *trees)
+    return found
 
 
 def component_labels(nodes: DataFrame, edges: DataFrame, node_id: str = "record_id", left: str = "left_id", right: str = "right_id") -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.operators.graph import checkpointed
+from kindred.storage import written
 
 
 def with_target(pairs: DataFrame, entity: str = "entity_id") -> DataFrame:
@@ -33,7 +33,7 @@ def cumulative(counts: DataFrame) -> DataFrame:
     what the parts before it hold is added from a small table.
     """
     order = F.col("score").desc()
-    dealt = checkpointed(counts.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()))
+    dealt = written(counts.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()), "cumulative")
     sums = dealt.groupBy("_part").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))  # a row for each part
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     carried = sums.select("_part", F.coalesce(F.sum("_p").over(before), F.lit(0)).alias("_tp"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_fp"))
@@ -124,7 +124,7 @@ def evaluate(name: str, records: DataFrame, record_id: str, entity: str, scored:
     """
     from kindred.operators.graph import component_labels
 
-    scored = checkpointed(scored.select("left_id", "right_id", "score", "target"))  # several aggregations read it
+    scored = written(scored.select("left_id", "right_id", "score", "target"), "scored")  # several aggregations read it
     size = records.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(entity).alias("e")).first()
     found = scored.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("target"), F.lit(0)).alias("p")).first()
     true_pairs = true_pair_count(records, entity).first()[0] if all_pairs else found["p"]

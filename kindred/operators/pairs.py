@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.operators.graph import checkpointed
+from kindred.storage import written
 
 #: All-pairs scopes raise beyond so many pairs.
 MAX_PAIRS = 500_000_000
@@ -164,7 +164,7 @@ def block_pairs(blocks: DataFrame) -> DataFrame:
 
 def weighted_edge_pruning(pairs: DataFrame) -> DataFrame:
     """Pairs whose weight is the mean or more."""
-    pairs = checkpointed(pairs)  # read for the mean and for the pairs
+    pairs = written(pairs, "block-pairs")  # read for the mean and for the pairs
     mean = pairs.agg(F.avg("weight").alias("_mean"))
     return pairs.crossJoin(F.broadcast(mean)).filter("weight >= _mean").drop("_mean")  # one row
 
@@ -196,7 +196,7 @@ def tfidf_neighbours(left: DataFrame, right: DataFrame, left_id: str, left_text:
     share no n-gram are no candidates.
     """
     grams = lambda df, i, t: df.select(F.col(i).alias("id"), F.explode(char_grams(F.col(t), sizes)).alias("gram")).groupBy("id", "gram").agg(F.count(F.lit(1)).alias("tf"))
-    r = checkpointed(grams(right, right_id, right_text))  # read for the frequencies and for the weights
+    r = written(grams(right, right_id, right_text), "grams")  # read for the frequencies and for the weights
     n = right.select(F.count(F.lit(1)).alias("n"))
     idf = r.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 

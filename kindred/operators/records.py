@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindred.functions import text as X
-from kindred.operators.graph import checkpointed
+from kindred.storage import written
 
 FIELD_TYPES = ("text", "categorical", "numeric", "date", "identifier", "email", "phone")
 
@@ -20,10 +20,10 @@ IDENTIFIER_NAMES = frozenset({"id", "identifier", "customer_id", "account_id", "
 def with_positions(df: DataFrame, order_by: str | list[str], name: str = "pos") -> DataFrame:
     """Number rows from 0 in the order of columns, by a global sort and the counts of its parts (no single-task window).
 
-    The sorted rows are checkpointed, as their parts are read twice.
+    The sorted rows are written, as their parts are read twice.
     """
     keys = [order_by] if isinstance(order_by, str) else list(order_by)
-    dealt = checkpointed(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_row", F.monotonically_increasing_id()))
+    dealt = written(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_row", F.monotonically_increasing_id()), "positions")
     part = F.shiftright("_row", 33)
     sizes = sorted((r["p"], r["n"]) for r in dealt.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each part
     starts, before = {}, 0

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions import compare as C
 from kindred.functions.text import sigmoid
-from kindred.operators.graph import checkpointed
+from kindred.storage import written
 
 
 class PairScorer(Protocol):
@@ -213,7 +213,7 @@ def fit_fellegi_sunter(records: DataFrame, record_id: str, field_types: Mapping[
             if c != rule and model.history:
                 estimates[c].append(model.m[c])
     default = lambda c: [0.1 / (len(u[c]) - 1)] * (len(u[c]) - 1) + [0.9]
-    frequencies = {c: checkpointed(term_frequencies(records, c)) for c, kind in field_types.items() if kind == "categorical"}
+    frequencies = {c: written(term_frequencies(records, c), "term-frequencies") for c, kind in field_types.items() if kind == "categorical"}
     return FellegiSunter({c: np.mean(e, axis=0).tolist() if e else default(c) for c, e in estimates.items()}, u, prior, frequencies=frequencies)
 
 
