@@ -2,19 +2,23 @@
 
 Texts become L2-normalised TF-IDF vectors of hashed character n-grams. Document frequencies come from all texts with
 a known language (and outside the held-out fold); centroids come from spherical k-means on a bounded sample of each
-language, `sample` texts or fewer, chosen by a hash of their id: that bound is this classifier's parameter. A text gets
-the language of the centroid with the largest cosine, and is marked as rejected if that cosine is below what the
-`quantile` lowest of the language's own sample reach.
+language, about `sample` texts or fewer, chosen by a hash of id and text: that bound is this classifier's parameter. A
+text gets the language of the centroid with the largest cosine, and is marked as rejected if that cosine is below what
+the `quantile` lowest of the language's own sample reach.
 
 Definitions for odd input: null texts and texts without a letter get `und` and score 0; a text whose n-grams were
-never seen gets the first language in order, score 0, rejected; with nothing to learn from every language is `und`;
-rows with equal ids are judged each on its own; columns besides those named are not read, so their names may clash.
+never seen gets the first language in order, score 0, rejected; of equal cosines the first centroid's language wins
+(languages in order); with nothing to learn from every language is `und`; rows without an id are learned from, equal
+rows once; rows with equal ids are judged each on its own; texts of any length are read whole, as counts of 2 ** BITS
+buckets; an empty table gives an empty result; columns besides those named are not read, so their names may clash.
+The model grows with the number of languages (128 KB each), not with the corpus.
 """
 
 from __future__ import annotations
 
 import pickle
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.ngrams import buckets, code_points
-from kindred.llm.shared import held_out, map_arrow
+from kindred.llm.shared import add_arrow, held_out, map_arrow
 
 SIZES, BITS = (1, 2, 3), 13
 CENTROIDS = 4
@@ -72,29 +76,27 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
         known = known.filter(~F.coalesce(held_out("id"), F.lit(False)))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(1 << BITS, np.int64), 0
+        total, n = np.zeros(1 << BITS, np.int64), Counter()
         for batch in batches:
-            for value in batch.column(0).to_pylist():
-                total += counts(value) > 0
-                n += 1
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], names=["bucket", "n"])
-
-    # a row for each bucket and task, added up to a row for each bucket
-    rows = map_arrow(known.select("text"), frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    df = np.zeros(1 << BITS)
-    texts = 0
-    for r in rows:
-        if r["bucket"] < 0:
-            texts = r["n"]
+            n.update(batch.column(1).to_pylist())
+            for value in batch.column(0):
+                total += counts(value.as_py()) > 0
+        at, names = np.flatnonzero(total), sorted(n)
+        yield pa.RecordBatch.from_arrays([pa.array([None] * len(at) + names, pa.string()), pa.array([*at, *[-1] * len(names)], pa.int64()), pa.array([*total[at], *[n[x] for x in names]], pa.int64())], names=["lang", "bucket", "n"])
+
+    # a row for each bucket and language and task, added up to a row for each bucket and language
+    rows = map_arrow(known.select("text", "lang"), frequencies, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
+    df, sizes = np.zeros(1 << BITS), {}
+    for name, bucket, n in rows:
+        if name is None:
+            df[bucket] = n
         else:
-            df[r["bucket"]] = r["n"]
-    idf = np.where(df > 0, np.log((1 + texts) / (1 + df)) + 1, 0).astype(np.float32)
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row for each language
-    share = F.create_map(*[x for name, n in sizes.items() for x in (F.lit(name), F.lit(int(min(1.0, sample / n) * (1 << 20)) + 1))]) if sizes else None
-    if share is None:
+            sizes[name] = n
+    idf = np.where(df > 0, np.log((1 + sum(sizes.values())) / (1 + df)) + 1, 0).astype(np.float32)
+    if not sizes:
         return {"languages": [], "idf": idf, "means": np.zeros((0, 1 << BITS), np.float32), "of": np.zeros(0, int), "least": np.zeros(0)}
-    chosen = known.filter(F.pmod(F.xxhash64("id", F.lit(29)), F.lit(1 << 20)) < share[F.col("lang")])
+    share = F.create_map(*[x for name, n in sorted(sizes.items()) for x in (F.lit(name), F.lit(int(min(1.0, sample / n) * (1 << 20)) + 1))])
+    chosen = known.filter(F.pmod(F.xxhash64("id", "text", F.lit(29)), F.lit(1 << 20)) < share[F.col("lang")]).dropDuplicates(["lang", "id", "text"])
     given = known.sparkSession.sparkContext.broadcast(idf)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,15 +119,14 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
 def identify(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: its id, held_out, lang_pred, score (the cosine), rejected."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # languages x centroids x 32 KB, whatever the corpus
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x centroids x 32 KB, whatever the corpus
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
-        for batch in batches:
+        for array in arrays:
             names, scores, rejected = [], [], []
-            for at in range(0, len(batch), 256):
-                texts = batch.column(1).slice(at, 256).to_pylist()
+            for at in range(0, len(array), 256):
+                texts = array.slice(at, 256).to_pylist()
                 letters = [has_letter(t) and bool(m["languages"]) for t in texts]
                 if not any(letters):
                     cosines = np.zeros((len(texts), 1))
@@ -138,8 +139,8 @@ def identify(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "
                     names.append(m["languages"][lang] if known else "und")
                     scores.append(value)
                     rejected.append(not known or value < m["least"][lang] or value == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=["id", "lang_pred", "score", "rejected"])
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=["lang_pred", "score", "rejected"])
 
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
-    out = map_arrow(rows, work, f"id {docs.schema[doc_id].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
-    return out.select(F.col("id").alias(doc_id), F.coalesce(held_out("id"), F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+    out = add_arrow(rows, "found", work, "lang_pred string, score double, rejected boolean", F.col("text"))
+    return out.select(F.col("id").alias(doc_id), F.coalesce(held_out("id"), F.lit(False)).alias("held_out"), "found.lang_pred", "found.score", "found.rejected")

@@ -9,8 +9,9 @@ block are then dealt to step groups of about equal token counts and equal mixtur
 Each task packs its own rows in blocks of bounded size, so nothing is shuffled and no key can be hot. Sequence ids
 hold the task's number; they are unique, and the same whenever the table is split into tasks in the same way.
 
-Definitions for odd input: a null or empty text is a document of the end id alone; equal rows are packed each on its
-own; an empty table gives no pieces; other columns are not read.
+Definitions for odd input: a null or empty text is a document of the end id alone; equal rows, and rows with equal or
+null ids, are packed each on its own; pieces of equal length are packed in any order; a text of any length is encoded
+whole and cut into windows; an empty table gives no pieces; other columns are not read, so their names may clash.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.shared import map_arrow
+from kindred.llm.shared import map_arrow, slices
 from kindred.llm.tokens import default_path, encoder
 
 TIERS = (2048, 1024, 512, 256)
@@ -151,8 +152,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
         names = None
         for batch in batches:
             names = batch.column(0).type
-            for at in range(0, len(batch), 500):
-                some = batch.slice(at, 500)
+            for some in slices(batch, 1):
                 for name, ids in zip(some.column(0).to_pylist(), encode(pa.concat_arrays([some.column(1)]), end)):
                     held[number] = (name, ids)
                     packer.add(number, len(ids))
@@ -166,4 +166,4 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
             packer.finish()
             yield emit(names)
 
-    return map_arrow(docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string")), work, f"id {kind}, {SCHEMA}").withColumnRenamed("id", doc_id)
+    return map_arrow(docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string")), work, f"id {kind}, {SCHEMA}", encodes=True).withColumnRenamed("id", doc_id)

@@ -8,22 +8,29 @@ such paragraphs, and the lines of those that aren't found among such lines. The
 from, and the message replies to the latest of those. Conversations are put in reply order: threads by their first message, messages of a thread by turn;
 quoted lines are left out of the text.
 
-Only DataFrame functions run. Hashes are part of every join and shuffle key, so one conversation can't make a task
-large; places within a conversation come from a global sort and a prefix sum over its parts.
+Only DataFrame functions run. Quotes and sources of a passage meet in a running maximum by turn, never in pairs. Hashes
+are part of every join and shuffle key, and the turns of one passage are cut into slots of SLOT, so that neither a
+conversation nor a passage that is quoted all the time makes a task large: a slot starts with the latest source before it.
+Places within a conversation come from a global sort and a prefix sum over its parts.
 
 Definitions for odd input: a null text has no passages and becomes an empty one; a null conversation or turn links to
 nothing, and its rows are threads of their own; rows that repeat a conversation and turn are messages of the same
-place, each given back; blank passages link to nothing; without quotes every message begins a thread; an empty table
-gives an empty result; other columns are not read, so their names may clash.
+place, each given back; of equal rows the place is any; blank passages link to nothing; without quotes every message
+begins a thread; texts of any length are read whole; an empty table gives an empty result; other columns are not read,
+so their names may clash.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kindred.llm.shared import written
 
+#: Turns that are looked through together, where turns are numbers.
+SLOT = 1024
+
 _MARKS = "^[ \\t]*((?:>[ \\t]*)+)"
 
 
@@ -74,10 +81,17 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: s
     # quotes are written first: where there are few, their keys are sent to the sources, which then aren't shuffled
     quoted = written(found.filter("level > 0").withColumn("level", F.col("level") - 1), "quotes")
     sources = found.join(quoted.select(*key).distinct(), key, "left_semi").groupBy(*key, "piece", "turn").agg(F.lit(None).cast("int").alias("run"), F.lit(None).cast("int").alias("par"))
+    slot = F.floor(F.col("turn") / SLOT).cast("long") if isinstance(messages.schema[turn].dataType, T.NumericType) else F.lit(0).cast("long")
+    both = written(quoted.withColumn("source", F.lit(False)).unionByName(sources.withColumn("source", F.lit(True))).withColumn("slot", slot), "quotes-and-sources")
+    key = [*key, "piece"]
+    # the latest source before each slot goes into the slot
+    last = both.groupBy(*key, "slot").agg(F.max(F.when(F.col("source"), F.col("turn"))).alias("last"))
+    earlier = Window.partitionBy(*key).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.withColumn("turn", F.max("last").over(earlier)).filter("turn is not null").withColumn("source", F.lit(True)).drop("last")
+    rows = both.unionByName(carried, allowMissingColumns=True)
     # the latest source before each quote, by a running maximum over both; at equal turns, quotes come first
-    both = quoted.withColumn("source", F.lit(False)).unionByName(sources.withColumn("source", F.lit(True)))
-    before = Window.partitionBy(*key, "piece").orderBy("turn", "source").rowsBetween(Window.unboundedPreceding, -1)
-    met = both.withColumn("parent", F.max(F.when(F.col("source"), F.col("turn"))).over(before)).filter("not source and parent is not null")
+    before = Window.partitionBy(*key, "slot").orderBy("turn", "source").rowsBetween(Window.unboundedPreceding, -1)
+    met = rows.withColumn("parent", F.max(F.when(F.col("source"), F.col("turn"))).over(before)).filter("not source and parent is not null")
     # what is found whole isn't looked for by its parts
     best = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("parent")))
     by_par = met.groupBy("conv", "turn", "run", "par").agg(best(0).alias("whole"), F.coalesce(best(1), best(2)).alias("part"))

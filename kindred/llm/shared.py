@@ -1,59 +1,28 @@
-"""Helpers that all operators of this subpackage use: shared folders, shipping, Arrow columns, heavy keys."""
+"""Helpers that all operators of this subpackage use: shipping, Arrow functions, memory of workers, heavy keys."""
 
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import os
+import sys
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
-#: A key is heavy if it holds more than one row in so many; there can be no more heavy keys than that.
-HEAVY_SHARE = 1000
-#: So many ways the rows of a heavy key are dealt.
-SALTS = 64
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir.
-
-    Only a local session may go without that setting; it then gets a temporary folder.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith(("local[", "local")) or "cluster" in spark.sparkContext.master:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    current = spark.sparkContext.getCheckpointDir()
-    if not current:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kindred-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current.rstrip("/")
-
+from kindred.storage import drop_tables, scratch, written
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/kindred-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+__all__ = ["add_arrow", "drop_tables", "held_out", "lookup", "map_arrow", "raw", "scratch", "ship", "slices", "written"]
 
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete what an operator no longer needs."""
-    with contextlib.suppress(Exception):
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, read from a table written to the shared folder: lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: A key is heavy if it holds more than one row in so many; there can be no more heavy keys than that.
+HEAVY_SHARE = 1000
 
 
 _shipped: dict[str, bool] = {}
@@ -76,19 +45,66 @@ def ship(spark: SparkSession) -> None:
     _shipped[app] = True
 
 
-def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def _free() -> None:
+    """Give a worker's unused memory back to the system: it lives on for other tasks, beside its executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(Exception):  # other C libraries have no such function
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def _tidied(work: Callable[[Iterator], Iterator], encodes: bool) -> Callable[[Iterator], Iterator]:
+    """The same work; before it, the token encoder's memory of words goes if the work has no use for it."""
+
+    def run(batches: Iterator) -> Iterator:
+        if not encodes and (tokens := sys.modules.get("kindred.llm.tokens")):
+            tokens.forget()
+        yield from work(batches)
+        _free()
+
+    return run
+
+
+def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, encodes: bool = False) -> DataFrame:
+    """mapInArrow; encodes: the work uses a token encoder."""
+    ship(df.sparkSession)
+    return df.mapInArrow(_tidied(work, encodes), schema)
+
+
+def add_arrow(df: DataFrame, name: str, work: Callable[[Iterator[pa.Array]], Iterator[pa.Array]], schema: str, column: Column) -> DataFrame:
+    """Add what work makes of a column. Only that column goes to Python and only the result comes back; the rows wait in the JVM.
+
+    It is marked as not deterministic, so that the optimiser evaluates it once however often the result is used.
+    """
     ship(df.sparkSession)
-    return df.mapInArrow(work, schema)
+    run = _tidied(work, False)
+
+    def made(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from run(arrays)
+
+    return df.withColumn(name, arrow_udf(made, schema).asNondeterministic()(column))
+
+
+def slices(batch: pa.RecordBatch, column: int, rows: int = 500, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of so many rows, and of about so many bytes of a text column, or a row."""
+    texts = batch.column(column)
+    if not len(texts):
+        return
+    ends = pc.cumulative_sum(pc.binary_length(texts).fill_null(0).cast(pa.int64())).to_numpy()
+    at, before = 0, 0
+    while at < len(batch):
+        stop = min(max(int(np.searchsorted(ends, before + size, "right")), at + 1), at + rows, len(batch))
+        yield batch.slice(at, stop - at)
+        at, before = stop, int(ends[stop - 1])
 
 
-def raw(column: pa.Array) -> list[bytes | None]:
-    """Strings as UTF-8 bytes, without decoding."""
+def raw(column: pa.Array) -> Iterator[bytes | None]:
+    """Strings as UTF-8 bytes, without decoding, one at a time."""
     kind = column.type
     if pa.types.is_large_string(kind):
         column = column.cast(pa.large_binary())
     elif pa.types.is_string(kind):
         column = column.cast(pa.binary())
-    return column.to_pylist()
+    return (x.as_py() for x in column)
 
 
 def held_out(id_column: str | Column) -> Column:
@@ -96,16 +112,14 @@ def held_out(id_column: str | Column) -> Column:
     return F.crc32(F.col(id_column).cast("string") if isinstance(id_column, str) else id_column.cast("string")) % 3 == 1
 
 
-def salted_lookup(rows: DataFrame, table: DataFrame, key: str, size: str, total: int, how: str = "left") -> DataFrame:
-    """Join rows with a table of one row per key, dealing the rows of heavy keys over SALTS partitions.
+def lookup(rows: DataFrame, table: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Left join of rows with a table of one row per key; rows of heavy keys stay where they are.
 
     size: the table's column with the number of rows that have the key; total: all rows. A heavy key has more
-    than total / HEAVY_SHARE rows, so there are fewer than HEAVY_SHARE of them and their broadcast is bounded.
+    than total / HEAVY_SHARE rows, so there are fewer than HEAVY_SHARE of them: their part of the table is sent to all
+    tasks, and only the other rows, of keys that no task finds too large, are shuffled. Rows are read twice.
     """
-    heavy = table.filter(F.col(size) > F.lit(max(1000, total // HEAVY_SHARE))).select(F.col(key).alias("_heavy"))
-    dealt = rows.join(F.broadcast(heavy), rows[key] == F.col("_heavy"), "left").withColumn(
-        "_salt", F.when(F.col("_heavy").isNotNull(), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).otherwise(0)
-    )
-    wide = F.when(F.col(size) > F.lit(max(1000, total // HEAVY_SHARE)), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    many = table.withColumn("_salt", F.explode(wide))
-    return dealt.drop("_heavy").join(many, [key, "_salt"], how).drop("_salt")
+    heavy = F.col(size) > F.lit(max(1000, total // HEAVY_SHARE))
+    large = F.broadcast(table.filter(heavy))
+    light = rows.join(large.select(key), key, "left_anti").join(table.filter(~heavy), key, "left")
+    return rows.join(large, key).select(*light.columns).unionByName(light)

@@ -1,36 +1,57 @@
 """SimHash near-duplicates by anchor-point covering.
 
-A fingerprint's 64 bits are split into three blocks of 22, 21 and 21. If two fingerprints differ in four bits or
-fewer, then in some block they differ in one bit at most. In each block, anchors are the words of a covering code with
-radius 1: the perfect Hamming code of 15 bits, times all words of the 7 or 6 bits that remain. A fingerprint's home is
-its nearest anchor, and it also visits every anchor within the covering radius plus the block's threshold (2). So the
-homes of an anchor meet all visitors that may be linked to them there, and are compared by whole fingerprints. (A
-covering code of all 64 bits at once would need over 100,000 anchors for each fingerprint, or anchors so few that most
-fingerprints share one.) Equal fingerprints are one node. An anchor that many call home is dealt over several tasks:
-its homes in chunks, its visitors sent to each. Tasks report only a spanning forest of the links they find.
+A fingerprint's 64 bits are split into blocks. With three blocks (of 22, 21 and 21 bits), two fingerprints that differ
+in four bits or fewer differ in one bit at most in some block; with two blocks of 32, in two at most. In each block,
+anchors are the words of a covering code with radius 1: the perfect Hamming code of 15 (or 31) bits, times all words of
+the bits that remain. A fingerprint's home is its nearest anchor, and it also visits every anchor within the covering
+radius plus the block's threshold. So the homes of an anchor meet all visitors that may be linked to them there, and are
+compared by whole fingerprints: either layout finds every link. (A covering code of all 64 bits at once would need over
+100,000 anchors for each fingerprint, or anchors so few that most fingerprints share one.)
+
+The coarse layout has 5 * 2 ** 17 anchors and 45 visits a fingerprint, the fine one 2 ** 28 and 342. Comparisons grow with
+visits times fingerprints by anchors; from FINE distinct fingerprints on, the fine layout's are fewer by a factor of 60
+and worth its visits.
+
+Equal fingerprints are one node. An anchor that more than CHUNK call home is dealt over several tasks: its homes in
+chunks of about that size, its visitors sent to each. A task holds the homes of an anchor while its visitors stream by,
+and reports only a spanning forest of the links it finds.
 
 Definitions for odd input: null and empty texts have the fingerprint zero, linked like any other; a text of fewer
 words than a shingle is one shingle; rows with a null id are left out of components and get none; rows with equal ids
-count as one document each with its own fingerprint; an empty table gives an empty result; other columns are not read.
+count as one document each with its own fingerprint; texts of any length are read whole; an empty table gives an empty
+result; other columns are not read, so their names may clash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.shared import HEAVY_SHARE, map_arrow, raw, salted_lookup, written
+from kindred.llm.shared import add_arrow, drop_tables, lookup, map_arrow, raw, written
 from kindred.operators.graph import connected_components
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: Lowest bit and width of each block.
-BLOCKS = ((0, 22), (22, 21), (43, 21))
-#: Homes of an anchor that one task compares.
-CHUNK = 2048
+
+
+class Layout(NamedTuple):
+    """Lowest bit and width of each block, bits of the Hamming code in each, and how far anchors are visited."""
+
+    blocks: tuple[tuple[int, int], ...]
+    code: int
+    reach: int
+
+
+COARSE, FINE_LAYOUT = Layout(((0, 22), (22, 21), (43, 21)), 15, 2), Layout(((0, 32), (32, 32)), 31, 3)
+#: Distinct fingerprints from which the fine layout costs less.
+FINE = 1 << 26
+#: Homes of an anchor that are compared together, and rows that a task holds besides.
+CHUNK, HELD = 2048, 500_000
 
 
 def fingerprint(text: bytes | None, words: int = 4) -> int:
@@ -59,52 +80,54 @@ def fingerprint(text: bytes | None, words: int = 4) -> int:
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:
     """The id and fp, a fingerprint as a signed long."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.array([fingerprint(x, words) for x in raw(batch.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["id", "fp"])
+    def work(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in arrays:
+            yield pa.array(np.fromiter((fingerprint(x, words) for x in raw(texts)), np.uint64, len(texts)).view(np.int64))
 
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
-    return map_arrow(rows, work, f"id {docs.schema[doc_id].dataType.simpleString()}, fp long").withColumnRenamed("id", doc_id)
+    return add_arrow(rows, "fp", work, "long", F.col("text")).select(F.col("id").alias(doc_id), "fp")
 
 
-def _syndromes(values: np.ndarray) -> np.ndarray:
-    """The Hamming syndrome of the low 15 bits: the exclusive or of the places (1 to 15) of set bits."""
-    table = np.zeros(1 << 15, np.uint8)
-    every = np.arange(1 << 15)
-    for place in range(15):
-        table ^= (((every >> place) & 1) * (place + 1)).astype(np.uint8)
-    return table[values & 0x7FFF]
+def _syndromes(values: np.ndarray, code: int) -> np.ndarray:
+    """The Hamming syndrome of the low bits: the exclusive or of the places (from 1) of set bits."""
+    s = np.zeros(len(values), np.int64)
+    for place in range(code):
+        s ^= ((values >> place) & 1) * (place + 1)
+    return s
 
 
-def homes(values: np.ndarray) -> np.ndarray:
+def homes(values: np.ndarray, code: int) -> np.ndarray:
     """The nearest codeword of block values: at distance 0 or 1."""
-    s = _syndromes(values).astype(np.int64)
+    s = _syndromes(values, code)
     return np.where(s > 0, values ^ (1 << np.maximum(s - 1, 0)), values)
 
 
-def anchors_within(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """All codewords at distance 2 or less: (row, codeword), each once.
+def anchors_within(values: np.ndarray, width: int, code: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """All codewords at distance `reach` (3 at most) or less: (row, codeword), each once.
 
-    At 0 or 1 from the low bits' home that is the home itself and its neighbours in the free bits; others are at 2,
-    two low bits away whose places have the syndrome as their exclusive or.
+    Flipped bits are some of the code's, whose places have the syndrome as their exclusive or, and some of the others.
     """
-    s = _syndromes(values).astype(np.int64)
-    row = np.arange(len(values))
-    rows, words = [row], [homes(values)]
-    for bit in range(15, width):  # one free bit more; with one low bit to mend that makes 2
-        rows.append(row)
-        words.append(homes(values) ^ (1 << bit))
-    exact = np.flatnonzero(s == 0)
-    for a in range(15, width):
-        for b in range(a + 1, width):
-            rows.append(exact)
-            words.append(values[exact] ^ ((1 << a) | (1 << b)))
-    for a in range(1, 16):
-        b = a ^ s  # flipping places a and b mends the syndrome
-        good = np.flatnonzero((s > 0) & (b > a))
-        rows.append(good)
-        words.append(values[good] ^ (1 << (a - 1)) ^ (1 << (b[good] - 1)))
+    s = _syndromes(values, code)
+    every = np.arange(len(values))
+    # flips in the code's bits, by their number: rows and what is flipped
+    low: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(4)]
+    exact, other = every[s == 0], every[s > 0]
+    low[0].append((exact, np.zeros(len(exact), np.int64)))
+    low[1].append((other, 1 << (s[other] - 1)))
+    for fixed in (1, 2) if reach > 2 else (1,):
+        for places in combinations(range(1, code + 1), fixed):
+            last = s.copy()
+            for p in places:
+                last ^= p
+            good = every[(last > places[-1]) & (last <= code)]
+            low[fixed + 1].append((good, sum(1 << (p - 1) for p in places) | (1 << (last[good] - 1))))
+    rows, words = [], []
+    for n, found in enumerate(low[: reach + 1]):
+        row, flip = np.concatenate([x for x, _ in found] or [every[:0]]), np.concatenate([x for _, x in found] or [every[:0]])
+        for m in range(reach - n + 1):
+            for bits in combinations(range(code, width), m):
+                rows.append(row)
+                words.append(values[row] ^ flip ^ sum(1 << b for b in bits))
     return np.concatenate(rows), np.concatenate(words)
 
 
@@ -146,92 +169,97 @@ def _spanning(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(names[some].tolist(), names[label[some]].tolist()))
 
 
-def links(prints: DataFrame, most: int = 4) -> DataFrame:
+def _blocks(fp: np.ndarray, layout: Layout) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Number, width and values of each block."""
+    for k, (low, width) in enumerate(layout.blocks):
+        yield k << 40, width, ((fp >> np.uint64(low)) & np.uint64((1 << width) - 1)).astype(np.int64)
+
+
+def links(prints: DataFrame, most: int = 4, layout: Layout | None = None) -> DataFrame:
     """Links (left_id, right_id) between distinct fingerprints (column fp) that connect all that differ in `most` bits or fewer."""
     if most != 4:
         raise ValueError("the anchors are laid out for 4 bits")
+    layout = layout or (COARSE if prints.count() < FINE else FINE_LAYOUT)
 
     def own_homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = batch.column(0).to_numpy().view(np.uint64)
-            for k, (low, width) in enumerate(BLOCKS):
-                values = ((fp >> np.uint64(low)) & np.uint64((1 << width) - 1)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(homes(values) | (k << 32)), batch.column(0)], names=["anchor", "fp"])
-
-    at_home = map_arrow(prints.select("fp"), own_homes, "anchor long, fp long")
-    total = 3 * prints.count()
-    # anchors that many call home: fewer than HEAVY_SHARE, each dealt over chunks of its homes
-    many = at_home.groupBy("anchor").count().filter(F.col("count") > max(CHUNK, total // HEAVY_SHARE))
-    crowded = {r["anchor"]: -(-r["count"] // CHUNK) for r in many.collect()}
-    shared = prints.sparkSession.sparkContext.broadcast(crowded)
+            for k, _, values in _blocks(batch.column(0).to_numpy().view(np.uint64), layout):
+                yield pa.RecordBatch.from_arrays([pa.array(homes(values, layout.code) | k)], names=["anchor"])
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = np.array(sorted(shared.value), np.int64)
-        chunks = np.array([shared.value[a] for a in sorted(shared.value)], np.int64)
+        for batch in batches:
+            for start in range(0, len(batch), 5_000):
+                signed = batch.column(0).slice(start, 5_000).to_numpy()
+                for k, width, values in _blocks(signed.view(np.uint64), layout):
+                    home = homes(values, layout.code)
+                    row, anchor = anchors_within(values, width, layout.code, layout.reach)
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor | k), pa.array(signed[row]), pa.array(anchor == home[row])], names=["anchor", "fp", "home"])
+
+    at_home = map_arrow(prints.select("fp"), own_homes, "anchor long")
+    # an anchor that many call home has chunks; its homes go to one each, visitors (and those homes again, as such) to all
+    crowded = written(at_home.groupBy("anchor").count().filter(F.col("count") > CHUNK).select("anchor", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks")), "crowded-anchors")
+    visits = map_arrow(prints.select("fp"), visit, "anchor long, fp long, home boolean")
+    if crowded.isEmpty():
+        dealt, key = visits, ["anchor"]
+    else:
+        n = F.coalesce("chunks", F.lit(1))
+        joined = visits.join(crowded, "anchor", "left").withColumn("chunk", F.explode(F.sequence(F.lit(0), n - 1)))
+        dealt, key = joined.select("anchor", "fp", (F.col("home") & (F.pmod(F.xxhash64("fp"), n) == F.col("chunk"))).alias("home"), "chunk"), ["anchor", "chunk"]
+    sent = dealt.repartition(*key).sortWithinPartitions(*key, F.col("home").desc())
+    chunk = F.col("chunk") if "chunk" in key else F.lit(0)
+    return map_arrow(sent.select("anchor", "fp", "home", chunk.alias("chunk")), _compare(most), "left_id long, right_id long")
 
-        def chunk_counts(anchor: np.ndarray) -> np.ndarray:
-            if not len(hot):
-                return np.ones(len(anchor), np.int64)
-            at = np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)
-            return np.where(hot[at] == anchor, chunks[at], 1)
 
-        for batch in batches:
-            for start in range(0, len(batch), 20_000):
-                signed = batch.column(0).slice(start, 20_000).to_numpy()
-                fp = signed.view(np.uint64)
-                mixed = ((fp ^ (fp >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
-                for k, (low, width) in enumerate(BLOCKS):
-                    values = ((fp >> np.uint64(low)) & np.uint64((1 << width) - 1)).astype(np.int64)
-                    home = homes(values) | (k << 32)
-                    row, anchor = anchors_within(values, width)
-                    anchor = anchor | (k << 32)
-                    times = chunk_counts(anchor)
-                    # visitors go to every chunk of an anchor, homes to the one their hash names
-                    row, chunk = np.repeat(row, times), np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                    anchor = np.repeat(anchor, times)
-                    is_home = (anchor == home[row]) & (mixed[row] % np.repeat(times, times) == chunk)
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor | (chunk << 36)), pa.array(signed[row]), pa.array(is_home)], names=["anchor", "fp", "home"])
+def _compare(most: int):
+    """Links of homes and visitors that come sorted by anchor, chunk and homes first."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = _Forest()
-        found: list[tuple[int, int]] = []
 
-        def at_anchor(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray) -> None:
-            """Compare the homes and visitors of whole anchors, sorted by anchor."""
-            edges = np.flatnonzero(np.diff(anchor, prepend=anchor[0] - 1))
-            sizes = np.diff(edges, append=len(anchor))
-            group = np.repeat(np.arange(len(edges)), sizes)
+        def at_anchors(group: np.ndarray, fp: np.ndarray, home: np.ndarray) -> list[tuple[int, int]]:
+            """Compare each home with all rows of its group; groups are sorted numbers."""
+            found: list[tuple[int, int]] = []
+            edges = np.flatnonzero(np.diff(group, prepend=group[0] - 1))
+            sizes = np.diff(edges, append=len(group))
+            at_edge = np.repeat(np.arange(len(edges)), sizes)
             who = np.flatnonzero(home)
             at = 0
             while at < len(who):
-                costs = np.cumsum(sizes[group[who[at : at + 100_000]]])
-                stop = at + max(1, int(np.searchsorted(costs, 4_000_000)))
+                costs = np.cumsum(sizes[at_edge[who[at : at + 100_000]]])
+                stop = at + max(1, int(np.searchsorted(costs, 2_000_000)))
                 some = who[at:stop]
                 at = stop
-                times = sizes[group[some]]
+                times = sizes[at_edge[some]]
                 left = np.repeat(some, times)
-                right = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(edges[group[some]], times)
+                right = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(edges[at_edge[some]], times)
                 close = np.bitwise_count(fp[left] ^ fp[right]) <= most
                 close &= fp[left] != fp[right]
                 found.extend(e for e in _spanning(fp[left[close]], fp[right[close]]) if forest.join(*e))
+            return found
+
+        def linked(held: list[tuple[np.ndarray, ...]]) -> tuple[pa.RecordBatch, tuple[np.ndarray, ...]]:
+            """The links of what is held, and the homes of the last anchor, which may have more visitors."""
+            anchor, chunk, fp, home = (np.concatenate(x) for x in zip(*held))
+            group = np.cumsum((np.diff(anchor, prepend=anchor[0]) != 0) | (np.diff(chunk, prepend=chunk[0]) != 0))
+            pairs = np.array(at_anchors(group, fp, home), np.uint64).reshape(-1, 2).view(np.int64)
+            last = (group == group[-1]) & home
+            if len(forest.up) > 2 * HELD:  # what it forgets may only be reported again
+                forest.up.clear()
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["left_id", "right_id"]), tuple(x[last] for x in (anchor, chunk, fp, home))
 
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
         for batch in batches:
-            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False)))
+            held.append((batch.column(0).to_numpy(), batch.column(3).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False)))
             size += len(batch)
-            if size >= 500_000 and held[0][0][0] != held[-1][0][-1]:
-                whole = tuple(np.concatenate(x) for x in zip(*held))
-                cut = int(np.searchsorted(whole[0], whole[0][-1]))
-                at_anchor(*(x[:cut] for x in whole))
-                held, size = [tuple(x[cut:] for x in whole)], len(whole[0]) - cut
+            if size >= HELD:
+                out, rest = linked(held)
+                held, size = [rest], len(rest[0])
+                yield out
         if size:
-            at_anchor(*(np.concatenate(x) for x in zip(*held)))
-        pairs = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["left_id", "right_id"])
+            yield linked(held)[0]
 
-    visits = map_arrow(prints.select("fp"), visit, "anchor long, fp long, home boolean")
-    return map_arrow(visits.repartition("anchor").sortWithinPartitions("anchor"), compare, "left_id long, right_id long")
+    return compare
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:
@@ -243,5 +271,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     named = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))
     table = written(named.join(least, "root").select("fp", "rows", "component"), "components")
-    out = salted_lookup(rows, table, "fp", "rows", rows.count())
+    drop_tables(prints, linked, roots)
+    out = lookup(rows, table, "fp", "rows", rows.count())
     return out.select(F.col("id").alias(doc_id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("id").isNotNull(), F.col("component")).alias("component_id"))

@@ -11,9 +11,10 @@ An id takes the fewest bits that hold the vocabulary. A file:
 So ids i to j are found by reading whole blocks, unpacked by numpy 64 ids abreast. Files hold documents in ascending
 order of ids, file after file; the folder's list of files is returned by write() with the ids before each.
 
-Definitions for odd input: a null or empty text is a document of the end id alone; a null document id is stored as the
-smallest int64 and comes first; rows with equal ids keep the order of their texts; an empty table gives no files;
-other columns are not read.
+Definitions for odd input: a null or empty text is a document of the end id alone; ids must be integers, and the
+smallest int64 isn't allowed: a null document id is stored as that, and comes first; rows with equal ids are in the order
+of their texts' hashes, so that not even a single id makes a file or a task large; equal rows are in any order; a text of
+any length is encoded whole; an empty table gives no files; other columns are not read, so their names may clash.
 """
 
 from __future__ import annotations
@@ -29,9 +30,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kindred.llm.files import open_fs
-from kindred.llm.shared import map_arrow, scratch
+from kindred.llm.shared import map_arrow, scratch, slices
 from kindred.llm.tokens import default_path, encoder
 
 MAGIC = b"KTB1"
@@ -87,6 +89,8 @@ class PackedWriter:
         stream.write(b"\0" * 20)
 
     def add(self, name: int | None, ids: np.ndarray) -> None:
+        if name == NULL_ID:
+            raise ValueError(f"the document id {NULL_ID} stands for null")
         self.names.append(NULL_ID if name is None else name)
         self.starts.append(self.starts[-1] + len(ids))
         self.waiting.append(ids)
@@ -163,8 +167,7 @@ def write(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "tex
         encode = encoder(tokenizer)
         task = TaskContext.get().partitionId()
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                some = batch.slice(at, 500)
+            for some in slices(batch, 1):
                 if writer is None:
                     path = f"{folder}/part-{task:06d}-{uuid.uuid4().hex[:8]}.ktb"
                     system, place = open_fs(path)
@@ -176,9 +179,13 @@ def write(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "tex
             writer.close()
             yield pa.RecordBatch.from_pydict({"task": [task], "path": [path], "documents": [len(writer.names)], "ids": [writer.starts[-1]]})
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    dealt = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
-    found = map_arrow(dealt, work, "task long, path string, documents long, ids long").collect()  # a row for each file
+    if not isinstance(docs.schema[doc_id].dataType, T.IntegralType):
+        raise ValueError(f"document ids must be integers: {doc_id}")
+    value = F.col(text).cast("string")
+    # places tell rows apart that are equal in id and text; they are of the table as it is read, so a task's second attempt has the same
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), value.alias("text"), F.xxhash64(value).alias("hash"), F.monotonically_increasing_id().alias("place"))
+    dealt = rows.repartitionByRange("id", "hash", "place").sortWithinPartitions("id", "hash", "place").select("id", "text")
+    found = map_arrow(dealt, work, "task long, path string, documents long, ids long", encodes=True).collect()  # a row for each file
     parts, before = [], 0
     for row in sorted(found, key=lambda r: r["task"]):
         parts.append(Part(row["path"], row["documents"], row["ids"], before))
@@ -188,12 +195,6 @@ def write(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "tex
 
 def read(spark: SparkSession, parts: list[Part], doc_id: str = "doc_id", read_ids: int = READ) -> DataFrame:
     """One row per document: its id, start (ids of all documents before it), n_tokens and ids_crc32."""
-    tasks = []
-    for p in parts:
-        pieces = max(1, min(p.documents, -(-p.ids // read_ids)))
-        edges = [p.documents * k // pieces for k in range(pieces + 1)]
-        tasks += [(p.path, a, b, p.before) for a, b in zip(edges, edges[1:])]
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, first, last, before in zip(*(c.to_pylist() for c in batch.columns)):
@@ -208,7 +209,12 @@ def read(spark: SparkSession, parts: list[Part], doc_id: str = "doc_id", read_id
                     names=["id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    listed = spark.createDataFrame(tasks, "path string, first long, last long, before long")
+    # a row for each file; its documents are cut into pieces of about read_ids ids, which are dealt to all tasks
+    files = spark.createDataFrame([(p.path, p.documents, p.ids, p.before) for p in parts], "path string, documents long, ids long, before long")
+    files = files.withColumn("pieces", F.greatest(F.least(F.col("documents"), F.ceil(F.col("ids") / read_ids)), F.lit(1)))
+    cut = files.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
+    edge = lambda k: F.expr(f"documents * {k} div pieces")
+    listed = cut.select("path", edge("k").alias("first"), edge("(k + 1)").alias("last"), "before").repartition("path", "first")
     return map_arrow(listed, work, "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", doc_id)
 
 

@@ -3,11 +3,13 @@
 A file is little-endian uint16 or uint32 ids; each document ends with the end-of-document id. Files are scanned in
 blocks of a fixed number of ids: numpy finds the separators of a block at once, and a prefix scan over the blocks'
 summaries (separators, place of the last) tells each block how many documents ended before it and where its first
-document began.
+document began. Tasks look up the files' sizes and list the blocks; the driver holds neither.
 
 Definitions for odd input: ids after a file's last separator are an unterminated document, counted too; an empty file
-has no documents; a document of the separator alone has one token. When the files are made from a table, a null or
-empty text is such a document, equal rows are counted each on its own, and other columns are not read.
+has no documents; a document of the separator alone has one token; one that spans many blocks is stitched. When the files
+are made from a table, a null or empty text is such a document, equal rows, and rows with equal or null ids, are counted
+each on its own, a text of any length is encoded whole, an empty table gives an empty result, and other columns are not
+read, so their names may clash. A text that has the separator's id is an error; the default is an id that no text has.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kindred.llm.files import open_fs
-from kindred.llm.shared import map_arrow, scratch, written
+from kindred.llm.shared import map_arrow, scratch, slices, written
 from kindred.llm.tokens import default_path, encoder
 
 #: Ids in a block.
@@ -30,13 +32,24 @@ BLOCK = 1 << 20
 END = 49407
 
 
-def scan(spark: SparkSession, paths: list[str], end: int = END, width: int = 2, block: int = BLOCK) -> DataFrame:
-    """One row per document: path, ordinal (in its file), start (ids of the file before it), n_tokens (with the end id), terminated."""
-    blocks = []
-    for path in paths:
-        system, place = open_fs(path)
-        size = system.get_file_info(place).size // width
-        blocks += [(path, k, start, min(block, size - start), start + block >= size) for k, start in enumerate(range(0, size, block))]
+def scan(spark: SparkSession, paths: list[str] | DataFrame, end: int = END, width: int = 2, block: int = BLOCK) -> DataFrame:
+    """One row per document: path, ordinal (in its file), start (ids of the file before it), n_tokens (with the end id), terminated.
+
+    paths: a list, or a table with a column path.
+    """
+    if width not in (2, 4) or not 0 <= end < 1 << 8 * width:
+        raise ValueError("ids have 2 or 4 bytes, and the separator is one of them")
+    files = spark.createDataFrame([(p,) for p in paths], "path string") if isinstance(paths, list) else paths.select("path")
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                system, place = open_fs(path)
+                size = system.get_file_info(place).size // width
+                start = np.arange(0, size, block)
+                for at in range(0, len(start), 10_000):
+                    own = start[at : at + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(own)), pa.array(own // block), pa.array(own), pa.array(np.minimum(block, size - own)), pa.array(own + block >= size)], names=["path", "block", "start", "count", "final"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -52,7 +65,7 @@ def scan(spark: SparkSession, paths: list[str], end: int = END, width: int = 2,
                     schema=pa.schema([("path", pa.string()), ("block", pa.int64()), ("n", pa.int64()), ("last", pa.int64()), ("stops", pa.list_(pa.int64())), ("tail", pa.bool_())]),
                 )
 
-    listed = spark.createDataFrame(blocks, "path string, block long, start long, count long, final boolean")
+    listed = map_arrow(files.repartition("path"), blocks, "path string, block long, start long, count long, final boolean").repartition("path", "block")
     found = written(map_arrow(listed, work, "path string, block long, n long, last long, stops array<long>, tail boolean"), "separators")
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carry = found.select("path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ended"), F.coalesce(F.max("last").over(before), F.lit(0)).alias("began"))
@@ -65,34 +78,35 @@ def scan(spark: SparkSession, paths: list[str], end: int = END, width: int = 2,
 def write_flat(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, end: int = END, width: int = 2) -> DataFrame:
     """Write a table's ids to flat files, one per task; returns which document is where: path, ordinal, id."""
     tokenizer = tokenizer or default_path()
+    if max(encoder(tokenizer).vocab_size - 1, end) >= 1 << 8 * width:
+        raise ValueError(f"ids of this tokenizer don't fit {width} bytes")
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream, ordinal = None, 0
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                some = batch.slice(at, 500)
+            for some in slices(batch, 1):
                 if stream is None:
                     path = f"{folder}/{uuid.uuid4().hex}.tok"
                     system, place = open_fs(path)
                     system.create_dir(place.rpartition("/")[0], recursive=True)
                     stream = system.open_output_stream(place)
-                ids = encoder(tokenizer).encode(pa.concat_arrays([some.column(1)]), end)
-                stream.write(np.concatenate(ids).astype(f"<u{width}").tobytes())
-                n = len(some)
+                ids, n = np.concatenate(encoder(tokenizer).encode(pa.concat_arrays([some.column(1)]), end)), len(some)
+                if np.count_nonzero(ids == end) != n:
+                    raise ValueError(f"a text has the separator's id {end}; choose another")
+                stream.write(ids.astype(f"<u{width}").tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array(np.arange(ordinal, ordinal + n)), some.column(0)], names=["path", "ordinal", "id"])
                 ordinal += n
         if stream is not None:
             stream.close()
 
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
-    return written(map_arrow(rows, work, f"path string, ordinal long, id {kind}"), "token-order").withColumnRenamed("id", doc_id)
+    return written(map_arrow(rows, work, f"path string, ordinal long, id {kind}", encodes=True), "token-order").withColumnRenamed("id", doc_id)
 
 
-def count_documents(docs: DataFrame, doc_id: str = "doc_id", block: int = BLOCK, **options) -> DataFrame:
+def count_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, end: int = END, width: int = 2, block: int = BLOCK) -> DataFrame:
     """Token counts of a table's documents, by way of flat files: id, n_tokens, path, ordinal, start."""
     spark = docs.sparkSession
-    order = write_flat(docs, scratch(spark, "flat"), doc_id, **options)
-    paths = [r["path"] for r in order.select("path").distinct().collect()]  # a row for each file
-    counts = scan(spark, paths, block=block)
+    order = write_flat(docs, scratch(spark, "flat"), doc_id, text, tokenizer, end, width)
+    counts = scan(spark, order.select("path").distinct(), end, width, block)
     return order.join(counts, ["path", "ordinal"]).select(doc_id, "n_tokens", "path", "ordinal", "start")

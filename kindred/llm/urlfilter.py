@@ -1,6 +1,7 @@
 """URL filters: rules on hosts and paths, and a logistic regression on hashed character n-grams for the rest.
 
-The regression is trained on a small table of labelled URLs (TRAINING, or the caller's). Features are the hashed
+The regression is trained on a small table of labelled URLs (TRAINING, made by a rule from names in general use; or the
+caller's). Features are the hashed
 n-grams of host and path, each counted once; features, gradients, and scores are all DataFrame expressions. Training
 is a fixed number of steps of gradient descent: each is one aggregation over the small table, whose result, the
 gradient of at most 2 ** bits buckets, goes to the driver. Scores of the corpus need no join and no shuffle.
@@ -10,14 +11,16 @@ path starts with the rule's; the longest rule wins. Host: after the first `://`
 A-Z lower-cased; path: what follows, up to `?`, `#` or the end.
 
 Definitions for odd input: a null URL, or one without `://`, has an empty host and path, fits no rule, and is judged
-by the regression's intercept alone; equal rows are judged alike; an empty table gives an empty result; other columns
-are not read, so their names may clash.
+by the regression's intercept alone; equal rows are judged alike; of rules of equal length that fit, the first given wins;
+a score that equals the threshold blocks; URLs of any length are read whole; an empty table gives an empty result, and
+an empty training table a score of 0.5; other columns are not read, so their names may clash.
 """
 
 from __future__ import annotations
 
 import math
 import string
+import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,25 +28,45 @@ from pyspark.sql import functions as F
 #: (verdict, host and path)
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
-#: What unwanted and wanted sites call themselves; the labelled table puts these in hosts and paths.
-UNWANTED = ("cheap-pills", "spam-farm", "casino", "free-viagra", "win-bets", "xxx-cams", "loan-now", "hot-deals", "click-ads", "pills-shop", "poker-bonus", "fake-watches")
-WANTED = ("library", "news", "garden", "school", "museum", "weather", "recipes", "science", "village", "journal", "northern", "theses", "nation", "bathes", "thrush", "another", "tions")
-
-N_GRAMS, BITS = (3, 4, 5), 12
+#: What unwanted and other sites call themselves, and what their paths are like. Chosen from general knowledge.
+UNWANTED = tuple(
+    """casino poker slots jackpot betting roulette bingo lottery pills viagra pharma steroids replica fake payday loans debt xxx porn cams escort hookup
+    warez torrent keygen cracked spam scam phish malware click popup banner adserver ads tracker track pixel affiliate promo coupon deals cheap discount
+    bonus winner prize giveaway cash rich profits miracle slim diet hack cheats followers backlinks""".split()
+)
+WANTED = tuple(
+    """library museum university school college journal science research health hospital weather news daily times gazette recipes kitchen garden travel
+    guide history archive maps city council parliament law books poetry music theatre film photo gallery nature wildlife forest river mountain village
+    community charity football cycling chess astronomy physics biology software docs wiki forum blog tutorial opinion market sports teacher""".split()
+)
+_ANY_PATHS = ("/", "/{n}", "/en/{b}-{n}", "/fr/{b}", "/de/{n}.html", "/index.html?lang=es", "/a/b/{n}")
+UNWANTED_PATHS = ("/click?id={n}", "/track/{n}", "/offer/{b}", "/go/{n}", "/win-{b}-now", "/banner/{n}.gif", "/buy-{b}-online.html", *_ANY_PATHS)
+WANTED_PATHS = ("/articles/{b}", "/about", "/{b}/{n}.html", "/2019/04/{b}", "/wiki/{b}", "/docs/{b}/index.html", "/category/{b}", *_ANY_PATHS)
+_SYLLABLES = ("ba", "cor", "dil", "en", "fa", "gru", "hol", "is", "jo", "ken", "lum", "mi", "nor", "ost", "pel", "qua", "ri", "sol", "ter", "um", "vel", "wy", "ver", "zan")
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """The small labelled table: 1 for URLs to block."""
+    """The small labelled table: 1 for URLs to block.
+
+    Names come alone and in pairs, with the usual tops and paths of their kind; as most sites' names mean nothing,
+    as many more are made of syllables, and labelled 0.
+    """
     rows = []
-    for names, label in ((UNWANTED, 1), (WANTED, 0)):
-        for i, name in enumerate(names):
-            for j, (scheme, prefix, top, path) in enumerate((("https", "", "com", "/en/{n}"), ("http", "www.", "org", "/fr/{n}/"), ("https", "blog.", "com", "/{n}.html"), ("http", "m.", "example.org", "/de/{n}?page=2"), ("https", "www.", "example.com", "/es/{n}#top"), ("http", "", "info", "/"))):
-                rows.append((f"{scheme}://{prefix}{name}.{top}{path.format(n=100 + 37 * i + 11 * j)}", label))
+    hosts = ("{a}.com", "www.{a}-{b}.com", "{a}{b}.net", "best-{a}.info", "{b}.{a}.org", "www.{b}{a}.example.com")
+    nonsense = tuple("".join(_SYLLABLES[zlib.crc32(f"{i} {k}".encode()) % len(_SYLLABLES)] for k in range(2 + i % 3)) for i in range(len(WANTED)))
+    for names, paths, label in ((UNWANTED, UNWANTED_PATHS, 1), (WANTED, WANTED_PATHS, 0), (nonsense, WANTED_PATHS, 0)):
+        for i, a in enumerate(names):
+            for j, host in enumerate(hosts):
+                b = names[(i * 7 + j * 11 + 5) % len(names)]
+                path = paths[(i + j * 3) % len(paths)].format(b=b, n=100 + 37 * i + 11 * j)
+                rows.append((f"{'https' if j % 2 else 'http'}://{host.format(a=a, b=b)}{path}", label))
     return rows
 
 
 TRAINING = labelled_urls()
 
+N_GRAMS, BITS = (3, 4, 5), 12
+
 
 def _split(url: Column) -> tuple[Column, Column]:
     pattern = "(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -84,23 +107,25 @@ def train(spark: SparkSession, rows: list[tuple[str, int]] = TRAINING, sizes: tu
     weights, bias = [0.0] * (1 << bits), 0.0
     if not rows:
         return weights, bias
-    table = spark.createDataFrame(rows, "url string, label int")
+    table = spark.createDataFrame([(i, u, y) for i, (u, y) in enumerate(rows)], "row int, url string, label int")
     host, path = _split(F.col("url"))
-    table = table.select("label", _buckets(host, path, sizes, bits).alias("features")).coalesce(1).cache()
-    n = len(rows)
-    speed = [0.0] * (1 << bits)
+    found = table.select("row", "label", _buckets(host, path, sizes, bits).alias("features"))
+    # a row for each URL and feature, and its share in the margin; bucket -1 stands for the intercept
+    parts = found.select("row", "label", F.size("features").alias("n"), F.explode(F.concat(F.array(F.lit(-1)), F.col("features"))).alias("bucket"))
+    share = F.when(F.col("bucket") < 0, F.lit(1.0)).otherwise(1 / F.sqrt(F.greatest(F.col("n"), F.lit(1))))
+    parts = parts.select("row", "label", "bucket", share.alias("share")).coalesce(1).cache()
+    speed = [0.0] * (1 + (1 << bits))
     for _ in range(steps):
-        residual = 1 / (1 + F.exp(-_margin(F.col("features"), _array(weights), F.lit(bias)))) - F.col("label")
-        # bucket -1 stands for the intercept
-        parts = table.select(residual.alias("e"), F.size("features").alias("n"), F.explode(F.concat(F.col("features"), F.array(F.lit(-1)))).alias("bucket"))
-        share = F.when(F.col("bucket") < 0, F.lit(1.0)).otherwise(1 / F.sqrt(F.greatest(F.col("n"), F.lit(1))))
-        for bucket, e in parts.groupBy("bucket").agg(F.sum(F.col("e") * share)).collect():  # 2 ** bits rows at most
+        margin = F.sum(F.col("share") * F.element_at(_array([bias, *weights]), F.col("bucket") + 2))
+        residual = parts.groupBy("row", "label").agg(margin.alias("m")).select("row", (1 / (1 + F.exp(-F.col("m"))) - F.col("label")).alias("e"))
+        for bucket, e in parts.join(residual, "row").groupBy("bucket").agg(F.sum(F.col("e") * F.col("share"))).collect():  # 2 ** bits rows at most
+            gradient = e / len(rows) if bucket < 0 else e / math.sqrt(len(rows)) + penalty * weights[bucket]
+            speed[bucket + 1] = 0.8 * speed[bucket + 1] - rate * gradient
             if bucket < 0:
-                bias -= 0.5 * e / n
+                bias += speed[0]
             else:
-                speed[bucket] = 0.8 * speed[bucket] - rate * (e / math.sqrt(n) + penalty * weights[bucket])
-                weights[bucket] += speed[bucket]
-    table.unpersist()
+                weights[bucket] += speed[bucket + 1]
+    parts.unpersist()
     return weights, bias
 
 

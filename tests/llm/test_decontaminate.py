@@ -69,3 +69,20 @@ def test_excise(spark):
     d, b = tables(spark, [f"{filler} {passage}, {filler}", passage, filler, None], [(1, passage)])
     out = {r["doc_id"]: (r["text"], r["removed_words"]) for r in D.excise(d, b).collect()}
     assert out == {0: (f"{filler} , {filler}".replace(" ,", " ,"), 13), 2: (filler, 0), 3: (None, 0)}
+
+
+def test_shards_of_a_large_benchmark(spark):
+    """Many shards, an item longer than a shard, texts of any length, items that share ids and windows."""
+    g = random.Random(8)
+    words = [f"w{i}" for i in range(50)]
+    passage = lambda n: " ".join(g.choice(words) for _ in range(n))
+    items = [(g.choice([i, 1, None]), passage(g.randrange(1, 40))) for i in range(15)] + [(99, passage(150))]
+    docs = [f"{passage(30)} {g.choice(items)[1]} {passage(g.randrange(100))}" for _ in range(12)] + ["x " * 3000 + items[0][1], None]
+    check(spark, docs, items, 13, shard_words=100)
+
+
+def test_automaton_states_are_arrays():
+    g = random.Random(3)
+    a = D.SuffixAutomaton([(str(i), [b"w%d" % g.randrange(300) for _ in range(100)]) for i in range(50)], 13)
+    n = len(a.link)
+    assert n <= 2 * 5000 and all(len(x) == n and x.itemsize == 4 for x in (a.link, a.length, a.word, a.next, a.cut, a.holder))

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 
@@ -53,6 +54,26 @@ def test_index_merges_batches(spark):
     assert [r["keep_id"] for r in index.probe([hashlib.sha256(b"c").digest()]).collect()] == [7]
 
 
+def test_index_goes_through_levels(spark):
+    """Runs become fewer by the fan-out at each level; each level's runs hold a digest once."""
+    data = [(i, f"t{i % 70}") for i in range(400)]
+    index = exactdedup.MergeIndex(spark, fanout=3)
+    for at in (0, 200):
+        index.flush(spark.createDataFrame(data[at : at + 200], "doc_id long, text string").repartition(7))
+    assert index.runs == 14 and {r["keep_id"] for r in index.probe([hashlib.sha256(b"t3").digest()]).collect()} == set(range(3, 400, 70))
+    merged = index.compact()
+    assert index.history == [14, 5, 2, 1]
+    assert {(r["keep_id"], r["rows"]) for r in merged.collect()} == {(i, len(range(i, 400, 70))) for i in range(70)}
+    assert sorted(r["keep_id"] for r in index.probe([hashlib.sha256(b"t3").digest()]).collect()) == [3]
+
+
+@pytest.mark.parametrize("fanout", [2, 16])
+def test_exact_with_equal_rows_of_a_heavy_key(spark, rows, fanout):
+    """Most rows are equal in all columns; a heavy key's rows stay where they are."""
+    data = [(7, "same text")] * 2500 + [(None, None)] * 1500 + [(8, "same  text")] + [(i, f"own {i}") for i in range(300)]
+    assert rows(exactdedup.dedup(spark.createDataFrame(data, "doc_id long, text string").repartition(6), fanout=fanout)) == exact(data)
+
+
 def fingerprint(text):
     text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -72,17 +93,29 @@ def test_code_covers_and_visits():
     g = np.random.default_rng(0)
     for width in (21, 22):
         x = g.integers(0, 1 << width, 300)
-        home = simhash.homes(x)
-        assert (np.bitwise_count(x ^ home) <= 1).all() and (simhash._syndromes(home) == 0).all()
-        row, anchor = simhash.anchors_within(x, width)
-        assert (np.bitwise_count(x[row] ^ anchor) <= 2).all() and (simhash._syndromes(anchor) == 0).all()
+        home = simhash.homes(x, 15)
+        assert (np.bitwise_count(x ^ home) <= 1).all() and (simhash._syndromes(home, 15) == 0).all()
+        row, anchor = simhash.anchors_within(x, width, 15, 2)
+        assert (np.bitwise_count(x[row] ^ anchor) <= 2).all() and (simhash._syndromes(anchor, 15) == 0).all()
         visited = {}
         for r, a in zip(row.tolist(), anchor.tolist()):
             assert a not in visited.setdefault(r, set())
             visited[r].add(a)
         for i in range(300):  # all codewords within 2, found by trying every flip
             near = {int(x[i]), *(int(x[i]) ^ 1 << a for a in range(width)), *(int(x[i]) ^ 1 << a ^ 1 << b for a in range(width) for b in range(a))}
-            assert visited[i] == {v for v in near if simhash._syndromes(np.array([v]))[0] == 0}
+            assert visited[i] == {v for v in near if simhash._syndromes(np.array([v]), 15)[0] == 0}
+
+
+def test_fine_code_visits_all_within_three():
+    g = np.random.default_rng(1)
+    x = g.integers(0, 1 << 32, 20)
+    x[0] = 0  # a codeword
+    row, anchor = simhash.anchors_within(x, 32, 31, 3)
+    visited = list(zip(row.tolist(), anchor.tolist()))
+    flips = [sum(1 << b for b in bits) for n in range(4) for bits in itertools.combinations(range(32), n)]
+    near = [(i, int(v) ^ f) for i, v in enumerate(x) for f in flips]
+    zero = simhash._syndromes(np.array([v for _, v in near]), 31) == 0
+    assert len(set(visited)) == len(visited) and set(visited) == {v for v, z in zip(near, zero) if z}
 
 
 def components(prints):
@@ -101,8 +134,8 @@ def components(prints):
     return {root(i): [j for j in range(len(prints)) if root(j) == root(i)] for i in range(len(prints))}
 
 
-@pytest.mark.parametrize("chunk", [2048, 5])
-def test_links_connect_what_is_near(spark, chunk, monkeypatch):
+@pytest.mark.parametrize(("chunk", "held", "layout"), [(2048, 500_000, simhash.COARSE), (5, 500_000, simhash.COARSE), (5, 40, simhash.COARSE), (2048, 500_000, simhash.FINE_LAYOUT), (3, 40, simhash.FINE_LAYOUT)])
+def test_links_connect_what_is_near(spark, chunk, held, layout, monkeypatch):
     g = random.Random(chunk)
     prints = [g.getrandbits(64) for _ in range(60)]
     for _ in range(500):
@@ -112,9 +145,13 @@ def test_links_connect_what_is_near(spark, chunk, monkeypatch):
         prints.append(x)
     prints = sorted(set(prints))
     monkeypatch.setattr(simhash, "CHUNK", chunk)
-    monkeypatch.setattr(simhash, "HEAVY_SHARE", 10**9 if chunk == 5 else 1000)
+    monkeypatch.setattr(simhash, "HELD", held)
     signed = [int(np.uint64(p).view(np.int64)) for p in prints]
-    out = simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long").repartition(3))
+    if chunk < 2048:  # many that differ in one block only
+        extra = {prints[0] ^ (i << 43) for i in range(300)}
+        prints = sorted({*prints, *extra})
+        signed = [int(np.uint64(p).view(np.int64)) for p in prints]
+    out = simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long").repartition(3), layout=layout)
     found = [(r[0] % 2**64, r[1] % 2**64) for r in out.collect()]
     at = {p: i for i, p in enumerate(prints)}
     up = list(range(len(prints)))

@@ -163,3 +163,22 @@ def test_parts_against_brute_force(spark):
     out = convert(spark, data)
     assert {k: r["parent_turn"] for k, r in out.items()} == want
     assert sum(p is not None for p in want.values()) > 30
+
+
+def test_one_passage_quoted_by_every_turn(spark, monkeypatch):
+    """Turns that all quote and repeat one passage: rows stay linear, and slots change nothing."""
+    monkeypatch.setattr(quotes, "SLOT", 16)
+    data = [(1, 3 * t, "a", "> ok\nok" if t % 4 else "ok") for t in range(400)] + [(1, 601, "b", "> ok")] * 5
+    df = spark.createDataFrame(data, SCHEMA).repartition(3)
+    replies = {r["turn"]: r["parent"] for r in quotes.link(df).collect()}
+    turns = sorted({t for _, t, _, x in data if x != "> ok"})
+    assert replies == {t: max(s for s in turns if s < t) for _, t, _, x in data if x.startswith(">")}
+    assert len(convert(spark, [(c, t, r, x) for c, t, r, x in data])) == 401
+
+
+def test_long_text_and_turns_that_are_strings(spark):
+    long = "\n".join(f"line {i}" for i in range(20_000))
+    out = convert(spark, [(1, 0, "a", long), (1, 1, "b", "> " + long.replace("\n", "\n> ") + "\nso")])
+    assert out[1, 1]["parent_turn"] == 0 and out[1, 1]["text"] == "so"
+    named = spark.createDataFrame([("c", "t1", "a", "hello"), ("c", "t2", "b", "> hello\nyes")], "conv_id string, turn string, role string, text string")
+    assert [(r["turn"], r["parent"]) for r in quotes.link(named).collect()] == [("t2", "t1")]
