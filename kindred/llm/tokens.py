@@ -21,7 +21,7 @@ _PLAIN = re.compile("[\n!-~\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0132-\u0137\u0139-\u01
 _PIECE = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\u017e]+|[0-9]|[^\na-z0-9\xdf-\xf6\xf8-\u017e]+")
 
 #: Words and pieces of words that a worker remembers; beyond it, it starts anew.
-WORDS, PIECES = 150_000, 350_000
+WORDS, PIECES = 100_000, 250_000
 
 
 class _Memory:
@@ -137,7 +137,7 @@ class WordEncoder:
             index[missing] = list(map(self.words.number.__getitem__, new))
         ids, sizes = self.words.gather(index[words.indices.to_numpy(zero_copy_only=False)] if len(words) else np.empty(0, np.int64))
         stops = np.concatenate([[0], np.cumsum(sizes)])[split.offsets.to_numpy()]
-        tail = np.array([] if end is None else [end], ids.dtype)
+        tail = np.array([] if end is None else [end], ids.dtype if end is None or end <= np.iinfo(ids.dtype).max else np.uint32)
         return [np.concatenate([ids[i:j], tail]) for i, j in zip(stops[:-1].tolist(), stops[1:].tolist())]
 
 
@@ -151,6 +151,12 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def forget() -> None:
+    """Let go of what this process's encoders remember; the tokenizers stay."""
+    for e in _encoders.values():
+        e.words, e.pieces = _Memory(), _Memory()
+
+
 def default_path(name: str = "word_bpe_49k.json") -> str:
     """Where the installed public tokenizer file is."""
     import public_tokenizers

@@ -2,13 +2,15 @@
 
 Features are whether a hashed character n-gram occurs in a text. Their log-count ratios r come from the labelled rows
 of a sample; a logistic regression with an L2 penalty is then fitted on r-scaled features (Wang and Manning, 2012), by
-mini-batches of a fixed order. The sample is a share of the labelled rows chosen by a hash of their id, at most about
-`sample` of them: that bound is this classifier's parameter. Every text is scored whole.
+mini-batches of a fixed order. The sample is a share of the labelled ids chosen by a hash, at most about `sample` of
+them, and of an id that more than PER_ID rows share, about PER_ID different texts: these bounds are this classifier's
+parameters. Every text is scored whole, however long: a text's features are a bitmap of 2 ** bits at most.
 
 Definitions for odd input: null and empty texts get the score of a text without n-grams; rows whose label is null or
-whose id has none are not learned from; rows with equal ids are scored each on its own; if one label is missing, the
-share of ones among the labels (0 if there are no labels) is every score; columns besides those named are not read,
-so their names may clash.
+whose id has none are not learned from; an id with several labels has the largest; equal rows are learned from once;
+rows with equal ids are scored each on its own; if one label is missing, the share of ones among the labels (0 if there
+are no labels) is every score; a score that equals the threshold is toxic; an empty table gives an empty result; columns
+besides those named are not read, so their names may clash.
 """
 
 from __future__ import annotations
@@ -22,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.ngrams import buckets, code_points
-from kindred.llm.shared import held_out, map_arrow
+from kindred.llm.shared import add_arrow, held_out, map_arrow, written
 
 SIZES, BITS = (3, 4, 5, 6), 18
-#: At most about so many labelled rows are learned from.
-SAMPLE = 8000
+#: At most about so many labelled ids are learned from, and of each so many texts.
+SAMPLE, PER_ID = 8000, 4
 THRESHOLD = 0.7
 
 
@@ -124,16 +126,24 @@ def _scaled(x: np.ndarray, root: np.ndarray, y: np.ndarray) -> tuple[float, floa
     return float(slope), float(shift), float(a[2] - slope * x.mean() - shift * root.mean())
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, fold: bool = True) -> tuple[np.ndarray, float]:
-    """Fit on labelled rows (with fold: only those that are not held out); one task gets the bounded sample."""
+def sampled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, sample: int, fold: bool) -> DataFrame:
+    """id, text and label of the rows that are learned from (with fold: only those that are not held out)."""
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("id").isNotNull())
     if fold:
         known = known.filter(~held_out("id"))
     known = known.groupBy("id").agg(F.max("label").alias("label"))
-    there = known.count()
-    share = min(1.0, sample / max(there, 1))
+    share = min(1.0, sample / max(known.count(), 1))
     chosen = known.filter(F.pmod(F.xxhash64("id", F.lit(23)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "id")  # about `sample` ids: the texts stay where they are
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
+    # about `sample` ids go to the texts, which stay where they are; an id that many rows share is thinned by its texts
+    found = written(rows.select("id").join(F.broadcast(chosen), "id").groupBy("id", "label").count(), "labelled")
+    few = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) * F.col("count") < F.lit(PER_ID << 20)
+    return rows.join(F.broadcast(found), "id").filter(few).select("id", "text", "label").dropDuplicates(["id", "text"])
+
+
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, fold: bool = True) -> tuple[np.ndarray, float]:
+    """Fit on labelled rows (with fold: only those that are not held out); one task gets the bounded sample."""
+    texts = sampled(docs, labels, doc_id, text, label, sample, fold)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,33 +151,32 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(2), pa.array(found, pa.binary())], names=["id", "label", "features"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns))]
-        rows.sort()
+        rows = sorted(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
         w, bias = fit(Packed([x for _, _, x in rows]), np.array([y for _, y, _ in rows], np.int64))
         yield pa.RecordBatch.from_pydict({"weights": [w.astype("<f4").tobytes()], "bias": [bias]})
 
-    found = map_arrow(texts.select("id", "text", "label"), extract, "id string, label int, features binary")
+    found = map_arrow(texts, extract, "id string, label int, features binary")
     row = map_arrow(found.repartition(1), learn, "weights binary, bias double").first()
     return np.frombuffer(row["weights"], "<f4"), row["bias"]
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), name: str = "score") -> DataFrame:
-    """The id, the columns in keep, and the score under a name."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # 1 MB, whatever the corpus
-    inner = ["_id", *(f"_kept{i}" for i in range(len(keep))), "_score"]
+def with_score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", name: str = "score") -> DataFrame:
+    """Add the score; texts go to Python once, and only scores come back."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 1 MB, whatever the corpus
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         w, bias = shared.value
-        for batch in batches:
-            values = [w[x].sum(dtype=np.float64) / np.sqrt(max(len(x), 1)) + bias for x in (features(t.as_py()) for t in batch.column(1))]
-            scores = 1 / (1 + np.exp(-np.clip(np.array(values, np.float64), -500, 500)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(scores)], names=inner)
-
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text"), *[F.col(c).alias(n) for c, n in zip(keep, inner[1:])])
-    kinds = [docs.schema[c].dataType.simpleString() for c in (doc_id, *keep)]
-    out = map_arrow(rows, work, ", ".join(f"{n} {k}" for n, k in zip(inner, [*kinds, "double"])))
-    return out.toDF(doc_id, *keep, name)
+        for batch in texts:
+            values = [w[x].sum(dtype=np.float64) / np.sqrt(max(len(x), 1)) + bias for x in (features(t.as_py()) for t in batch)]
+            yield pa.array(1 / (1 + np.exp(-np.clip(np.array(values, np.float64), -500, 500))), pa.float64())
+
+    return add_arrow(docs, name, work, "double", F.col(text).cast("string"))
+
+
+def score(docs: DataFrame, model: tuple[np.ndarray, float], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: its id and score."""
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
+    return with_score(rows, model, "_text").select(F.col("_id").alias(doc_id), "score")
 
 
 def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:

@@ -56,11 +56,16 @@ def test_stages_keep_columns_and_clashing_ones(spark):
 
 
 def test_stages_on_odd_rows(spark):
-    """Rows without an id stay, repeated rows are one, rows that share an id stay together, nothing gives nothing."""
-    rows = [(1, "alpha beta gamma delta epsilon"), (1, "alpha beta gamma delta epsilon"), (2, "alpha beta  gamma delta epsilon zeta"), (None, "no id here at all"), (None, None), (3, ""), (4, None), (5, "one own text here now"), (5, "quite another text over there")]
+    """Each row is judged on its own text, also where ids are missing or shared; nothing gives nothing."""
+    passage = " ".join(spark.read.parquet(f"{DATA}/benchmark.parquet").first()["text"].split())
+    rows = [(1, "alpha beta gamma delta epsilon"), (1, "alpha beta gamma delta epsilon"), (2, "alpha beta  gamma delta epsilon zeta"), (None, "no id here at all"), (None, "no id  here at all"), (None, None), (3, ""), (4, None), (5, "one own text here now"), (5, "quite another text of that id"), (5, passage), (None, passage + " more")]
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    out = P.drop_copies(spark, docs, DATA)
-    assert sorted(r["doc_id"] or 0 for r in out.collect()) == [0, 0, 1, 2, 5, 5]  # the empty texts are those of null, 3 and 4
+    texts = lambda df: sorted(((r["doc_id"] or 0, r["text"] or "") for r in df.collect()))
+    out = texts(P.drop_copies(spark, docs, DATA))
+    assert out == sorted([(1, rows[0][1]), (2, rows[2][1]), (0, "no id  here at all"), (0, ""), (5, rows[8][1]), (5, rows[9][1]), (5, passage), (0, passage + " more")])
+    assert texts(P.drop_contaminated(spark, docs, DATA)) == texts(docs.filter(~F.coalesce(F.col("text").startswith(passage), F.lit(False))))
+    near = texts(P.drop_near_copies(spark, docs, DATA))
+    assert (0, "no id here at all") in near and len([x for x in near if x[1].strip() == ""]) == 1
     for _, stage in P.STAGES[:-1]:
         assert stage(spark, docs.limit(0), DATA).count() == 0
         assert {r["doc_id"] for r in stage(spark, docs, DATA).collect()} >= {None, 1, 5}

@@ -129,3 +129,65 @@ def test_counts_of_a_table(spark, plain):
     out = {r["doc_id"]: r["n_tokens"] for r in tokencount.count_documents(docs(spark, TEXTS), block=64).collect()}
     assert out == {i * 7: len(x) + 1 for i, x in enumerate(plain(TEXTS))}
     assert tokencount.count_documents(docs(spark, TEXTS).limit(0)).count() == 0
+
+
+def test_bits_of_one_heavy_id(spark, plain):
+    """Rows of one id, of no id, and equal rows are cut over files; ids ascend and each row is there once."""
+    data = [(3, f"text {i % 40}") for i in range(900)] + [(None, "none")] * 500 + [(i, "own") for i in range(10, 20)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = tokenbits.write(df, tokenbits.scratch(spark, "heavy"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(parts) > 1 and max(p.documents for p in parts) < 0.6 * len(data)
+    out = tokenbits.read(spark, parts, read_ids=50).orderBy("start").collect()
+    assert [r["doc_id"] for r in out] == [None] * 500 + [3] * 900 + list(range(10, 20))
+    assert [r["start"] for r in out] == np.cumsum([0] + [r["n_tokens"] for r in out])[:-1].tolist()
+    want = sorted(crc(x + [1]) for x in plain([t for _, t in data]))
+    assert sorted(r["ids_crc32"] for r in out) == want
+
+
+def test_bits_want_integer_ids(spark):
+    with pytest.raises(ValueError, match="integers"):
+        tokenbits.round_trip(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+    with pytest.raises(Exception, match="stands for null"):
+        tokenbits.round_trip(spark.createDataFrame([(-(1 << 63), "b")], "doc_id long, text string"))
+
+
+def test_counts_with_options(spark, plain):
+    """A separator and a width of one's own reach the scan; what can't be told apart is an error."""
+    texts = ["one two", "three", None]
+    one_file = docs(spark, texts, 1)
+    for options in ({"end": 1}, {"width": 4}, {"end": 1, "width": 4, "block": 2}, {"end": 70_000, "width": 4}):
+        out = tokencount.count_documents(one_file, **options).collect()
+        assert {r["doc_id"]: r["n_tokens"] for r in out} == {i * 7: len(x) + 1 for i, x in enumerate(plain(texts))}
+        assert len({r["path"] for r in out}) == 1
+    own = plain(["three"])[0][0]
+    with pytest.raises(Exception, match="separator"):
+        tokencount.count_documents(one_file, end=own)
+    with pytest.raises(ValueError, match="fit"):
+        tokencount.count_documents(one_file, end=70_000)
+
+
+def test_counts_of_equal_rows_and_ids(spark, plain):
+    data = [(1, "a b")] * 30 + [(None, "c")] * 20 + [(2, "d " * 9000)]
+    out = tokencount.count_documents(spark.createDataFrame(data, "doc_id long, text string").repartition(3), block=100).collect()
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in out) == sorted((i or 0, len(x) + 1) for (i, _), x in zip(data, plain([t for _, t in data])))
+
+
+def test_slices_are_bounded_by_bytes():
+    import pyarrow as pa
+
+    from kindred.llm.shared import slices
+
+    batch = pa.RecordBatch.from_pydict({"i": list(range(7)), "t": ["x" * 5, None, "", "y" * 100, "z", "ü" * 3, "w"]}).slice(1)
+    cut = [[r["i"] for r in s.to_pylist()] for s in slices(batch, 1, rows=3, size=8)]
+    assert cut == [[1, 2], [3], [4, 5, 6]] and list(slices(batch.slice(0, 0), 1)) == []
+
+
+def test_forgetting_changes_nothing(plain):
+    e = tokens.encoder(tokens.default_path())
+    first = [x.tolist() for x in e.encode(TEXTS)]
+    tokens.forget()
+    assert not e.words.number and [x.tolist() for x in e.encode(TEXTS)] == first == plain(TEXTS)
