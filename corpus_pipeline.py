@@ -1,54 +1,62 @@
-"""A corpus pipeline of five operators; each stage reads what its predecessor wrote."""
+"""A corpus pipeline of five operators; each stage reads what its predecessor wrote.
+
+Rows are told apart by where they are stored, not by their ids: each is judged on its own text, and decisions take effect
+row by row, also where ids are missing or shared.
+
+Definitions for odd input: a null text counts as empty; empty texts are copies of each other; equal rows are copies, of
+which one stays; of copies and near copies the one with the most code points (near copies: none of this), then the
+smallest id, then the first in storage stays, and a missing id comes before all others; texts of any length are read
+whole; an empty table gives an empty one; columns besides those of documents pass through, whatever their names.
+"""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm import decontaminate, exactdedup, packing, simhash, toxicity
-from kindred.llm.shared import written
+from kindred.storage import written
+
+KEY = "_row_key"
+
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Add a key to each row: its id, its file and its place there. Files don't change, so neither do keys when a task is run again."""
+    try:
+        place = docs.metadataColumn("_metadata")
+        return docs.withColumn(KEY, F.struct(F.col("doc_id"), place["file_name"], place["row_index"]))
+    except AnalysisException:  # not rows of files
+        return _keyed(written(docs, "documents"))
 
-def _without(docs: DataFrame, decisions: DataFrame, stays: str) -> DataFrame:
-    """The rows of documents but those that all decisions on their id let go.
 
-    Rows with equal ids stay or go together: they stay if one of them does. Rows without an id can't be named in a
-    decision, and stay. What goes is written first, so that its size is known when the join is planned: a short list
-    is sent to all tasks, a long one is joined by shuffling.
-    """
-    gone = decisions.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_gone")).agg(F.bool_or(F.expr(stays)).alias("_stays")).filter("not _stays").select("_gone")
-    return docs.join(written(gone, "gone"), F.col("doc_id") == F.col("_gone"), "left_anti")
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Keyed documents but those whose key is in gone, which is written first: its size is then known when the join is planned."""
+    return docs.join(written(gone, "gone"), KEY, "left_anti").drop(KEY)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the toxicity classifier doesn't predict as toxic; learned from those of `labels` outside the held-out fold."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    scored = toxicity.score(docs, model, keep=others, name="_toxic_score")
-    return scored.filter(F.col("_toxic_score") < toxicity.THRESHOLD).select(*docs.columns)
+    return toxicity.with_score(docs, model, name="_toxic_score").filter(F.col("_toxic_score") < toxicity.THRESHOLD).drop("_toxic_score")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of texts that are equal but for white space; of rows that are equal in all columns, one."""
-    decisions = written(exactdedup.dedup(docs), "exact-decisions")
-    kept = _without(docs, decisions, "kept")
-    again = decisions.filter("kept").groupBy("doc_id", "text_sha256").count().filter("count > 1").select(F.col("doc_id").alias("_again")).distinct()
-    again = written(again, "repeated")
-    if again.isEmpty():
-        return kept
-    same = F.col("doc_id").eqNullSafe(F.col("_again"))
-    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates())
+    """One row of each group of texts that are equal but for white space."""
+    keyed = _keyed(docs)
+    return _without(keyed, exactdedup.dedup(keyed, KEY).filter(~F.col("kept")).select(KEY))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each SimHash component."""
-    return _without(docs, simhash.near_duplicates(docs), "doc_id = component_id")
+    """The row with the smallest key of each SimHash component."""
+    keyed = _keyed(docs)
+    return _without(keyed, simhash.near_duplicates(keyed, KEY).filter(F.col(KEY) != F.col("component_id")).select(KEY))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which fewer than one word in twenty lies in a benchmark window."""
-    found = decontaminate.judge(decontaminate.match(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
-    return _without(docs, found, "not contaminated")
+    found = decontaminate.with_match(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "_match")
+    return found.filter(~decontaminate.contaminated(F.col("_match"))).drop("_match")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
