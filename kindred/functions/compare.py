@@ -69,11 +69,13 @@ def jaro_winkler_text(a: str, b: str) -> float:
 
 
 def jaro_winkler() -> Callable[[ColumnLike, ColumnLike], Column]:
-    """An Arrow function of two text columns; Spark has no such expression. Apply it to distinct value pairs."""
+    """An Arrow function of two text columns; Spark has no such expression. Each pair of values in a batch is compared once."""
 
     @F.pandas_udf("double")
     def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else jaro_winkler_text(x, y) for x, y in zip(a, b)], dtype="float64")
+        pairs = list(zip(a, b))
+        known = {p: None if p[0] is None or p[1] is None else jaro_winkler_text(*p) for p in set(pairs)}
+        return pd.Series([known[p] for p in pairs], dtype="float64")
 
     return lambda a, b: similarity(_col(a), _col(b))
 

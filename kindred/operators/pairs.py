@@ -6,19 +6,39 @@ use blocks, whose pairs are found by equi-joins on keys.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.storage import written
 
-#: All-pairs scopes raise beyond so many pairs.
+#: All-pairs scopes, and blocks, raise beyond so many pairs.
 MAX_PAIRS = 500_000_000
+#: Rows of one key that one task joins; a key with more is dealt over several.
+HEAVY = 5_000
 
 
 def _side(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(prefix + c) for c in df.columns])
 
 
+def dealt_join(left: DataFrame, right: DataFrame, key: list[str], by: str, heavy: int = HEAVY) -> DataFrame:
+    """Inner join on columns that both sides have, for keys that make many pairs.
+
+    The left rows of a key with more than `heavy` rows are dealt by a hash of `by` over parts of about that size, and its
+    right rows go to each: fewer copies than pairs by a factor of `heavy`.
+    """
+    parts = left.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / heavy).cast("int").alias("_parts")).filter("_parts > 1")
+    if parts.isEmpty():
+        return left.join(right, key)
+    parts = written(parts, "heavy-keys")
+    n = F.coalesce("_parts", F.lit(1))
+    dealt = left.join(parts, key, "left").withColumn("_part", F.pmod(F.xxhash64(by), n).cast("int")).drop("_parts")
+    copied = right.join(parts, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), n - 1))).drop("_parts")
+    return dealt.join(copied, [*key, "_part"]).drop("_part")
+
+
 def all_pairs(records: DataFrame, record_id: str, columns: list[str] = (), most: int = MAX_PAIRS, condition: Column | None = None) -> DataFrame:
     """Each unordered pair once, the smaller id left, with left_ and right_ columns.
 
@@ -75,19 +95,31 @@ def prior_rules(field_types: dict[str, str]) -> list[str]:
     return blocking_rules(field_types)[:3]
 
 
-def blocked_pairs(records: DataFrame, record_id: str, rules: list[str], columns: list[str] = (), skip_blank: bool = True) -> DataFrame:
+def _blocks(records: DataFrame, rule: str, skip_blank: bool = True) -> DataFrame:
+    """The records that a rule puts in a block."""
+    return records.filter(F.col(rule).isNotNull() & (F.col(rule).cast("string") != "" if skip_blank else F.lit(True)))
+
+
+def blocked_pairs(records: DataFrame, record_id: str, rules: list[str], columns: list[str] = (), skip_blank: bool = True, most: int | None = MAX_PAIRS) -> DataFrame:
     """Pairs that agree on one rule or more: left_id, right_id, match_key (the first such rule), and columns of both sides.
 
     Rules are columns; each is an equi-join. A pair is left to the first rule it agrees on, so no distinct is needed.
-    Null never matches, nor (with skip_blank) the empty string.
+    Null never matches, nor (with skip_blank) the empty string. Block sizes tell how many pairs each rule makes: beyond
+    `most` in all it raises (None: never), and blocks of many rows are dealt over several tasks.
     """
+    if not rules:
+        raise ValueError("no blocking rules")
     kept = [*dict.fromkeys([*rules, *columns])]
     base = records.select(F.col(record_id).alias("id"), *[c for c in kept if c != "id"])
+    if most is not None:
+        made = {rule: blocked_pair_count(_blocks(base, rule, skip_blank), rule).first()["n_pairs"] for rule in rules}
+        if sum(made.values()) > most:
+            raise ValueError(f"the rules make {made} pairs, over the limit of {most}; use finer rules")
     out = None
     for i, rule in enumerate(rules):
-        rows = base.filter(F.col(rule).isNotNull() & (F.col(rule).cast("string") != "" if skip_blank else F.lit(True)))
-        left, right = _side(rows, "left_"), _side(rows, "right_")
-        pairs = left.join(right, (F.col(f"left_{rule}") == F.col(f"right_{rule}")) & (F.col("left_id") < F.col("right_id")))
+        rows = _blocks(base, rule, skip_blank).withColumn("_key", F.col(rule))
+        left, right = (rows.select("_key", *[F.col(c).alias(f"{s}_{c}") for c in base.columns]) for s in ("left", "right"))
+        pairs = dealt_join(left, right, ["_key"], "left_id").filter("left_id < right_id")
         for earlier in rules[:i]:
             agree = F.col(f"left_{earlier}") == F.col(f"right_{earlier}")
             if skip_blank:
@@ -95,15 +127,40 @@ def blocked_pairs(records: DataFrame, record_id: str, rules: list[str], columns:
             pairs = pairs.filter(~F.coalesce(agree, F.lit(False)))
         pairs = pairs.select("left_id", "right_id", F.lit(f"exact:{rule}").alias("match_key"), *[f"{s}_{c}" for c in kept if c != "id" for s in ("left", "right")])
         out = pairs if out is None else out.unionByName(pairs)
-    if out is None:
-        raise ValueError("no blocking rules")
     return out
 
 
-def blocked_pair_count(records: DataFrame, rule: str) -> DataFrame:
-    """n_pairs that one rule makes, from block sizes alone."""
-    sizes = records.filter(F.col(rule).isNotNull()).groupBy(rule).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias("n_pairs"))
+def blocked_pair_count(records: DataFrame, rule: str | list[str]) -> DataFrame:
+    """n_pairs that a rule (or several at once) makes, from block sizes alone."""
+    rules = [rule] if isinstance(rule, str) else list(rule)
+    sizes = records.dropna(subset=rules).groupBy(*rules).agg(F.count(F.lit(1)).alias("_n"))
+    return sizes.agg(F.coalesce(F.sum(F.expr("_n * (_n - 1) div 2")), F.lit(0)).alias("n_pairs"))
+
+
+def rule_pair_count(records: DataFrame, rules: list[str], skip_blank: bool = True) -> int:
+    """How many pairs agree on one of a few rules or more, by inclusion and exclusion over block sizes; no pair is made."""
+    if len(rules) > 6:
+        raise ValueError("inclusion and exclusion is for six rules at most")
+    base = records.select(*[F.nullif(F.col(r).cast("string"), F.lit("")).alias(r) if skip_blank else F.col(r) for r in rules])
+    total = 0
+    for size in range(1, len(rules) + 1):
+        for some in combinations(rules, size):
+            total += (-1) ** (size + 1) * blocked_pair_count(base, list(some)).first()["n_pairs"]
+    return int(total)
+
+
+def sampled_block_pairs(records: DataFrame, record_id: str, rule: str, columns: list[str], most: int, seed: int = 2) -> DataFrame:
+    """blocked_pairs of one rule, or about `most` of them: blocks are then cut by a hash of the ids into as many parts as needed.
+
+    That is a sample for estimates; two records meet if the hash puts them into one part of their block.
+    """
+    rows = _blocks(records, rule)
+    parts = max(1, -(-rule_pair_count(records, [rule]) // max(most, 1)))
+    if parts == 1:
+        return blocked_pairs(records, record_id, [rule], columns)
+    part = F.pmod(F.xxhash64(F.col(record_id), F.lit(seed)), F.lit(parts))
+    cut = rows.withColumn("_rule", F.concat_ws("\x1f", F.col(rule).cast("string"), part.cast("string")))
+    return blocked_pairs(cut, record_id, ["_rule"], [*dict.fromkeys([rule, *columns])], most=None)
 
 
 # -- token blocking and meta-blocking ----------------------------------------------------------------------------
@@ -158,8 +215,9 @@ def filter_blocks(sized: DataFrame, ratio: float = 0.9) -> DataFrame:
 
 def block_pairs(blocks: DataFrame) -> DataFrame:
     """left_id, right_id, weight: the number of blocks two records share."""
+    blocks = written(blocks.select("token", "id"), "blocks")  # read for the sizes and for both sides
     a, b = blocks.select("token", F.col("id").alias("left_id")), blocks.select("token", F.col("id").alias("right_id"))
-    return a.join(b, "token").filter("left_id < right_id").groupBy("left_id", "right_id").agg(F.count(F.lit(1)).alias("weight"))
+    return dealt_join(a, b, ["token"], "left_id").filter("left_id < right_id").groupBy("left_id", "right_id").agg(F.count(F.lit(1)).alias("weight"))
 
 
 def weighted_edge_pruning(pairs: DataFrame) -> DataFrame:
@@ -205,7 +263,8 @@ def tfidf_neighbours(left: DataFrame, right: DataFrame, left_id: str, left_text:
         norms = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
         return w.join(norms, "id").select("gram", F.col("id").alias(name), (F.col("w") / F.col("norm")).alias(f"w_{name}"))
 
-    scores = weighted(grams(left, left_id, left_text), "left_id").join(weighted(r, "right_id"), "gram").groupBy("left_id", "right_id").agg(F.sum(F.col("w_left_id") * F.col("w_right_id")).alias("score"))
+    l = written(weighted(grams(left, left_id, left_text), "left_id"), "weights")  # noqa: E741
+    scores = dealt_join(l, weighted(r, "right_id"), ["gram"], "left_id").groupBy("left_id", "right_id").agg(F.sum(F.col("w_left_id") * F.col("w_right_id")).alias("score"))
     ranked = scores.withColumn("rank", F.row_number().over(Window.partitionBy("left_id").orderBy(F.round("score", 9).desc(), "right_id")))
     return ranked.filter(F.col("rank") <= k).select("left_id", "right_id", "rank", "score")
 
@@ -224,11 +283,12 @@ def split_pairs(pairs: DataFrame, sizes: dict[str, int], seed: int = 0) -> DataF
     out = None
     positives = with_positions(keyed.filter("label = 1"), ["_key", "left_id", "right_id"], "_pos")
     n = positives.count()
-    edges = [0, int(0.6 * n), int(0.8 * n), n]
+    # a fourth split and further ones get negatives alone
+    edges = [0, int(0.6 * n), int(0.8 * n), n, *[n] * len(names)]
     negatives = with_positions(keyed.filter("label = 0"), ["_key", "left_id", "right_id"], "_pos")
     cursor = 0
     for i, name in enumerate(names):
-        own = edges[min(i + 1, 3)] - edges[min(i, 3)]
+        own = edges[i + 1] - edges[i]
         quota = max(0, sizes[name] - own)
         some = positives.filter(F.col("_pos").between(edges[i], edges[i + 1] - 1)).unionByName(negatives.filter(F.col("_pos").between(cursor, cursor + quota - 1)))
         cursor += quota

@@ -155,10 +155,10 @@ def level_shares(pairs: DataFrame, plan: Mapping[str, tuple[str, tuple[float, ..
 
 def estimate_prior(records: DataFrame, rules: Sequence[str], recall: float = 0.7) -> float:
     """Pairs that deterministic rules find, by the share of matches they are thought to find, of all pairs."""
-    from kindred.operators.pairs import blocked_pairs
+    from kindred.operators.pairs import rule_pair_count
 
     n = records.count()
-    found = blocked_pairs(records.withColumn("_id", F.monotonically_increasing_id()), "_id", list(rules)).count() if n > 1 else 0
+    found = rule_pair_count(records, list(rules)) if n > 1 else 0
     return min(max(found / recall / max(n * (n - 1) / 2, 1), 1e-9), 0.5)
 
 
@@ -197,9 +197,10 @@ def expectation_maximisation(pairs: DataFrame, plan: Mapping[str, tuple[str, tup
 def fit_fellegi_sunter(records: DataFrame, record_id: str, field_types: Mapping[str, str], recall: float = 0.7, max_pairs: int = 1_000_000) -> FellegiSunter:
     """Train as the baseline does: prior from rules, u from random pairs, m by EM over up to three blocked pair sets.
 
+    Each estimate runs on about max_pairs pairs at most, by hashes of the ids; the prior, from block sizes, on all.
     Categorical columns get term frequencies of the whole table; they adjust predictions, EM runs on levels alone.
     """
-    from kindred.operators.pairs import blocked_pairs, prior_rules
+    from kindred.operators.pairs import prior_rules, sampled_block_pairs
 
     plan = C.comparison_plan(dict(field_types))
     rules = prior_rules(dict(field_types))
@@ -207,7 +208,7 @@ def fit_fellegi_sunter(records: DataFrame, record_id: str, field_types: Mapping[
     u = estimate_u(records, record_id, plan, max_pairs)
     estimates: dict[str, list[list[float]]] = {c: [] for c in plan}
     for rule in rules:
-        pairs = add_gammas(blocked_pairs(records, record_id, [rule], list(plan)), plan)
+        pairs = add_gammas(sampled_block_pairs(records, record_id, rule, list(plan), max_pairs), plan)
         model = expectation_maximisation(pairs, plan, u, prior, fixed=[rule])
         for c in plan:
             if c != rule and model.history:
@@ -235,12 +236,15 @@ class LogisticScorer:
         return pairs.withColumn("score", sigmoid(self.margin()))
 
 
-def fit_logistic(pairs: DataFrame, features: Sequence[str], target: str = "target", rounds: int = 15, ridge: float = 1e-3) -> LogisticScorer | None:
-    """Newton's method; each round is one aggregation of gradient and Hessian. None if there are no positives."""
+def fit_logistic(pairs: DataFrame, features: Sequence[str], target: str = "target", rounds: int = 15, ridge: float = 1e-3) -> LogisticScorer:
+    """Newton's method; each round is one aggregation of gradient and Hessian.
+
+    If there are positives only, or none (or no pairs), nothing can be learned: every score is then 1, or 0, to 15 digits.
+    """
     d = len(features) + 1
-    counts = pairs.agg(F.sum(target).alias("p"), F.count(F.lit(1)).alias("n")).first()
-    if not counts["p"]:
-        return None
+    counts = pairs.agg(F.coalesce(F.sum(target), F.lit(0)).alias("p"), F.count(F.lit(1)).alias("n")).first()
+    if counts["p"] in (0, counts["n"]):
+        return LogisticScorer(list(features), [0.0] * len(features), 36.0 if counts["p"] else -36.0)
     weight = F.when(F.col(target) == 1, F.lit((counts["n"] - counts["p"]) / counts["p"])).otherwise(F.lit(1.0))
     w = np.zeros(d)
     x = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features] + [F.lit(1.0)]

@@ -11,6 +11,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kindred.operators.pairs import dealt_join
+
 
 def _ranked(score: str = "score") -> Column:
     return F.nanvl(F.col(score).cast("double"), F.lit(None).cast("double")).desc_nulls_last()
@@ -91,7 +93,7 @@ def score_linkage(
     if block_on:
         pairs = None
         for i, rule in enumerate(block_on):
-            some = a.join(b, F.col(f"left_{rule}") == F.col(f"right_{rule}"))
+            some = dealt_join(a.withColumn("_key", F.col(f"left_{rule}")), b.withColumn("_key", F.col(f"right_{rule}")), ["_key"], "left_index").drop("_key")
             for earlier in block_on[:i]:
                 some = some.filter(~F.coalesce(F.col(f"left_{earlier}") == F.col(f"right_{earlier}"), F.lit(False)))
             pairs = some if pairs is None else pairs.unionByName(some)
