@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -135,13 +138,19 @@ def date_parts(c: ColumnLike) -> Column:
 
 # -- tokens -------------------------------------------------------------------------------------------------------
 
-_ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+#: Characters whose compatibility decomposition (NFKD) has ASCII in it, by what is left of them in ASCII: one character, or several.
+_FOLDED = {chr(i): x for i in range(0x80, 0x10000) if not 0xD800 <= i < 0xE000 and (x := unicodedata.normalize("NFKD", chr(i)).encode("ascii", "ignore").decode())}
+_FOLDED_SHORT = {c: x for c, x in _FOLDED.items() if len(x) == 1}
+_FOLDED_LONG = {c: x for c, x in _FOLDED.items() if len(x) > 1}
 
 
 def ascii_fold(c: ColumnLike) -> Column:
-    """Latin letters without their accents; other non-ASCII characters go."""
-    return F.regexp_replace(F.translate(_col(c).cast("string"), _ACCENTED, _PLAIN), "[^\\x00-\\x7F]", "")
+    """Characters (of the basic plane) as NFKD takes them apart, of which ASCII stays."""
+    text = F.translate(_col(c).cast("string"), "".join(_FOLDED_SHORT), "".join(_FOLDED_SHORT.values()))
+    # few texts have characters that become several: those are taken character by character
+    table = F.from_json(F.lit(json.dumps(_FOLDED_LONG)), "map<string,string>")
+    spelled = F.array_join(F.transform(F.split(text, ""), lambda x: F.coalesce(F.element_at(table, x), x)), "")
+    return F.regexp_replace(F.when(text.rlike("[" + "".join(_FOLDED_LONG) + "]"), spelled).otherwise(text), "[^\\x00-\\x7F]", "")
 
 
 def name_token(c: ColumnLike, default: str = "user", upper: bool = False) -> Column:

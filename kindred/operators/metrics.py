@@ -159,6 +159,39 @@ def score_stats(pairs: DataFrame, by: list[str]) -> DataFrame:
     return pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("count"), F.avg("score").alias("mean"), F.median("score").alias("median"), F.min("score").alias("min"), F.max("score").alias("max"))
 
 
+def confident_pairs(pairs: DataFrame, k: int = 10) -> DataFrame:
+    """kind, rank, left_id, right_id, score: for review, the k pairs at each end of each class.
+
+    Kinds: false_positive (highest scores of negatives), weak_positive (lowest of positives), true_positive (highest of
+    positives), true_negative (lowest of negatives). Pairs without a score are in none.
+    """
+    scored = pairs.filter(F.col("score").isNotNull() & ~F.isnan(F.col("score").cast("double")))
+    out = None
+    for kind, target, order in (("false_positive", 0, F.col("score").desc()), ("weak_positive", 1, F.col("score")), ("true_positive", 1, F.col("score").desc()), ("true_negative", 0, F.col("score"))):
+        best = scored.filter(F.col("target") == target).orderBy(order, "left_id", "right_id").limit(k)
+        ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(order, "left_id", "right_id")))  # over k rows
+        some = ranked.select(F.lit(kind).alias("kind"), "rank", "left_id", "right_id", "score")
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
+def merging_edges(pairs: DataFrame, threshold: float, k: int = 20) -> DataFrame:
+    """The k strongest false links at a threshold: left_id, right_id, score."""
+    return pairs.filter((F.col("target") == 0) & (F.col("score") >= threshold)).orderBy(F.col("score").desc(), "left_id", "right_id").limit(k).select("left_id", "right_id", "score")
+
+
+def benchmark_diagnostics(pairs: DataFrame, benchmark: str, n_fields: int) -> DataFrame:
+    """A row per benchmark: pairs, prevalence, median score of positives and negatives, and shares of pairs that agree in all fields.
+
+    pairs have the benchmark's name, score, target and matching_fields (see agreement).
+    """
+    of = lambda t, c: F.when(F.col("target") == t, c)
+    exact = (F.col("matching_fields") == n_fields).cast("double")
+    return pairs.groupBy(benchmark).agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.avg("target").alias("prevalence"), F.median(of(1, F.col("score"))).alias("median_positive"), F.median(of(0, F.col("score"))).alias("median_negative"), F.avg(of(1, exact)).alias("exact_positive_rate"), F.avg(of(0, exact)).alias("exact_negative_rate")
+    )
+
+
 def differing_patterns(pairs: DataFrame, k: int = 30) -> DataFrame:
     """The k most frequent differing_fields with their score statistics."""
     return score_stats(pairs, ["differing_fields"]).orderBy(F.col("count").desc(), "differing_fields").limit(k)

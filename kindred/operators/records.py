@@ -111,7 +111,7 @@ def sample_entities(df: DataFrame, entity: str, columns: list[str], n_entities:
     key = F.md5(F.concat(F.col("entity_id").cast("string"), F.lit(f":{seed}")))
     chosen = eligible_entities(df, entity, columns, require_positive_pairs, require_variation).orderBy(key, "entity_id").limit(n_entities)
     if strict and (there := chosen.count()) < n_entities:
-        raise ValueError(f"Requested {n_entities} entities but only {there} are eligible")
+        raise ValueError(f"the sample is to have {n_entities} entities, of which there are {there}")
     return df.join(chosen, df[entity] == chosen["entity_id"], "left_semi")
 
 

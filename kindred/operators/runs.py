@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from kindred.operators.metrics import best_rows
 from kindred.operators.neural import RecordTransformer
+from kindred.operators.records import with_positions
 from kindred.sources.sinks import run_id
 
 
@@ -53,9 +54,12 @@ def cap_per_group(df: DataFrame, group: list[str], key: list[str], most: int, se
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= most).drop("_rank")
 
 
-def shuffled(df: DataFrame, key: list[str], seed: int = 0) -> DataFrame:
-    """Rows in an order that depends on the seed and the key alone."""
-    return df.orderBy(F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in key], F.lit(str(seed)))), *key)
+def shuffled(df: DataFrame, key: list[str], seed: int = 0, place: str | None = None) -> DataFrame:
+    """Rows in an order that depends on the seed and the key alone; place: a column for their numbers in it, from 0."""
+    order = F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in key], F.lit(str(seed))))
+    if place is None:
+        return df.orderBy(order, *key)
+    return with_positions(df.withColumn("_order", order), ["_order", *key], place).drop("_order")
 
 
 def is_descending(df: DataFrame, value: str, order_by: list[str]) -> bool:

@@ -45,18 +45,18 @@ def quote_literal(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def is_utf8(spark: SparkSession, path: str) -> bool:
+    """True if every line of a text file is valid UTF-8; tasks look through the whole file."""
+    return spark.read.text(path).filter(~F.is_valid_utf8("value")).isEmpty()
+
+
 def read_text_csv(spark: SparkSession, path: str, columns: list[str] | None = None, encoding: str | None = None, sep: str = ",") -> DataFrame:
-    """A CSV file with all columns as strings; the encoding is UTF-8 (with or without a mark), or Latin-1 if that fails.
+    """A CSV file with all columns as strings; the encoding is UTF-8 (with or without a mark), or Latin-1 if a line isn't valid.
 
-    The header and up to 1 MB decide; Spark reads only the columns asked for.
+    Without an encoding the file is read once more, to tell; Spark reads only the columns asked for.
     """
-    head = bytes(spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 1 << 20).alias("c")).first()["c"]) if encoding is None else b""
     if encoding is None:
-        try:
-            head.decode("utf-8")
-            encoding = "UTF-8"
-        except UnicodeDecodeError as e:
-            encoding = "UTF-8" if e.start >= len(head) - 4 and len(head) == 1 << 20 else "ISO-8859-1"
+        encoding = "UTF-8" if is_utf8(spark, path) else "ISO-8859-1"
     df = spark.read.option("header", True).option("inferSchema", False).option("encoding", encoding).option("sep", sep).option("multiLine", True).option("escape", '"').csv(path)
     df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
     return df.select(*[quote_identifier(c) for c in columns]) if columns else df

@@ -102,9 +102,16 @@ PROFILE = "struct<fullname:string,email:array<string>,phone:array<string>,addr:a
 
 
 def read_profile_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines of labelled profile pairs: match (boolean), profile1, profile2, line (its order)."""
+    """JSON lines of labelled profile pairs: match (boolean), profile1, profile2, line (from 0, over all files by name).
+
+    Lines are numbered by file, block and place in the block, so that they don't depend on how files are split.
+    """
+    from kindred.operators.records import with_positions
+
     raw = spark.read.schema(f"match string, profile1 {PROFILE}, profile2 {PROFILE}").json(path)
-    return raw.select((F.col("match") == "True").alias("match"), "profile1", "profile2", F.monotonically_increasing_id().alias("line"))
+    place = ["_file", "_block", "_place"]
+    rows = raw.select((F.col("match") == "True").alias("match"), "profile1", "profile2", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_place"))
+    return with_positions(rows, place, "line").drop(*place)
 
 
 def balanced_pairs(pairs: DataFrame, n: int = 500, order: str = "line") -> DataFrame:
