@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Most records of a block.
 MAX_BLOCK = 4000
+#: Attention weights that are held at once (32 MB).
+ATTENTION = 4_000_000
 
 
 def layer_norm(x: np.ndarray, gain: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -42,6 +44,7 @@ class TransformerConfig:
     text_width: int = 64
     categories: int = 256
     slots: int = 16
+    slot_layers: int = 2
     representer: str = "mean_pool"  # or entity_target
     decoder: str = "pair_mlp"  # or pair_difference, slot_coassignment, slot_pair_mlp
 
@@ -74,7 +77,10 @@ class RecordTransformer:
             dense(f"{i}.up", c.width, c.hidden)
             dense(f"{i}.down", c.hidden, c.width)
         w["slots"] = g.normal(0, 1, (c.slots, c.width))
-        dense("slot", c.width, c.width)
+        for i in range(c.slot_layers):
+            for p in ("q", "k", "v", "o"):
+                dense(f"slot.{i}.{p}", c.width, c.width)
+            w[f"slot.{i}.norm.g"], w[f"slot.{i}.norm.b"] = np.ones(c.width), np.zeros(c.width)
         dense("pair.0", c.width, c.hidden)
         dense("pair.1", c.hidden, 1)
         w["scale"] = np.array(4.0)
@@ -92,13 +98,26 @@ class RecordTransformer:
     def _dense(self, name: str, x: np.ndarray) -> np.ndarray:
         return x @ self.weights[f"{name}.w"] + self.weights[f"{name}.b"]
 
-    def _attend(self, name: str, x: np.ndarray) -> np.ndarray:
-        """Multi-head attention over the second axis from the end."""
-        h, d = self.config.heads, self.config.width // self.config.heads
-        q, k, v = (self._dense(f"{name}.{p}", x).reshape(*x.shape[:-1], h, d).swapaxes(-2, -3) for p in "qkv")
-        y = softmax(q @ k.swapaxes(-1, -2) / math.sqrt(d)) @ v
+    def _attend(self, name: str, x: np.ndarray, seen: np.ndarray | None = None) -> np.ndarray:
+        """Multi-head attention of x over what is seen (x itself if not given), along the second axis from the end.
+
+        Rows are worked through in slices, so that weights of ATTENTION numbers at most are held at once.
+        """
+        h, d, seen = self.config.heads, self.config.width // self.config.heads, x if seen is None else seen
+        q, k, v = (self._dense(f"{name}.{p}", y).reshape(*y.shape[:-1], h, d).swapaxes(-2, -3) for p, y in zip("qkv", (x, seen, seen)))
+        step = max(1, ATTENTION // max(1, math.prod(k.shape[:-1])))
+        parts = [softmax(q[..., i : i + step, :] @ k.swapaxes(-1, -2) / math.sqrt(d)) @ v for i in range(0, q.shape[-2], step)]
+        y = np.concatenate(parts, axis=-2) if parts else q
         return self._dense(f"{name}.o", y.swapaxes(-2, -3).reshape(x.shape))
 
+    def mix(self, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each record's shares in the slots, and what it takes from them; slots first attend to the records, layer by layer."""
+        w, slots = self.weights, self.weights["slots"]
+        for i in range(self.config.slot_layers):
+            slots = layer_norm(slots + self._attend(f"slot.{i}", slots, r), w[f"slot.{i}.norm.g"], w[f"slot.{i}.norm.b"])
+        share = softmax(r @ slots.T)
+        return share, share @ slots
+
     def encode(self, table: pd.DataFrame, field_types: dict[str, str]) -> np.ndarray:
         """A vector for each cell, [records, fields, width]."""
         w, out = self.weights, np.empty((len(table), len(field_types), self.config.width))
@@ -155,11 +174,11 @@ class RecordTransformer:
         """The symmetric matrix of logits of a block."""
         kind = self.config.decoder
         if kind.startswith("slot"):
-            share = softmax(self._dense("slot", r) @ self.weights["slots"].T)
+            share, context = self.mix(r)
             if kind == "slot_coassignment":
                 p = np.clip(share @ share.T, 1e-6, 1 - 1e-6)
                 return np.log(p / (1 - p))
-            r = r + share @ self.weights["slots"]
+            r = r + context
         out = np.empty((len(r), len(r)))
         for i in range(len(r)):
             difference = np.abs(r[i] - r)

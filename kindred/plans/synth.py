@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.plans.worldgraph import CONTRACTS, NODES, RULES, Contract, Rule, ancestors, choose_rules, descendants, draw, eligible_contracts, pick, sample_fields, topological_order
+from kindred.storage import written
 
 
 def sample_entity_ids(n: int, p_match: float, seed: int) -> np.ndarray:
@@ -50,11 +51,16 @@ def entities(spark: SparkSession, n: int, nodes: list[str], seed: int, rules: di
     return df
 
 
+#: Entities among which a near-miss finds its base.
+GROUP = 16
+
+
 def add_hard_negatives(df: DataFrame, rate: float, seed: int, rules: dict[str, Rule], contracts: tuple[Contract, ...] = CONTRACTS) -> DataFrame:
     """Turn a share of entities into near-misses of others: adds base (an entity, or null) and contract.
 
-    The entities of a block of ten consecutive ids are targets by a draw; the base is the block's first, which is none.
-    Preserved columns come from the base; rerolled ones and what depends on them are made from the target's own seed.
+    Every entity is a target by a draw; its base is one of the GROUP consecutive ids it is in that is none (if all were
+    drawn, the last drawn is none). Preserved columns come from the base; rerolled ones and what depends on them are made
+    from the target's own seed.
     """
     if not 0 <= rate <= 1:
         raise ValueError("rate must be from 0 to 1")
@@ -63,13 +69,15 @@ def add_hard_negatives(df: DataFrame, rate: float, seed: int, rules: dict[str, R
     if not kinds:
         return df.withColumn("base", F.lit(None).cast("long")).withColumn("contract", F.lit(None).cast("string"))
     edges = np.cumsum([c.weight for c in kinds]) / sum(c.weight for c in kinds)
-    key = F.xxhash64("entity", F.lit(seed), F.lit("hard"))
-    marked = df.withColumn("_h", key)
-    target = (F.col("entity") % 10 != 0) & (draw("_h", "target") < rate)
+    marked = df.withColumn("_h", F.xxhash64("entity", F.lit(seed), F.lit("hard"))).withColumn("_group", F.floor(F.col("entity") / GROUP)).withColumn("_u", draw("_h", "target"))
+    free = marked.groupBy("_group").agg(F.array_sort(F.collect_list(F.when(F.col("_u") >= rate, F.col("entity")))).alias("_free"), F.max_by("entity", F.struct("_u", "entity")).alias("_last"))
+    free = free.select("_group", F.when(F.size("_free") > 0, F.col("_free")).otherwise(F.array("_last")).alias("_free"))
     contract = F.lit(None).cast("string")
     for c, edge in reversed(list(zip(kinds, edges))):
         contract = F.when(draw("_h", "kind") <= float(edge), F.lit(c.name)).otherwise(contract)
-    marked = marked.withColumn("base", F.when(target, F.col("entity") - F.col("entity") % 10)).withColumn("contract", F.when(target, contract))
+    target = ~F.array_contains("_free", F.col("entity"))
+    chosen = F.element_at("_free", F.floor(draw("_h", "base") * F.size("_free")).cast("int") + 1)
+    marked = marked.join(free, "_group").withColumn("base", F.when(target, chosen)).withColumn("contract", F.when(target, contract))
     bases = df.select(F.col("entity").alias("base"), *[F.col(n).alias(f"_base_{n}") for n in nodes])
     out = marked.join(bases, "base", "left")
     for node in topological_order(nodes):
@@ -87,8 +95,8 @@ def add_hard_negatives(df: DataFrame, rate: float, seed: int, rules: dict[str, R
 # -- observation -------------------------------------------------------------------------------------------------
 
 #: Characters that look alike, and neighbours on a keyboard.
-_OCR = ("0O1lI5S8B2Z6G", "O0lI15S8B2Z6G")
-_KEYS = ("qwertyuiopasdfghjklzxcvbnm", "wertyuiopqsdfghjklaxcvbnmz")
+_OCR = ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "o6ecft9bljkinmocgns7vuvxg2R8GOF7CNlJXIHMQFOPS7VUVXV2OlZBASbTBg")
+_KEYS = ("qwertyuiopasdfghjklzxcvbnmQWERTYUIOPASDFGHJKLZXCVBNM0123456789", "wqwertyuiosasdfghjkxzxcvbnWQWERTYUIOSASDFGHJKXZXCVBN9012345678")
 
 
 @dataclass(frozen=True)
@@ -99,17 +107,23 @@ class Observation:
 
 
 def corrupt(value: Column, seed: str, salt: str) -> Column:
-    """One of six changes at a random place: look-alike, key next to it, insertion, substitution, swap, deletion."""
+    """One of six changes at a random place: look-alike, key next to it, insertion, substitution, swap, deletion.
+
+    A character that has no look-alike or neighbour is substituted; the last one is swapped with the one before it.
+    """
     n = F.length(value)
     at = F.floor(draw(seed, salt + "at") * F.greatest(n, F.lit(1))).cast("int") + 1
     head, here, tail = F.substring(value, F.lit(1), at - 1), F.substring(value, at, F.lit(1)), F.substring(value, at + 1, n)
     letter = pick("abcdefghijklmnopqrstuvwxyz", seed, salt + "letter")
+    other = F.when(F.lower(here) == letter, F.lit("-")).otherwise(letter)
+    like = lambda table: F.when(F.translate(here, *table) != here, F.translate(here, *table)).otherwise(other)
+    left = F.least(at, F.greatest(n - 1, F.lit(1)))
     kinds = [
-        F.concat(head, F.translate(here, *_OCR), tail),
-        F.concat(head, F.translate(here, *_KEYS), tail),
+        F.concat(head, like(_OCR), tail),
+        F.concat(head, like(_KEYS), tail),
         F.concat(head, letter, here, tail),
-        F.concat(head, letter, tail),
-        F.concat(head, F.substring(tail, F.lit(1), F.lit(1)), here, F.substring(tail, F.lit(2), n)),
+        F.concat(head, other, tail),
+        F.concat(F.substring(value, F.lit(1), left - 1), F.substring(value, left + 1, F.lit(1)), F.substring(value, left, F.lit(1)), F.substring(value, left + 2, n)),
         F.concat(head, tail),
     ]
     return F.when(n >= 2, F.element_at(F.array(*kinds), F.floor(draw(seed, salt + "kind") * 6).cast("int") + 1)).otherwise(value)
@@ -138,16 +152,14 @@ class World:
     rules: dict[str, Rule]
 
 
-def generate_world(spark: SparkSession, n_records: int = 100, n_fields: int = 6, seed: int = 0, p_match: float = 0.02, hard_negative_rate: float = 0.0, observation: Observation = Observation(), fields: list[str] | None = None, nicknames: DataFrame | None = None, assigned: DataFrame | None = None) -> World:
+def generate_world(spark: SparkSession, n_records: int = 100, n_fields: int = 6, seed: int = 0, p_match: float = 0.02, hard_negative_rate: float = 0.0, observation: Observation = Observation(), fields: list[str] | None = None, nicknames: DataFrame | None = None, assigned: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> World:
     """A world of records (record_id, entity_id, fields). assigned: (record, entity), if not drawn here."""
     fields = fields or sample_fields(n_fields, seed)
     if assigned is None:
-        ids = sample_entity_ids(n_records, p_match, seed)
-        assigned = spark.createDataFrame(pd.DataFrame({"record": np.arange(n_records), "entity": ids}))
-        n_entities = int(ids.max()) + 1 if n_records else 0
-    else:
-        n_entities = (assigned.agg(F.max("entity")).first()[0] or 0) + 1
-    rules = choose_rules(ancestors(fields), seed, RULES)
+        one = spark.createDataFrame([(0, seed, n_records)], "world_id long, seed long, n_records long")
+        assigned = written(assignments(one, p_match), "assignments").select("record", "entity")
+    n_entities = assigned.agg(F.coalesce(F.max("entity") + 1, F.lit(0))).first()[0]
+    rules = choose_rules(ancestors(fields), seed, rules)
     people = entities(spark, n_entities, fields, seed, rules)
     if hard_negative_rate:
         people = add_hard_negatives(people, hard_negative_rate, seed, rules)
@@ -157,9 +169,11 @@ def generate_world(spark: SparkSession, n_records: int = 100, n_fields: int = 6,
 
 
 def generate_worlds(spark: SparkSession, n_worlds: int, seed: int = 0, records: tuple[int, int] = (50, 300), fields: tuple[int, int] = (3, 10), p_match: float = 0.02) -> list[World]:
-    """Worlds with sizes drawn from ranges; each is a plan of its own, as it has its own columns."""
-    out = []
+    """Worlds with sizes drawn from ranges. Each is a plan of its own, as it has its own columns; who is who is drawn for all at once, in parallel."""
+    drawn = []
     for i in range(n_worlds):
         g = np.random.default_rng((seed, i))
-        out.append(generate_world(spark, int(g.integers(records[0], records[1] + 1)), int(g.integers(fields[0], fields[1] + 1)), int(g.integers(1 << 31)), p_match))
-    return out
+        drawn.append((i, int(g.integers(1 << 31)), int(g.integers(records[0], records[1] + 1)), int(g.integers(fields[0], fields[1] + 1))))
+    worlds = spark.createDataFrame([w[:3] for w in drawn], "world_id long, seed long, n_records long")
+    assigned = written(assignments(worlds.repartition("world_id"), p_match), "assignments")
+    return [generate_world(spark, n, k, own, p_match, assigned=assigned.filter(F.col("world_id") == i).select("record", "entity")) for i, own, n, k in drawn]
