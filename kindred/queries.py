@@ -8,12 +8,12 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred import api
+from kindred import api, storage
 from kindred.functions import compare as C
 from kindred.functions import text as X
 from kindred.operators import graph, metrics, neural, pairs, records, runs, score, views
 from kindred.plans import synth, worldgraph
-from kindred.sources import convert, lookups, selector, sinks
+from kindred.sources import catalog, convert, lookups, selector, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 _ALL: dict[str, tuple[Query, str | None]] = {}
@@ -101,15 +101,18 @@ def threshold_metrics_embeddings(spark: SparkSession, d: str) -> DataFrame:
     return out.select("tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("pair_precision", "pair_recall", "pair_f1")])
 
 
-_NEAREST = f"""{_COSINES}, nodes AS (SELECT vec_id AS id FROM embeddings), ordered AS (SELECT *, row_number() OVER (ORDER BY score DESC, left_id, right_id) AS k FROM scored), edges AS (SELECT left_id, right_id FROM ordered WHERE k <= 300),
+_NEAREST = f"""{_COSINES}, nodes AS (SELECT vec_id AS id FROM embeddings), edges AS (SELECT left_id, right_id FROM scored WHERE score >= 0.4),
 sym AS (SELECT left_id AS a, right_id AS b FROM edges UNION SELECT right_id, left_id FROM edges)"""
 _REACH = """, reach AS (SELECT id AS a, id AS b FROM nodes UNION SELECT r.a, s.b FROM reach r JOIN sym s ON r.b = s.a), comp AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)"""
 
 
+#: The cosine from which embeddings are linked.
+_LINKED = 0.4
+
+
 def _clusters(spark: SparkSession, d: str) -> DataFrame:
     nodes = _table(spark, d, "embeddings").select(F.col("vec_id").alias("record_id"), "label")
-    best = views.top_pairs(_cosines(spark, d), 300)
-    return graph.component_labels(nodes, best, "record_id", "left_index", "right_index")
+    return graph.component_labels(nodes, _cosines(spark, d).filter(F.col("score") >= _LINKED), "record_id")
 
 
 @_query(_NEAREST.replace("WITH unit", "WITH RECURSIVE unit") + _REACH + " SELECT id AS record_id, label, component_id FROM comp JOIN embeddings ON id = vec_id")
@@ -125,22 +128,6 @@ def adjusted_rand_embeddings(spark: SparkSession, d: str) -> DataFrame:
     return metrics.adjusted_rand(_clusters(spark, d), "label", "component_id").select(F.round("adjusted_rand", 9).alias("adjusted_rand"))
 
 
-def _linked(spark: SparkSession, d: str) -> DataFrame:
-    """Clusters of all pairs at the linker's threshold or above, however many; the two queries above take the 300 best, as their SQL does."""
-    nodes = _table(spark, d, "embeddings").select(F.col("vec_id").alias("record_id"), "label")
-    return graph.component_labels(nodes, _cosines(spark, d).filter(F.col("score") >= api.Linker.threshold), "record_id")
-
-
-@_query()
-def threshold_components_embeddings(spark: SparkSession, d: str) -> DataFrame:
-    return _linked(spark, d).select("record_id", "label", "component_id")
-
-
-@_query()
-def threshold_adjusted_rand_embeddings(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.adjusted_rand(_linked(spark, d), "label", "component_id").select(F.round("adjusted_rand", 9).alias("adjusted_rand"))
-
-
 @_query(f"""{_COSINES}, b AS (SELECT target, CAST(least(floor(least(greatest(score, 0), 1) * 30), 29) AS INTEGER) AS bin, count(*) AS n FROM scored GROUP BY 1, 2)
 SELECT target, bin, n, round(n / sum(n) OVER (PARTITION BY target) * 30, 9) AS density FROM b""")
 def score_histogram_embeddings(spark: SparkSession, d: str) -> DataFrame:
@@ -174,10 +161,38 @@ def score_stats_embeddings(spark: SparkSession, d: str) -> DataFrame:
     return metrics.score_stats(_cosines(spark, d), ["target"]).withColumn("mean", F.round("mean", 6)).withColumn("median", F.round("median", 6))
 
 
-@_query()
+_EVALUATED = _NEAREST.replace("WITH unit", "WITH RECURSIVE unit") + _REACH + _CURVE + """, lab AS (SELECT label AS t, component_id AS c FROM comp JOIN embeddings ON id = vec_id), cell AS (SELECT t, c, CAST(count(*) AS DOUBLE) AS n FROM lab GROUP BY t, c),
+q AS (SELECT (SELECT sum(n) FROM cell) AS n, (SELECT sum(n * n) FROM cell) AS s, (SELECT sum(n * n) FROM (SELECT sum(n) AS n FROM cell GROUP BY t)) AS a, (SELECT sum(n * n) FROM (SELECT sum(n) AS n FROM cell GROUP BY c)) AS b),
+m AS (SELECT s - n AS tp, b - s AS fp, a - s AS fn, n * n - a - b + s AS tn FROM q),
+h AS (SELECT CAST(count(*) FILTER (WHERE score >= 0.4 AND target = 1) AS DOUBLE) AS tp, count(*) FILTER (WHERE score >= 0.4 AND target = 0) AS fp, count(*) FILTER (WHERE score < 0.4 AND target = 1) AS fn, count(*) FILTER (WHERE score > 0) AS c, count(*) FILTER (WHERE score > 0 AND target = 1) AS ct, count(*) AS n, sum(target) AS t FROM scored),
+k AS (SELECT max(pos) / (max(pos) + max(neg)) AS prevalence, sum(p * precision) / max(pos) AS pr_auc, sum(n * (tp - p + p / 2)) / (max(pos) * max(neg)) AS roc_auc FROM scores), best AS (SELECT f1, score FROM scores ORDER BY f1 DESC, score LIMIT 1)
+SELECT 'embeddings' AS name, (SELECT count(*) FROM embeddings) AS n_records, (SELECT count(DISTINCT label) FROM embeddings) AS n_entities, round(prevalence, 9) AS prevalence, round(roc_auc, 9) AS roc_auc, round(pr_auc, 9) AS pr_auc,
+  round(coalesce(h.tp / nullif(h.tp + h.fp, 0), 0), 9) AS pair_precision, round(h.tp / (h.tp + h.fn), 9) AS pair_recall, round(2 * h.tp / (2 * h.tp + h.fp + h.fn), 9) AS pair_f1, round(best.f1, 9) AS best_pair_f1, best.score AS best_pair_threshold,
+  round(CASE WHEN m.fp = 0 AND m.fn = 0 THEN 1 ELSE 2 * (m.tp * m.tn - m.fn * m.fp) / ((m.tp + m.fn) * (m.fn + m.tn) + (m.tp + m.fp) * (m.fp + m.tn)) END, 9) AS adjusted_rand, h.c AS candidate_pairs, round(h.c / h.n, 9) AS candidate_fraction, round(h.ct / h.t, 9) AS true_pair_candidate_recall
+FROM k, best, h, m"""
+
+
+@_query(_EVALUATED)
 def evaluate_embeddings(spark: SparkSession, d: str) -> DataFrame:
-    e = _table(spark, d, "embeddings")
-    return metrics.evaluate("embeddings", e, "vec_id", "label", _cosines(spark, d), 0.9)
+    out = metrics.evaluate("embeddings", _table(spark, d, "embeddings"), "vec_id", "label", _cosines(spark, d), _LINKED)
+    kept = ("name", "n_records", "n_entities", "best_pair_threshold", "candidate_pairs")
+    return out.select(*[c if c in kept else F.round(c, 9).alias(c) for c in out.columns])
+
+
+_ENDS = " UNION ALL ".join(
+    f"SELECT '{kind}' AS kind, row_number() OVER (ORDER BY score {order}, left_id, right_id) AS rank, left_id, right_id, score FROM scored WHERE target = {target}"
+    for kind, target, order in (("false_positive", 0, "DESC"), ("weak_positive", 1, ""), ("true_positive", 1, "DESC"), ("true_negative", 0, ""))
+)
+
+
+@_query(f"{_COSINES}, ends AS ({_ENDS}) SELECT kind, CAST(rank AS INTEGER) AS rank, left_id, right_id, score FROM ends WHERE rank <= 10")
+def confident_pairs_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.confident_pairs(_cosines(spark, d), 10)
+
+
+@_query(f"{_COSINES} SELECT left_id, right_id, score FROM scored WHERE target = 0 AND score >= 0.3 ORDER BY score DESC, left_id, right_id LIMIT 20")
+def merging_edges_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.merging_edges(_cosines(spark, d), 0.3)
 
 
 @_query()
@@ -351,6 +366,23 @@ def tfidf_neighbours_benchmark(spark: SparkSession, d: str) -> DataFrame:
     return pairs.tfidf_neighbours(b, b, "item_id", "text", "item_id", "text", 3).withColumn("score", F.round("score", 6))
 
 
+_GRAMS = r"""SELECT id, substr(w, i, n) AS gram, count(*) AS tf FROM (SELECT id, w, n, unnest(range(1, length(w) - n + 2)) AS i FROM (SELECT id, w, unnest([3, 4, 5]) AS n FROM (SELECT id, ' ' || w || ' ' AS w FROM (SELECT {i} AS id, unnest(regexp_split_to_array(lower(text), '\s+')) AS w FROM {t}) WHERE w <> '')) WHERE length(w) >= n) GROUP BY 1, 2"""
+
+
+@_query(f"""WITH r AS ({_GRAMS.format(i="item_id", t="benchmark")}), l AS ({_GRAMS.format(i="doc_id", t="documents")}), idf AS (SELECT gram, ln((1 + (SELECT count(*) FROM benchmark)) / (1 + count(*))) + 1 AS idf FROM r GROUP BY gram),
+u AS (SELECT id, gram, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM (SELECT id, gram, tf * idf AS w FROM r JOIN idf USING (gram))), v AS (SELECT id, gram, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM (SELECT id, gram, tf * idf AS w FROM l JOIN idf USING (gram))),
+s AS (SELECT v.id AS left_id, u.id AS right_id, sum(v.w * u.w) AS score FROM v JOIN u ON v.gram = u.gram GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY round(score, 9) DESC, right_id) AS rank FROM s)
+SELECT left_id, right_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM k WHERE rank <= 3""")
+def tfidf_neighbours_documents(spark: SparkSession, d: str) -> DataFrame:
+    found = pairs.tfidf_neighbours(_table(spark, d, "documents"), _table(spark, d, "benchmark"), "doc_id", "text", "item_id", "text", 3)
+    return found.withColumn("score", F.round("score", 6))
+
+
+@_query(r"""WITH blocks AS (SELECT DISTINCT id, token FROM (SELECT doc_id AS id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS token FROM documents) WHERE token <> '') SELECT token, count(*) AS n FROM blocks GROUP BY token HAVING count(*) >= 2""")
+def token_blocks_documents(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.block_sizes(pairs.token_blocks(_table(spark, d, "documents"), "doc_id", ["text"]))
+
+
 @_query("""SELECT doc_id AS record_id, min(doc_id) OVER (PARTITION BY text) AS component_id FROM documents""")
 def components_documents(spark: SparkSession, d: str) -> DataFrame:
     docs = _table(spark, d, "documents")
@@ -430,7 +462,34 @@ def fellegi_sunter_em_customer(spark: SparkSession, d: str) -> DataFrame:
     df = _customers(spark, d)
     model = score.fit_fellegi_sunter(df, "c_custkey", {"block": "identifier", **kinds})
     found = pairs.blocked_pairs(df, "c_custkey", ["block"], list(kinds))
-    return model.predict(score.add_gammas(found.withColumn("left_block", F.lit("")).withColumn("right_block", F.lit("")), C.comparison_plan({"block": "identifier", **kinds}))).select("left_id", "right_id", "match_weight", "score")
+    return model.score_pairs(found, {"block": "identifier", **kinds}).select("left_id", "right_id", "match_weight", "score")
+
+
+_RULED = f"""WITH {_CUSTOMERS}, agreed AS (SELECT count(*) AS k FROM c l JOIN c r ON l.c_custkey < r.c_custkey AND (l.block = r.block OR l.bucket = r.bucket OR l.c_mktsegment = r.c_mktsegment)), n AS (SELECT count(*) AS n FROM customer)"""
+
+
+@_query(f"{_RULED} SELECT k AS pairs, round(least(greatest(k / 0.7 / (n * (n - 1) / 2), 1e-9), 0.5), 9) AS prior FROM agreed, n")
+def match_prior_customer(spark: SparkSession, d: str) -> DataFrame:
+    df, rules = _customers(spark, d), ["block", "c_mktsegment", "bucket"]
+    return spark.createDataFrame([(pairs.rule_pair_count(df, rules), score.estimate_prior(df, rules))], "pairs long, prior double").withColumn("prior", F.round("prior", 9))
+
+
+@_query("""WITH s AS (SELECT *, CAST(floor(s_acctbal / 500) AS BIGINT) AS bucket FROM supplier), p AS (SELECT l.s_name AS a, r.s_name AS b, l.s_nationkey AS x, r.s_nationkey AS y, CAST(round(l.s_acctbal) AS VARCHAR) AS u, CAST(round(r.s_acctbal) AS VARCHAR) AS v FROM s l JOIN s r ON l.s_suppkey < r.s_suppkey AND l.bucket = r.bucket)
+SELECT CAST(CASE WHEN a = b THEN 4 WHEN jaro_winkler_similarity(a, b) >= 0.95 THEN 3 WHEN jaro_winkler_similarity(a, b) >= 0.9 THEN 2 WHEN jaro_winkler_similarity(a, b) >= 0.8 THEN 1 ELSE 0 END AS INTEGER) AS gamma_s_name, CAST(x = y AS INTEGER) AS gamma_s_nationkey,
+  CAST(CASE WHEN u = v THEN 3 WHEN levenshtein(u, v) <= 1 THEN 2 WHEN levenshtein(u, v) <= 2 THEN 1 ELSE 0 END AS INTEGER) AS gamma_balance_date, count(*) AS n FROM p GROUP BY 1, 2, 3""")
+def gamma_counts_supplier(spark: SparkSession, d: str) -> DataFrame:
+    balance = F.concat(F.round("s_acctbal").cast("long").cast("string"), F.lit(".0"))
+    df = _table(spark, d, "supplier").withColumn("bucket", F.floor(F.col("s_acctbal") / 500)).withColumn("balance_date", balance)
+    plan = C.comparison_plan({"s_name": "text", "s_nationkey": "categorical", "balance_date": "text"})
+    found = pairs.blocked_pairs(df, "s_suppkey", ["bucket"], list(plan))
+    return score.gamma_counts(score.add_gammas(found, plan), list(plan))
+
+
+@_query(f"""WITH {_CUSTOMERS}, e AS (SELECT left_id AS a, right_id AS b FROM cp WHERE left_c_mktsegment = right_c_mktsegment AND left_bucket = right_bucket), sym AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach AS (SELECT c_custkey AS a, c_custkey AS b FROM customer UNION SELECT r.a, s.b FROM reach r JOIN sym s ON r.b = s.a),
+comp AS (SELECT a, min(b) AS m FROM reach GROUP BY a) SELECT a AS c_custkey, dense_rank() OVER (ORDER BY m) - 1 AS cluster FROM comp""".replace("WITH c AS", "WITH RECURSIVE c AS", 1))
+def linker_clusters_customer(spark: SparkSession, d: str) -> DataFrame:
+    df = _customers(spark, d).select("c_custkey", "block", "c_mktsegment", "bucket")
+    return api.Linker(score.EvidenceScorer(), 1.0, "block").fit_predict(df, "c_custkey", {"c_mktsegment": "categorical", "bucket": "numeric"})
 
 
 @_query(f"""WITH {_CUSTOMERS}, m AS (SELECT CAST(left_c_mktsegment = right_c_mktsegment AS INTEGER) + CAST(left_bucket = right_bucket AS INTEGER) AS matching_fields,
@@ -441,7 +500,7 @@ def agreement_customer(spark: SparkSession, d: str) -> DataFrame:
     return metrics.agreement(found, ["c_mktsegment", "bucket"]).groupBy("matching_fields", "differing_fields").agg(F.count(F.lit(1)).alias("n"))
 
 
-_CONTRAST = f"""WITH {_CUSTOMERS}, t AS (SELECT CAST(left_c_mktsegment = right_c_mktsegment AS INTEGER) + CAST(left_bucket = right_bucket AS INTEGER) AS matching_fields, (left_id + right_id) % 2 AS target, ((left_id * 31 + right_id * 17) % 1000) / 1000.0 AS score,
+_CONTRAST = f"""WITH {_CUSTOMERS}, t AS (SELECT left_id, CAST(left_c_mktsegment = right_c_mktsegment AS INTEGER) + CAST(left_bucket = right_bucket AS INTEGER) AS matching_fields, (left_id + right_id) % 2 AS target, ((left_id * 31 + right_id * 17) % 1000) / 1000.0 AS score,
   concat_ws(', ', CASE WHEN left_c_mktsegment <> right_c_mktsegment THEN 'c_mktsegment' END, CASE WHEN left_bucket <> right_bucket THEN 'bucket' END) AS differing_fields FROM cp)"""
 
 
@@ -583,6 +642,17 @@ def candidate_selector(spark: SparkSession, d: str) -> DataFrame:
     return metrics.selector_metrics(selector.judge_selection(chosen, matches))
 
 
+_FEATURES = "f AS (SELECT c1.c_custkey AS left_id, c2.c_custkey AS right_id, abs(c1.c_acctbal - c2.c_acctbal) AS gap, CAST(c1.bucket = c2.bucket AS INTEGER) AS same_bucket FROM c c1 JOIN c c2 ON c1.block = c2.block AND c1.c_custkey < c2.c_custkey)"
+
+
+@_query(f"WITH {_CUSTOMERS}, {_FEATURES} SELECT left_id, right_id, round(1 / (1 + exp(-(0.25 - 0.04 * gap + 1.5 * same_bucket))), 9) AS score FROM f")
+def logistic_scores_customer(spark: SparkSession, d: str) -> DataFrame:
+    found = pairs.blocked_pairs(_customers(spark, d), "c_custkey", ["block"], ["bucket", "c_acctbal"])
+    marked = found.select("left_id", "right_id", F.abs(F.col("left_c_acctbal") - F.col("right_c_acctbal")).alias("gap"), (F.col("left_bucket") == F.col("right_bucket")).cast("int").alias("same_bucket"))
+    scored = score.LogisticScorer(["gap", "same_bucket"], [-0.04, 1.5], 0.25).score_pairs(marked)
+    return scored.select("left_id", "right_id", F.round("score", 9).alias("score"))
+
+
 @_query()
 def logistic_customer(spark: SparkSession, d: str) -> DataFrame:
     found = pairs.blocked_pairs(_customers(spark, d), "c_custkey", ["block"], ["c_mktsegment", "bucket", "c_acctbal"])
@@ -674,3 +744,183 @@ def joined_history_orders(spark: SparkSession, d: str) -> DataFrame:
 def linker_clusters_supplier(spark: SparkSession, d: str) -> DataFrame:
     s = _table(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_name", "s_acctbal")
     return api.Linker(threshold=0.55, block="s_nationkey").fit_predict(s, "s_suppkey", {"s_name": "text", "s_acctbal": "numeric"})
+
+
+# -- values, profiles and prompts --------------------------------------------------------------------------------------
+
+
+@_query("SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN nullif(nullif(lang, ''), 'nan') END AS lang, doc_id % 3 AS kind FROM documents")
+def clean_frame_documents(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.col("doc_id") % 3
+    rows = _table(spark, d, "documents").select("doc_id", F.when(kind == 0, "").when(kind == 1, "nan").otherwise(F.col("lang")).alias("lang"), kind.alias("kind"))
+    return X.clean_frame(rows)
+
+
+@_query("""SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE c_mktsegment END AS filled, lower('A ' || c_mktsegment || ' B') AS identifier, lower(c_mktsegment || '@X.example') AS email, c_mktsegment AS text,
+  upper(c_name[1:2]) AS state, trim(CASE WHEN c_custkey % 4 = 0 THEN '' ELSE c_mktsegment || ' ' END || c_name) AS person, CASE WHEN c_custkey % 4 = 0 THEN 'the United States' ELSE c_mktsegment || ', ' || c_mktsegment END AS place, c_name AS company FROM customer""")
+def identifier_texts_customer(spark: SparkSession, d: str) -> DataFrame:
+    some = F.when(F.col("c_custkey") % 4 != 0, F.col("c_mktsegment"))
+    return _table(spark, d, "customer").select(
+        "c_custkey", X.normalize_id(F.concat(F.col("c_custkey").cast("string"), F.lit(".0"))).alias("id"), X.fill_missing(some).alias("filled"), X.identifier_text("identifier", F.concat(F.lit("  A\t"), "c_mktsegment", F.lit("  B "))).alias("identifier"),
+        X.identifier_text("email", F.concat(F.lit(" "), "c_mktsegment", F.lit("@X.example"))).alias("email"), X.identifier_text("text", "c_mktsegment").alias("text"), X.normalize_state("c_name").alias("state"), X.format_person_name(some, "c_name").alias("person"),
+        X.format_location(some, some).alias("place"), X.format_company(F.concat("c_name", F.lit(". ."), F.lit("."))).alias("company_"),
+    ).withColumn("company", F.regexp_replace("company_", "\\. $", "")).drop("company_")
+
+
+@_query(r"""WITH w AS (SELECT doc_id, split_part(coalesce(text, ''), ' ', 1) AS w FROM documents) SELECT doc_id, coalesce(nullif(lower(regexp_replace(strip_accents(w), '[^a-zA-Z0-9]+', '', 'g')), ''), 'user') AS token, coalesce(nullif(upper(regexp_replace(strip_accents(w), '[^a-zA-Z0-9]+', '', 'g')), ''), 'ID') AS upper_token FROM w""")
+def name_tokens_documents(spark: SparkSession, d: str) -> DataFrame:
+    words = _table(spark, d, "documents").select("doc_id", F.element_at(F.split(X.fill_missing("text"), " "), 1).alias("w"))
+    return words.select("doc_id", X.name_token("w").alias("token"), X.name_token("w", "ID", True).alias("upper_token"))
+
+
+@_query("SELECT o_orderkey, strftime(o_orderdate, '%y') AS suffix FROM orders")
+def birth_year_suffix_orders(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "orders").select("o_orderkey", X.birth_year_suffix(F.date_format("o_orderdate", "dd/MM/yyyy")).alias("suffix"))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+_HEAD = _quoted("\n\nGiven entity record:\n")
+_LIST = _quoted("\n\nCandidate records:\n")
+
+
+@_query(f"""SELECT item_id, {_quoted(X._SELECT + X._MANY)} || {_HEAD} || text || {_LIST} || '[1] ' || reverse(text) || chr(10) || '[2] ' || text || chr(10) AS prompt, {_quoted(X._SELECT + X._ONE)} || {_HEAD} || text || {_LIST} || '[1] ' || text || chr(10) AS pair_prompt FROM benchmark""")
+def prompts_benchmark(spark: SparkSession, d: str) -> DataFrame:
+    b = _table(spark, d, "benchmark")
+    return b.select("item_id", X.make_prompt("text", F.array(F.reverse("text"), F.col("text"))).alias("prompt"), X.make_pair_prompt("text", "text").alias("pair_prompt"))
+
+
+def _profiles(spark: SparkSession, d: str) -> DataFrame:
+    """A labelled pair of profiles for each customer."""
+    key = F.col("c_custkey").cast("string")
+    side = lambda n: F.struct(F.concat("c_name", F.lit(n)).alias("fullname"), F.array(F.concat(key, F.lit("@x.example")), F.lit(""), F.lit(n)).alias("email"), F.array(key).alias("phone"), F.array().cast("array<string>").alias("addr"), F.lit("1990-01-02").alias("dob"))
+    return _table(spark, d, "customer").select((F.col("c_custkey") % 2 == 0).alias("match"), side("a").alias("profile1"), side("b").alias("profile2"), F.col("c_custkey").alias("line"))
+
+
+_SIDES = "sides AS (SELECT c_custkey, c_name, s, n FROM customer, (VALUES ('profile1', 'a'), ('profile2', 'b')) v(s, n))"
+
+
+@_query(f"""WITH {_SIDES} SELECT 'pair:' || c_custkey || CASE WHEN c_custkey % 2 = 0 THEN '' ELSE ':' || s END AS entity_id, 'pair:' || c_custkey AS pair_id, s AS source_table, c_custkey % 2 = 0 AS match_label, c_name || n AS fullname, c_custkey || '@x.example | ' || n AS email, CAST(c_custkey AS VARCHAR) AS phone, '' AS addr, '1990-01-02' AS dob FROM sides""")
+def profile_records_customer(spark: SparkSession, d: str) -> DataFrame:
+    return convert.profile_records(_profiles(spark, d))
+
+
+@_query(f"""WITH {_SIDES} SELECT c_custkey AS line, 'fullname: ' || c_name || 'a; email: ' || c_custkey || '@x.example |  | a; phone: ' || c_custkey || '; dob: 1990-01-02' AS profile FROM sides WHERE n = 'a'""")
+def serialize_profile_customer(spark: SparkSession, d: str) -> DataFrame:
+    return _profiles(spark, d).select("line", X.serialize_profile("profile1").alias("profile"))
+
+
+@_query("SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS line, c_custkey % 2 = 0 AS match, c_name || 'a' AS fullname FROM customer")
+def read_profile_pairs_customer(spark: SparkSession, d: str) -> DataFrame:
+    path = storage.scratch(spark, "profiles")
+    _profiles(spark, d).orderBy("line").withColumn("match", F.when(F.col("match"), "True").otherwise("False")).drop("line").write.json(path)
+    return convert.read_profile_pairs(spark, path).select("line", "match", F.col("profile1.fullname").alias("fullname"))
+
+
+@_query("(SELECT c_custkey AS line FROM customer WHERE c_custkey % 2 = 0 ORDER BY c_custkey LIMIT 30) UNION ALL (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 1 ORDER BY c_custkey LIMIT 30)")
+def balanced_pairs_customer(spark: SparkSession, d: str) -> DataFrame:
+    return convert.balanced_pairs(_profiles(spark, d), 30).select("line")
+
+
+@_query("""WITH k AS (SELECT p_partkey AS a, row_number() OVER (ORDER BY 'A:' || p_partkey) - 1 AS i FROM part WHERE p_partkey % 2 = 0)
+SELECT 'walmart_amazon:' || i AS entity_id, CASE WHEN p_partkey % 2 = 0 THEN 'A' ELSE 'B' END AS source_table, CAST(p_partkey AS VARCHAR) AS source_id, p_name AS title, p_brand AS brand, p_type AS modelno, CAST(p_size AS DOUBLE) AS price, p_type AS category, p_name || ' ' || p_type AS description FROM part JOIN k ON p_partkey - p_partkey % 2 = a""")
+def convert_walmart_amazon_part(spark: SparkSession, d: str) -> DataFrame:
+    p = _table(spark, d, "part").withColumn("id", F.col("p_partkey").cast("string"))
+    columns = [F.col("p_name").alias("title"), F.col("p_brand").alias("brand"), F.col("p_type").alias("modelno"), F.concat(F.lit("$"), "p_size", F.lit(" each")).alias("price"), F.col("p_type").alias("category")]
+    a = p.filter("p_partkey % 2 = 0").select("id", *columns, F.col("p_name").alias("shortdescr"), F.concat(F.lit(" "), "p_type").alias("longdescr"))
+    b = p.filter("p_partkey % 2 = 1").select("id", *columns, F.col("p_name").alias("proddescrshort"), F.col("p_type").alias("proddescrlong"))
+    matches = p.filter("p_partkey % 2 = 0").select(F.col("id").alias("left_id"), (F.col("p_partkey") + 1).cast("string").alias("right_id"))
+    return convert.convert_linkage(a, b, matches, "walmart_amazon")
+
+
+@_query("SELECT p_partkey, 'USD ' || p_size || ',00' AS price_text, CAST(p_size AS DOUBLE) AS price_numeric, CAST(p_size AS DOUBLE) AS price FROM part")
+def price_variants_part(spark: SparkSession, d: str) -> DataFrame:
+    p = _table(spark, d, "part").select("p_partkey", F.concat(F.lit("USD "), "p_size", F.lit(",00")).alias("price"))
+    return convert.both_prices(p).join(convert.numeric_price(p), "p_partkey")
+
+
+@_query("SELECT c_custkey AS entity_id, c_name AS name, c_mktsegment AS segment FROM customer WHERE c_custkey % 7 <> 0")
+def convert_people_customer(spark: SparkSession, d: str) -> DataFrame:
+    c = _table(spark, d, "customer").withColumn("person", F.when(F.col("c_custkey") % 7 != 0, F.col("c_custkey")))
+    return convert.convert_people(c, "person", {"c_name": "name", "c_mktsegment": "segment"})
+
+
+@_query("SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name || ' é' AS n_name FROM nation")
+def read_text_csv_nation(spark: SparkSession, d: str) -> DataFrame:
+    path = storage.scratch(spark, "latin-1")
+    _table(spark, d, "nation").select("n_nationkey", F.concat("n_name", F.lit(" é")).alias("n_name"), "n_regionkey").write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    return catalog.read_text_csv(spark, path, ["n_nationkey", "n_name"])
+
+
+@_query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey % 2 = 1")
+def remaining_nation(spark: SparkSession, d: str) -> DataFrame:
+    path, n = storage.scratch(spark, "done"), _table(spark, d, "nation").select("n_nationkey", "n_name")
+    for k in (0, 2):
+        some = sinks.remaining(n.filter(F.col("n_nationkey") % 4 == k), path, ["n_nationkey"], "n_nationkey int, n_name string")
+        sinks.append_json(some, path)
+    return sinks.remaining(n, path, ["n_nationkey"], "n_nationkey int, n_name string")
+
+
+@_query("""SELECT r_name AS benchmark, 'region' AS kind, 2 AS n_fields, 'vote' AS baseline, n_name AS policy, n_nationkey * 10 AS n_records, CAST(n_nationkey * 10 * (n_nationkey * 10 - 1) // 2 AS BIGINT) AS n_pairs, CASE WHEN n_name = 'NATION_0' THEN 'zero' ELSE 'vote:' || n_name END AS model
+FROM nation LEFT JOIN region ON n_regionkey = r_regionkey""")
+def results_table_nation(spark: SparkSession, d: str) -> DataFrame:
+    r, n = _table(spark, d, "region"), _table(spark, d, "nation")
+    metadata = r.select(F.col("r_name").alias("benchmark"), F.lit("region").alias("kind"), F.lit(2).alias("n_fields"))
+    results = n.join(r, n["n_regionkey"] == r["r_regionkey"], "left").select(F.col("r_name").alias("benchmark"), F.lit("vote").alias("baseline"), F.col("n_name").alias("policy"), (F.col("n_nationkey") * 10).alias("n_records"))
+    return catalog.results_table(metadata, results, {"NATION_0": "zero"})
+
+
+_CODES = f"codes AS (SELECT {list(lookups.STATES)}[1 + n_nationkey % 5] AS state, CAST(200 + n_nationkey AS VARCHAR) AS code FROM nation)"
+
+
+def _area_codes(spark: SparkSession, d: str) -> DataFrame:
+    states = F.array(*map(F.lit, lookups.STATES))
+    raw = _table(spark, d, "nation").select(F.concat(F.lit(" "), (F.col("n_nationkey") + 200).cast("string")).alias("Area Code"), F.element_at(states, F.col("n_nationkey") % 5 + 1).alias("Region"))
+    return lookups.area_codes(raw.unionByName(spark.createDataFrame([("99", "AL"), ("300", "ZZ")], "`Area Code` string, Region string")))
+
+
+@_query(f"WITH {_CODES} SELECT state, list_sort(list(code)) AS codes FROM codes GROUP BY state")
+def area_codes_nation(spark: SparkSession, d: str) -> DataFrame:
+    return _area_codes(spark, d)
+
+
+@_query(f"WITH {_CODES}, s AS (SELECT state, list_sort(list(code)) AS codes FROM codes GROUP BY state) SELECT s_suppkey, coalesce(codes, (SELECT list_sort(list(code)) FROM codes)) AS codes FROM supplier LEFT JOIN s ON state = {list(lookups.STATES)}[1 + s_suppkey % 9]")
+def area_code_lookup_supplier(spark: SparkSession, d: str) -> DataFrame:
+    codes = _area_codes(spark, d)
+    every = F.array(*map(F.lit, lookups.general_area_codes(codes).first()["codes"]))
+    state = F.element_at(F.array(*map(F.lit, lookups.STATES)), (F.col("s_suppkey") % 9 + 1).cast("int"))
+    return lookups.with_lookup(_table(spark, d, "supplier").select("s_suppkey"), state, codes, "state", "codes", every, "codes")
+
+
+@_query("SELECT s_suppkey, row_number() OVER (ORDER BY md5(s_suppkey || ':5'), s_suppkey) - 1 AS place FROM supplier")
+def shuffled_supplier(spark: SparkSession, d: str) -> DataFrame:
+    return runs.shuffled(_table(spark, d, "supplier"), ["s_suppkey"], 5, "place").select("s_suppkey", "place")
+
+
+@_query("""WITH x AS (SELECT quality = 1 AS m, doc_id % 3 < 2 AS h, CAST(doc_id % 4 AS INTEGER) AS p, quality = 1 AND doc_id % 3 < 2 AND doc_id % 4 = 2 AS c, doc_id % 50 AS t, doc_id % 17 = 0 AS e FROM labels), k AS (SELECT count(*) AS n, CAST(count(*) FILTER (WHERE c) AS DOUBLE) AS tp, count(*) FILTER (WHERE p > 0) AS chosen, count(*) FILTER (WHERE m) AS ms, count(*) FILTER (WHERE m AND h) AS hits, sum(t) AS t, count(*) FILTER (WHERE e) AS e FROM x)
+SELECT n, round(hits / ms, 9) AS candidate_recall, round(tp / chosen, 9) AS precision, round(tp / ms, 9) AS recall, round(2 * tp / (chosen + ms), 9) AS f1, CAST(t AS BIGINT) AS prompt_tokens, n AS completion_tokens, e AS errors FROM k""")
+def selector_metrics_labels(spark: SparkSession, d: str) -> DataFrame:
+    m, h, p = F.col("quality") == 1, F.col("doc_id") % 3 < 2, (F.col("doc_id") % 4).cast("int")
+    rows = _table(spark, d, "labels").select(m.alias("has_match"), h.alias("candidate_hit"), p.alias("prediction"), (m & h & (p == 2)).alias("correct"), (F.col("doc_id") % 50).alias("prompt_tokens"), F.lit(1).cast("long").alias("completion_tokens"), F.when(F.col("doc_id") % 17 == 0, "x").alias("error"))
+    out = metrics.selector_metrics(rows)
+    return out.select("n", *[F.round(c, 9).alias(c) for c in ("candidate_recall", "precision", "recall", "f1")], "prompt_tokens", "completion_tokens", "errors")
+
+
+@_query(_CONTRAST + """SELECT left_id % 3 AS benchmark, count(*) AS n_pairs, round(avg(target), 9) AS prevalence, round(median(score) FILTER (WHERE target = 1), 9) AS median_positive, round(median(score) FILTER (WHERE target = 0), 9) AS median_negative,
+  round(avg(CAST(matching_fields = 2 AS DOUBLE)) FILTER (WHERE target = 1), 9) AS exact_positive_rate, round(avg(CAST(matching_fields = 2 AS DOUBLE)) FILTER (WHERE target = 0), 9) AS exact_negative_rate FROM t GROUP BY 1""")
+def benchmark_diagnostics_customer(spark: SparkSession, d: str) -> DataFrame:
+    out = metrics.benchmark_diagnostics(_contrast_pairs(spark, d).withColumn("benchmark", F.col("left_id") % 3), "benchmark", 2)
+    return out.select("benchmark", "n_pairs", *[F.round(c, 9).alias(c) for c in out.columns[2:]])
+
+
+@_query("SELECT round(avg(f1), 9) AS f1, round(avg(recall), 9) AS recall FROM (SELECT event_type AS name, avg(value) AS f1, max(value) AS recall FROM events GROUP BY 1)")
+def mean_metrics_events(spark: SparkSession, d: str) -> DataFrame:
+    rows = _table(spark, d, "events").groupBy(F.col("event_type").alias("name")).agg(F.avg("value").alias("f1"), F.max("value").alias("recall"))
+    return metrics.mean_metrics(rows).select(F.round("f1", 9).alias("f1"), F.round("recall", 9).alias("recall"))
+
+
+@_query("SELECT quality AS split, count(*) AS pairs, CAST(sum(toxic) AS BIGINT) AS positives, CAST(sum(1 - toxic) AS BIGINT) AS negatives FROM labels GROUP BY 1")
+def split_counts_labels(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.split_counts(_table(spark, d, "labels").select(F.col("quality").alias("split"), F.col("toxic").alias("label")))

@@ -126,4 +126,7 @@ def test_logistic_orders_pairs(spark):
     df = spark.createDataFrame([(x / 10, int(x > 12)) for x in range(20)], "x double, target int")
     model = score.fit_logistic(df, ["x"])
     assert model.weights[0] > 0
-    assert score.fit_logistic(df.withColumn("target", F.lit(0)), ["x"]) is None
+    for target, wanted in ((0, 0.0), (1, 1.0)):  # one class only: a constant
+        constant = score.fit_logistic(df.withColumn("target", F.lit(target)), ["x"]).score_pairs(df)
+        assert all(abs(r["score"] - wanted) < 1e-12 for r in constant.collect())
+    assert score.fit_logistic(df.limit(0), ["x"]).score_pairs(df.limit(0)).count() == 0

@@ -38,7 +38,7 @@ def test_entity_sample(spark):
     keep = lambda **o: {r["e"] for r in R.sample_entities(df, "e", ["v"], **o).collect()}
     assert keep(n_entities=2) == {"a", "b"}
     assert keep(n_entities=1, require_variation=True) == {"b"}
-    with pytest.raises(ValueError, match="only 2 are eligible"):
+    with pytest.raises(ValueError, match="there are 2"):
         R.sample_entities(df, "e", ["v"], 3)
 
 

@@ -37,18 +37,18 @@ def test_all_pairs_at_the_threshold_are_linked(spark, tmp_path):
     g = random.Random(6)
     vectors = {}
     for i in range(100):
-        v = [g.gauss(0, 0.1) for _ in range(8)]
+        v = [g.gauss(0, 0.07) for _ in range(8)]
         v[i % 5] += 1
         vectors[i] = v
     labels = {i: f"l{i % 5 if i < 90 else 0}" for i in vectors}
     spark.createDataFrame([(i, v, labels[i]) for i, v in vectors.items()], "vec_id long, embedding array<float>, label string").write.parquet(f"{tmp_path}/embeddings.parquet")
     norm = lambda v: sum(x * x for x in v) ** 0.5
-    edges = [(a, b) for a, b in itertools.combinations(vectors, 2) if sum(x * y for x, y in zip(vectors[a], vectors[b])) / norm(vectors[a]) / norm(vectors[b]) >= 0.5]
+    edges = [(a, b) for a, b in itertools.combinations(vectors, 2) if sum(x * y for x, y in zip(vectors[a], vectors[b])) / norm(vectors[a]) / norm(vectors[b]) >= 0.4]
     want = components(vectors, edges)
     assert len(edges) > 900 and len(set(want.values())) == 5
-    found = queries.queries()["threshold_components_embeddings"](spark, str(tmp_path)).collect()
+    found = queries.queries()["components_embeddings"](spark, str(tmp_path)).collect()
     assert {r["record_id"]: r["component_id"] for r in found} == want
-    row = queries.queries()["threshold_adjusted_rand_embeddings"](spark, str(tmp_path)).first()
+    row = queries.queries()["adjusted_rand_embeddings"](spark, str(tmp_path)).first()
     assert row["adjusted_rand"] == pytest.approx(adjusted_rand(labels, want), abs=1e-8)
 
 

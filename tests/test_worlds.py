@@ -95,7 +95,7 @@ def test_selector_retries_and_reports(spark):
 
     df = spark.createDataFrame([("p",)], "prompt string")
     assert selector.ask(df, broken, retries=2, wait=0).first()["error"] == "OSError: no network"
-    assert selector.overlap_answer("Given entity record:\nred car\n\nCandidate records:\n[1] blue\n[2] red\n") == "[2]"
+    assert selector.overlap_answer("Given entity record:\nred car\n\nCandidate records:\n[1] blue\n[2] red\n").text == "[2]"
 
 
 def test_sinks_resume(spark, tmp_path):
