@@ -6,8 +6,12 @@ use blocks, whose pairs are found by equi-joins on keys.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +58,45 @@ def all_pairs(records: DataFrame, record_id: str, columns: list[str] = (), most:
     return left.join(right, on if condition is None else on & condition)
 
 
+def cosine_pairs(records: DataFrame, record_id: str, vector: str, same: str | None = None, most: int = MAX_PAIRS, block: int = 256) -> DataFrame:
+    """Each unordered pair once, the smaller id left, and the cosine of their vectors: left_id, right_id, score.
+
+    same: a column that adds target, 1 if it is equal on both sides (null never is). Rows are put in blocks of about `block`
+    by a hash; each pair of blocks is one product of matrices. A zero vector's cosines are 0; without a vector they are
+    null. The pair count is checked before anything runs; vectors must be of one length.
+    """
+    size = records.agg(F.count(F.lit(1)).alias("n"), F.min(F.size(vector)).alias("a"), F.max(F.size(vector)).alias("b"), F.count(vector).alias("there")).first()
+    n, width = size["n"], size["b"] if size["there"] else 0
+    if n * (n - 1) // 2 > most:
+        raise ValueError(f"{n} records make {n * (n - 1) // 2} pairs, over the limit of {most}; block them first")
+    if records.filter(F.col(vector).isNotNull() & (F.size(vector) != width)).limit(1).count():
+        raise ValueError(f"the vectors of {vector} differ in length")
+    kind = records.schema[record_id].dataType.simpleString()
+    numbers = F.coalesce(F.transform(vector, lambda x: x.cast("double")), F.array_repeat(F.lit(math.nan), width))
+    row = F.struct(F.col(record_id).alias("id"), (F.col(same).cast("string") if same else F.lit(None).cast("string")).alias("same"), numbers.alias("v"))
+    blocks = records.groupBy(F.pmod(F.xxhash64(record_id), F.lit(max(1, -(-n // block)))).alias("b")).agg(F.collect_list(row).alias("rows"))
+    a, b = blocks.select(F.col("b").alias("i"), F.col("rows").alias("left")), blocks.select(F.col("b").alias("j"), F.col("rows").alias("right"))
+    tasks = records.sparkSession.sparkContext.defaultParallelism * 4
+    both = a.join(b, F.col("i") <= F.col("j")).repartition(tasks, "i", "j").select("left", "right", (F.col("i") == F.col("j")).alias("own"))
+
+    def side(scalar: pa.ListScalar) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        rows = scalar.values
+        x = rows.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), width)
+        length = np.sqrt((x * x).sum(1, keepdims=True))
+        return rows.field("id"), x / np.where(length == 0, 1, length), rows.field("same").to_numpy(zero_copy_only=False)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for left, right, own in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist()):
+                (p, x, s), (q, y, t) = side(left), side(right)
+                i, j = np.triu_indices(len(p), 1) if own else (k.ravel() for k in np.indices((len(p), len(q))))
+                score, target = (x @ y.T)[i, j], ((s[:, None] == t[None, :]) & (s != None)[:, None])[i, j]  # noqa: E711
+                yield pa.RecordBatch.from_arrays([p.take(pa.array(i)), q.take(pa.array(j)), pa.array(score, mask=np.isnan(score)), pa.array(target.astype(np.int32))], names=["a", "b", "score", "target"])
+
+    found = both.mapInArrow(work, f"a {kind}, b {kind}, score double, target int")
+    return found.select(F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id"), "score", *["target"] * bool(same))
+
+
 def cross_source_pairs(records: DataFrame, record_id: str, source: str, columns: list[str] = (), most: int = MAX_PAIRS) -> DataFrame:
     """Pairs whose sources differ."""
     columns = [*dict.fromkeys([source, *columns])]

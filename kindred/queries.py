@@ -43,11 +43,9 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _cosines(spark: SparkSession, d: str) -> DataFrame:
-    """All pairs of embeddings; vectors are made unit vectors before they are paired, so a pair costs one dot product."""
-    df = _table(spark, d, "embeddings").select("vec_id", "label", C.unit("embedding").alias("e"))
-    scored = pairs.all_pairs(df, "vec_id", ["label", "e"])
-    target = (F.col("left_label") == F.col("right_label")).cast("int")
-    return scored.select("left_id", "right_id", F.round(C.dot("left_e", "right_e"), 6).alias("score"), target.alias("target"))
+    """All pairs of embeddings."""
+    scored = pairs.cosine_pairs(_table(spark, d, "embeddings"), "vec_id", "embedding", "label")
+    return scored.withColumn("score", F.round("score", 6))
 
 
 _COSINES = """WITH unit AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings

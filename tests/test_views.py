@@ -1,3 +1,6 @@
+import itertools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +97,28 @@ def test_splits_never_overlap(spark):
     counts = {r["split"]: (r["pairs"], r["p"]) for r in out.groupBy("split").agg(F.count("*").alias("pairs"), F.sum("label").alias("p")).collect()}
     assert counts == {"train": (20, 6), "valid": (2, 2), "test": (8, 2)}
     assert out.select("left_id").distinct().count() == 30
+
+
+@pytest.mark.parametrize("block", [256, 5])
+def test_cosines_in_blocks(spark, block):
+    g = random.Random(block)
+    vectors = [(i, [g.gauss(0, 1) for _ in range(6)], g.choice(["x", "y", None])) for i in range(40)] + [(40, [0.0] * 6, "x"), (41, None, "x")]
+    df = spark.createDataFrame(vectors, "id long, v array<double>, l string").repartition(3)
+    found = {(r["left_id"], r["right_id"]): (r["score"], r["target"]) for r in pairs.cosine_pairs(df, "id", "v", "l", block=block).collect()}
+    assert len(found) == 42 * 41 // 2
+    for (i, a, s), (j, b, t) in itertools.combinations(vectors, 2):
+        score, target = found[i, j]
+        norm = a and b and (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+        assert target == int(s is not None and s == t)
+        assert score is None if norm is None else score == pytest.approx(sum(x * y for x, y in zip(a, b)) / norm if norm else 0)
+    assert pairs.cosine_pairs(df.limit(0), "id", "v").count() == 0 and pairs.cosine_pairs(df, "id", "v").columns == ["left_id", "right_id", "score"]
+    with pytest.raises(ValueError, match="over the limit"):
+        pairs.cosine_pairs(df, "id", "v", most=10)
+    with pytest.raises(ValueError, match="length"):
+        pairs.cosine_pairs(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "id long, v array<double>"), "id", "v")
+
+
+def test_ids_that_are_texts(spark):
+    df = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 1.0]), ("c", [0.0, 2.0])], "id string, v array<double>")
+    found = {(r["left_id"], r["right_id"]): round(r["score"], 6) for r in pairs.cosine_pairs(df, "id", "v").collect()}
+    assert found == {("a", "b"): 0.707107, ("a", "c"): 0.707107, ("b", "c"): 0.0}

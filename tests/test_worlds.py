@@ -4,9 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kindred.operators import neural
+from kindred.operators import metrics, neural, pairs, runs
 from kindred.plans import synth, worldgraph
-from kindred.sources import catalog, convert, selector, sinks
+from kindred.sources import catalog, convert, lookups, selector, sinks
 from kindred.streaming import incremental
 
 
@@ -142,3 +142,41 @@ def test_incremental_linkage(spark, tmp_path):
     incremental.start_linkage(stream, known, links, str(tmp_path / "cp"), "key", "id", same).awaitTermination(120)
     assert [(r["left_id"], r["right_id"]) for r in spark.read.parquet(links).collect()] == [(1, 10)]
     assert spark.read.option("recursiveFileLookup", "true").parquet(known).count() == 5
+
+
+def test_metadata_with_split_counts(spark, tmp_path):
+    labelled = spark.createDataFrame([(i, i + 50, int(i < 10)) for i in range(40)], "left_id long, right_id long, label int")
+    split = pairs.split_pairs(labelled, {"train": 12, "valid": 4, "test": 4})
+    counts = {r["split"]: {"pairs": r["pairs"], "positives": r["positives"], "negatives": r["negatives"]} for r in metrics.split_counts(split).collect()}
+    sinks.write_metadata(spark, str(tmp_path / "meta"), {"seed": 0, "splits": counts})
+    (text,) = [r["value"] for r in spark.read.text(str(tmp_path / "meta")).collect()]
+    assert json.loads(text)["splits"] == {"train": {"pairs": 12, "positives": 6, "negatives": 6}, "valid": {"pairs": 4, "positives": 2, "negatives": 2}, "test": {"pairs": 4, "positives": 2, "negatives": 2}}
+
+
+def test_checkpoints_and_missing_paths(spark, tmp_path):
+    model = neural.RecordTransformer.random(seed=3)
+    paths = runs.save_checkpoint(model, str(tmp_path), {"seed": 3}, best=True)
+    again = neural.RecordTransformer.load(paths[0])
+    assert len(paths) == 2 and all((again.weights[k] == v).all() for k, v in model.weights.items())
+    table = spark.createDataFrame([(paths[0],), (None,), ("gone.npz",), ("gone.npz",)], "path string")
+    assert lookups.missing_paths(table, "path", paths) == ["gone.npz"]
+
+
+def test_places_are_read(spark, tmp_path):
+    line = "\t".join(["US", "62701", "Springfield", "Illinois", "IL", "Sangamon", "167", "", "", "39.8", "-89.6", "4"])
+    (tmp_path / "p.txt").write_text(line + "\n" + line.replace("62701", "") + "\n")
+    assert [tuple(r) for r in lookups.read_places(spark, str(tmp_path / "p.txt")).collect()] == [("62701", "Springfield", "IL")]
+
+
+def test_first_candidates(spark):
+    df = spark.createDataFrame([(1, 5, 0.5), (1, 6, 0.9), (1, 4, 0.5), (2, 7, 0.1)], "left_id int, right_id int, score double")
+    assert sorted((r["left_id"], r["right_id"], r["rank"]) for r in selector.first_candidates(df, 2).collect()) == [(1, 4, 2), (1, 6, 1), (2, 7, 1)]
+
+
+def test_windowed_counts_of_a_stream(spark, tmp_path):
+    rows = [("2024-01-01 00:00:01", "a"), ("2024-01-01 00:04:59", "a"), ("2024-01-01 00:05:00", "b")]
+    spark.createDataFrame(rows, "t string, k string").select(F.to_timestamp("t").alias("ts"), "k").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, k string").parquet(str(tmp_path / "in"))
+    query = incremental.windowed_counts(stream, "ts", "k").writeStream.format("memory").queryName("windowed").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted((str(r["window_start"]), r["k"], r["n"]) for r in spark.table("windowed").collect()) == [("2024-01-01 00:00:00", "a", 2), ("2024-01-01 00:05:00", "b", 1)]
