@@ -47,7 +47,7 @@ class Layout(NamedTuple):
     reach: int
 
 
-COARSE, FINE_LAYOUT = Layout(((0, 22), (22, 21), (43, 21)), 15, 2), Layout(((0, 32), (32, 32)), 31, 3)
+COARSE, FINE_LAYOUT, WIDE = Layout(((0, 22), (22, 21), (43, 21)), 15, 2), Layout(((0, 32), (32, 32)), 31, 3), Layout(((0, 22), (22, 21), (43, 21)), 15, 3)
 #: Distinct fingerprints from which the fine layout costs less.
 FINE = 1 << 26
 #: Homes of an anchor that are compared together, and rows that a task holds besides.
@@ -176,10 +176,14 @@ def _blocks(fp: np.ndarray, layout: Layout) -> Iterator[tuple[int, int, np.ndarr
 
 
 def links(prints: DataFrame, most: int = 4, layout: Layout | None = None) -> DataFrame:
-    """Links (left_id, right_id) between distinct fingerprints (column fp) that connect all that differ in `most` bits or fewer."""
-    if most != 4:
-        raise ValueError("the anchors are laid out for 4 bits")
-    layout = layout or (COARSE if prints.count() < FINE else FINE_LAYOUT)
+    """Links (left_id, right_id) between distinct fingerprints (column fp) that connect all that differ in `most` bits or fewer.
+
+    Five bits at most leave one of three blocks with one, or one of two with two; up to eight leave one of three with two,
+    which takes 308 visits.
+    """
+    layout = layout or (WIDE if most > 5 else COARSE if prints.count() < FINE else FINE_LAYOUT)
+    if not 0 <= most < len(layout.blocks) * layout.reach:
+        raise ValueError(f"these anchors find links of {len(layout.blocks) * layout.reach - 1} bits at most")
 
     def own_homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,11 +266,11 @@ def _compare(most: int):
     return compare
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, most: int = 4) -> DataFrame:
     """One row per row: its id, fingerprint (hexadecimal) and component_id (the smallest id reachable over links)."""
     rows = written(fingerprints(docs, doc_id, text, words).withColumnRenamed(doc_id, "id"), "fingerprints")
     prints = written(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows")), "distinct-fingerprints")
-    linked = written(links(prints), "links")
+    linked = written(links(prints, most), "links")
     roots = connected_components(linked)
     named = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))

@@ -118,7 +118,7 @@ def test_fine_code_visits_all_within_three():
     assert len(set(visited)) == len(visited) and set(visited) == {v for v, z in zip(near, zero) if z}
 
 
-def components(prints):
+def components(prints, most=4):
     up = list(range(len(prints)))
 
     def root(i):
@@ -128,7 +128,7 @@ def components(prints):
 
     for i in range(len(prints)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 4:
+            if (prints[i] ^ prints[j]).bit_count() <= most:
                 a, b = sorted((root(i), root(j)))
                 up[b] = a
     return {root(i): [j for j in range(len(prints)) if root(j) == root(i)] for i in range(len(prints))}
@@ -168,6 +168,30 @@ def test_links_connect_what_is_near(spark, chunk, held, layout, monkeypatch):
         assert len({root(i) for i in own}) == 1
 
 
+@pytest.mark.parametrize("most", [0, 5, 8])
+def test_links_of_other_thresholds(spark, most):
+    g = random.Random(most)
+    prints = [g.getrandbits(64) for _ in range(40)]
+    for _ in range(300):
+        x = g.choice(prints)
+        for b in g.sample(range(64), g.randrange(1, 11)):
+            x ^= 1 << b
+        prints.append(x)
+    prints = sorted(set(prints))
+    signed = [int(np.uint64(p).view(np.int64)) for p in prints]
+    out = simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long").repartition(3), most)
+    at = {p: i for i, p in enumerate(prints)}
+    found = [(at[r[0] % 2**64], at[r[1] % 2**64]) for r in out.collect()]
+    own = {i: root for root, group in components(prints, most).items() for i in group}
+    up = list(range(len(prints)))
+    for _ in up:
+        for a, b in found:
+            up[a] = up[b] = min(up[a], up[b])
+    assert all(own[a] == own[b] for a, b in found) and len(set(up)) == len(set(own.values()))
+    with pytest.raises(ValueError, match="8 bits"):
+        simhash.links(spark.createDataFrame([(1,)], "fp long"), 9)
+
+
 def test_near_duplicates_of_a_table(spark):
     g = random.Random(3)
     base = [" ".join(g.choice("abcdefgh") + str(g.randrange(99)) for _ in range(g.choice([3, 40, 300]))) for _ in range(20)]

@@ -50,6 +50,7 @@ def brute_fast(text, items):
 
 def test_stages_keep_columns_and_clashing_ones(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").withColumn("score", F.lit("x")).withColumn("component_id", F.lit(1))
+    docs = docs.withColumn("_row_key", F.lit(2)).withColumn("_toxic_score", F.lit(3)).withColumn("_match", F.lit(4)).withColumn("_metadata", F.lit(5))
     for _, stage in P.STAGES[:-1]:
         out = stage(spark, docs, DATA)
         assert out.columns == docs.columns and 0 < out.count() <= docs.count()
