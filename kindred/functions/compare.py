@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -68,14 +69,50 @@ def jaro_winkler_text(a: str, b: str) -> float:
     return jaro + 0.1 * prefix * (1 - jaro)
 
 
+def jaro_winkler_texts(pairs: list[tuple[str, str]]) -> list[float]:
+    """jaro_winkler_text of many pairs, compared place by place for all pairs of about one length at once."""
+    out = np.zeros(len(pairs))
+    longest = np.array([max(len(a), len(b)) for a, b in pairs], int)
+    for least, most in ((0, 8), (8, 16), (16, 32), (32, 64)):
+        own = np.flatnonzero((longest > least) & (longest <= most))
+        if len(own):
+            out[own] = _jaro_winkler([pairs[i][0] for i in own], [pairs[i][1] for i in own], most)
+    for i in np.flatnonzero(longest > 64):
+        out[i] = jaro_winkler_text(*pairs[i])
+    return out.tolist()
+
+
+def _jaro_winkler(left: list[str], right: list[str], width: int) -> np.ndarray:
+    a, b = (np.array(x, f"<U{width}").view(np.uint32).reshape(-1, width) for x in (left, right))
+    m, n = (np.array(list(map(len, x))) for x in (left, right))
+    reach = np.maximum(np.maximum(m, n) // 2 - 1, 0)
+    used, taken = np.zeros(a.shape, bool), np.zeros(b.shape, bool)
+    far = int(reach.max())
+    for i in range(width):
+        open_ = i < m
+        for j in range(max(0, i - far), min(width, i + far + 1)):
+            hit = open_ & (abs(i - j) <= reach) & (j < n) & ~taken[:, j] & (a[:, i] == b[:, j])
+            used[:, i] |= hit
+            taken[:, j] |= hit
+            open_ &= ~hit
+    common = used.sum(1)
+    first, second = (np.take_along_axis(x, np.argsort(~marked, axis=1, kind="stable"), 1) for x, marked in ((a, used), (b, taken)))
+    turns = ((first != second) & (np.arange(width) < common[:, None])).sum(1) // 2
+    safe = np.maximum(common, 1)
+    jaro = np.where(common > 0, (common / np.maximum(m, 1) + common / np.maximum(n, 1) + (common - turns) / safe) / 3, 0.0)
+    prefix = np.cumprod((a[:, :4] == b[:, :4]) & (np.arange(min(4, width)) < np.minimum(m, n)[:, None]), axis=1).sum(1)
+    return np.where((m == n) & (a == b).all(1) & (m > 0), 1.0, np.where(jaro > 0.7, jaro + 0.1 * prefix * (1 - jaro), jaro))
+
+
 def jaro_winkler() -> Callable[[ColumnLike, ColumnLike], Column]:
     """An Arrow function of two text columns; Spark has no such expression. Each pair of values in a batch is compared once."""
 
     @F.pandas_udf("double")
     def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
         pairs = list(zip(a, b))
-        known = {p: None if p[0] is None or p[1] is None else jaro_winkler_text(*p) for p in set(pairs)}
-        return pd.Series([known[p] for p in pairs], dtype="float64")
+        there = list({p for p in pairs if p[0] is not None and p[1] is not None})
+        known = dict(zip(there, jaro_winkler_texts(there)))
+        return pd.Series([known.get(p) for p in pairs], dtype="float64")
 
     return lambda a, b: similarity(_col(a), _col(b))
 

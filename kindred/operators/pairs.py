@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -184,12 +183,15 @@ def rule_pair_count(records: DataFrame, rules: list[str], skip_blank: bool = Tru
     """How many pairs agree on one of a few rules or more, by inclusion and exclusion over block sizes; no pair is made."""
     if len(rules) > 6:
         raise ValueError("inclusion and exclusion is for six rules at most")
-    base = records.select(*[F.nullif(F.col(r).cast("string"), F.lit("")).alias(r) if skip_blank else F.col(r) for r in rules])
-    total = 0
-    for size in range(1, len(rules) + 1):
-        for some in combinations(rules, size):
-            total += (-1) ** (size + 1) * blocked_pair_count(base, list(some)).first()["n_pairs"]
-    return int(total)
+    names = [f"_r{i}" for i in range(len(rules))]
+    base = records.select(*[(F.nullif(F.col(r).cast("string"), F.lit("")) if skip_blank else F.col(r)).alias(n) for r, n in zip(rules, names)])
+    # all sets of rules in one aggregation; a bit of _out is set if the rule isn't in the set
+    sizes = base.cube(*names).agg(F.count(F.lit(1)).alias("_n"), F.grouping_id().alias("_out"))
+    for i, n in enumerate(reversed(names)):
+        sizes = sizes.filter((F.shiftright("_out", i).bitwiseAND(F.lit(1)) == 1) | F.col(n).isNotNull())
+    used = F.lit(len(rules)) - F.bit_count("_out")
+    signed = F.when(used % 2 == 1, F.expr("_n * (_n - 1) div 2")).otherwise(-F.expr("_n * (_n - 1) div 2"))
+    return int(sizes.filter(used > 0).agg(F.coalesce(F.sum(signed), F.lit(0)).alias("n")).first()["n"])
 
 
 def sampled_block_pairs(records: DataFrame, record_id: str, rule: str, columns: list[str], most: int, seed: int = 2) -> DataFrame:

@@ -112,6 +112,15 @@ def test_jaro_winkler_of_repeated_values(spark):
     assert found == [0.961111, 0.84, 0.961111, None, 0.0, 1.0] * 3
 
 
+def test_jaro_winkler_of_many_pairs_at_once():
+    g = random.Random(3)
+    word = lambda n: "".join(g.choice("abcdé漢\U0001f600 ") for _ in range(n))
+    texts = [word(g.choice([0, 1, 2, 5, 8, 9, 20, 40, 64, 65, 90])) for _ in range(300)]
+    pairs_ = [(g.choice(texts), g.choice(texts)) for _ in range(3000)] + [(t, t) for t in texts] + [(t, t[:-1] + "x" + t[-1:]) for t in texts]
+    assert C.jaro_winkler_texts(pairs_) == pytest.approx([C.jaro_winkler_text(*p) for p in pairs_], abs=1e-12)
+    assert C.jaro_winkler_texts([]) == []
+
+
 def test_encoding_is_told_by_the_whole_file(spark, tmp_path):
     """A Latin-1 byte after the first megabyte is read as such; a valid file with a mark, or cut anywhere, stays UTF-8."""
     plain = "id,name\n" + "".join(f"{i},{'x' * 90}\n" for i in range(15_000))
