@@ -14,24 +14,29 @@ from kindred.sources import catalog, sinks
 METRICS = ["prevalence", "roc_auc", "pr_auc", "pair_precision", "pair_recall", "pair_f1", "best_pair_f1", "best_pair_threshold", "adjusted_rand", "candidate_pairs", "candidate_fraction", "true_pair_candidate_recall"]
 
 
-def candidates(records: DataFrame, field_types: dict[str, str], policy: str, ratio: float) -> DataFrame:
-    """Pairs by policy: all, rules or tokens."""
-    names = list(field_types)
+def candidates(records: DataFrame, field_types: dict[str, str], policy: str, ratio: float, scope: str = "all_pairs", purge: bool = True, prune: bool = True) -> DataFrame:
+    """Pairs by policy: all, rules or tokens; with scope cross_source, of records whose source_table differs."""
+    names, kept = list(field_types), [*field_types, "entity_id", *(["source_table"] if scope == "cross_source" and "source_table" not in field_types else [])]
+    if scope == "cross_source" and "source_table" not in records.columns:
+        raise ValueError("records have no source_table")
     if policy == "all":
-        return pairs.all_pairs(records, "record_id", [*names, "entity_id"])
+        return pairs.cross_source_pairs(records, "record_id", "source_table", kept) if scope == "cross_source" else pairs.all_pairs(records, "record_id", kept)
     if policy == "rules":
-        return pairs.blocked_pairs(records, "record_id", pairs.blocking_rules(field_types), [*names, "entity_id"])
-    blocks = pairs.filter_blocks(pairs.purge_blocks(pairs.token_blocks(records, "record_id", names)), ratio)
-    found = pairs.weighted_edge_pruning(pairs.block_pairs(blocks))
-    for side in ("left", "right"):
-        found = found.join(records.select(F.col("record_id").alias(f"{side}_id"), *[F.col(c).alias(f"{side}_{c}") for c in (*names, "entity_id")]), f"{side}_id")
-    return found
+        found = pairs.blocked_pairs(records, "record_id", pairs.blocking_rules(field_types), kept)
+    else:
+        blocks = pairs.token_blocks(records, "record_id", names)
+        blocks = pairs.filter_blocks(pairs.purge_blocks(blocks) if purge else blocks.join(pairs.block_sizes(blocks), "token"), ratio)
+        found = pairs.block_pairs(blocks)
+        found = pairs.weighted_edge_pruning(found) if prune else found
+        for side in ("left", "right"):
+            found = found.join(records.select(F.col("record_id").alias(f"{side}_id"), *[F.col(c).alias(f"{side}_{c}") for c in kept]), f"{side}_id")
+    return found.filter("left_source_table <> right_source_table") if scope == "cross_source" else found
 
 
-def run(benchmark: catalog.Benchmark, scorer: str, policy: str, recall: float, max_u_pairs: int, ratio: float, threshold: float) -> DataFrame:
-    """The metrics row of one benchmark."""
+def run(benchmark: catalog.Benchmark, scorer: str, policy: str, recall: float, max_u_pairs: int, ratio: float, threshold: float, scope: str | None = None, purge: bool = True, prune: bool = True) -> DataFrame:
+    """The metrics row of one benchmark; scope: the manifest's, if not given."""
     records = with_positions(benchmark.records.withColumnRenamed(benchmark.entity, "entity_id"), ["entity_id", *benchmark.fields], "record_id")
-    found = candidates(records, benchmark.field_types, policy, ratio)
+    found = candidates(records, benchmark.field_types, policy, ratio, scope or benchmark.pair_scope, purge, prune)
     if scorer == "fellegi_sunter":
         model: score.PairScorer = score.fit_fellegi_sunter(records, "record_id", benchmark.field_types, recall, max_u_pairs)
     else:
@@ -50,16 +55,23 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--max-u-pairs", type=int, default=1_000_000)
     p.add_argument("--ratio", type=float, default=0.9)
     p.add_argument("--threshold", type=float, default=0.5)
+    p.add_argument("--pair-scope", choices=["all_pairs", "cross_source"], help="the manifest's, if not given")
+    p.add_argument("--no-purging", action="store_true", help="keep the largest token blocks")
+    p.add_argument("--no-pruning", action="store_true", help="keep pairs of few shared blocks")
+    p.add_argument("--offset", type=int, default=0, help="benchmarks to leave out at the start")
+    p.add_argument("--limit", type=int, help="benchmarks to run")
     p.add_argument("--out", required=True)
     o = p.parse_args(args)
     spark = SparkSession.builder.getOrCreate()
     found = catalog.Catalog(spark, o.manifest)
     rows = None
-    for b in found.load_all(o.benchmarks):
-        row = runs.guarded(spark, b.name, lambda b=b: run(b, o.scorer, o.policy, o.prior_recall, o.max_u_pairs, o.ratio, o.threshold), METRICS)
-        row = catalog.with_run_metadata(row, scorer=o.scorer, policy=o.policy)
+    names = (o.benchmarks or found.names())[o.offset :][: o.limit]
+    for b in found.load_all(names) if names else ():
+        row = runs.guarded(spark, b.name, lambda b=b: run(b, o.scorer, o.policy, o.prior_recall, o.max_u_pairs, o.ratio, o.threshold, o.pair_scope, not o.no_purging, not o.no_pruning), METRICS)
+        row = catalog.with_run_metadata(row, scorer=o.scorer, policy=o.policy, pair_scope=o.pair_scope or b.pair_scope)
         rows = row if rows is None else rows.unionByName(row)
-    sinks.write_csv(rows.coalesce(1), o.out)
+    if rows is not None:
+        sinks.write_csv(rows.coalesce(1), o.out)
 
 
 if __name__ == "__main__":

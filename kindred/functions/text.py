@@ -80,10 +80,14 @@ def is_email(c: ColumnLike) -> Column:
     return _col(c).cast("string").rlike("^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$")
 
 
+#: What Python takes for a digit: decimal digits of any script, and such signs as superscripts.
+_DIGITS = "[\\p{Nd}" + "".join(chr(i) for i in range(0x10000) if chr(i).isdigit() and not chr(i).isdecimal()) + "]"
+
+
 def is_phone(c: ColumnLike) -> Column:
-    """7 to 15 digits, with a plus in front and the usual separators."""
+    """7 to 15 digits (of any script), with a plus in front and the usual separators."""
     bare = F.regexp_replace(F.regexp_replace(_col(c).cast("string"), "^\\+", ""), "[\\s().\\-/]", "")
-    return bare.rlike("^[0-9]{7,15}$")
+    return bare.rlike(f"^{_DIGITS}{{7,15}}$")
 
 
 def normalize_identifier(c: ColumnLike) -> Column:

@@ -3,6 +3,7 @@ import json
 import pytest
 
 import kindred
+import kindred.queries
 from kindred import cli
 from kindred.operators import neural, runs, score
 
@@ -57,3 +58,30 @@ def test_command_line(spark, tmp_path, scorer, policy):
     row = spark.read.option("header", True).csv(str(tmp_path / "out")).first()
     assert row["status"] == "ok", row["error"]
     assert float(row["roc_auc"]) > 0.6
+
+
+def test_command_line_across_sources(spark, tmp_path):
+    lines = ["entity,name,source_table"] + [f"{i // 2},person number{i // 2},{'A' if i % 2 else 'B'}" for i in range(12)]
+    (tmp_path / "d.csv").write_text("\n".join(lines))
+    entry = {"kind": "linkage", "description": "d", "file": "d.csv", "entity_id_column": "entity", "field_types": {"name": "text"}, "ignored_columns": ["source_table"]}
+    (tmp_path / "m.json").write_text(json.dumps({"first": entry, "second": entry, "third": entry}))
+    for policy in ("all", "tokens"):
+        cli.main([str(tmp_path / "m.json"), "--policy", policy, "--pair-scope", "cross_source", "--no-purging", "--no-pruning", "--offset", "1", "--limit", "1", "--out", str(tmp_path / policy)])
+        (row,) = spark.read.option("header", True).csv(str(tmp_path / policy)).collect()
+        assert (row["name"], row["status"], row["pair_scope"]) == ("second", "ok", "cross_source"), row["error"]
+        assert float(row["candidate_pairs"]) == 36
+
+
+def test_entry_adds_corpus_queries_only_where_they_are(monkeypatch):
+    import importlib
+
+    import __spark_entry__ as entry
+
+    def absent(name):
+        raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+
+    monkeypatch.setattr(importlib, "import_module", absent)
+    assert set(entry.queries()) == set(kindred.queries.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+    monkeypatch.setattr(importlib, "import_module", lambda name: absent("numpy"))
+    with pytest.raises(ModuleNotFoundError, match="numpy"):
+        entry.queries()
