@@ -150,16 +150,17 @@ _FOLDED_LONG = {c: x for c, x in _FOLDED.items() if len(x) > 1}
 
 def ascii_fold(c: ColumnLike) -> Column:
     """Characters (of the basic plane) as NFKD takes them apart, of which ASCII stays."""
-    text = F.translate(_col(c).cast("string"), "".join(_FOLDED_SHORT), "".join(_FOLDED_SHORT.values()))
-    # few texts have characters that become several: those are taken character by character
+    short = F.translate(_col(c).cast("string"), "".join(_FOLDED_SHORT), "".join(_FOLDED_SHORT.values()))
     table = F.from_json(F.lit(json.dumps(_FOLDED_LONG)), "map<string,string>")
-    spelled = F.array_join(F.transform(F.split(text, ""), lambda x: F.coalesce(F.element_at(table, x), x)), "")
-    return F.regexp_replace(F.when(text.rlike("[" + "".join(_FOLDED_LONG) + "]"), spelled).otherwise(text), "[^\\x00-\\x7F]", "")
+    # few texts have characters that become several: those are taken character by character
+    spell = lambda t: F.array_join(F.transform(F.split(t, ""), lambda x: F.coalesce(F.element_at(table, x), x)), "")
+    long = F.transform(F.array(short), lambda t: F.when(t.rlike("[" + "".join(_FOLDED_LONG) + "]"), spell(t)).otherwise(t))
+    return F.regexp_replace(F.element_at(long, 1), "[^\\x00-\\x7F]", "")
 
 
-def name_token(c: ColumnLike, default: str = "user", upper: bool = False) -> Column:
-    """Letters and digits only, in one case; the default if none are left."""
-    token = F.regexp_replace(ascii_fold(c), "[^a-zA-Z0-9]+", "")
+def name_token(c: ColumnLike, default: str = "user", upper: bool = False, fold: bool = True) -> Column:
+    """Letters and digits only, in one case; the default if none are left. fold: accents go first (not needed for ASCII)."""
+    token = F.regexp_replace(ascii_fold(c) if fold else _col(c).cast("string"), "[^a-zA-Z0-9]+", "")
     token = F.upper(token) if upper else F.lower(token)
     return F.coalesce(F.nullif(token, F.lit("")), F.lit(default))
 
@@ -179,9 +180,9 @@ DOMAIN_STOP_WORDS = ("and", "the", "llc", "inc", "corp", "co", "company")
 WORK_TLDS = ("com", "co", "net", "io")
 
 
-def company_domain(c: ColumnLike, seed: ColumnLike) -> Column:
+def company_domain(c: ColumnLike, seed: ColumnLike, fold: bool = True) -> Column:
     """An e-mail domain: up to three words with hyphens, run together, or the first alone, by the seed."""
-    words = F.filter(F.split(F.lower(ascii_fold(c)), "[^a-z0-9]+"), lambda w: (w != "") & ~w.isin(*DOMAIN_STOP_WORDS))
+    words = F.filter(F.split(F.lower(ascii_fold(c) if fold else _col(c).cast("string")), "[^a-z0-9]+"), lambda w: (w != "") & ~w.isin(*DOMAIN_STOP_WORDS))
     words = F.when(F.size(words) > 0, words).otherwise(F.array(F.lit("example")))
     draw, style = F.pmod(F.xxhash64(_col(seed), F.lit("style")), F.lit(10)), F.slice(words, 1, 3)
     stem = F.when((F.size(words) > 1) & (draw < 4), F.array_join(style, "-")).when((F.size(words) > 1) & (draw < 7), F.array_join(style, "")).otherwise(F.element_at(words, 1))

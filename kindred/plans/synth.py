@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.plans.worldgraph import CONTRACTS, NODES, RULES, Contract, Rule, ancestors, choose_rules, descendants, draw, eligible_contracts, pick, sample_fields, topological_order
+from kindred.plans.worldgraph import CONTRACTS, NODES, RULES, Contract, Rule, ancestors, choose_rules, descendants, draw, eligible_contracts, sample_fields, topological_order
 from kindred.storage import written
 
 
@@ -99,6 +99,10 @@ _OCR = ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "o6ecf
 _KEYS = ("qwertyuiopasdfghjklzxcvbnmQWERTYUIOPASDFGHJKLZXCVBNM0123456789", "wqwertyuiosasdfghjkxzxcvbnWQWERTYUIOSASDFGHJKXZXCVBN9012345678")
 
 
+#: First names and what some people are called instead.
+NICKNAMES = (("Alice", "Allie"), ("Benjamin", "Ben"), ("Daniel", "Dan"), ("Grace", "Gracie"), ("Jack", "Jackie"), ("Jane", "Janie"), ("Julia", "Jules"), ("Maria", "Mia"), ("Samuel", "Sam"), ("Sara", "Sally"), ("Sofia", "Sophie"), ("Victor", "Vic"))
+
+
 @dataclass(frozen=True)
 class Observation:
     missing_rate: float = 0.05
@@ -114,7 +118,7 @@ def corrupt(value: Column, seed: str, salt: str) -> Column:
     n = F.length(value)
     at = F.floor(draw(seed, salt + "at") * F.greatest(n, F.lit(1))).cast("int") + 1
     head, here, tail = F.substring(value, F.lit(1), at - 1), F.substring(value, at, F.lit(1)), F.substring(value, at + 1, n)
-    letter = pick("abcdefghijklmnopqrstuvwxyz", seed, salt + "letter")
+    letter = F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), F.floor(draw(seed, salt + "letter") * 26).cast("int") + 1, F.lit(1))
     other = F.when(F.lower(here) == letter, F.lit("-")).otherwise(letter)
     like = lambda table: F.when(F.translate(here, *table) != here, F.translate(here, *table)).otherwise(other)
     left = F.least(at, F.greatest(n - 1, F.lit(1)))

@@ -674,6 +674,23 @@ def synthetic_world(spark: SparkSession, d: str) -> DataFrame:
     return world.records
 
 
+@_query()
+def synthetic_world_lookups(spark: SparkSession, d: str) -> DataFrame:
+    """As above, with nicknames and area codes from their tables."""
+    short = spark.createDataFrame([(a, "has_nickname", b) for a, b in synth.NICKNAMES], "name1 string, relationship string, name2 string")
+    codes = lookups.area_codes(spark.createDataFrame([(c, s) for s, c in worldgraph.AREA.items()], "`Area Code` string, Region string"))
+    fields = ["first_name", "last_name", "email_address", "phone", "city", "date_of_birth"]
+    world = synth.generate_world(spark, 200, 6, 1337, fields=fields, nicknames=lookups.nickname_aliases(short), rules=worldgraph.rules_with_area_codes(codes))
+    return world.records
+
+
+@_query()
+def synthetic_worlds(spark: SparkSession, d: str) -> DataFrame:
+    worlds = synth.generate_worlds(spark, 3, 7)
+    rows = [w.records.select(F.lit(i).alias("world"), "record_id", "entity_id", F.to_json(F.struct(*w.field_types)).alias("fields")) for i, w in enumerate(worlds)]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 @_query()
 def hard_negatives(spark: SparkSession, d: str) -> DataFrame:
     fields = ["first_name", "last_name", "city", "phone", "email_address", "date_of_birth"]
