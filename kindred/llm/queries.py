@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import decontaminate, exactdedup, langid, packing, quotes, simhash, tokenbits, tokencount, toxicity, urlfilter
+from kindred.llm import decontaminate, exactdedup, langid, packing, quotes, simhash, tokenbits, tokencount, toxicity, urlfilter, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,8 +56,12 @@ def op10_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.conversations(_table(spark, sf_dir, "conversations"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_decontamination, op2_packing, op3_language_id, op4_url_filter, op5_token_bits, op6_exact_dedup, op7_simhash, op8_token_counts, op9_toxicity, op10_conversations)
+    found = (op1_decontamination, op2_packing, op3_language_id, op4_url_filter, op5_token_bits, op6_exact_dedup, op7_simhash, op8_token_counts, op9_toxicity, op10_conversations, op11_embedding_whitening)
     return {f.__name__: f for f in found}
 
 
