@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import decontaminate, exactdedup, langid, lempelziv, packing, quotes, simhash, tokenbits, tokencount, toxicity, urlfilter, whitening
+from kindred.llm import decontaminate, exactdedup, langid, lempelziv, packing, prefixtrie, quotes, simhash, tokenbits, tokencount, toxicity, urlfilter, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,13 +61,19 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefixtrie.ordered(_table(spark, sf_dir, "conversations"))
+    found = prefixtrie.with_ends(*prefixtrie.tree(*prefixtrie.rebuilt(turns)))
+    return found.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lempelziv.parse(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_decontamination, op2_packing, op3_language_id, op4_url_filter, op5_token_bits, op6_exact_dedup, op7_simhash, op8_token_counts, op9_toxicity, op10_conversations, op11_embedding_whitening, op13_substring_dedup)
+    found = (op1_decontamination, op2_packing, op3_language_id, op4_url_filter, op5_token_bits, op6_exact_dedup, op7_simhash, op8_token_counts, op9_toxicity, op10_conversations, op11_embedding_whitening, op12_prefix_trie, op13_substring_dedup)
     return {f.__name__: f for f in found}
 
 
