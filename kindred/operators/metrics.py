@@ -103,9 +103,9 @@ def adjusted_rand(labels: DataFrame, truth: str, predicted: str) -> DataFrame:
     return all_.select(F.when((fp == 0) & (fn == 0), F.lit(1.0)).otherwise(2 * (tp * tn - fn * fp) / F.nullif(below, F.lit(0.0))).alias("adjusted_rand"))
 
 
-def candidate_stats(candidates: DataFrame, n_records: int, true_pairs: int) -> DataFrame:
-    """One row: candidate_pairs, candidate_fraction (of all pairs), true_pair_candidate_recall."""
-    every = n_records * (n_records - 1) // 2
+def candidate_stats(candidates: DataFrame, n_records: int, true_pairs: int, n_pairs: int | None = None) -> DataFrame:
+    """One row: candidate_pairs, candidate_fraction (of n_pairs; of all pairs, if not given), true_pair_candidate_recall."""
+    every = n_records * (n_records - 1) // 2 if n_pairs is None else n_pairs
     sums = candidates.agg(F.count(F.lit(1)).alias("candidate_pairs"), F.coalesce(F.sum("target"), F.lit(0)).alias("_true"))
     return sums.select("candidate_pairs", (F.col("candidate_pairs") / F.lit(max(every, 1))).alias("candidate_fraction"), (F.col("_true") / F.lit(max(true_pairs, 1))).alias("true_pair_candidate_recall"))
 
@@ -116,19 +116,41 @@ def true_pair_count(records: DataFrame, entity: str) -> DataFrame:
     return sizes.agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias("true_pairs"))
 
 
-def evaluate(name: str, records: DataFrame, record_id: str, entity: str, scored: DataFrame, threshold: float = 0.5, clusters: DataFrame | None = None, all_pairs: bool = True, digits: int | None = None) -> DataFrame:
+def scope_totals(records: DataFrame, entity: str, source: str | None = None) -> DataFrame:
+    """One row, n_pairs and true_pairs: of all pairs of records, or of those whose sources differ; from counts alone.
+
+    Records without a source are in no pair across sources, those without an entity in no true pair.
+    """
+    of = F.expr("n * (n - 1) div 2")
+    cells = records.select(F.col(entity).alias("e"), (F.col(source) if source else F.lit(0)).alias("s")).filter("s is not null").groupBy("e", "s").agg(F.count(F.lit(1)).alias("n"))
+
+    def made(by: list[str], name: str) -> DataFrame:
+        sizes = (cells.filter("e is not null") if "e" in by else cells).groupBy(*by).agg(F.sum("n").alias("n"))
+        return sizes.agg(F.coalesce(F.sum(of), F.lit(0)).alias(name))
+
+    both = made([], "n_pairs").crossJoin(made(["e"], "true_pairs"))  # single rows
+    if not source:
+        return both
+    within = made(["s"], "_pairs").crossJoin(made(["e", "s"], "_true"))
+    return both.crossJoin(within).select((F.col("n_pairs") - F.col("_pairs")).alias("n_pairs"), (F.col("true_pairs") - F.col("_true")).alias("true_pairs"))
+
+
+def evaluate(name: str, records: DataFrame, record_id: str, entity: str, scored: DataFrame, threshold: float = 0.5, clusters: DataFrame | None = None, all_pairs: bool = True, digits: int | None = None, totals: tuple[int, int] | None = None) -> DataFrame:
     """One row with all metrics of a benchmark.
 
-    scored: left_id, right_id, score, target. If all_pairs, pairs that are not in it count as score 0. clusters:
-    record_id and component_id (found from the pairs at the threshold if not given). One class only is an error.
+    scored: left_id, right_id, score, target. totals: pairs and true pairs of the benchmark's scope (see scope_totals); if
+    not given, those of all pairs of records, or, without all_pairs, of the scored ones. Pairs of the scope that are not
+    scored count as score 0. clusters: record_id and component_id (found from the pairs at the threshold if not given).
+    One class only is an error.
     """
     from kindred.operators.graph import component_labels
 
     scored = written(scored.select("left_id", "right_id", "score", "target"), "scored")  # several aggregations read it
     size = records.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(entity).alias("e")).first()
     found = scored.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("target"), F.lit(0)).alias("p")).first()
-    true_pairs = true_pair_count(records, entity).first()[0] if all_pairs else found["p"]
-    every = size["n"] * (size["n"] - 1) // 2 if all_pairs else found["n"]
+    every, true_pairs = totals or (tuple(scope_totals(records, entity).first()) if all_pairs else (found["n"], found["p"]))
+    if found["p"] > true_pairs or found["n"] - found["p"] > every - true_pairs:
+        raise ValueError(f"benchmark {name!r} has scored pairs that are not in its scope")
     if true_pairs in (0, every):
         raise ValueError(f"benchmark {name!r} has pairs of one class only")
     lost_p, lost_n = true_pairs - found["p"], (every - true_pairs) - (found["n"] - found["p"])
@@ -136,7 +158,7 @@ def evaluate(name: str, records: DataFrame, record_id: str, entity: str, scored:
         clusters = component_labels(records.select(F.col(record_id).alias("record_id")), scored.filter(F.col("score") >= threshold))
     joined = records.select(F.col(record_id).alias("record_id"), F.col(entity).alias("_truth")).join(clusters.select("record_id", "component_id"), "record_id")
     row = F.lit(name).alias("name")
-    summary = curve_summary(score_counts(scored, digits, lost_p, lost_n)).crossJoin(threshold_metrics(scored, threshold, lost_p)).crossJoin(adjusted_rand(joined, "_truth", "component_id")).crossJoin(candidate_stats(scored.filter("score > 0"), size["n"], true_pairs))
+    summary = curve_summary(score_counts(scored, digits, lost_p, lost_n)).crossJoin(threshold_metrics(scored, threshold, lost_p)).crossJoin(adjusted_rand(joined, "_truth", "component_id")).crossJoin(candidate_stats(scored.filter("score > 0"), size["n"], true_pairs, every))
     return summary.select(row, F.lit(size["n"]).alias("n_records"), F.lit(size["e"]).alias("n_entities"), "prevalence", "roc_auc", "pr_auc", "pair_precision", "pair_recall", "pair_f1", "best_pair_f1", "best_pair_threshold", "adjusted_rand", "candidate_pairs", "candidate_fraction", "true_pair_candidate_recall")
 
 
@@ -154,9 +176,50 @@ def agreement(pairs: DataFrame, columns: list[str]) -> DataFrame:
     return pairs.withColumn("matching_fields", sum((s.cast("int") for s in same), F.lit(0))).withColumn("differing_fields", F.concat_ws(", ", *[F.when(~s, F.lit(c)) for s, c in zip(same, columns)]))
 
 
+def grouped_quantiles(rows: DataFrame, by: list[str], value: str, shares: tuple[float, ...] = (0.5,)) -> DataFrame:
+    """The columns `by` and q_0, q_1, ...: exact quantiles (interpolated) of a value in each group, however large it is.
+
+    Values are counted, sorted over the whole table in ranges and summed up within each; a row for each range and group that
+    meet tells what the ranges before hold. So a group is spread over many tasks. Nulls are left out, NaN is the largest value,
+    and groups without values are missing.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    order = [*by, "_v"]
+    dealt = written(counts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()), "quantiles")
+    met = dealt.groupBy("_part", *by).agg(F.sum("_n").alias("_s"))
+    group = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("_s").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    carried = met.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_by_{c}") for c in by], before.alias("_before"), F.sum("_s").over(group).alias("_total"))
+    within = Window.partitionBy("_part", *by).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    same = F.col("_part") == F.col("_p")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    stop = F.col("_to") + F.col("_before")
+    summed = dealt.withColumn("_to", F.sum("_n").over(within)).join(carried, same).select(*by, "_v", "_total", (stop - F.col("_n")).alias("_from"), stop.alias("_stop"))
+    at = [F.lit(float(p)) * (F.col("_total") - 1) for p in shares]
+    covers = lambda place: (F.col("_from") <= place) & (place < F.col("_stop"))
+    ends = [(F.floor(x), F.ceil(x)) for x in at]
+    some = summed.filter(sum((covers(x).cast("int") for pair in ends for x in pair), F.lit(0)) > 0)
+    found = some.groupBy(*by).agg(F.max("_total").alias("_total"), *[F.max(F.when(covers(x), F.col("_v"))).alias(f"_{k}_{i}") for i, pair in enumerate(ends) for k, x in zip("lh", pair)])
+    low, high = (lambda i: F.col(f"_l_{i}")), (lambda i: F.col(f"_h_{i}"))
+    between = [F.when(low(i) == high(i), low(i)).otherwise(low(i) + (high(i) - low(i)) * (x - F.floor(x))) for i, x in enumerate(at)]
+    return found.select(*by, *[x.alias(f"q_{i}") for i, x in enumerate(between)])
+
+
+def _with_median(stats: DataFrame, rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """Add the median of a value to a row for each group."""
+    medians = grouped_quantiles(rows, by, value).select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("q_0").alias(name))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return stats.join(medians, same, "left").drop(*[f"_by_{c}" for c in by])
+
+
 def score_stats(pairs: DataFrame, by: list[str]) -> DataFrame:
     """count, mean, median, min, max of the score by columns."""
-    return pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("count"), F.avg("score").alias("mean"), F.median("score").alias("median"), F.min("score").alias("min"), F.max("score").alias("max"))
+    pairs = written(pairs.select(*by, "score"), "scores")  # read for the groups and for their medians
+    stats = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("count"), F.avg("score").alias("mean"), F.min("score").alias("min"), F.max("score").alias("max"))
+    return _with_median(stats, pairs, by, "score", "median").select(*by, "count", "mean", "median", "min", "max")
 
 
 def confident_pairs(pairs: DataFrame, k: int = 10) -> DataFrame:
@@ -186,10 +249,12 @@ def benchmark_diagnostics(pairs: DataFrame, benchmark: str, n_fields: int) -> Da
     pairs have the benchmark's name, score, target and matching_fields (see agreement).
     """
     of = lambda t, c: F.when(F.col("target") == t, c)
+    pairs = written(pairs.select(benchmark, "score", "target", "matching_fields"), "scores")
     exact = (F.col("matching_fields") == n_fields).cast("double")
-    return pairs.groupBy(benchmark).agg(
-        F.count(F.lit(1)).alias("n_pairs"), F.avg("target").alias("prevalence"), F.median(of(1, F.col("score"))).alias("median_positive"), F.median(of(0, F.col("score"))).alias("median_negative"), F.avg(of(1, exact)).alias("exact_positive_rate"), F.avg(of(0, exact)).alias("exact_negative_rate")
-    )
+    stats = pairs.groupBy(benchmark).agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("target").alias("prevalence"), F.avg(of(1, exact)).alias("exact_positive_rate"), F.avg(of(0, exact)).alias("exact_negative_rate"))
+    for t, name in ((1, "median_positive"), (0, "median_negative")):
+        stats = _with_median(stats, pairs.filter(F.col("target") == t), [benchmark], "score", name)
+    return stats.select(benchmark, "n_pairs", "prevalence", "median_positive", "median_negative", "exact_positive_rate", "exact_negative_rate")
 
 
 def differing_patterns(pairs: DataFrame, k: int = 30) -> DataFrame:
@@ -200,8 +265,13 @@ def differing_patterns(pairs: DataFrame, k: int = 30) -> DataFrame:
 def agreement_contrast(pairs: DataFrame) -> DataFrame:
     """By matching_fields: count, mean and median of negatives and positives, and the gap of medians."""
     of = lambda t, c: F.when(F.col("target") == t, c)
-    cols = [x for t, n in ((0, "negative"), (1, "positive")) for x in (F.count(of(t, F.lit(1))).alias(f"count_{n}"), F.avg(of(t, F.col("score"))).alias(f"mean_{n}"), F.median(of(t, F.col("score"))).alias(f"median_{n}"))]
-    return pairs.groupBy("matching_fields").agg(*cols).withColumn("median_gap", F.col("median_positive") - F.col("median_negative"))
+    pairs = written(pairs.select("score", "target", "matching_fields"), "scores")
+    kinds = ((0, "negative"), (1, "positive"))
+    stats = pairs.groupBy("matching_fields").agg(*[x for t, n in kinds for x in (F.count(of(t, F.lit(1))).alias(f"count_{n}"), F.avg(of(t, F.col("score"))).alias(f"mean_{n}"))])
+    for t, n in kinds:
+        stats = _with_median(stats, pairs.filter(F.col("target") == t), ["matching_fields"], "score", f"median_{n}")
+    named = [f"{x}_{n}" for _, n in kinds for x in ("count", "mean", "median")]
+    return stats.select("matching_fields", *named).withColumn("median_gap", F.col("median_positive") - F.col("median_negative"))
 
 
 def score_histogram(pairs: DataFrame, bins: int = 30) -> DataFrame:

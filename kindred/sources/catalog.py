@@ -11,9 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.operators.records import FIELD_TYPES, sample_entities
+from kindred.sources import csvsplit
 
 KINDS = ("single_table", "linkage", "deduplication", "smoke", "real", "synthetic")
 REQUIRED = ("kind", "description", "file", "entity_id_column", "field_types")
+#: Pairs that are evaluated: all, those whose sources differ, or those that rows with one pair id make.
+PAIR_SCOPES = ("all_pairs", "cross_source", "paired_rows")
+#: How paired rows are told, where a manifest doesn't say otherwise (fixed values).
+PAIRED = {"pair": "pair_id", "side": "source_table", "left": "profile1", "right": "profile2", "label": "match_label"}
 SAMPLE_KEYS = {"n_entities", "seed", "require_positive_pairs", "require_variation"}
 
 
@@ -27,6 +32,10 @@ def validate_config(name: str, config: dict[str, Any], kinds: tuple[str, ...] |
         raise ValueError(f"benchmark {name!r} has unknown field types {odd}")
     if both := sorted(set(config.get("ignored_columns", ())) & set(config["field_types"])):
         raise ValueError(f"benchmark {name!r} both ignores and uses {both}")
+    if config.get("pair_scope", "all_pairs") not in PAIR_SCOPES:
+        raise ValueError(f"benchmark {name!r} has the unknown pair scope {config['pair_scope']!r}")
+    if odd := sorted(set(config.get("paired_rows", ())) - set(PAIRED)):
+        raise ValueError(f"benchmark {name!r} has unknown paired_rows keys {odd}")
     sample = config.get("entity_sample")
     if sample is None:
         return
@@ -41,10 +50,6 @@ def quote_identifier(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def quote_literal(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def is_utf8(spark: SparkSession, path: str) -> bool:
     """True if every line of a text file is valid UTF-8; tasks look through the whole file."""
     return spark.read.text(path).filter(~F.is_valid_utf8("value")).isEmpty()
@@ -53,11 +58,14 @@ def is_utf8(spark: SparkSession, path: str) -> bool:
 def read_text_csv(spark: SparkSession, path: str, columns: list[str] | None = None, encoding: str | None = None, sep: str = ",") -> DataFrame:
     """A CSV file with all columns as strings; the encoding is UTF-8 (with or without a mark), or Latin-1 if a line isn't valid.
 
-    Without an encoding the file is read once more, to tell; Spark reads only the columns asked for.
+    Without an encoding the file is read once more, to tell. Quoted fields may hold line breaks; a file is read in splits.
     """
     if encoding is None:
         encoding = "UTF-8" if is_utf8(spark, path) else "ISO-8859-1"
-    df = spark.read.option("header", True).option("inferSchema", False).option("encoding", encoding).option("sep", sep).option("multiLine", True).option("escape", '"').csv(path)
+    if encoding.lower() in csvsplit.BYTEWISE:
+        df = csvsplit.read_csv(spark, path, encoding, sep)
+    else:  # such files can't be cut by bytes: a task for each file
+        df = spark.read.option("header", True).option("inferSchema", False).option("encoding", encoding).option("sep", sep).option("multiLine", True).option("escape", '"').csv(path)
     df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
     return df.select(*[quote_identifier(c) for c in columns]) if columns else df
 
@@ -73,6 +81,8 @@ class Benchmark:
     entity: str
     field_types: dict[str, str]
     pair_scope: str = "all_pairs"
+    #: Of the scope paired_rows: the columns pair, side and label, and what side holds left and right.
+    paired: dict[str, str] | None = None
 
     @property
     def fields(self) -> list[str]:
@@ -100,12 +110,17 @@ class Catalog:
         config = self.configs[name]
         entity, fields = config["entity_id_column"], list(config["field_types"])
         source = config.get("source_table_column", "source_table" if "source_table" in config.get("ignored_columns", ()) else None)
-        columns = [entity, *fields, *([source] if source and source not in fields else [])]
+        scope, paired = config.get("pair_scope", "all_pairs"), None
+        more = [source] if source else []
+        if scope == "paired_rows":
+            paired = PAIRED | config.get("paired_rows", {})
+            more += [paired[k] for k in ("pair", "side", "label")]
+        columns = [*dict.fromkeys([entity, *fields, *more])]
         path = posixpath.join(self.root, config["file"]) if self.root else config["file"]
         records = read_text_csv(self.spark, path, columns)
         if sample := config.get("entity_sample"):
             records = sample_entities(records, entity, fields, **sample)
-        return Benchmark(name, config["kind"], config["description"], records, entity, dict(config["field_types"]), config.get("pair_scope", "all_pairs"))
+        return Benchmark(name, config["kind"], config["description"], records, entity, dict(config["field_types"]), scope, paired)
 
     def load_all(self, names: list[str] | None = None) -> list[Benchmark]:
         return [self.load(n) for n in names or self.names()]

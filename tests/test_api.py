@@ -72,6 +72,36 @@ def test_command_line_across_sources(spark, tmp_path):
         assert float(row["candidate_pairs"]) == 36
 
 
+def _scoped(spark, tmp_path, lines, entry, *more):
+    (tmp_path / "d.csv").write_text("\n".join(lines))
+    (tmp_path / "m.json").write_text(json.dumps({"d": {"kind": "linkage", "description": "d", "file": "d.csv", "entity_id_column": "entity", "field_types": {"name": "text"}} | entry}))
+    cli.main([str(tmp_path / "m.json"), "--policy", "rules", "--out", str(tmp_path / "out"), *more])
+    (row,) = spark.read.option("header", True).csv(str(tmp_path / "out")).collect()
+    assert row["status"] == "ok", row["error"]
+    return row
+
+
+def test_metrics_across_sources_leave_other_pairs_out(spark, tmp_path):
+    """Three records of A and two of B: six pairs across, three of them true, two of those found by their names."""
+    lines = ["entity,name,source_table", "x,red one,A", "x,red one,A", "y,blue,A", "x,red one,B", "y,green,B"]
+    row = _scoped(spark, tmp_path, lines, {"ignored_columns": ["source_table"]}, "--pair-scope", "cross_source")
+    wanted = {"prevalence": 0.5, "pair_recall": 2 / 3, "pair_precision": 1, "candidate_pairs": 2, "candidate_fraction": 1 / 3, "true_pair_candidate_recall": 2 / 3}
+    assert {k: float(row[k]) for k in wanted} == pytest.approx(wanted)
+    # scores 1, 1, 0, 0, 0, 0 of targets 1, 1, 1, 0, 0, 0
+    assert float(row["roc_auc"]) == pytest.approx((2 * 3 + 1 * 3 / 2) / 9)
+    assert float(row["pr_auc"]) == pytest.approx(2 / 3 + 1 / 3 * 0.5)
+
+
+def test_metrics_of_paired_rows(spark, tmp_path):
+    lines = ["entity,name,pair_id,source_table,match_label"]
+    lines += ["a,one,1,profile1,True", "a,one,1,profile2,True", "b,two,2,profile1,false", "c,two,2,profile2,false", "d,x,3,profile1,true", "d,y,3,profile2,true", "e,p,4,profile1,False", "e,q,4,profile2,False"]
+    lines += ["f,one,5,profile1,true", "g,one,6,profile1,true", "g,one,6,profile1,true"]  # no pairs
+    row = _scoped(spark, tmp_path, lines, {"pair_scope": "paired_rows"})
+    wanted = {"prevalence": 0.5, "pair_recall": 0.5, "pair_precision": 0.5, "candidate_pairs": 2, "candidate_fraction": 0.5, "true_pair_candidate_recall": 0.5}
+    assert {k: float(row[k]) for k in wanted} == pytest.approx(wanted)
+    assert row["pair_scope"] == "paired_rows"
+
+
 def test_entry_adds_corpus_queries_only_where_they_are(monkeypatch):
     import importlib
 

@@ -130,3 +130,26 @@ def test_logistic_orders_pairs(spark):
         constant = score.fit_logistic(df.withColumn("target", F.lit(target)), ["x"]).score_pairs(df)
         assert all(abs(r["score"] - wanted) < 1e-12 for r in constant.collect())
     assert score.fit_logistic(df.limit(0), ["x"]).score_pairs(df.limit(0)).count() == 0
+
+
+def test_quantiles_of_one_hot_group(spark, rows):
+    rng = np.random.default_rng(2)
+    values = [("hot", float(v)) for v in rng.integers(0, 400, 3000) / 7] + [("few", 1.0), ("few", 4.0), (None, 5.0), ("none", None)] + [("same", 2.5)] * 500
+    df = spark.createDataFrame(values, "g string, v double").repartition(7)
+    shares = (0.0, 0.25, 0.5, 0.9, 1.0)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "17")
+    try:
+        found = {r[0]: r[1:] for r in metrics.grouped_quantiles(df, ["g"], "v", shares).collect()}
+        (whole,) = metrics.grouped_quantiles(df, [], "v", shares).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    own = {}
+    for g, v in values:
+        if v is not None:
+            own.setdefault(g, []).append(v)
+    assert found.keys() == own.keys()
+    for g, x in own.items():
+        assert found[g] == pytest.approx(np.quantile(x, shares))
+    assert tuple(whole) == pytest.approx(np.quantile(sum(own.values(), []), shares))
