@@ -20,8 +20,9 @@ from kindred.storage import written
 
 
 def _free(docs: DataFrame, name: str) -> str:
-    """A name for a column that the documents don't have."""
-    while name in docs.columns:
+    """A name for a column that the documents don't have; Spark doesn't tell upper from lower case."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
         name = f"_{name}"
     return name
 
@@ -30,7 +31,7 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     """Add a key to each row: its id, its file and its place there. Files don't change, so neither do keys when a task is run again."""
     try:
         place, key = docs.metadataColumn("_metadata"), _free(docs, "_row_key")
-        return docs.withColumn(key, F.struct(F.col("doc_id"), place["file_name"], place["row_index"])), key
+        return docs.withColumn(key, F.struct(F.col("doc_id"), place["file_path"], place["row_index"])), key
     except AnalysisException:  # not rows of files
         return _keyed(written(docs, "documents"))
 
