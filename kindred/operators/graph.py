@@ -61,3 +61,24 @@ def component_labels(nodes: DataFrame, edges: DataFrame, node_id: str = "record_
     least = roots.groupBy("root").agg(F.min("node").alias("least"))
     named = roots.join(least, "root").select(F.col("node").alias("_node"), "least")
     return nodes.join(named, nodes[node_id] == F.col("_node"), "left").withColumn("component_id", F.coalesce("least", F.col(node_id))).drop("_node", "least")
+
+
+def merge_components(components: DataFrame | None, links: DataFrame, left: str = "left_id", right: str = "right_id") -> DataFrame:
+    """Components (node, component_id, the smallest node) after further links; None stands for no components yet.
+
+    Links become edges between the components of their ends, and only those are contracted: the work grows with the links,
+    but for one pass over the table. Links with a null end are left out.
+    """
+    edges = links.select(F.col(left).alias("a"), F.col(right).alias("b")).filter("a is not null and b is not null").distinct()
+    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    if components is None:
+        return component_labels(ends, edges, "node", "a", "b")
+    edges, ends = written(edges, "new-links"), written(ends.join(components.select("node", F.col("component_id").alias("old")), "node", "left"), "new-ends")
+    at = ends.select("node", F.coalesce("old", "node").alias("at"))
+    for side in ("a", "b"):
+        edges = edges.join(at.withColumnsRenamed({"node": side, "at": f"at_{side}"}), side)
+    touched = at.select(F.col("at").alias("component")).distinct()
+    changes = written(component_labels(touched, edges, "component", "at_a", "at_b"), "component-changes")
+    old = components.join(changes.select(F.col("component").alias("component_id"), F.col("component_id").alias("new")), "component_id", "left")
+    fresh = ends.filter("old is null").join(changes.withColumnsRenamed({"component": "node"}), "node").select("node", "component_id")
+    return old.select("node", F.coalesce("new", "component_id").alias("component_id")).unionByName(fresh)

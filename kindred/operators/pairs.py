@@ -26,20 +26,31 @@ def _side(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(prefix + c) for c in df.columns])
 
 
-def dealt_join(left: DataFrame, right: DataFrame, key: list[str], by: str, heavy: int = HEAVY) -> DataFrame:
+def dealt_join(left: DataFrame, right: DataFrame, key: list[str], by: str, heavy: int | None = None, largest: int | None = None) -> DataFrame:
     """Inner join on columns that both sides have, for keys that make many pairs.
 
-    The left rows of a key with more than `heavy` rows are dealt by a hash of `by` over parts of about that size, and its
-    right rows go to each: fewer copies than pairs by a factor of `heavy`.
+    A key's rows on either side are dealt by a hash over parts of about `heavy` (HEAVY) rows, and each part of the left meets
+    each of the right: no task has more than heavy * heavy pairs of a key, and rows are sent as often as the other side has
+    parts. by: the left column that is hashed; right rows are by all their columns. Both sides are counted in one
+    aggregation, unless no key has more than `largest` rows and that is not over `heavy`.
     """
-    parts = left.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / heavy).cast("int").alias("_parts")).filter("_parts > 1")
-    if parts.isEmpty():
+    heavy = heavy or HEAVY
+    if largest is not None and largest <= heavy:
         return left.join(right, key)
-    parts = written(parts, "heavy-keys")
-    n = F.coalesce("_parts", F.lit(1))
-    dealt = left.join(parts, key, "left").withColumn("_part", F.pmod(F.xxhash64(by), n).cast("int")).drop("_parts")
-    copied = right.join(parts, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), n - 1))).drop("_parts")
-    return dealt.join(copied, [*key, "_part"]).drop("_part")
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    rows = left.select(*key, one.alias("_l"), none.alias("_r")).unionAll(right.select(*key, none.alias("_l"), one.alias("_r")))
+    parts = lambda c: F.ceil(F.sum(c) / heavy).cast("int")
+    counted = rows.groupBy(*key).agg(parts("_l").alias("_lp"), parts("_r").alias("_rp")).filter("_lp > 0 and _rp > 0 and (_lp > 1 or _rp > 1)")
+    crowded = written(counted, "heavy-keys")
+    if crowded.isEmpty():
+        return left.join(right, key)
+    lp, rp = F.coalesce("_lp", F.lit(1)), F.coalesce("_rp", F.lit(1))
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    own = lambda n, *c: F.pmod(F.xxhash64(*c), n).cast("int")
+    rest = [c for c in right.columns if c not in key]
+    a = left.join(crowded, key, "left").withColumn("_a", own(lp, by)).withColumn("_b", every(rp)).drop("_lp", "_rp")
+    b = right.join(crowded, key, "left").withColumn("_b", own(rp, *rest) if rest else F.lit(0)).withColumn("_a", every(lp)).drop("_lp", "_rp")
+    return a.join(b, [*key, "_a", "_b"]).drop("_a", "_b")
 
 
 def all_pairs(records: DataFrame, record_id: str, columns: list[str] = (), most: int = MAX_PAIRS, condition: Column | None = None) -> DataFrame:
@@ -147,21 +158,21 @@ def blocked_pairs(records: DataFrame, record_id: str, rules: list[str], columns:
 
     Rules are columns; each is an equi-join. A pair is left to the first rule it agrees on, so no distinct is needed.
     Null never matches, nor (with skip_blank) the empty string. Block sizes tell how many pairs each rule makes: beyond
-    `most` in all it raises (None: never), and blocks of many rows are dealt over several tasks.
+    `most` in all it raises (None: never), and blocks of many rows are dealt over several tasks. One aggregation gives the
+    sizes of all rules.
     """
     if not rules:
         raise ValueError("no blocking rules")
     kept = [*dict.fromkeys([*rules, *columns])]
     base = records.select(F.col(record_id).alias("id"), *[c for c in kept if c != "id"])
-    if most is not None:
-        made = {rule: blocked_pair_count(_blocks(base, rule, skip_blank), rule).first()["n_pairs"] for rule in rules}
-        if sum(made.values()) > most:
-            raise ValueError(f"the rules make {made} pairs, over the limit of {most}; use finer rules")
+    sizes = _rule_sizes(base, rules, skip_blank)
+    if most is not None and sum(n for n, _ in sizes.values()) > most:
+        raise ValueError(f"the rules make { {r: n for r, (n, _) in sizes.items()} } pairs, over the limit of {most}; use finer rules")
     out = None
     for i, rule in enumerate(rules):
         rows = _blocks(base, rule, skip_blank).withColumn("_key", F.col(rule))
         left, right = (rows.select("_key", *[F.col(c).alias(f"{s}_{c}") for c in base.columns]) for s in ("left", "right"))
-        pairs = dealt_join(left, right, ["_key"], "left_id").filter("left_id < right_id")
+        pairs = dealt_join(left, right, ["_key"], "left_id", largest=sizes[rule][1]).filter("left_id < right_id")
         for earlier in rules[:i]:
             agree = F.col(f"left_{earlier}") == F.col(f"right_{earlier}")
             if skip_blank:
@@ -172,6 +183,15 @@ def blocked_pairs(records: DataFrame, record_id: str, rules: list[str], columns:
     return out
 
 
+def _rule_sizes(records: DataFrame, rules: list[str], skip_blank: bool) -> dict[str, tuple[int, int]]:
+    """How many pairs each rule makes, and the rows of its largest block."""
+    keys = F.array(*[F.struct(F.lit(i).alias("rule"), F.col(r).cast("string").alias("key")) for i, r in enumerate(rules)])
+    rows = records.select(F.explode(keys).alias("x")).select("x.*").filter(F.col("key").isNotNull() & (F.col("key") != "" if skip_blank else F.lit(True)))
+    sizes = rows.groupBy("rule", "key").agg(F.count(F.lit(1)).alias("n")).groupBy("rule").agg(F.sum(F.expr("n * (n - 1) div 2")).alias("pairs"), F.max("n").alias("most"))
+    found = {r["rule"]: (r["pairs"], r["most"]) for r in sizes.collect()}  # a row a rule
+    return {rule: found.get(i, (0, 0)) for i, rule in enumerate(rules)}
+
+
 def blocked_pair_count(records: DataFrame, rule: str | list[str]) -> DataFrame:
     """n_pairs that a rule (or several at once) makes, from block sizes alone."""
     rules = [rule] if isinstance(rule, str) else list(rule)
@@ -258,16 +278,31 @@ def filter_blocks(sized: DataFrame, ratio: float = 0.9) -> DataFrame:
     return ranked.filter(F.col("_rank") <= F.floor(F.col("_all") * ratio + 0.5)).drop("_rank", "_all")
 
 
+def entity_index(blocks: DataFrame) -> DataFrame:
+    """(id, blocks): each record's blocks as hashes of their tokens, smallest blocks first; blocks of one record make no pair."""
+    blocks = blocks.select("token", "id")
+    sized = blocks.join(block_sizes(blocks), "token")
+    ordered = sized.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", F.xxhash64("token").alias("b")))).alias("x"))
+    return ordered.select("id", F.transform("x", lambda x: x["b"]).alias("blocks"))
+
+
 def block_pairs(blocks: DataFrame) -> DataFrame:
-    """left_id, right_id, weight: the number of blocks two records share."""
-    blocks = written(blocks.select("token", "id"), "blocks")  # read for the sizes and for both sides
-    a, b = blocks.select("token", F.col("id").alias("left_id")), blocks.select("token", F.col("id").alias("right_id"))
-    return dealt_join(a, b, ["token"], "left_id").filter("left_id < right_id").groupBy("left_id", "right_id").agg(F.count(F.lit(1)).alias("weight"))
+    """left_id, right_id, weight: the number of blocks two records share.
+
+    Two records meet in each block that they share, but become a row only in the first of those, smallest blocks first; the
+    weight comes from both records' lists of blocks (see entity_index). So rows grow with pairs, not with shared blocks, and
+    pairs aren't shuffled.
+    """
+    index = written(entity_index(blocks), "entity-index")
+    # a record goes to a block with all its blocks, as those tell the first common one and the weight
+    rows = index.select("id", "blocks", F.explode("blocks").alias("b"))
+    a, b = rows.select("b", F.col("id").alias("left_id"), F.col("blocks").alias("left_blocks")), rows.select("b", F.col("id").alias("right_id"), F.col("blocks").alias("right_blocks"))
+    met = dealt_join(a, b, ["b"], "left_id").filter("left_id < right_id").withColumn("common", F.array_intersect("left_blocks", "right_blocks"))
+    return met.filter(F.element_at("common", 1) == F.col("b")).select("left_id", "right_id", F.size("common").cast("long").alias("weight"))
 
 
 def weighted_edge_pruning(pairs: DataFrame) -> DataFrame:
-    """Pairs whose weight is the mean or more."""
-    pairs = written(pairs, "block-pairs")  # read for the mean and for the pairs
+    """Pairs whose weight is the mean or more. They are counted first and made again then, so they are never stored."""
     mean = pairs.agg(F.avg("weight").alias("_mean"))
     return pairs.crossJoin(F.broadcast(mean)).filter("weight >= _mean").drop("_mean")  # one row
 
@@ -296,7 +331,7 @@ def tfidf_neighbours(left: DataFrame, right: DataFrame, left_id: str, left_text:
     """left_id, right_id, rank, score: for each left row the k right rows with the largest cosine.
 
     Vocabulary and smoothed idf come from the right side alone; weights are counts times idf, L2-normalised. Rows that
-    share no n-gram are no candidates.
+    share no n-gram are no candidates. Only rows that can be among the best k are compared (see simjoin.top_k).
     """
     grams = lambda df, i, t: df.select(F.col(i).alias("id"), F.explode(char_grams(F.col(t), sizes)).alias("gram")).groupBy("id", "gram").agg(F.count(F.lit(1)).alias("tf"))
     r = written(grams(right, right_id, right_text), "grams")  # read for the frequencies and for the weights
@@ -306,12 +341,11 @@ def tfidf_neighbours(left: DataFrame, right: DataFrame, left_id: str, left_text:
     def weighted(side: DataFrame, name: str) -> DataFrame:
         w = side.join(idf, "gram").withColumn("w", F.col("tf") * F.col("idf"))
         norms = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-        return w.join(norms, "id").select("gram", F.col("id").alias(name), (F.col("w") / F.col("norm")).alias(f"w_{name}"))
+        return w.join(norms, "id").select("gram", F.col("id").alias(name), (F.col("w") / F.col("norm")).alias("w"))
+
+    from kindred.operators.simjoin import top_k
 
-    l = written(weighted(grams(left, left_id, left_text), "left_id"), "weights")  # noqa: E741
-    scores = dealt_join(l, weighted(r, "right_id"), ["gram"], "left_id").groupBy("left_id", "right_id").agg(F.sum(F.col("w_left_id") * F.col("w_right_id")).alias("score"))
-    ranked = scores.withColumn("rank", F.row_number().over(Window.partitionBy("left_id").orderBy(F.round("score", 9).desc(), "right_id")))
-    return ranked.filter(F.col("rank") <= k).select("left_id", "right_id", "rank", "score")
+    return top_k(weighted(grams(left, left_id, left_text), "left_id"), weighted(r, "right_id"), k).drop("compared")
 
 
 def split_pairs(pairs: DataFrame, sizes: dict[str, int], seed: int = 0) -> DataFrame:

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -162,13 +162,83 @@ def estimate_prior(records: DataFrame, rules: Sequence[str], recall: float = 0.7
     return min(max(found / recall / max(n * (n - 1) / 2, 1), 1e-9), 0.5)
 
 
-def expectation_maximisation(pairs: DataFrame, plan: Mapping[str, tuple[str, tuple[float, ...]]], u: Mapping[str, list[float]], prior: float, fixed: Sequence[str] = (), rounds: int = 25, tolerance: float = 1e-4) -> FellegiSunter:
-    """m probabilities from pairs with gammas. Pairs are counted by vector of levels once; rounds run on those counts.
+def block_level_counts(records: DataFrame, record_id: str, rule: str, plan: Mapping[str, tuple[str, tuple[float, ...]]]) -> list[dict[str, int | None]]:
+    """How many pairs of records that agree on a rule have each vector of levels of the other columns: gamma_<column> and n.
+
+    Pairs are counted, not made, but for those that have a level above 0 in a column that isn't compared for equality:
+
+    1. Sizes of groups by block and by the values of each set of equality columns give the pairs that agree on at least that
+       set, and so, by inclusion and exclusion, on exactly that set; which values are missing is part of the groups.
+    2. Other columns have a dictionary of levels above 0: distinct values that meet in a block are compared once for the whole
+       table. Pairs that some entry joins are counted by their levels, and taken off where step 1 had counted them with 0.
+    """
+    from kindred.operators.pairs import _blocks, dealt_join
+
+    columns = [c for c in plan if c != rule]
+    exact = [c for c in columns if plan[c][0] == "exact"]
+    fuzzy = [c for c in columns if c not in exact]
+    if len(exact) > 10:
+        raise ValueError("inclusion and exclusion is for ten columns of equality at most")
+    rows = written(_blocks(records, rule).select(F.col(record_id).alias("id"), F.col(rule).cast("string").alias("block"), *[F.col(c).cast("string").alias(f"v{i}") for i, c in enumerate(columns)]), "level-rows")
+    value = {c: f"v{i}" for i, c in enumerate(columns)}
+    mask = sum((F.when(F.col(value[c]).isNull(), F.lit(1 << i)).otherwise(0) for i, c in enumerate(columns)), F.lit(0))
+    # 1: for each set of equality columns, groups of records that have all its values
+    sets = [[c for i, c in enumerate(exact) if bits >> i & 1] for bits in range(1 << len(exact))]
+    cells = F.array(*[F.when(sum((F.col(value[c]).isNull().cast("int") for c in some), F.lit(0)) == 0, F.struct(F.lit(bits).alias("bits"), F.array(*[F.col(value[c]) for c in some]).cast("array<string>").alias("key"))) for bits, some in enumerate(sets)])
+    sizes = written(rows.select("block", mask.alias("mask"), F.explode(cells).alias("x")).filter("x is not null").groupBy("block", "x", "mask").agg(F.count(F.lit(1)).alias("n")), "level-sizes")
+    left, right = (sizes.select("block", "x", F.col("mask").alias(f"m{s}"), F.col("n").alias(f"n{s}")) for s in "lr")
+    met = left.join(right, ["block", "x"]).filter("ml <= mr")  # a row for each two of the few masks of a group
+    both = F.when(F.col("ml") == F.col("mr"), F.expr("nl * (nl - 1) div 2")).otherwise(F.col("nl") * F.col("nr"))
+    least = {(r["bits"], r["mask"]): r["n"] for r in met.select("x.bits", F.col("ml").bitwiseOR(F.col("mr")).alias("mask"), both.alias("n")).groupBy("bits", "mask").agg(F.sum("n").alias("n")).collect()}
+    counts: dict[tuple[int | None, ...], int] = {}
+    for m in {m for _, m in least}:
+        there = sum(1 << i for i, c in enumerate(exact) if not m >> columns.index(c) & 1)
+        for bits in (b for b in range(1 << len(exact)) if b & ~there == 0):
+            n = sum((-1) ** (more.bit_count() - bits.bit_count()) * least.get((more, m), 0) for more in range(1 << len(exact)) if more & ~there == 0 and more & bits == bits)
+            if n:
+                vector = tuple(None if m >> i & 1 else int(c in exact and bits >> exact.index(c) & 1) for i, c in enumerate(columns))
+                counts[vector] = counts.get(vector, 0) + n
+    # 2: dictionaries, and the pairs that they join
+    joined, dictionaries = None, {}
+    for c in fuzzy:
+        v = value[c]
+        there = written(rows.filter(F.col(v).isNotNull()).groupBy("block", v).agg(F.count(F.lit(1)).alias("n")), "level-values")
+        a, b = there.select("block", F.col(v).alias("a")), there.select("block", F.col(v).alias("b"))
+        other = written(dealt_join(a, b, ["block"], "a").filter("a < b").select("a", "b").distinct(), "value-pairs")
+        same = there.filter("n > 1").select(F.col(v).alias("a"), F.col(v).alias("b")).distinct()
+        levels = other.unionByName(same).withColumn("level", C.gamma(*plan[c], F.col("a"), F.col("b"))).filter("level > 0")
+        dictionaries[c] = found = written(levels, "value-levels")
+        ways = found.select("a", "b").unionByName(found.filter("a < b").select(F.col("b").alias("a"), F.col("a").alias("b")))
+        side = lambda s, name: rows.filter(F.col(v).isNotNull()).select("block", F.col(v).alias(name), F.col("id").alias(f"{s}_id"))  # noqa: B023, E731
+        through = dealt_join(ways, side("left", "a"), ["a"], "b").select("block", "b", "left_id")
+        some = dealt_join(through, side("right", "b"), ["block", "b"], "left_id").filter("left_id < right_id").select("left_id", "right_id")
+        joined = some if joined is None else joined.unionByName(some)
+    if joined is not None:
+        full = joined.distinct()
+        for s in ("left", "right"):
+            full = full.join(rows.select(F.col("id").alias(f"{s}_id"), *[F.col(value[c]).alias(f"{s}_{c}") for c in columns]), f"{s}_id")
+        for c in exact:
+            full = full.withColumn(f"gamma_{c}", C.exact_level(F.col(f"left_{c}"), F.col(f"right_{c}")))
+        for c in fuzzy:
+            l, r = F.col(f"left_{c}"), F.col(f"right_{c}")
+            named = dictionaries[c].select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("level").alias("_level"))
+            full = full.join(named, (F.least(l, r) == F.col("_a")) & (F.greatest(l, r) == F.col("_b")), "left")
+            full = full.withColumn(f"gamma_{c}", F.when(l.isNotNull() & r.isNotNull(), F.coalesce("_level", F.lit(0)))).drop("_a", "_b", "_level")
+        for r in gamma_counts(full, columns).collect():  # a row for each vector of levels
+            vector = tuple(r[f"gamma_{c}"] for c in columns)
+            plain = tuple(0 if c in fuzzy and g is not None else g for c, g in zip(columns, vector))
+            counts[vector] = counts.get(vector, 0) + r["n"]
+            counts[plain] = counts.get(plain, 0) - r["n"]
+    return [{f"gamma_{c}": g for c, g in zip(columns, vector)} | {"n": n} for vector, n in counts.items() if n]
+
+
+def expectation_maximisation(pairs: DataFrame | list[dict[str, int | None]], plan: Mapping[str, tuple[str, tuple[float, ...]]], u: Mapping[str, list[float]], prior: float, fixed: Sequence[str] = (), rounds: int = 25, tolerance: float = 1e-4) -> FellegiSunter:
+    """m probabilities from pairs with gammas, or from their counts by vector of levels; rounds run on those counts.
 
     Columns in fixed (those the pairs were blocked on) are left out of the estimate and keep m near certainty.
     """
     columns = [c for c in plan if c not in fixed]
-    rows = gamma_counts(pairs, columns).collect() if columns else []
+    rows = (pairs if isinstance(pairs, list) else gamma_counts(pairs, columns).collect()) if columns else []
     levels = {c: C.levels_of(*plan[c]) for c in plan}
     m = {c: [0.1 / (levels[c] - 1)] * (levels[c] - 1) + [0.9] for c in plan}
     share, history = max(prior, 1e-4), []
@@ -194,10 +264,11 @@ def expectation_maximisation(pairs: DataFrame, plan: Mapping[str, tuple[str, tup
     return FellegiSunter(m, dict(u), prior, history)
 
 
-def fit_fellegi_sunter(records: DataFrame, record_id: str, field_types: Mapping[str, str], recall: float = 0.7, max_pairs: int = 1_000_000) -> FellegiSunter:
+def fit_fellegi_sunter(records: DataFrame, record_id: str, field_types: Mapping[str, str], recall: float = 0.7, max_pairs: int = 1_000_000, sampled: bool = False) -> FellegiSunter:
     """Train as the baseline does: prior from rules, u from random pairs, m by EM over up to three blocked pair sets.
 
-    Each estimate runs on about max_pairs pairs at most, by hashes of the ids; the prior, from block sizes, on all.
+    u comes from about max_pairs pairs at most, chosen by hashes of the ids. The prior and EM take all pairs, from counts (see
+    block_level_counts); sampled: EM takes about max_pairs of each rule instead.
     Categorical columns get term frequencies of the whole table; they adjust predictions, EM runs on levels alone.
     """
     from kindred.operators.pairs import prior_rules, sampled_block_pairs
@@ -208,7 +279,7 @@ def fit_fellegi_sunter(records: DataFrame, record_id: str, field_types: Mapping[
     u = estimate_u(records, record_id, plan, max_pairs)
     estimates: dict[str, list[list[float]]] = {c: [] for c in plan}
     for rule in rules:
-        pairs = add_gammas(sampled_block_pairs(records, record_id, rule, list(plan), max_pairs), plan)
+        pairs = add_gammas(sampled_block_pairs(records, record_id, rule, list(plan), max_pairs), plan) if sampled else block_level_counts(records, record_id, rule, plan)
         model = expectation_maximisation(pairs, plan, u, prior, fixed=[rule])
         for c in plan:
             if c != rule and model.history:
@@ -284,10 +355,10 @@ class PairMLP:
 
     def score_pairs(self, pairs: DataFrame, field_types: Mapping[str, str] = {}) -> DataFrame:
         forward = self.forward
+        matrix = lambda x: x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
 
-        @F.pandas_udf("double")
-        def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        def score(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
             for a, b in batches:
-                yield pd.Series(forward(np.stack(a.to_list()), np.stack(b.to_list())) if len(a) else np.empty(0))
+                yield pa.array(forward(matrix(a), matrix(b)) if len(a) else np.empty(0), pa.float64())
 
-        return pairs.withColumn("score", score(F.col(f"left_{self.column}"), F.col(f"right_{self.column}")))
+        return pairs.withColumn("score", F.arrow_udf(score, "double")(F.col(f"left_{self.column}"), F.col(f"right_{self.column}")))

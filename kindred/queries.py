@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from kindred import api, storage
 from kindred.functions import compare as C
 from kindred.functions import text as X
-from kindred.operators import graph, metrics, neural, pairs, records, runs, score, views
+from kindred.operators import dag, graph, metrics, neighbours, neural, pairs, phones, records, runs, score, simjoin, training, views
 from kindred.plans import synth, worldgraph
 from kindred.sources import catalog, convert, lookups, selector, sinks
+from kindred.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 _ALL: dict[str, tuple[Query, str | None]] = {}
@@ -66,6 +67,30 @@ def nearest_neighbors_embeddings(spark: SparkSession, d: str) -> DataFrame:
     return views.nearest_neighbors(_cosines(spark, d), 3)
 
 
+def _index(spark: SparkSession, d: str, k: int) -> neighbours.Index:
+    return neighbours.build(_table(spark, d, "embeddings"), "vec_id", "embedding", k)
+
+
+@_query(f"""{_COSINES}, both_ AS (SELECT left_id AS q, right_id AS n, score FROM scored UNION ALL SELECT right_id, left_id, score FROM scored),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, n) AS rank FROM both_ WHERE q % 50 = 0)
+SELECT q AS query_index, n AS neighbor_index, CAST(rank AS INTEGER) AS rank, score FROM ranked WHERE rank <= 3""")
+def indexed_neighbors_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    return _index(spark, d, 3).search(_table(spark, d, "embeddings").filter("vec_id % 50 = 0"), "vec_id", "embedding", exact=True)
+
+
+@_query(f"{_COSINES} SELECT left_id AS left_index, right_id AS right_index, score FROM scored ORDER BY score DESC, left_id, right_id LIMIT 10")
+def indexed_top_pairs_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    return _index(spark, d, 10).top_pairs(10)
+
+
+@_query("SELECT 3 * count(*) AS n_wanted, TRUE AS reached FROM embeddings WHERE vec_id % 50 = 0")
+def neighbor_recall_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    """Of the cells that the index visits by itself: is the recall 0.95 or more, against exact search?"""
+    index, asked = _index(spark, d, 3), _table(spark, d, "embeddings").filter("vec_id % 50 = 0")
+    exact, some = (index.search(asked, "vec_id", "embedding", e) for e in (True, False))
+    return neighbours.recall(some, exact).select("n_wanted", (F.col("recall") >= 0.95).alias("reached"))
+
+
 @_query(f"""{_COSINES}, best AS (SELECT * FROM scored ORDER BY score DESC, left_id, right_id LIMIT 10)
 SELECT left_id AS left_index, right_id AS right_index, score, l.label AS left_label, r.label AS right_label FROM best JOIN embeddings l ON left_id = l.vec_id JOIN embeddings r ON right_id = r.vec_id""")
 def pair_review_embeddings(spark: SparkSession, d: str) -> DataFrame:
@@ -118,6 +143,12 @@ def components_embeddings(spark: SparkSession, d: str) -> DataFrame:
     return _clusters(spark, d).select("record_id", "label", "component_id")
 
 
+@_query(_NEAREST.replace("WITH unit", "WITH RECURSIVE unit") + _REACH + " SELECT id AS node, component_id FROM comp WHERE id IN (SELECT a FROM sym)")
+def merged_components_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    links = storage.written(_cosines(spark, d).filter(F.col("score") >= _LINKED).select("left_id", "right_id"), "links")
+    return incremental.merged_in_batches(links, (F.col("left_id") + F.col("right_id")) % 3, 3)
+
+
 @_query(_NEAREST.replace("WITH unit", "WITH RECURSIVE unit") + _REACH + """, lab AS (SELECT label AS t, component_id AS c FROM comp JOIN embeddings ON id = vec_id), cell AS (SELECT t, c, CAST(count(*) AS DOUBLE) AS n FROM lab GROUP BY t, c),
 q AS (SELECT (SELECT sum(n) FROM cell) AS n, (SELECT sum(n * n) FROM cell) AS s, (SELECT sum(n * n) FROM (SELECT sum(n) AS n FROM cell GROUP BY t)) AS a, (SELECT sum(n * n) FROM (SELECT sum(n) AS n FROM cell GROUP BY c)) AS b),
 m AS (SELECT s - n AS tp, b - s AS fp, a - s AS fn, n * n - a - b + s AS tn FROM q)
@@ -177,6 +208,35 @@ def evaluate_embeddings(spark: SparkSession, d: str) -> DataFrame:
     return out.select(*[c if c in kept else F.round(c, 9).alias(c) for c in out.columns])
 
 
+def _scope_sql(condition: str) -> str:
+    """The evaluation of pairs of a scope; those with a cosine below 0.1 aren't scored."""
+    cosine = "round(list_cosine_similarity(l.e, r.e), 6)"
+    return _EVALUATED.replace("l.vec_id < r.vec_id", f"l.vec_id < r.vec_id AND {condition}", 1).replace(f"{cosine} AS score", f"CASE WHEN {cosine} >= 0.1 THEN {cosine} ELSE 0 END AS score", 1)
+
+
+def _evaluated(spark: SparkSession, d: str, scored: DataFrame, totals: tuple[int, int]) -> DataFrame:
+    out = metrics.evaluate("embeddings", _table(spark, d, "embeddings"), "vec_id", "label", scored.filter("score >= 0.1"), _LINKED, totals=totals)
+    kept = ("name", "n_records", "n_entities", "best_pair_threshold", "candidate_pairs")
+    return out.select(*[c if c in kept else F.round(c, 9).alias(c) for c in out.columns])
+
+
+@_query(_scope_sql("l.vec_id % 3 <> r.vec_id % 3"))
+def evaluate_cross_source_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    sourced = _table(spark, d, "embeddings").withColumn("source", F.col("vec_id") % 3)
+    scored = _cosines(spark, d).filter(F.col("left_id") % 3 != F.col("right_id") % 3)
+    return _evaluated(spark, d, scored, tuple(metrics.scope_totals(sourced, "label", "source").first()))
+
+
+@_query(_scope_sql("l.vec_id // 2 = r.vec_id // 2"))
+def evaluate_paired_rows_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    sides = _table(spark, d, "embeddings").withColumn("pair_id", F.expr("vec_id div 2")).withColumn("side", F.col("vec_id") % 2)
+    universe = pairs.paired_rows(sides, "pair_id", "side", 0, 1, ["vec_id", "label", "embedding"])
+    targets = universe.select((F.col("left_label") == F.col("right_label")).cast("int").alias("target"))
+    cosine = F.round(C.cosine(F.col("left_embedding"), F.col("right_embedding")), 6)
+    scored = universe.select(F.col("left_vec_id").alias("left_id"), F.col("right_vec_id").alias("right_id"), cosine.alias("score"), (F.col("left_label") == F.col("right_label")).cast("int").alias("target"))
+    return _evaluated(spark, d, scored, tuple(targets.agg(F.count(F.lit(1)), F.sum("target")).first()))
+
+
 _ENDS = " UNION ALL ".join(
     f"SELECT '{kind}' AS kind, row_number() OVER (ORDER BY score {order}, left_id, right_id) AS rank, left_id, right_id, score FROM scored WHERE target = {target}"
     for kind, target, order in (("false_positive", 0, "DESC"), ("weak_positive", 1, ""), ("true_positive", 1, "DESC"), ("true_negative", 0, ""))
@@ -200,6 +260,18 @@ def pair_mlp_embeddings(spark: SparkSession, d: str) -> DataFrame:
     return views.top_pairs(scored, 10)
 
 
+@_query("""WITH p AS (SELECT CAST(l.label = r.label AS INTEGER) AS t FROM embeddings l JOIN embeddings r ON l.vec_id // 40 = r.vec_id // 40 AND l.vec_id < r.vec_id)
+SELECT count(*) AS n_pairs, CAST(sum(t) AS BIGINT) AS positives, 12 AS steps, TRUE AS loss_falls FROM p""")
+def train_pair_mlp_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    """Training on the pairs of each forty vectors; the numbers of pairs, and whether the loss falls."""
+    df = _table(spark, d, "embeddings").withColumn("block", F.expr("vec_id div 40"))
+    found = metrics.with_target(pairs.blocked_pairs(df, "vec_id", ["block"], ["embedding", "label"]), "label")
+    batches = training.Batches.write(found, "embedding", size=20_000)
+    _, state = training.train(score.PairMLP.random(64), batches, spark, steps=12, rate=3e-3)
+    n, positives = (sum(x) for x in zip(*[(n, p) for p, n in batches.counts]))
+    return spark.createDataFrame([(n, positives, state.step, training.falls(state.losses))], "n_pairs long, positives long, steps int, loss_falls boolean")
+
+
 # -- entity samples and field types ------------------------------------------------------------------------------
 
 
@@ -309,12 +381,13 @@ def block_purging_benchmark(spark: SparkSession, d: str) -> DataFrame:
     return pairs.purge_statistics(pairs.token_blocks(_table(spark, d, "benchmark"), "item_id", ["text"]))
 
 
-_FILTERED = f"""{_BLOCKS}, kept AS (SELECT id, b.token, n FROM blocks b JOIN sizes s ON b.token = s.token AND n <= 12), ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n, token) AS r, count(*) OVER (PARTITION BY id) AS a FROM kept),
+_FILTERED = f"""{_BLOCKS}, kept AS (SELECT id, b.token, n FROM blocks b JOIN sizes s ON b.token = s.token), ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n, token) AS r, count(*) OVER (PARTITION BY id) AS a FROM kept),
 filtered AS (SELECT id, token, n FROM ranked WHERE r <= floor(a * 0.9 + 0.5))"""
 
 
 def _filtered(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.filter_blocks(pairs.purge_blocks(pairs.token_blocks(_table(spark, d, "benchmark"), "item_id", ["text"]), 12), 0.9)
+    blocks = pairs.token_blocks(_table(spark, d, "benchmark"), "item_id", ["text"])
+    return pairs.filter_blocks(blocks.join(pairs.block_sizes(blocks), "token"), 0.9)
 
 
 @_query(f"WITH {_FILTERED} SELECT id, token, n FROM filtered")
@@ -389,6 +462,26 @@ def components_documents(spark: SparkSession, d: str) -> DataFrame:
     return graph.component_labels(docs.select(F.col("doc_id").alias("record_id")), edges)
 
 
+_SHINGLES = r"""w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), i -> array_to_string(w[i : i + 4], ' ')) ELSE [array_to_string(w, ' ')] END) AS g FROM w WHERE len(w) > 0),
+own AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, '|' ORDER BY g)) AS k FROM sh GROUP BY doc_id), cls AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY k, n) AS id FROM own),
+rep AS (SELECT sh.doc_id, g, n FROM sh JOIN cls USING (doc_id) WHERE doc_id = id), shared AS (SELECT a.doc_id AS left_id, b.doc_id AS right_id, a.n AS an, b.n AS bn, count(*) AS c FROM rep a JOIN rep b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+near AS (SELECT left_id, right_id, c / (an + bn - c) AS similarity FROM shared WHERE c / (an + bn - c) >= 0.8)"""
+
+
+@_query(f"WITH {_SHINGLES} SELECT left_id, right_id, round(similarity, 9) AS similarity FROM near")
+def similar_documents(spark: SparkSession, d: str) -> DataFrame:
+    sets, _ = simjoin.classes(simjoin.shingle_sets(_table(spark, d, "documents"), "doc_id", "text"), "doc_id", "s")
+    return simjoin.set_join(sets, 0.8).withColumn("similarity", F.round("similarity", 9))
+
+
+@_query(f"""WITH RECURSIVE {_SHINGLES}, sym AS (SELECT left_id AS a, right_id AS b FROM near UNION SELECT right_id, left_id FROM near),
+reach AS (SELECT DISTINCT id AS a, id AS b FROM cls UNION SELECT r.a, s.b FROM reach r JOIN sym s ON r.b = s.a), comp AS (SELECT a AS id, min(b) AS c FROM reach GROUP BY a), links AS (SELECT a AS id, count(*) AS links FROM sym GROUP BY a)
+SELECT d.doc_id, coalesce(c, d.doc_id) AS component_id, coalesce(links, 0) AS links FROM documents d LEFT JOIN cls USING (doc_id) LEFT JOIN comp ON comp.id = cls.id LEFT JOIN links ON links.id = cls.id""")
+def near_copy_components_documents(spark: SparkSession, d: str) -> DataFrame:
+    return simjoin.near_copies(simjoin.shingle_sets(_table(spark, d, "documents"), "doc_id", "text"), "doc_id", "s")
+
+
 @_query("SELECT lang, count(*) FILTER (WHERE source = 'src0') AS src0, count(*) FILTER (WHERE source = 'src1') AS src1, count(*) FILTER (WHERE source = 'src2') AS src2 FROM documents GROUP BY lang")
 def source_counts_documents(spark: SparkSession, d: str) -> DataFrame:
     return metrics.source_counts(_table(spark, d, "documents"), "lang", "source", ["src0", "src1", "src2"])
@@ -454,13 +547,47 @@ def fellegi_sunter_tf_customer(spark: SparkSession, d: str) -> DataFrame:
     return scored.select("left_id", "right_id", F.round("match_weight", 6).alias("match_weight"), F.round("score", 6).alias("score"))
 
 
-@_query()
+def _em_sql() -> str:
+    """Fitting in SQL: levels of all pairs, u from all, EM by blocks of each of three columns, 25 rounds of it written out."""
+    levels = {"b": 4, "m": 2, "k": 2}  # block, segment, bucket
+    parts = [
+        """c AS MATERIALIZED (SELECT *, CAST(floor(c_acctbal / 500) AS BIGINT) AS bucket, c_nationkey || '-' || CAST(floor(c_acctbal / 50) AS BIGINT) AS block FROM customer)""",
+        """p AS MATERIALIZED (SELECT l.c_custkey AS left_id, r.c_custkey AS right_id, l.c_mktsegment AS seg, l.block = r.block AS same_b, CAST(l.c_mktsegment = r.c_mktsegment AS INTEGER) AS m, CAST(l.bucket = r.bucket AS INTEGER) AS k,
+  CASE WHEN l.block = r.block THEN 3 ELSE (SELECT CASE WHEN j >= 0.95 THEN 2 WHEN j >= 0.9 THEN 1 ELSE 0 END FROM (SELECT jaro_winkler_similarity(l.block, r.block) AS j)) END AS b FROM c l JOIN c r ON l.c_custkey < r.c_custkey)""",
+        "v AS MATERIALIZED (SELECT same_b, m, k, b, CAST(count(*) AS DOUBLE) AS n FROM p GROUP BY ALL)",
+        "tot AS (SELECT sum(n) AS t, sum(n) FILTER (WHERE same_b OR m = 1 OR k = 1) AS agreed FROM v)",
+        "prior AS MATERIALIZED (SELECT least(greatest(agreed / 0.7 / t, 1e-9), 0.5) AS prior FROM tot)",
+        "u AS MATERIALIZED (SELECT " + ", ".join(f"(coalesce(sum(n) FILTER (WHERE {x} = {g}), 0) + 0.5) / (sum(n) + {0.5 * size}) AS u{x}{g}" for x, size in levels.items() for g in range(size)) + " FROM v)",
+    ]
+    for rule, condition in (("b", "same_b"), ("m", "m = 1"), ("k", "k = 1")):
+        own = [x for x in levels if x != rule]
+        state = [f"m{x}{g}" for x in own for g in range(levels[x])]
+        parts.append(f"n{rule} AS MATERIALIZED (SELECT {', '.join(own)}, sum(n) AS n FROM v WHERE {condition} GROUP BY ALL)")
+        start = [f"CAST({0.1 / (levels[x] - 1) if g < levels[x] - 1 else 0.9} AS DOUBLE) AS m{x}{g}" for x in own for g in range(levels[x])]
+        parts.append(f"{rule}0 AS (SELECT greatest(prior, 1e-4) AS share, FALSE AS done, {', '.join(start)} FROM prior)")
+        ratios = " + ".join("CASE " + x + " " + " ".join(f"WHEN {g} THEN ln(greatest(m{x}{g}, 1e-12)) - ln(greatest(u{x}{g}, 1e-12))" for g in range(levels[x])) + " END" for x in own)
+        for i in range(25):
+            weights = [f"(coalesce(sum(p * n) FILTER (WHERE {x} = {g}), 0) + 1e-6) AS w{x}{g}" for x in own for g in range(levels[x])]
+            parts.append(f"{rule}w{i} AS (SELECT share, done, {', '.join(state)}, sum(p * n) / sum(n) AS new, {', '.join(weights)} FROM (SELECT s.*, q.*, 1 / (1 + exp(-(ln(share / (1 - share)) + {ratios}))) AS p FROM {rule}{i} s, n{rule} q, u) GROUP BY ALL)")
+            moved = [f"CASE WHEN done THEN m{x}{g} ELSE w{x}{g} / ({' + '.join(f'w{x}{h}' for h in range(levels[x]))}) END AS m{x}{g}" for x in own for g in range(levels[x])]
+            parts.append(f"{rule}{i + 1} AS MATERIALIZED (SELECT CASE WHEN done THEN share ELSE least(greatest(new, 1e-9), 1 - 1e-9) END AS share, done OR abs(new - share) < 1e-4 AS done, {', '.join(moved)} FROM {rule}w{i})")
+    means = [f"({' + '.join(f'{rule}25.m{x}{g}' for rule in levels if rule != x)}) / 2 AS m{x}{g}" for x in levels for g in range(levels[x])]
+    parts.append(f"fit AS MATERIALIZED (SELECT prior, u.*, {', '.join(means)} FROM prior, u, b25, m25, k25)")
+    weigh = " + ".join("CASE " + x + " " + " ".join(f"WHEN {g} THEN log2(greatest(m{x}{g}, 1e-12) / greatest(u{x}{g}, 1e-12))" for g in range(levels[x])) + " END" for x in levels)
+    parts.append("tf AS (SELECT c_mktsegment AS value, count(*) / (SELECT count(c_mktsegment) FROM customer) AS share FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY c_mktsegment)")
+    parts.append(f"scored AS (SELECT left_id, right_id, log2(prior / (1 - prior)) + {weigh} + CASE WHEN m = 1 THEN log2(greatest(um1, 1e-12) / share) ELSE 0 END AS w FROM p JOIN tf ON seg = value, fit WHERE same_b)")
+    return f"WITH {', '.join(parts)} SELECT left_id, right_id, round(w, 4) AS match_weight, round(1 / (1 + pow(2, -least(greatest(w, -60), 60))), 4) AS score FROM scored"
+
+
+@_query(_em_sql())
 def fellegi_sunter_em_customer(spark: SparkSession, d: str) -> DataFrame:
+    """A model fitted to all pairs of three rules, and, up to 2,000,000 pairs, to all pairs for u; beyond, u comes from as many."""
     kinds = {"c_mktsegment": "categorical", "bucket": "numeric"}
     df = _customers(spark, d)
-    model = score.fit_fellegi_sunter(df, "c_custkey", {"block": "identifier", **kinds})
+    model = score.fit_fellegi_sunter(df, "c_custkey", {"block": "identifier", **kinds}, max_pairs=2_000_000)
     found = pairs.blocked_pairs(df, "c_custkey", ["block"], list(kinds))
-    return model.score_pairs(found, {"block": "identifier", **kinds}).select("left_id", "right_id", "match_weight", "score")
+    scored = model.score_pairs(found, {"block": "identifier", **kinds})
+    return scored.select("left_id", "right_id", F.round("match_weight", 4).alias("match_weight"), F.round("score", 4).alias("score"))
 
 
 _RULED = f"""WITH {_CUSTOMERS}, agreed AS (SELECT count(*) AS k FROM c l JOIN c r ON l.c_custkey < r.c_custkey AND (l.block = r.block OR l.bucket = r.bucket OR l.c_mktsegment = r.c_mktsegment)), n AS (SELECT count(*) AS n FROM customer)"""
@@ -788,6 +915,50 @@ def name_tokens_documents(spark: SparkSession, d: str) -> DataFrame:
     return words.select("doc_id", X.name_token("w").alias("token"), X.name_token("w", "ID", True).alias("upper_token"))
 
 
+_PHONES = """WITH p AS (SELECT c_custkey, c_custkey % 5 AS k, c_nationkey + 10 AS code, c_phone, substr(c_phone, 4) AS rest FROM customer),
+t AS (SELECT *, CASE k WHEN 0 THEN '+' || c_phone WHEN 1 THEN '00 ' || c_phone WHEN 2 THEN '0' || rest WHEN 3 THEN '(' || substr(rest, 1, 3) || ') ' || substr(rest, 5) ELSE '+99 ' || rest END AS phone FROM p)"""
+
+
+@_query(f"""{_PHONES} SELECT c_custkey, CASE WHEN k < 4 THEN '+' || code || replace(rest, '-', '') ELSE '+99' || replace(rest, '-', '') END AS e164 FROM t""")
+def phones_of_all_countries_customer(spark: SparkSession, d: str) -> DataFrame:
+    """Phones written in five ways; the calling codes are those of the nations."""
+    codes = _table(spark, d, "nation").select((F.col("n_nationkey") + 10).cast("string").alias("code"), F.col("n_name").alias("region"), F.lit(10).alias("least"), F.lit(10).alias("most"), F.lit("0").alias("trunk"))
+    nations = _table(spark, d, "nation").select("n_nationkey", "n_name")
+    rest = F.expr("substring(c_phone, 4)")
+    k = F.col("c_custkey") % 5
+    phone = F.when(k == 0, F.concat(F.lit("+"), "c_phone")).when(k == 1, F.concat(F.lit("00 "), "c_phone")).when(k == 2, F.concat(F.lit("0"), rest)).when(k == 3, F.concat(F.lit("("), F.substring(rest, 1, 3), F.lit(") "), F.expr("substring(c_phone, 8)"))).otherwise(F.concat(F.lit("+99 "), rest))
+    rows = _table(spark, d, "customer").join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name", phone.alias("phone"))
+    return phones.normalize_phones(rows, "phone", codes, F.col("n_name")).select("c_custkey", "e164")
+
+
+#: Each part depends on those of a half and a third of its number.
+_PARTS = "e AS (SELECT p_partkey // 2 AS parent, p_partkey AS child FROM part WHERE p_partkey >= 2 UNION SELECT p_partkey // 3, p_partkey FROM part WHERE p_partkey >= 3)"
+
+
+def _part_edges(spark: SparkSession, d: str) -> DataFrame:
+    key = _table(spark, d, "part").select(F.col("p_partkey").alias("child"))
+    return key.filter("child >= 2").select(F.expr("child div 2").alias("parent"), "child").unionByName(key.filter("child >= 3").select(F.expr("child div 3").alias("parent"), "child"))
+
+
+@_query(f"WITH RECURSIVE {_PARTS}, w AS (SELECT parent AS node, 0 AS layer FROM e WHERE parent NOT IN (SELECT child FROM e) UNION SELECT e.child, layer + 1 FROM w JOIN e ON w.node = e.parent) SELECT node, max(layer) AS layer FROM w GROUP BY node")
+def layers_part(spark: SparkSession, d: str) -> DataFrame:
+    return dag.layers(_part_edges(spark, d))
+
+
+@_query(f"""WITH RECURSIVE {_PARTS}, w AS (SELECT p_partkey AS start, p_partkey AS node, 0 AS distance FROM part WHERE p_size = 50 UNION SELECT start, e.parent, distance + 1 FROM w JOIN e ON w.node = e.child)
+SELECT start, node, min(distance) AS distance FROM w WHERE distance > 0 GROUP BY start, node""")
+def ancestors_part(spark: SparkSession, d: str) -> DataFrame:
+    starts = _table(spark, d, "part").filter("p_size = 50")
+    return dag.closure(_part_edges(spark, d), starts, "p_partkey", up=True)
+
+
+@_query(f"""WITH RECURSIVE {_PARTS}, w AS (SELECT child AS node FROM e WHERE parent IN (2, 3) AND child % 5 <> 0 UNION SELECT e.child FROM w JOIN e ON w.node = e.parent WHERE e.child % 5 <> 0)
+SELECT node FROM w WHERE node NOT IN (2, 3)""")
+def blocked_descendants_part(spark: SparkSession, d: str) -> DataFrame:
+    part = _table(spark, d, "part").select(F.col("p_partkey").alias("node"))
+    return dag.descendants(_part_edges(spark, d), part.filter("node in (2, 3)"), blocked=part.filter("node % 5 = 0"))
+
+
 @_query("SELECT o_orderkey, strftime(o_orderdate, '%y') AS suffix FROM orders")
 def birth_year_suffix_orders(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "orders").select("o_orderkey", X.birth_year_suffix(F.date_format("o_orderdate", "dd/MM/yyyy")).alias("suffix"))

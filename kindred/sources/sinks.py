@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.functions.text import serialize_colval
+from kindred.storage import path_exists
 
 
 def write_csv(df: DataFrame, path: str, overwrite: bool = False) -> None:
@@ -17,20 +18,10 @@ def write_csv(df: DataFrame, path: str, overwrite: bool = False) -> None:
     df.write.mode("overwrite" if overwrite else "errorifexists").option("header", True).csv(path)
 
 
-def write_parquet(df: DataFrame, path: str, overwrite: bool = False, partition_by: list[str] | None = None) -> None:
-    writer = df.write.mode("overwrite" if overwrite else "errorifexists")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-
-
 def remaining(df: DataFrame, path: str, keys: list[str], schema: str) -> DataFrame:
     """Rows whose keys a folder of JSON lines doesn't have yet."""
     spark = df.sparkSession
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         return df
     return df.join(spark.read.schema(schema).json(path).select(*keys).distinct(), keys, "left_anti")
 

@@ -43,6 +43,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{folder}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete what an operator no longer needs."""
     with contextlib.suppress(Exception):

@@ -31,7 +31,7 @@ def agree(a, b, *columns):
 @pytest.mark.parametrize("heavy", [5_000, 7])
 def test_blocks_with_a_hot_key(records, rows, monkeypatch, heavy):
     data, df = records
-    monkeypatch.setattr(pairs.dealt_join, "__defaults__", (heavy,))
+    monkeypatch.setattr(pairs, "HEAVY", heavy)
     found = pairs.blocked_pairs(df, "id", ["first", "second"])
     wanted = [(a[0], b[0], "exact:first" if agree(a, b, 1) else "exact:second") for a, b in itertools.combinations(data, 2) if agree(a, b, 1, 2)]
     assert rows(found, "left_id", "right_id", "match_key") == sorted(wanted, key=repr)
@@ -44,7 +44,7 @@ def test_token_blocks_and_neighbours_with_a_hot_key(spark, rows, monkeypatch):
     df = spark.createDataFrame(texts, "id long, text string")
     plain = rows(pairs.block_pairs(pairs.token_blocks(df, "id", ["text"])))
     near = rows(pairs.tfidf_neighbours(df, df, "id", "text", "id", "text", 3).withColumn("score", F.round("score", 9)))
-    monkeypatch.setattr(pairs.dealt_join, "__defaults__", (3,))
+    monkeypatch.setattr(pairs, "HEAVY", 3)
     assert rows(pairs.block_pairs(pairs.token_blocks(df, "id", ["text"]))) == plain
     assert {(a, b): w for a, b, w in plain} == {(a, b): 1 + (a % 5 == b % 5) for a, b in itertools.combinations(range(40), 2)}
     assert rows(pairs.tfidf_neighbours(df, df, "id", "text", "id", "text", 3).withColumn("score", F.round("score", 9))) == near
@@ -292,3 +292,35 @@ def test_shared_tables_go(spark):
     assert there() and df.count() == 5
     storage.drop_tables(df)
     assert not there()
+
+
+@pytest.mark.parametrize("heavy", [3, 1000])
+def test_joins_deal_both_sides(spark, heavy):
+    left = spark.createDataFrame([("hot", i) for i in range(10)] + [("one", 50), (None, 51)], "k string, a long")
+    right = spark.createDataFrame([("hot", i) for i in range(100, 140)] + [("one", i) for i in range(200, 230)] + [(None, 1), ("none", 2)], "k string, b long")
+    found = pairs.dealt_join(left, right, ["k"], "a", heavy)
+    assert found.count() == 400 + 30 and found.distinct().count() == 430 and found.columns == ["k", "a", "b"]
+
+
+def test_pairs_of_blocks_are_rows_once(spark):
+    g = random.Random(5)
+    own = {i: {g.choice("abcdefgh") for _ in range(4)} for i in range(30)}
+    blocks = spark.createDataFrame([(t, i) for i, x in own.items() for t in x], "token string, id long")
+    found = {(r["left_id"], r["right_id"]): r["weight"] for r in pairs.block_pairs(blocks).collect()}
+    assert found == {(a, b): len(own[a] & own[b]) for a, b in itertools.combinations(own, 2) if own[a] & own[b]}
+    assert pairs.block_pairs(blocks).count() == len(found)
+
+
+def test_counts_of_levels_without_pairs(spark):
+    g = random.Random(11)
+    names = ["martha", "marhta", "marta", "dwayne", "duane", "dixon", "dicksonx", "", None]
+    mails = ["a@x.org", "a@y.org", "b@x.org", "A@X.org", None]
+    data = [(i, g.choice(["p", "q", None, ""]), g.choice(names), g.choice(["u", "v", None]), g.choice([1, 2, 3, None]), g.choice(mails), g.choice(["2001-02-03", "2001-02-04", "1999-12-31", None])) for i in range(140)]
+    df = spark.createDataFrame(data, "id long, rule string, name string, kind string, num int, mail string, born string")
+    plan = C.comparison_plan({"rule": "identifier", "name": "text", "kind": "categorical", "num": "numeric", "mail": "email", "born": "date"})
+    columns = [c for c in plan if c != "rule"]
+    pairs_ = score.add_gammas(pairs.blocked_pairs(df, "id", ["rule"], columns), {c: plan[c] for c in columns})
+    wanted = {tuple(r[f"gamma_{c}"] for c in columns): r["n"] for r in score.gamma_counts(pairs_, columns).collect()}
+    found = {tuple(r[f"gamma_{c}"] for c in columns): r["n"] for r in score.block_level_counts(df, "id", "rule", plan)}
+    assert found == wanted and len(wanted) > 50
+    assert score.block_level_counts(df.limit(0), "id", "rule", plan) == []

@@ -1,10 +1,11 @@
 import json
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kindred.operators import metrics, neural, pairs, runs
+from kindred.operators import graph, metrics, neural, pairs, runs
 from kindred.plans import synth, worldgraph
 from kindred.sources import catalog, convert, lookups, selector, sinks
 from kindred.streaming import incremental
@@ -144,6 +145,48 @@ def test_incremental_linkage(spark, tmp_path):
     assert spark.read.option("recursiveFileLookup", "true").parquet(known).count() == 5
 
 
+def test_links_within_a_batch_and_repeated_batches(spark, tmp_path):
+    schema = "id long, key string, v string"
+    same = lambda: (F.col("left_v") == F.col("right_v")).cast("double")
+    known = str(tmp_path / "known")
+    batch = spark.createDataFrame([(2, "a", "x"), (3, "a", "x"), (3, "a", "x"), (4, None, "x"), (5, None, "x")], schema)
+    first = incremental.known_records(spark, batch, known, 0)  # there's no such folder yet
+    assert {tuple(r) for r in incremental.link_batch(batch, first, "key", "id", same, 0.5).collect()} == {(2, 3, 1.0)}
+    batch.write.parquet(f"{known}/batch-0")  # the batch fails after that, and is run again
+    again = incremental.known_records(spark, batch, known, 0)
+    assert again.count() == 0 and {tuple(r) for r in incremental.link_batch(batch, again, "key", "id", same, 0.5).collect()} == {(2, 3, 1.0)}
+    later = spark.createDataFrame([(1, "a", "x"), (9, "a", "y")], schema)
+    found = incremental.link_batch(later, incremental.known_records(spark, later, known, 1), "key", "id", same, 0.5)
+    assert {(r["left_id"], r["right_id"]) for r in found.collect()} == {(2, 1), (3, 1)}
+
+
+def test_stream_keeps_components(spark, tmp_path):
+    schema = "id long, key string, v string"
+    known, new, links = (str(tmp_path / n) for n in ("known", "new", "links"))
+    spark.createDataFrame([(1, "a", "x"), (10, "b", "x"), (11, "b", "x"), (12, "c", "x")], schema).coalesce(1).write.parquet(f"{new}/1")
+    store = incremental.ComponentStore(spark, str(tmp_path / "components"))
+    same = lambda: (F.col("left_v") == F.col("right_v")).cast("double")
+
+    def run():
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(new)
+        incremental.start_linkage(stream, known, links, str(tmp_path / "cp"), "key", "id", same, components=store).awaitTermination(120)
+        return {r["node"]: r["component_id"] for r in store.read().collect()}
+
+    assert run() == {10: 10, 11: 10}
+    spark.createDataFrame([(2, "a", "x"), (3, "b", "x")], schema).coalesce(1).write.parquet(f"{new}/2")
+    assert run() == {10: 3, 11: 3, 3: 3, 1: 1, 2: 1}
+
+
+def test_merged_components_equal_whole_ones(spark):
+    rng = random.Random(8)
+    edges = [(rng.randrange(80), rng.randrange(80), rng.randrange(4)) for _ in range(90)] + [(None, 3, 0), (4, None, 1), (90, 90, 2)]
+    links = spark.createDataFrame(edges, "left_id long, right_id long, b int")
+    nodes = {x for a, b, _ in edges if a is not None and b is not None for x in (a, b)}
+    whole = graph.component_labels(spark.createDataFrame([(n,) for n in nodes], "record_id long"), links)
+    merged = incremental.merged_in_batches(links, F.col("b"), 4)
+    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, whole.collect()))
+
+
 def test_metadata_with_split_counts(spark, tmp_path):
     labelled = spark.createDataFrame([(i, i + 50, int(i < 10)) for i in range(40)], "left_id long, right_id long, label int")
     split = pairs.split_pairs(labelled, {"train": 12, "valid": 4, "test": 4})
