@@ -9,14 +9,14 @@ the `quantile` lowest of the language's own sample reach.
 Definitions for odd input: null texts and texts without a letter get `und` and score 0; a text whose n-grams were
 never seen gets the first language in order, score 0, rejected; of equal cosines the first centroid's language wins
 (languages in order); with nothing to learn from every language is `und`; rows without an id are learned from, equal
-rows once; rows with equal ids are judged each on its own; texts of any length are read whole, as counts of 2 ** BITS
+rows once; of more than LANGUAGES languages the most frequent are learned (of equally frequent ones the first in order); rows with equal ids are judged each on its own; texts of any length are read whole, as counts of 2 ** BITS
 buckets; an empty table gives an empty result; columns besides those named are not read, so their names may clash.
-The model grows with the number of languages (128 KB each), not with the corpus.
+The model grows with the number of languages (128 KB each), not with the corpus. What is learned from a language goes to a
+task of its own, as counted vectors and not as texts.
 """
 
 from __future__ import annotations
 
-import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.ngrams import buckets, code_points
-from kindred.llm.shared import add_arrow, held_out, map_arrow
+from kindred.llm.shared import add_arrow, held_out, map_arrow, slices, written
 
 SIZES, BITS = (1, 2, 3), 13
 CENTROIDS = 4
-#: Texts of each language that centroids are fitted on, at most about so many.
-SAMPLE = 1000
+#: Texts of each language that centroids are fitted on, at most about so many, and the most languages.
+SAMPLE, LANGUAGES = 1000, 500
 
 
 def has_letter(text: str | None) -> bool:
@@ -69,7 +69,7 @@ def spherical_means(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
     return means
 
 
-def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, k: int = CENTROIDS, quantile: float = 0.01, fold: bool = True) -> dict:
+def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, k: int = CENTROIDS, quantile: float = 0.01, fold: bool = True, languages: int = LANGUAGES) -> dict:
     """The model: languages in order, idf, centroids, the language of each, the least cosine of each language."""
     known = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
     if fold:
@@ -84,37 +84,45 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
         at, names = np.flatnonzero(total), sorted(n)
         yield pa.RecordBatch.from_arrays([pa.array([None] * len(at) + names, pa.string()), pa.array([*at, *[-1] * len(names)], pa.int64()), pa.array([*total[at], *[n[x] for x in names]], pa.int64())], names=["lang", "bucket", "n"])
 
-    # a row for each bucket and language and task, added up to a row for each bucket and language
-    rows = map_arrow(known.select("text", "lang"), frequencies, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
-    df, sizes = np.zeros(1 << BITS), {}
-    for name, bucket, n in rows:
-        if name is None:
-            df[bucket] = n
-        else:
-            sizes[name] = n
-    idf = np.where(df > 0, np.log((1 + sum(sizes.values())) / (1 + df)) + 1, 0).astype(np.float32)
+    # a row for each bucket and language and task, added up
+    rows = written(map_arrow(known.select("text", "lang"), frequencies, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "language-counts")
+    df = np.zeros(1 << BITS)
+    for r in rows.filter("lang is null").collect():  # a row a bucket at most
+        df[r["bucket"]] = r["n"]
+    sizes = {r["lang"]: r["n"] for r in rows.filter("lang is not null").orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    total = rows.filter("lang is not null").agg(F.sum("n")).first()[0] or 0
+    idf = np.where(df > 0, np.log((1 + total) / (1 + df)) + 1, 0).astype(np.float32)
     if not sizes:
         return {"languages": [], "idf": idf, "means": np.zeros((0, 1 << BITS), np.float32), "of": np.zeros(0, int), "least": np.zeros(0)}
-    share = F.create_map(*[x for name, n in sorted(sizes.items()) for x in (F.lit(name), F.lit(int(min(1.0, sample / n) * (1 << 20)) + 1))])
-    chosen = known.filter(F.pmod(F.xxhash64("id", "text", F.lit(29)), F.lit(1 << 20)) < share[F.col("lang")]).dropDuplicates(["lang", "id", "text"])
+    shares = known.sparkSession.createDataFrame([(name, int(min(1.0, sample / n) * (1 << 20)) + 1) for name, n in sizes.items()], "lang string, share long")
+    some = known.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("id", "text", F.lit(29)), F.lit(1 << 20)) < F.col("share"))
+    chosen = some.select("lang", F.col("id").cast("string").alias("id"), "text").dropDuplicates(["lang", "id", "text"])
     given = known.sparkSession.sparkContext.broadcast(idf)
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[str, list] = {}
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, value, key in zip(*(c.to_pylist() for c in batch.columns)):
-                groups.setdefault(name, []).append((key, value))
-        languages, means, of, least = sorted(groups), [], [], []
-        for i, name in enumerate(languages):
-            x = np.stack([vector(value, given.value) for _, value in sorted(groups[name], key=lambda g: (str(g[0]), g[1]))])
-            own = spherical_means(x, k)
-            means.append(own)
-            of += [i] * len(own)
-            least.append(float(np.quantile((x @ own.T).max(1), quantile)))
-        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps({"languages": languages, "means": np.concatenate(means), "of": np.array(of), "least": np.array(least)})]})
-
-    few = map_arrow(chosen.select("lang", "text", "id").repartition(1), learn, "model binary")
-    return {"idf": idf} | pickle.loads(few.first()["model"])
+            for part in slices(batch, 2, rows=100):
+                found = [vector(x.as_py(), given.value) for x in part.column(2)]
+                at = [np.flatnonzero(v).astype(np.int16) for v in found]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(at, pa.list_(pa.int16())), pa.array([v[i] for v, i in zip(found, at)], pa.list_(pa.float32()))], names=["lang", "id", "hash", "at", "weights"])
+
+    def learn(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, order = [], []
+        for batch in batches:
+            order += zip(*(batch.column(c).to_pylist() for c in ("id", "hash")))
+            for at, weights in zip(batch.column("at"), batch.column("weights")):
+                v = np.zeros(1 << BITS, np.float32)
+                v[at.values.to_numpy()] = weights.values.to_numpy()
+                x.append(v)
+        x = np.stack([x[i] for i in sorted(range(len(x)), key=lambda i: (order[i][0] or "", order[i][1]))])
+        own = spherical_means(x, k)
+        yield pa.RecordBatch.from_pydict({"lang": [key[0].as_py()], "means": [own.astype(np.float32).tobytes()], "least": [float(np.quantile((x @ own.T).max(1), quantile))]})
+
+    hashed = chosen.select("lang", "id", "text", F.xxhash64("text").alias("hash"))
+    learned = map_arrow(hashed, vectors, "lang string, id string, hash long, at array<short>, weights array<float>").groupBy("lang").applyInArrow(learn, "lang string, means binary, least double")
+    found = sorted(learned.collect(), key=lambda r: r["lang"])  # a row a language
+    means = [np.frombuffer(r["means"], np.float32).reshape(-1, 1 << BITS) for r in found]
+    return {"idf": idf, "languages": [r["lang"] for r in found], "means": np.concatenate(means), "of": np.repeat(np.arange(len(found)), list(map(len, means))), "least": np.array([r["least"] for r in found])}
 
 
 def identify(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,12 +1,14 @@
 """Token ids of a public tokenizer, with a memory of words.
 
-Its pre-tokenizer never joins characters across white space, so a text's ids are the ids of its words in order.
-Each worker process keeps the ids of words it has met (a bounded number), and the library encodes the rest.
-Texts are cut at ASCII white space only; a word that holds other white space is left to the library whole.
+The default tokenizer's pre-tokenizer never joins characters across white space, so a text's ids are the ids of its words
+in order. Each worker process keeps the ids of words it has met (a bounded number), and the library encodes the rest.
+Texts are cut at ASCII white space only; a word that holds other white space is left to the library whole. That holds for
+tokenizer files whose parts are those of PARTS; with any other, the library encodes whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from itertools import chain, repeat
@@ -24,6 +26,22 @@ _PIECE = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\u017e]+|[0-9]
 WORDS, PIECES = 100_000, 250_000
 
 
+#: The parts of a tokenizer file that words can be encoded one by one with.
+PARTS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "model": {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "byte_fallback": False},
+}
+#: Characters that the library gets at a time.
+PORTION = 1 << 20
+
+
 class _Memory:
     """Numbers for strings, and where in a pool their ids are."""
 
@@ -141,20 +159,55 @@ class WordEncoder:
         return [np.concatenate([ids[i:j], tail]) for i, j in zip(stops[:-1].tolist(), stops[1:].tolist())]
 
 
-_encoders: dict[str, WordEncoder] = {}
+class TextEncoder:
+    """Encode texts as numpy arrays of ids with any tokenizer file, whole texts at a time."""
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.full = Tokenizer.from_file(path)
+        self.full.no_truncation()
+        self.full.no_padding()
+        self.full.encode_special_tokens = True
+        self.vocab_size = self.full.get_vocab_size()
+
+    def encode(self, texts: pa.Array | list[str | None], end: int | None = None) -> list[np.ndarray]:
+        """As WordEncoder.encode."""
+        values = [x or "" for x in (texts if isinstance(texts, list) else texts.to_pylist())]
+        tail = [] if end is None else [end]
+        out: list[np.ndarray] = []
+        while len(out) < len(values):
+            stop, size = len(out) + 1, len(values[len(out)])
+            while stop < len(values) and size + len(values[stop]) <= PORTION:
+                size += len(values[stop])
+                stop += 1
+            out += [np.array([*e.ids, *tail], np.uint32) for e in self.full.encode_batch_fast(values[len(out) : stop], add_special_tokens=False)]
+        return out
+
+
+def by_words(path: str) -> bool:
+    """True if a tokenizer file has the parts that words can be encoded one by one with."""
+    with open(path, encoding="utf-8") as f:
+        own = json.load(f)
+    return all(own.get(k) == v for k, v in PARTS.items() if k != "model") and all(own["model"].get(k) == v for k, v in PARTS["model"].items())
+
+
+_encoders: dict[str, WordEncoder | TextEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str) -> WordEncoder | TextEncoder:
     """This process's encoder for a tokenizer file."""
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        _encoders[path] = WordEncoder(path) if by_words(path) else TextEncoder(path)
     return _encoders[path]
 
 
 def forget() -> None:
     """Let go of what this process's encoders remember; the tokenizers stay."""
     for e in _encoders.values():
-        e.words, e.pieces = _Memory(), _Memory()
+        if isinstance(e, WordEncoder):
+            e.words, e.pieces = _Memory(), _Memory()
 
 
 def default_path(name: str = "word_bpe_49k.json") -> str:

@@ -48,18 +48,19 @@ _SYLLABLES = ("ba", "cor", "dil", "en", "fa", "gru", "hol", "is", "jo", "ken", "
 def labelled_urls() -> list[tuple[str, int]]:
     """The small labelled table: 1 for URLs to block.
 
-    Names come alone and in pairs, with the usual tops and paths of their kind; as most sites' names mean nothing,
-    as many more are made of syllables, and labelled 0.
+    Names come alone, in pairs, and beside names that mean nothing, with the usual tops and paths of their kind; as most sites'
+    names mean nothing, as many more are made of syllables, and labelled 0.
     """
     rows = []
-    hosts = ("{a}.com", "www.{a}-{b}.com", "{a}{b}.net", "best-{a}.info", "{b}.{a}.org", "www.{b}{a}.example.com")
+    hosts = ("{a}.com", "www.{a}-{b}.com", "{a}{b}.net", "best-{a}.info", "{b}.{a}.org", "www.{b}{a}.example.com", "{a}-{c}.com", "www.{c}-{a}.net", "blog.{c}{a}.org", "{a}{c}.info")
     nonsense = tuple("".join(_SYLLABLES[zlib.crc32(f"{i} {k}".encode()) % len(_SYLLABLES)] for k in range(2 + i % 3)) for i in range(len(WANTED)))
     for names, paths, label in ((UNWANTED, UNWANTED_PATHS, 1), (WANTED, WANTED_PATHS, 0), (nonsense, WANTED_PATHS, 0)):
         for i, a in enumerate(names):
             for j, host in enumerate(hosts):
                 b = names[(i * 7 + j * 11 + 5) % len(names)]
                 path = paths[(i + j * 3) % len(paths)].format(b=b, n=100 + 37 * i + 11 * j)
-                rows.append((f"{'https' if j % 2 else 'http'}://{host.format(a=a, b=b)}{path}", label))
+                c = nonsense[(i * 5 + j * 13 + 3) % len(nonsense)]
+                rows.append((f"{'https' if j % 2 else 'http'}://{host.format(a=a, b=b, c=c)}{path}", label))
     return rows
 
 

@@ -56,6 +56,13 @@ def test_stages_keep_columns_and_clashing_ones(spark):
         assert out.columns == docs.columns and 0 < out.count() <= docs.count()
 
 
+def test_stages_keep_columns_that_differ_in_case(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").withColumns({n: F.lit(i) for i, n in enumerate(("_ROW_KEY", "_Toxic_Score", "_MATCH", "_Maybe", "FP", "ID", "_TEXT"))})
+    for _, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns and 0 < out.count() <= docs.count()
+
+
 def test_stages_on_odd_rows(spark):
     """Each row is judged on its own text, also where ids are missing or shared; nothing gives nothing."""
     passage = " ".join(spark.read.parquet(f"{DATA}/benchmark.parquet").first()["text"].split())

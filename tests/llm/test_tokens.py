@@ -34,6 +34,24 @@ def test_encoder_equals_the_library(plain):
     assert [x.tolist() for x in e.encode(texts[:50], 1)] == [x + [1] for x in plain(texts[:50])]
 
 
+def test_other_tokenizers_equal_the_library(spark):
+    from tokenizers import Tokenizer
+
+    path = tokens.default_path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    wanted = [e.ids for e in t.encode_batch([x or "" for x in TEXTS], add_special_tokens=False)]
+    assert tokens.by_words(tokens.default_path()) and not tokens.by_words(path)
+    assert [x.tolist() for x in tokens.encoder(path).encode(TEXTS)] == wanted
+    assert isinstance(tokens.encoder(tokens.default_path()), tokens.WordEncoder)
+    df = docs(spark, TEXTS)
+    crcs = {i * 7: crc([*x, 50256]) for i, x in enumerate(wanted)}
+    read = tokenbits.round_trip(df, tokenizer=path, end=50256).collect()
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in read} == {i * 7: (len(x) + 1, crcs[i * 7]) for i, x in enumerate(wanted)}
+    assert {r["doc_id"]: r["n_tokens"] for r in tokencount.count_documents(df, tokenizer=path, end=50256).collect()} == {i * 7: len(x) + 1 for i, x in enumerate(wanted)}
+    assert {r["doc_id"]: r["doc_tokens"] for r in packing.pack(df, tokenizer=path, end=50256).collect()} == {i * 7: len(x) + 1 for i, x in enumerate(wanted)}
+
+
 def docs(spark, texts, parts=3):
     return spark.createDataFrame([(i * 7, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, start string").repartition(parts)
 
