@@ -78,7 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1, "op6_exact_dedup": OP6, "op10_conversations": OP10}
+    return {"op1_decontamination": OP1, "op6_exact_dedup": OP6, "op10_conversations": OP10, "op12_prefix_trie": OP12, "op13_substring_dedup": OP13}
 
 
 OP1 = r"""
@@ -135,3 +135,42 @@ WITH RECURSIVE raw AS (
 )
 SELECT conv_id, turn, role, parent_turn, thread_turn, depth, row_number() OVER (PARTITION BY conv_id ORDER BY thread_turn NULLS FIRST, turn NULLS FIRST, role NULLS FIRST, text) - 1 AS place, text FROM joined
 """
+
+OP12 = r"""
+WITH RECURSIVE msgs AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), bytes AS (
+  SELECT c, CAST(4294967295 AS BIGINT) AS crc, CAST(c AS VARCHAR) AS rest, 0 AS bit FROM (SELECT DISTINCT c FROM msgs)
+  UNION ALL SELECT c, CASE WHEN bit = 0 THEN xor(crc, ascii(rest)) ELSE CASE WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END END, CASE WHEN bit = 8 THEN substr(rest, 2) ELSE rest END, (bit + 1) % 9 FROM bytes WHERE rest <> ''
+), heads AS (SELECT c, c - c % 100 AS donor, CAST(xor(crc, 4294967295) % 6 AS BIGINT) AS h FROM bytes WHERE rest = ''
+), sizes AS (SELECT c, count(*) AS n FROM msgs GROUP BY c
+), got AS (SELECT heads.*, least(h, coalesce(d.n, 0)) AS g, least(h, coalesce(d.n, 0)) + greatest(s.n - h, 0) AS len FROM heads JOIN sizes s USING (c) LEFT JOIN sizes d ON d.c = heads.donor
+), turns AS (
+  SELECT got.c, pos AS d, role, text FROM got JOIN msgs ON msgs.c = donor WHERE pos <= h
+  UNION ALL SELECT got.c, pos - h + g, role, text FROM got JOIN msgs ON msgs.c = got.c WHERE pos > h
+), pre AS (
+  SELECT c, d, length(text) AS chars, string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING) AS path FROM turns
+  UNION ALL SELECT c, 0, 0, '' FROM got
+), nodes AS (SELECT d, path, min(c) AS c, count(*) AS n, max(chars) AS chars FROM pre GROUP BY d, path
+), owned AS (SELECT p.c AS member, p.d, n.c, n.n FROM pre p JOIN nodes n ON p.d = n.d AND p.path = n.path
+), up AS (SELECT n.c, n.d, o.c AS parent FROM nodes n LEFT JOIN owned o ON o.member = n.c AND o.d = n.d - 1
+), kids AS (SELECT parent AS c, d - 1 AS d, count(*) AS k FROM up WHERE d > 0 GROUP BY ALL
+), below AS (
+  SELECT o.c, o.d, CAST(count(*) FILTER (WHERE k IS NULL) AS BIGINT) AS leaves, CAST(sum((n.n - 1) * n.chars) AS BIGINT) AS saved
+  FROM nodes n JOIN owned o ON o.member = n.c AND o.d <= n.d LEFT JOIN kids ON kids.c = n.c AND kids.d = n.d GROUP BY o.c, o.d
+), ends AS (SELECT o.c, o.d, sha256(string_agg(CAST(member AS VARCHAR), ',' ORDER BY member)) AS e FROM owned o JOIN got ON member = got.c AND o.d = len GROUP BY o.c, o.d
+)
+SELECT n.c AS conv_id, n.d AS depth, parent AS parent_conv_id, n.n AS n_convs, coalesce(k, 0) AS n_children, leaves AS n_leaves, saved AS saved_tokens, coalesce(e, sha256('')) AS ends_sha256
+FROM nodes n JOIN up USING (c, d) JOIN below USING (c, d) LEFT JOIN kids USING (c, d) LEFT JOIN ends USING (c, d)
+"""
+
+OP13 = r"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), starts AS (SELECT doc_id, r, i, array_to_string(w[i : i + 19], ' ') AS gram FROM (SELECT doc_id, r, w, unnest(range(1, len(w) - 18)) AS i FROM docs WHERE len(w) >= 20)
+), firsts AS (SELECT doc_id, r, i, min({'k': doc_id IS NOT NULL, 'd': doc_id, 'i': i}) OVER (PARTITION BY gram) AS f FROM starts
+), gone AS (SELECT DISTINCT r, unnest(range(i, i + 20)) AS p FROM firsts WHERE f <> {'k': doc_id IS NOT NULL, 'd': doc_id, 'i': i}
+), words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM docs
+), kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text FROM words ANTI JOIN gone USING (r, p) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM docs LEFT JOIN kept USING (r)
+"""
