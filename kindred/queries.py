@@ -462,8 +462,8 @@ def components_documents(spark: SparkSession, d: str) -> DataFrame:
     return graph.component_labels(docs.select(F.col("doc_id").alias("record_id")), edges)
 
 
-_SHINGLES = r"""w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') AS w FROM documents),
-sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), i -> array_to_string(w[i : i + 4], ' ')) ELSE [array_to_string(w, ' ')] END) AS g FROM w WHERE len(w) > 0),
+_SHINGLES = r"""w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) ELSE [array_to_string(w, ' ')] END) AS g FROM w WHERE len(w) > 0),
 own AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, '|' ORDER BY g)) AS k FROM sh GROUP BY doc_id), cls AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY k, n) AS id FROM own),
 rep AS (SELECT sh.doc_id, g, n FROM sh JOIN cls USING (doc_id) WHERE doc_id = id), shared AS (SELECT a.doc_id AS left_id, b.doc_id AS right_id, a.n AS an, b.n AS bn, count(*) AS c FROM rep a JOIN rep b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
 near AS (SELECT left_id, right_id, c / (an + bn - c) AS similarity FROM shared WHERE c / (an + bn - c) >= 0.8)"""
@@ -795,10 +795,17 @@ def transformer_blocks_supplier(spark: SparkSession, d: str) -> DataFrame:
 # -- synthetic worlds ------------------------------------------------------------------------------------------------
 
 
+_WORLD = ["first_name", "last_name", "email_address", "phone", "city", "date_of_birth"]
+
+
+def _assigned(spark: SparkSession, d: str) -> DataFrame:
+    """A record for each customer; two customers in a row are one entity."""
+    return _table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("record"), F.expr("c_custkey div 2").cast("long").alias("entity"))
+
+
 @_query()
 def synthetic_world(spark: SparkSession, d: str) -> DataFrame:
-    world = synth.generate_world(spark, 200, 6, 1337, fields=["first_name", "last_name", "email_address", "phone", "city", "date_of_birth"])
-    return world.records
+    return synth.generate_world(spark, seed=1337, fields=_WORLD, assigned=_assigned(spark, d)).records
 
 
 @_query()
@@ -806,23 +813,28 @@ def synthetic_world_lookups(spark: SparkSession, d: str) -> DataFrame:
     """As above, with nicknames and area codes from their tables."""
     short = spark.createDataFrame([(a, "has_nickname", b) for a, b in synth.NICKNAMES], "name1 string, relationship string, name2 string")
     codes = lookups.area_codes(spark.createDataFrame([(c, s) for s, c in worldgraph.AREA.items()], "`Area Code` string, Region string"))
-    fields = ["first_name", "last_name", "email_address", "phone", "city", "date_of_birth"]
-    world = synth.generate_world(spark, 200, 6, 1337, fields=fields, nicknames=lookups.nickname_aliases(short), rules=worldgraph.rules_with_area_codes(codes))
+    world = synth.generate_world(spark, seed=1337, fields=_WORLD, nicknames=lookups.nickname_aliases(short), assigned=_assigned(spark, d), rules=worldgraph.rules_with_area_codes(codes))
     return world.records
 
 
 @_query()
 def synthetic_worlds(spark: SparkSession, d: str) -> DataFrame:
-    worlds = synth.generate_worlds(spark, 3, 7)
-    rows = [w.records.select(F.lit(i).alias("world"), "record_id", "entity_id", F.to_json(F.struct(*w.field_types)).alias("fields")) for i, w in enumerate(worlds)]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+    """Three worlds, of a third of the customers each."""
+    rows = None
+    for i in range(3):
+        assigned = _assigned(spark, d).filter(F.col("entity") % 3 == i)
+        w = synth.generate_world(spark, n_fields=4 + 2 * i, seed=7 + i, assigned=assigned)
+        some = w.records.select(F.lit(i).alias("world"), "record_id", "entity_id", F.to_json(F.struct(*w.field_types)).alias("fields"))
+        rows = some if rows is None else rows.unionByName(some)
+    return rows
 
 
 @_query()
 def hard_negatives(spark: SparkSession, d: str) -> DataFrame:
-    fields = ["first_name", "last_name", "city", "phone", "email_address", "date_of_birth"]
-    rules = worldgraph.choose_rules(worldgraph.ancestors(fields), 5)
-    return synth.add_hard_negatives(synth.entities(spark, 1000, fields, 5, rules), 0.3, 5, rules).select("entity", "base", "contract", *fields)
+    """As many entities as there are customers, three in ten of them near-misses of others."""
+    rules = worldgraph.choose_rules(worldgraph.ancestors(_WORLD), 5)
+    people = synth.entities(spark, _table(spark, d, "customer").count(), _WORLD, 5, rules)
+    return synth.add_hard_negatives(people, 0.3, 5, rules).select("entity", "base", "contract", *_WORLD)
 
 
 @_query("SELECT lower(r_name) AS name, list_sort(list(lower(n_name))) AS aliases FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name UNION ALL SELECT lower(n_name), [lower(r_name)] FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -915,19 +927,18 @@ def name_tokens_documents(spark: SparkSession, d: str) -> DataFrame:
     return words.select("doc_id", X.name_token("w").alias("token"), X.name_token("w", "ID", True).alias("upper_token"))
 
 
-_PHONES = """WITH p AS (SELECT c_custkey, c_custkey % 5 AS k, c_nationkey + 10 AS code, c_phone, substr(c_phone, 4) AS rest FROM customer),
-t AS (SELECT *, CASE k WHEN 0 THEN '+' || c_phone WHEN 1 THEN '00 ' || c_phone WHEN 2 THEN '0' || rest WHEN 3 THEN '(' || substr(rest, 1, 3) || ') ' || substr(rest, 5) ELSE '+99 ' || rest END AS phone FROM p)"""
+_PHONES = """WITH p AS (SELECT c_custkey, c_custkey % 5 AS k, CAST(c_nationkey + 10 AS VARCHAR) AS code, CAST(2000000000 + c_custkey * 7919 AS VARCHAR) AS n FROM customer)"""
 
 
-@_query(f"""{_PHONES} SELECT c_custkey, CASE WHEN k < 4 THEN '+' || code || replace(rest, '-', '') ELSE '+99' || replace(rest, '-', '') END AS e164 FROM t""")
+@_query(f"{_PHONES} SELECT c_custkey, CASE WHEN k < 4 THEN '+' || code || n ELSE '+99' || n END AS e164 FROM p")
 def phones_of_all_countries_customer(spark: SparkSession, d: str) -> DataFrame:
-    """Phones written in five ways; the calling codes are those of the nations."""
-    codes = _table(spark, d, "nation").select((F.col("n_nationkey") + 10).cast("string").alias("code"), F.col("n_name").alias("region"), F.lit(10).alias("least"), F.lit(10).alias("most"), F.lit("0").alias("trunk"))
-    nations = _table(spark, d, "nation").select("n_nationkey", "n_name")
-    rest = F.expr("substring(c_phone, 4)")
-    k = F.col("c_custkey") % 5
-    phone = F.when(k == 0, F.concat(F.lit("+"), "c_phone")).when(k == 1, F.concat(F.lit("00 "), "c_phone")).when(k == 2, F.concat(F.lit("0"), rest)).when(k == 3, F.concat(F.lit("("), F.substring(rest, 1, 3), F.lit(") "), F.expr("substring(c_phone, 8)"))).otherwise(F.concat(F.lit("+99 "), rest))
-    rows = _table(spark, d, "customer").join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name", phone.alias("phone"))
+    """Numbers made of the customers' keys, written in five ways; the calling codes are those of the nations, and 99 is none."""
+    nations = _table(spark, d, "nation")
+    codes = nations.select((F.col("n_nationkey") + 10).cast("string").alias("code"), F.col("n_name").alias("region"), F.lit(10).alias("least"), F.lit(10).alias("most"), F.lit("0").alias("trunk"))
+    k, n = F.col("c_custkey") % 5, (F.lit(2_000_000_000) + F.col("c_custkey") * 7919).cast("string")
+    dash, code = F.concat(F.substring(n, 1, 3), F.lit("-"), F.substring(n, 4, 7)), (F.col("c_nationkey") + 10).cast("string")
+    phone = F.when(k == 0, F.concat(F.lit("+"), code, F.lit(" "), dash)).when(k == 1, F.concat(F.lit("00 "), code, F.lit("/"), dash)).when(k == 2, F.concat(F.lit("0"), dash)).when(k == 3, F.concat(F.lit("("), F.substring(n, 1, 3), F.lit(") "), F.substring(n, 4, 7))).otherwise(F.concat(F.lit("+99 "), dash))
+    rows = _table(spark, d, "customer").join(F.broadcast(nations.select("n_nationkey", "n_name")), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name", phone.alias("phone"))
     return phones.normalize_phones(rows, "phone", codes, F.col("n_name")).select("c_custkey", "e164")
 
 
