@@ -31,13 +31,15 @@ def shingle_sets(records: DataFrame, record_id: str, text: str, words: int = 5)
     all its words if they are fewer; of a text without words null."""
     found = records.select(record_id, F.filter(F.split(F.lower(F.col(text)), "[^\\p{L}\\p{N}]+"), lambda w: w != "").alias("_w"))
     starts = F.sequence(F.lit(1), F.greatest(F.size("_w") - (words - 1), F.lit(1)))
-    runs = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("_w", i, F.lit(words)), " ")))
+    # words are taken one by one, as a slice would copy the whole text's for each place; those beyond its end are left out
+    runs = F.transform(starts, lambda i: F.xxhash64(F.concat_ws(" ", *[F.get("_w", i + (j - 1)) for j in range(words)])))
     return found.select(record_id, F.when(F.size("_w") > 0, F.array_distinct(runs)).alias("s"))
 
 
 def classes(records: DataFrame, record_id: str, elements: str) -> tuple[DataFrame, DataFrame]:
     """Distinct sets (id, the smallest of their rows; s, sorted) and membership (record_id, id); rows without elements are in neither."""
-    rows = written(records.select(F.col(record_id).alias("_id"), F.array_sort(elements).alias("s")).filter("_id is not null and size(s) > 0"), "sets")
+    # filtered when written, as a filter on what makes the sets would be put below it, and make them for each element
+    rows = written(records.select(F.col(record_id).alias("_id"), F.array_sort(elements).alias("s")), "sets").filter("_id is not null and size(s) > 0")
     sets = written(rows.groupBy("s").agg(F.min("_id").alias("id")), "distinct-sets")
     # membership by digest, so that the sets themselves don't meet again
     key = F.struct(F.size("s").alias("n"), F.xxhash64("s").alias("a"), F.xxhash64(F.reverse("s"), F.lit(1)).alias("b")).alias("key")
