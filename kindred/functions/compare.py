@@ -117,6 +117,17 @@ def jaro_winkler() -> Callable[[ColumnLike, ColumnLike], Column]:
     return lambda a, b: similarity(_col(a), _col(b))
 
 
+def jaro_winkler_bound(a: ColumnLike, b: ColumnLike) -> Column:
+    """No less than the Jaro-Winkler similarity of two texts, from the characters that occur in both and their common begin."""
+    a, b = _col(a), _col(b)
+    m, n = (F.greatest(F.length(x), F.lit(1)).cast("double") for x in (a, b))
+    left = lambda x, y: F.length(x) - F.length(F.call_function("translate", x, y, F.lit("")))
+    shared = F.least(left(a, b), left(b, a))
+    jaro = F.least((shared / m + shared / n + 1) / 3, F.lit(1.0))
+    begin = sum(((F.substring(a, 1, i) == F.substring(b, 1, i)).cast("int") for i in range(1, 5)), F.lit(0))
+    return jaro + begin * 0.1 * (1 - jaro)
+
+
 def levenshtein_level(a: ColumnLike, b: ColumnLike, thresholds: tuple[int, ...] = (1, 2)) -> Column:
     """Highest for equal values, one less within each threshold, 0 beyond, null if a side is null."""
     a, b = _col(a), _col(b)

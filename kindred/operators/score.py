@@ -198,19 +198,21 @@ def block_level_counts(records: DataFrame, record_id: str, rule: str, plan: Mapp
             if n:
                 vector = tuple(None if m >> i & 1 else int(c in exact and bits >> exact.index(c) & 1) for i, c in enumerate(columns))
                 counts[vector] = counts.get(vector, 0) + n
-    # 2: dictionaries, and the pairs that they join
-    joined, dictionaries = None, {}
+    # 2: dictionaries, and the pairs that they join; few small rows make many pairs, so they are dealt to all tasks by number
+    joined, dictionaries, tasks = None, {}, records.sparkSession.sparkContext.defaultParallelism * 2
     for c in fuzzy:
         v = value[c]
         there = written(rows.filter(F.col(v).isNotNull()).groupBy("block", v).agg(F.count(F.lit(1)).alias("n")), "level-values")
         a, b = there.select("block", F.col(v).alias("a")), there.select("block", F.col(v).alias("b"))
-        other = written(dealt_join(a, b, ["block"], "a").filter("a < b").select("a", "b").distinct(), "value-pairs")
+        other = written(dealt_join(a.repartition(tasks, "a"), b, ["block"], "a").filter("a < b").select("a", "b").distinct(), "value-pairs")
+        if plan[c][0] == "jaro_winkler":  # most pairs can't reach a level, which their characters tell without comparing them
+            other = other.filter(C.jaro_winkler_bound("a", "b") >= min(plan[c][1]) - 1e-9)
         same = there.filter("n > 1").select(F.col(v).alias("a"), F.col(v).alias("b")).distinct()
         levels = other.unionByName(same).withColumn("level", C.gamma(*plan[c], F.col("a"), F.col("b"))).filter("level > 0")
         dictionaries[c] = found = written(levels, "value-levels")
         ways = found.select("a", "b").unionByName(found.filter("a < b").select(F.col("b").alias("a"), F.col("a").alias("b")))
         side = lambda s, name: rows.filter(F.col(v).isNotNull()).select("block", F.col(v).alias(name), F.col("id").alias(f"{s}_id"))  # noqa: B023, E731
-        through = dealt_join(ways, side("left", "a"), ["a"], "b").select("block", "b", "left_id")
+        through = dealt_join(ways, side("left", "a"), ["a"], "b").select("block", "b", "left_id").repartition(tasks, "left_id")
         some = dealt_join(through, side("right", "b"), ["block", "b"], "left_id").filter("left_id < right_id").select("left_id", "right_id")
         joined = some if joined is None else joined.unionByName(some)
     if joined is not None:
