@@ -1,10 +1,11 @@
+import hashlib
 import itertools
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from kindred.operators import pairs, score, views
+from kindred.operators import metrics, pairs, score, views
 
 
 @pytest.fixture
@@ -122,3 +123,42 @@ def test_ids_that_are_texts(spark):
     df = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 1.0]), ("c", [0.0, 2.0])], "id string, v array<double>")
     found = {(r["left_id"], r["right_id"]): round(r["score"], 6) for r in pairs.cosine_pairs(df, "id", "v").collect()}
     assert found == {("a", "b"): 0.707107, ("a", "c"): 0.707107, ("b", "c"): 0.0}
+
+
+def test_pairs_are_chosen_and_counted_where_they_are_made(spark, rows):
+    g = random.Random(3)
+    some = [[g.gauss(0, 1) for _ in range(4)] for _ in range(12)]
+    df = spark.createDataFrame([(i, some[i % 12] if i % 9 else None, i % 3, i % 2) for i in range(60)], "id long, v array<float>, l int, s int")
+    every = pairs.cosine_pairs(df, "id", "v", "l", digits=6)
+    of = lambda **k: pairs.cosine_pairs(df, "id", "v", "l", block=7, digits=6, **k)
+    for kinds in ([(None, True)], [(0, True), (1, False), (1, True), (0, False)]):
+        found = of(keep=pairs.ends(8, *kinds))
+        assert found.count() < every.count() and found.distinct().count() == found.count()
+        assert rows(views.top_pairs(found, 8)) == rows(views.top_pairs(every, 8)) if len(kinds) == 1 else rows(metrics.confident_pairs(found, 8)) == rows(metrics.confident_pairs(every, 8))
+    assert rows(views.nearest_neighbors(of(keep=pairs.nearest(3)), 3)) == rows(views.nearest_neighbors(every, 3))
+    assert rows(of(keep=pairs.from_score(0.4))) == rows(every.filter("score >= 0.4")) and rows(of(keep=pairs.of_target(1))) == rows(every.filter("target = 1"))
+    for apart in (None, "s"):
+        wanted = every.filter("left_id % 2 <> right_id % 2") if apart else every
+        counts = pairs.cosine_counts(df, "id", "v", "l", block=7, apart=apart)
+        assert rows(counts, "score", "target", "n") == rows(wanted.groupBy("score", "target").agg(F.count("*").alias("n")))
+        assert rows(of(apart=apart)) == rows(wanted)
+    for f in (lambda x, c: metrics.threshold_metrics(x, 0.5, 0, c), lambda x, c: metrics.score_stats(x, ["target"], c), lambda x, c: metrics.curve_summary(metrics.score_counts(x.filter("score is not null"), count=c)), lambda x, c: metrics.candidate_stats(x, 60, 7, count=c)):
+        for a, b in zip(rows(f(pairs.cosine_counts(df, "id", "v", "l"), "n")), rows(f(every, None))):
+            assert list(a) == pytest.approx(list(b))
+    with pytest.raises(ValueError, match="over the limit"):
+        pairs.cosine_counts(df, "id", "v", "l", most=10)
+
+
+def test_splits_by_keys_equal_splits_by_places(spark):
+    df = spark.createDataFrame([(i, i + 1, int(i % 3 == 0)) for i in range(4000)], "left_id int, right_id int, label int")
+    key = lambda r: (hashlib.md5(f"{r[0]}:{r[1]}:0".encode()).hexdigest(), r[0], r[1])
+    data = df.collect()
+    p, n = (sorted((tuple(r) for r in data if r[2] == t), key=key) for t in (1, 0))
+    a, b = int(0.6 * len(p)), int(0.8 * len(p))
+    quota = [max(0, 900 - a), max(0, 500 - (b - a)), max(0, 300 - (len(p) - b))]
+    stop = [0, *itertools.accumulate(quota)]
+    wanted = {s: {*p[i:j], *n[stop[k] : stop[k + 1]]} for k, (s, i, j) in enumerate((("train", 0, a), ("valid", a, b), ("test", b, len(p))))}
+    found = pairs.split_pairs(df, {"train": 900, "valid": 500, "test": 300}).collect()
+    assert len(found) == sum(map(len, wanted.values()))
+    for s, some in wanted.items():
+        assert {(r["left_id"], r["right_id"], r["label"]) for r in found if r["split"] == s} == some
