@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.operators.pairs import dealt_join
+from kindred.storage import written
 
 
 def _ranked(score: str = "score") -> Column:
@@ -66,6 +67,22 @@ def resolve_linkage_columns(left: DataFrame, right: DataFrame, columns: Sequence
     return found
 
 
+#: Parts that the rows of a class are numbered in before they meet.
+_PARTS = 64
+
+
+def _classes(rows: DataFrame, index: str, k: int) -> DataFrame:
+    """A row for all that are equal but for their index: the smallest of these, and the smallest k as an array `_<index>`."""
+    values = [c for c in rows.columns if c != index]
+    # maps can't be grouped, so rows with one are classes of their own
+    if any("map<" in f.dataType.simpleString() for f in rows.schema.fields):
+        return rows.withColumn(f"_{index}", F.array(index))
+    part = F.pmod(F.xxhash64(index), F.lit(_PARTS))
+    kept = rows.withColumn("_at", F.row_number().over(Window.partitionBy(*values, part).orderBy(index))).filter(F.col("_at") <= k)
+    found = kept.groupBy(*values).agg(F.slice(F.array_sort(F.collect_list(index)), 1, k).alias(f"_{index}"))
+    return written(found.withColumn(index, F.element_at(f"_{index}", 1)), "classes")
+
+
 def score_linkage(
     left: DataFrame,
     right: DataFrame,
@@ -75,12 +92,14 @@ def score_linkage(
     columns: Sequence[str] | Mapping[str, Sequence[str]] | None = None,
     k: int = 10,
     block_on: Sequence[str] = (),
-    most: int = 500_000_000,
+    most: int | None = 500_000_000,
 ) -> DataFrame:
     """The k best left-right pairs: left_index, right_index, score, and left_ and right_ canonical columns.
 
     score gets the canonical names and returns a column over `left_` and `right_` columns. With block_on, pairs must
-    agree on one of these canonical columns; without, all left-right pairs are scored if they are `most` or fewer.
+    agree on one of these canonical columns; without, all left-right pairs are scored if they are `most` or fewer (None: any
+    number). Rows of equal values are one class, which is compared once: the best k pairs of rows are among the best k pairs
+    of classes, ranked by their smallest ids, and the k smallest ids of each.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -90,6 +109,9 @@ def score_linkage(
     names = [n for n, _, _ in named]
     a = left.select(F.col(left_id).alias("left_index"), *[F.col(x).alias(f"left_{n}") for n, x, _ in named])
     b = right.select(F.col(right_id).alias("right_index"), *[F.col(x).alias(f"right_{n}") for n, _, x in named])
+    if not block_on and most is not None and (n := a.count() * b.count()) > most:
+        raise ValueError(f"{n} pairs are over the limit of {most}; give block_on")
+    a, b = _classes(a, "left_index", k), _classes(b, "right_index", k)
     if block_on:
         pairs = None
         for i, rule in enumerate(block_on):
@@ -98,8 +120,7 @@ def score_linkage(
                 some = some.filter(~F.coalesce(F.col(f"left_{earlier}") == F.col(f"right_{earlier}"), F.lit(False)))
             pairs = some if pairs is None else pairs.unionByName(some)
     else:
-        if (n := left.count() * right.count()) > most:
-            raise ValueError(f"{n} pairs are over the limit of {most}; give block_on")
         pairs = a.repartition(left.sparkSession.sparkContext.defaultParallelism).join(b)
-    scored = pairs.withColumn("score", score(names))
+    best = pairs.withColumn("score", score(names)).orderBy(_ranked(), "left_index", "right_index").limit(k)
+    scored = best.withColumn("left_index", F.explode("_left_index")).withColumn("right_index", F.explode("_right_index"))
     return scored.select("left_index", "right_index", "score", *[f"{s}_{n}" for n in names for s in ("left", "right")]).orderBy(_ranked(), "left_index", "right_index").limit(k)
