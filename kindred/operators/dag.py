@@ -1,7 +1,8 @@
 """Closures and layers of an edge table (parent, child) by rounds; a round reads what the last one reached, and edges.
 
 Rounds are written to the shared folder, so lineage stays short; their number is the length of the longest path. Edges with a
-null end, and repeated ones, count as none.
+null end, and repeated ones, count as none. A closure's rounds are joined by shuffles: broadcasts of what each round reached would
+go through the driver, and in sum grow with the table and the rounds.
 """
 
 from __future__ import annotations
@@ -24,14 +25,14 @@ def closure(edges: DataFrame, starts: DataFrame, start: str = "node", parent: st
     e = _edges(edges, parent, child)
     step = e.select(F.col("child").alias("at"), F.col("parent").alias("to")) if up else e.select(F.col("parent").alias("at"), F.col("child").alias("to"))
     if blocked is not None:
-        step = step.join(blocked.select(F.col("node").alias("to")), "to", "left_anti")
+        step = step.join(blocked.select(F.col("node").alias("to")).hint("merge"), "to", "left_anti")
     step = written(step, "steps")
     reached = written(starts.select(F.col(start).alias("start")).filter("start is not null").distinct().select("start", F.col("start").alias("node"), F.lit(0).alias("distance")), "reached")
     front, parts = reached, []
     for number in range(1, max_rounds + 1):
-        new = front.join(step, front["node"] == step["at"]).select("start", F.col("to").alias("node")).distinct()
-        for known in parts:
-            new = new.join(known, ["start", "node"], "left_anti")
+        new = front.hint("merge").join(step.hint("merge"), front["node"] == step["at"]).select("start", F.col("to").alias("node")).distinct()
+        if parts:
+            new = new.join(_union(parts).hint("merge"), ["start", "node"], "left_anti")
         front = written(new.withColumn("distance", F.lit(number)), "reached")
         if front.isEmpty():
             break

@@ -52,3 +52,38 @@ def test_whole_jobs_have_no_limit_of_pairs(spark, folder, monkeypatch):
 
     monkeypatch.setattr(pairs.cross_source_pairs, "__defaults__", ((), 10))
     same_as_sql(spark, folder, "cross_source_pairs_supplier")
+
+
+def test_a_closure_broadcasts_nothing(spark, monkeypatch):
+    from kindred.operators import dag
+
+    plans = []
+
+    def watched(df, name, write=dag.written):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(dag, "written", watched)
+    edges = spark.range(2, 40).select(F.expr("id div 2").alias("parent"), F.col("id").alias("child"))
+    found = dag.closure(edges, spark.range(30, 40).select(F.col("id").alias("node")), up=True, blocked=spark.range(4, 5).select(F.col("id").alias("node")))
+    assert {(r["start"], r["node"], r["distance"]) for r in found.collect() if r["start"] in (30, 36)} == {(30, 15, 1), (30, 7, 2), (30, 3, 3), (30, 1, 4), (36, 18, 1), (36, 9, 2)}
+    assert len(plans) > 5 and not any("Broadcast" in p for p in plans)
+
+
+def test_models_are_compared_on_the_same_batches(spark):
+    import numpy as np
+
+    from kindred.operators import score, training
+
+    g = np.random.default_rng(1)
+    rows = []
+    for i in range(240):
+        a = g.normal(size=4)
+        rows.append((i, i + 1000, int(i % 2), a.tolist(), (a + g.normal(size=4) * (0.1 if i % 2 else 1)).tolist()))
+    df = spark.createDataFrame(rows, "left_id long, right_id long, target int, left_embedding array<double>, right_embedding array<double>")
+    batches = training.Batches.write(df, "embedding", 40)
+    start = score.PairMLP.random(4)
+    model, state = training.train(start, batches, spark, steps=6, rate=1e-2)
+    assert training.improved(start, model, batches, spark, 6) and not training.improved(model, start, batches, spark, 6)
+    # what steps report is each of another batch: no model is better than itself, whatever the batches
+    assert not training.improved(start, start, batches, spark, 6)
