@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-from pyarrow import fs
+from kindred.storage import open_fs
 
-
-def open_fs(path: str) -> tuple[fs.FileSystem, str]:
-    """A path's file system, and the path there; the scheme may be any that Arrow knows (file, hdfs, s3, gs, abfs)."""
-    if path.startswith("file:/") and not path.startswith("file://"):
-        path = "file://" + path.removeprefix("file:")
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+__all__ = ["open_fs"]

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from kindred.operators import pairs, simjoin
+from kindred.operators import gramindex, pairs, simjoin
 
 
 def jaccard(a, b):
@@ -70,3 +70,28 @@ def test_first_candidates_of_equal_scores(spark):
     assert [(r["right_id"], r["rank"]) for r in simjoin.top_k(left, right, 3).orderBy("rank").collect()] == [(0, 1), (1, 2), (2, 3)]
     assert simjoin.top_k(left.limit(0), right, 3).count() == 0 == simjoin.top_k(left, right.limit(0), 3).count()
     assert simjoin.top_k(left, right.select("right_id", "gram", F.col("w")), 100).count() == 50
+
+
+def test_neighbours_of_texts_make_no_rows_of_their_grams(spark, monkeypatch):
+    """A small right side is scored where the left texts are, with the results of the join; texts of one id are one text."""
+    rng = random.Random(5)
+    words = ["été", "naïve", "a", "bb", "İx", *["".join(rng.choices("abcd", k=rng.randint(1, 7))) for _ in range(40)]]
+    text = lambda n: rng.choice([" ", "\t", "\n "]).join(rng.choices(words, k=n))
+    left = spark.createDataFrame([*[(i, text(rng.randint(0, 30))) for i in range(60)], (7, text(5)), (90, None), (91, "zzzz qqqq"), (None, text(4))], "id long, text string")
+    right = spark.createDataFrame([*[(f"r{i:02}", text(12)) for i in range(25)], ("s1", words[0]), ("s0", words[0].upper())], "id string, text string")
+    of = lambda: {(r["left_id"], r["right_id"], r["rank"], round(r["score"], 9)) for r in pairs.tfidf_neighbours(left, right, "id", "text", "id", "text", 4).collect()}
+    joined = []
+    monkeypatch.setattr(simjoin, "top_k", lambda *a, whole=simjoin.top_k, **b: joined.append(1) or whole(*a, **b))
+    found = of()
+    assert not joined
+    monkeypatch.setattr(gramindex, "MOST_ROWS", 3)
+    assert found == of() and joined and len(found) > 200
+
+
+@pytest.mark.parametrize("sizes", [(3, 4, 5), (5,), (6, 4)])
+def test_hashes_of_a_text_are_those_of_its_grams(spark, sizes):
+    texts = ["", " \n", "a", "a bb ccc\tdddd  été\u2003x", "\U0001f600 ab\U0001f600cdefgh"]
+    grams = spark.createDataFrame([(t,) for t in texts], "t string").select("t", pairs.char_grams(F.col("t"), sizes).alias("g")).collect()
+    for r in grams:
+        wanted = sorted(int(gramindex._hashes(p := gramindex._points(g), len(p))[0]) for g in r["g"])
+        assert sorted(gramindex.text_hashes(r["t"], sizes).tolist()) == wanted
