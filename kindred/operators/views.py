@@ -6,7 +6,9 @@ or NaN score come last.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -83,6 +85,37 @@ def _classes(rows: DataFrame, index: str, k: int) -> DataFrame:
     return written(found.withColumn(index, F.element_at(f"_{index}", 1)), "classes")
 
 
+@dataclass(frozen=True)
+class Near:
+    """What a score says of a numeric canonical column: pairs that score s or more have both values, finite ones, which differ
+    by reach(s) at most (infinity if it says nothing)."""
+
+    column: str
+    reach: Callable[[float], float]
+
+
+def _neighbours(a: DataFrame, b: DataFrame, order: list[str]) -> DataFrame:
+    """Left and right rows that follow each other in the order of canonical columns, but for those at the bounds of tasks."""
+    none = lambda df: F.lit(None).cast(df.select(F.struct(*df.columns).alias("x")).schema["x"].dataType)
+    one = a.select(*[F.col(f"left_{c}").alias(f"_{i}") for i, c in enumerate(order)], F.struct(*a.columns).alias("_a"), none(b).alias("_b"))
+    two = b.select(*[F.col(f"right_{c}").alias(f"_{i}") for i, c in enumerate(order)], none(a).alias("_a"), F.struct(*b.columns).alias("_b"))
+    by = [f"_{i}" for i in range(len(order))]
+    rows = one.unionByName(two).repartitionByRange(*by).withColumn("_part", F.spark_partition_id())
+    before = Window.partitionBy("_part").orderBy(*by)
+    met = rows.select("_a", "_b", F.lag("_a").over(before).alias("_pa"), F.lag("_b").over(before).alias("_pb"))
+    return met.select(F.coalesce("_a", "_pa").alias("_a"), F.coalesce("_b", "_pb").alias("_b")).filter("_a is not null and _b is not null").select("_a.*", "_b.*")
+
+
+def _within(a: DataFrame, b: DataFrame, column: str, reach: float) -> tuple[DataFrame, DataFrame]:
+    """Both sides with _bin, for rows that may differ by `reach` at most; the right ones are in three bins."""
+    sides = [df.withColumn("_x", F.col(f"{s}_{column}").cast("double")).filter(F.col("_x").isNotNull() & (F.abs("_x") < float("inf"))) for s, df in (("left", a), ("right", b))]
+    largest = max(df.agg(F.coalesce(F.max(F.abs("_x")), F.lit(0.0))).first()[0] for df in sides)
+    # twice as wide as they differ, and wide enough for the quotients to be exact to a small part of a bin
+    bin_ = F.floor(F.col("_x") / max(2 * reach, largest * 1e-12, 1e-290)).cast("long")
+    a, b = (df.withColumn("_bin", bin_).drop("_x") for df in sides)
+    return a, b.withColumn("_bin", F.explode(F.array(*[F.col("_bin") + i for i in (-1, 0, 1)])))
+
+
 def score_linkage(
     left: DataFrame,
     right: DataFrame,
@@ -93,6 +126,7 @@ def score_linkage(
     k: int = 10,
     block_on: Sequence[str] = (),
     most: int | None = 500_000_000,
+    near: Near | None = None,
 ) -> DataFrame:
     """The k best left-right pairs: left_index, right_index, score, and left_ and right_ canonical columns.
 
@@ -100,6 +134,10 @@ def score_linkage(
     agree on one of these canonical columns; without, all left-right pairs are scored if they are `most` or fewer (None: any
     number). Rows of equal values are one class, which is compared once: the best k pairs of rows are among the best k pairs
     of classes, ranked by their smallest ids, and the k smallest ids of each.
+
+    near: classes that follow each other in the order of that column (in blocks, or after the other columns) are scored first.
+    The k-th best of them is a lower bound, and only pairs that can reach it meet, in bins of the column; if there aren't k,
+    all meet. Without it, pairs grow with the product of both sides' distinct rows.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -112,13 +150,32 @@ def score_linkage(
     if not block_on and most is not None and (n := a.count() * b.count()) > most:
         raise ValueError(f"{n} pairs are over the limit of {most}; give block_on")
     a, b = _classes(a, "left_index", k), _classes(b, "right_index", k)
+
+    def apart(pairs: DataFrame, i: int) -> DataFrame:
+        """A pair is left to the first rule it agrees on."""
+        for earlier in block_on[:i]:
+            pairs = pairs.filter(~F.coalesce(F.col(f"left_{earlier}") == F.col(f"right_{earlier}"), F.lit(False)))
+        return pairs
+
+    extra: list[str] = []
+    if near is not None:
+        if block_on:
+            first = [apart(_neighbours(a, b, [r, *[near.column] * (r != near.column)]), i).filter(F.col(f"left_{r}") == F.col(f"right_{r}")) for i, r in enumerate(block_on)]
+        else:
+            first = [_neighbours(a, b, [*[n for n in names if n != near.column], near.column])]
+        found = [r["score"] for some in first for r in some.select(score(names).cast("double").alias("score")).filter("score is not null and not isnan(score)").orderBy(F.desc("score")).limit(k).collect()]  # k rows a rule
+        reach = near.reach(sorted(found)[-k]) if len(found) >= k else math.inf
+        if math.isfinite(reach):
+            a, b = _within(a, b, near.column, reach)
+            extra = ["_bin"]
     if block_on:
         pairs = None
         for i, rule in enumerate(block_on):
-            some = dealt_join(a.withColumn("_key", F.col(f"left_{rule}")), b.withColumn("_key", F.col(f"right_{rule}")), ["_key"], "left_index").drop("_key")
-            for earlier in block_on[:i]:
-                some = some.filter(~F.coalesce(F.col(f"left_{earlier}") == F.col(f"right_{earlier}"), F.lit(False)))
+            some = dealt_join(a.withColumn("_key", F.col(f"left_{rule}")), b.withColumn("_key", F.col(f"right_{rule}")), ["_key", *extra], "left_index").drop("_key", *extra)
+            some = apart(some, i)
             pairs = some if pairs is None else pairs.unionByName(some)
+    elif extra:
+        pairs = dealt_join(a, b, extra, "left_index").drop(*extra)
     else:
         pairs = a.repartition(left.sparkSession.sparkContext.defaultParallelism).join(b)
     best = pairs.withColumn("score", score(names)).orderBy(_ranked(), "left_index", "right_index").limit(k)

@@ -324,3 +324,36 @@ def test_counts_of_levels_without_pairs(spark):
     found = {tuple(r[f"gamma_{c}"] for c in columns): r["n"] for r in score.block_level_counts(df, "id", "rule", plan)}
     assert found == wanted and len(wanted) > 50
     assert score.block_level_counts(df.limit(0), "id", "rule", plan) == []
+
+
+def test_levels_are_counted_by_classes_of_equal_records(spark, monkeypatch):
+    """600 records of six classes: no join has more rows of a side than values of classes ask for."""
+    df = spark.createDataFrame([(i, "p", ["martha", "marhta", "dixon"][i % 3], i % 2) for i in range(600)], "id long, rule string, name string, num int")
+    plan = C.comparison_plan({"rule": "identifier", "name": "text", "num": "numeric"})
+    whole, sizes = pairs.dealt_join, []
+    monkeypatch.setattr(pairs, "dealt_join", lambda a, b, *more, **some: sizes.append(max(a.count(), b.count())) or whole(a, b, *more, **some))
+    found = score.block_level_counts(df, "id", "rule", plan)
+    assert sum(r["n"] for r in found) == 600 * 599 // 2 and max(sizes) < 60
+
+
+def _closeness(names):
+    return F.round(1 / (1 + F.abs(F.col("left_x") - F.col("right_x"))), 2)
+
+
+@pytest.mark.parametrize("block_on", [["g"], ["h", "g"], []])
+@pytest.mark.parametrize("wide", [1.0, 300.0])
+def test_linkage_meets_only_near_rows(spark, monkeypatch, block_on, wide):
+    """The same best pairs, ties of rounded scores and rows without a value included; few rows meet."""
+    g = random.Random(int(wide))
+    row = lambda i: (i, g.choice(["p", "q", None]), g.randint(0, 3), g.choice([None, float("nan"), float("inf"), *[round(g.uniform(-wide, wide), 2) for _ in range(30)]]))
+    left, right = (spark.createDataFrame([row(i) for i in range(n)], "id long, g string, h long, x double") for n in (300, 200))
+    met, whole = [], views.dealt_join
+    monkeypatch.setattr(views, "dealt_join", lambda *a: met.append(whole(*a)) or met[-1])
+    of = lambda near: [(r["left_index"], r["right_index"], r["score"]) for r in views.score_linkage(left, right, _closeness, "id", "id", ["g", "h", "x"], 20, block_on, near=near).collect()]
+    near = views.Near("x", lambda s: 1 / (s - 0.0051) - 1 if s > 0.01 else float("inf"))
+    found = of(near)
+    count = sum(m.count() for m in met)
+    assert len(found) == 20 and found == of(None)
+    assert count < 60_000 / 10 or wide == 1.0
+    none = views.Near("x", lambda s: float("inf"))
+    assert of(none) == found
