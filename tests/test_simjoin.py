@@ -95,3 +95,11 @@ def test_hashes_of_a_text_are_those_of_its_grams(spark, sizes):
     for r in grams:
         wanted = sorted(int(gramindex._hashes(p := gramindex._points(g), len(p))[0]) for g in r["g"])
         assert sorted(gramindex.text_hashes(r["t"], sizes).tolist()) == wanted
+
+
+def test_elements_of_one_set_do_not_meet(spark, monkeypatch):
+    """Of 40 sets with 30 elements of their own and one common one, no element is shuffled to meet others."""
+    df = spark.createDataFrame([(i, [7, *range(100 * (i + 1), 100 * (i + 1) + 30)]) for i in range(40)], "id long, s array<long>")
+    sizes, whole = [], simjoin.dealt_join
+    monkeypatch.setattr(simjoin, "dealt_join", lambda a, b, *more: sizes.append(b.count()) or whole(a, b, *more))
+    assert simjoin.set_join(df, 0.8).count() == 0 and sizes == [0]
