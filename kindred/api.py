@@ -55,7 +55,11 @@ class Linker:
         """record_id and cluster: components of the pairs at the threshold, numbered from 0 by their smallest id."""
         from kindred.operators.records import with_positions
 
-        labels = graph.component_labels(records.select(F.col(record_id)), self.fit_predict_adjacency(records, record_id, field_types), record_id)
+        if isinstance(self.model, neural.RecordTransformer):
+            links = neural.block_links(records, self.model, record_id, field_types, self.block, self.threshold)
+        else:
+            links = self.fit_predict_adjacency(records, record_id, field_types)
+        labels = graph.component_labels(records.select(F.col(record_id)), links, record_id)
         numbers = with_positions(labels.select("component_id").distinct(), "component_id", "cluster")
         return labels.join(numbers, "component_id").select(record_id, "cluster")
 
