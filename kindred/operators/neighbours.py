@@ -1,4 +1,4 @@
-"""Nearest neighbours of vectors by cosine, from an index of cells; no step makes all pairs.
+"""Nearest neighbours and top pairs of vectors by cosine, from an index of cells.
 
 Centroids are fitted on a bounded sample of unit vectors; every vector is put into the cell of its nearest centroid. A query
 visits its nearest cells, whose vectors are compared exactly. In exact mode it then visits each further cell that may hold
@@ -6,6 +6,11 @@ a better neighbour: if a centroid is at the angle a and no vector of its cell fu
 cell is nearer than a - r. Cells, and the queries that visit one, are dealt in chunks of CHUNK, so that no task grows with a
 cell; equal vectors are one member of the index, with their smallest ids, so that copies are no work.
 
+For top pairs, near cells make groups, and groups meet in tiles: first each with itself, whose best pairs bound the rest, then
+those that have cells which can hold a better pair; in a tile, only vectors meet cells by the same bound. Vectors that don't
+cluster are all compared, which grows with the square of their number; a tile multiplies in single precision, and only what
+that can't rule out is scored in double.
+
 Scores are rounded to `digits`, and ties are broken by ids. Rows whose vector is null, zero, or holds an entry that is null
 or not finite have no neighbours and are none; vectors must be of one length.
 """
@@ -28,6 +33,8 @@ from kindred.storage import written
 SAMPLE, CELLS = 20_000, 4096
 #: Vectors of a cell, and queries that visit it, that are compared in one go.
 CHUNK = 4096
+#: Most vectors of a group, two of which make a tile; vectors of a packed row; rows and columns that are multiplied in one go.
+GROUP, PACK, SLICE = 32_768, 2048, 1024
 #: Parts that the rows of one vector are numbered in before they meet.
 _PARTS = 64
 
@@ -185,9 +192,8 @@ class Index:
         neighbours. A pair among the k best is among either end's k best, or is as good as those."""
         if k > self.k:
             raise ValueError(f"the index holds {self.k} ids of a vector, and {k} pairs are asked for")
-        kind = self.members.schema["id"].dataType.simpleString()
-        asked = self.members.select("id", "v")
-        found = written(self._compared(self._cells(asked, kind, False), kind), "neighbours")
+        groups, near = self._grouped()
+        found = written(self._met(groups, [(g, g) for g in range(len(near))], k, -1.0), "neighbours")
 
         def best(found: DataFrame) -> DataFrame:
             ends = [self.members.select(F.col("id").alias(c), F.col("ids").alias(f"{c}s")) for c in ("query", "id")]
@@ -200,8 +206,104 @@ class Index:
 
         first = best(found).collect()  # k rows
         least = first[-1]["score"] if len(first) == k else -1.0
-        more = self._compared(written(self._cells(asked.withColumn("least", F.lit(float(least))), kind, True), "visits"), kind)
-        return best(found.unionByName(more))
+        return best(found.unionByName(self._met(groups, self._tiles(near, least), k, least)))
+
+    def _grouped(self) -> tuple[DataFrame, np.ndarray]:
+        """Packed members (_g, ids, cells, v) of groups of near cells, and which cells each group has vectors of."""
+        kind, n = self.members.schema["id"].dataType.simpleString(), int(self.sizes.sum())
+        per = max(SLICE, min(GROUP, -(-n // 16)))
+        order, left = [0], np.ones(len(self.sizes), bool)
+        for _ in range(len(self.sizes) - 1):  # the nearest cell that is left comes next
+            left[order[-1]] = False
+            order.append(int(np.where(left, self.centroids @ self.centroids[order[-1]], -np.inf).argmax()))
+        start = np.zeros(len(self.sizes), np.int64)
+        start[order] = np.concatenate([[0], np.cumsum(self.sizes[order])[:-1]])
+        sizes, near = self.sizes, np.zeros((-(-n // per), len(self.sizes)), bool)
+        for c in np.flatnonzero(self.sizes):
+            near[start[c] // per : (start[c] + self.sizes[c] - 1) // per + 1, c] = True
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                cell, share = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+                group = np.minimum(start[cell] + (sizes[cell] * share).astype(np.int64), start[cell] + sizes[cell] - 1) // per
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(group.astype(np.int32))], names=["id", "v", "cell", "_g"])
+
+        def pack(table: pa.Table) -> pa.Table:
+            whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            x = _matrix(table.column("v").combine_chunks())
+            return pa.table({"_g": table.column("_g").slice(0, 1), "ids": whole(table.column("id").combine_chunks()), "cells": whole(table.column("cell").combine_chunks()), "v": whole(pa.array(x.ravel()))})
+
+        share = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
+        rows = self.members.select("id", "v", "cell", share.alias("share")).mapInArrow(place, f"id {kind}, v array<double>, cell int, _g int")
+        part = F.pmod(F.xxhash64("id", F.lit(8)), F.lit(-(-per // PACK)))
+        return written(rows.groupBy("_g", part).applyInArrow(pack, f"_g int, ids array<{kind}>, cells array<int>, v array<double>"), "groups"), near
+
+    def _tiles(self, near: np.ndarray, least: float) -> list[tuple[int, int]]:
+        """Pairs of groups that have cells which can hold a pair of the score `least` or more."""
+        hold, some = np.zeros((len(near), len(near))), near.astype(float)
+        for i in range(0, len(self.sizes), 512):
+            angle = np.arccos(np.clip(self.centroids[i : i + 512] @ self.centroids.T, -1, 1))
+            bound = np.cos(np.maximum(angle - self.radius[i : i + 512, None] - self.radius - 1e-8, 0))
+            hold += some[:, i : i + 512] @ (bound >= least - 10.0**-self.digits) @ some.T
+        return [(int(a), int(b)) for a, b in np.argwhere(hold > 0) if a < b]
+
+    def _met(self, groups: DataFrame, tiles: list[tuple[int, int]], k: int, least: float) -> DataFrame:
+        """query, id, score: the best k pairs of members of each tile that score `least` or more; the query's id is the smaller."""
+        kind = self.members.schema["id"].dataType.simpleString()
+        centroids, radius, digits, scale = self.centroids, self.radius, self.digits, 10**self.digits
+        # what rounding to single precision and to digits may add
+        slack = (centroids.shape[1] + 4) * 6e-8 + 10.0**-digits
+
+        def unpack(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+            ids, cells, v = (table.column(c).combine_chunks().flatten() for c in ("ids", "cells", "v"))
+            cells = cells.to_numpy()
+            order = np.argsort(cells, kind="stable")
+            return ids.take(pa.array(order)), cells[order], v.to_numpy().reshape(len(cells), -1)[order]
+
+        def tile(key: tuple, both: pa.Table) -> pa.Table:
+            first, same = both.column("_first"), key[0].as_py() == key[1].as_py()
+            ids, _, x = unpack(both.filter(first))
+            others, cells, y = (ids, _, x) if same else unpack(both.filter(pc.invert(first)))
+            names = pa.concat_arrays([ids, others])
+            rank = pc.rank(names, tiebreaker="min").to_numpy().astype(np.int64)
+            x4, y4, floor = x.astype(np.float32), y.astype(np.float32), least
+            there, starts = np.unique(cells, return_index=True)
+            bound = np.empty((len(x), len(there)), bool)
+            for i in range(0, len(x), SLICE):
+                angle = np.arccos(np.clip(x[i : i + SLICE] @ centroids[there].T, -1, 1))
+                bound[i : i + SLICE] = np.cos(np.maximum(angle - radius[there] - 1e-8, 0)) >= least - slack
+            kept = np.empty((0, 5), np.int64)  # minus rounded score, smaller and larger rank, row, column
+            for j in range(0, len(y), SLICE):
+                last = min(j + SLICE, len(y))
+                rows = np.flatnonzero(bound[:, np.searchsorted(starts, j, "right") - 1 : np.searchsorted(starts, last, "left")].any(axis=1))
+                rows = rows[rows < last] if same else rows
+                for i in range(0, len(rows), SLICE):
+                    some = rows[i : i + SLICE]
+                    score = x4[some] @ y4[j:last].T
+                    if same:
+                        score[some[:, None] >= np.arange(j, last)] = -2
+                    if score.max() < floor - slack:
+                        continue
+                    if np.count_nonzero(score >= floor - slack) > 64 * k:  # so many are as good as this
+                        floor = max(floor, float(np.partition(score, score.size - k, axis=None)[score.size - k]) - slack)
+                    at, to = np.nonzero(score >= floor - slack)
+                    for c in range(0, len(at), 65_536):
+                        row, column = some[at[c : c + 65_536]], j + to[c : c + 65_536]
+                        exact = np.round(np.einsum("ij,ij->i", x[row], y[column]) * scale).astype(np.int64)
+                        one, two = rank[row], rank[len(ids) + column]
+                        kept = np.concatenate([kept, np.stack([-exact, np.minimum(one, two), np.maximum(one, two), row, column], axis=1)])
+                        kept = kept[np.lexsort((kept[:, 2], kept[:, 1], kept[:, 0]))[:k]]
+                    if len(kept) == k:
+                        floor = max(floor, -kept[-1, 0] / scale)
+            row, column = kept[:, 3], kept[:, 4]
+            swap = rank[row] > rank[len(ids) + column]
+            found = [names.take(pa.array(np.where(s, len(ids) + column, row))) for s in (swap, ~swap)]
+            return pa.table({"query": found[0], "id": found[1], "score": pa.array(np.einsum("ij,ij->i", x[row], y[column]))})
+
+        chosen = F.broadcast(groups.sparkSession.createDataFrame(tiles, "_a int, _b int"))
+        sides = [groups.join(chosen, F.col("_g") == F.col(c)).withColumn("_first", F.lit(c == "_a")) for c in ("_a", "_b")]
+        sides[1] = sides[1].filter("_a <> _b")
+        return sides[0].unionByName(sides[1]).groupBy("_a", "_b").applyInArrow(tile, f"query {kind}, id {kind}, score double")
 
 
 def build(records: DataFrame, record_id: str, vector: str, k: int = 3, cells: int | None = None, sample: int = SAMPLE, recall: float = 0.98, digits: int = 6, seed: int = 0) -> Index:

@@ -61,3 +61,23 @@ def test_odd_rows(spark):
         index.top_pairs(3)
     none = neighbours.build(df.limit(0), "id", "v", k=2)
     assert none.search(df, "id", "v", exact=True).count() == 0 and none.top_pairs(1).count() == 0
+
+
+@pytest.mark.parametrize("spread", [0.05, 2.0])
+def test_top_pairs_meet_in_tiles(spark, monkeypatch, spread):
+    """Groups meet, vectors aren't sent to each cell; of vectors that cluster few groups do. Copies and ids as text included."""
+    for name, value in (("GROUP", 64), ("SLICE", 16), ("PACK", 10)):
+        monkeypatch.setattr(neighbours, name, value)
+    monkeypatch.setattr(neighbours.Index, "_compared", None)
+    rows = [(f"r{i}", v) for i, v in clustered(3, 500, spread=spread)]
+    rows += [(f"c{i}", rows[9][1]) for i in range(3)]
+    index = neighbours.build(spark.createDataFrame(rows, "id string, v array<double>"), "id", "v", k=9)
+    met, whole = [], neighbours.Index._tiles
+    monkeypatch.setattr(neighbours.Index, "_tiles", lambda self, *a: met.append(whole(self, *a)) or met[0])
+    x = np.array([v for _, v in rows])
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    score = np.round(x @ x.T, 6)
+    pairs = [(*sorted((rows[i][0], rows[j][0])), float(score[i, j])) for i in range(len(rows)) for j in range(i + 1, len(rows))]
+    wanted = sorted(pairs, key=lambda p: (-p[2], p[0], p[1]))[:9]
+    assert [(a, b, round(s, 6)) for a, b, s in map(tuple, index.top_pairs(9).collect())] == wanted
+    assert len(met[0]) < 60 if spread < 1 else len(met[0]) == 120, len(met[0])
