@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 import numpy as np
@@ -104,6 +105,117 @@ def _jaro_winkler(left: list[str], right: list[str], width: int) -> np.ndarray:
     return np.where((m == n) & (a == b).all(1) & (m > 0), 1.0, np.where(jaro > 0.7, jaro + 0.1 * prefix * (1 - jaro), jaro))
 
 
+def jaro_winkler_to(a: str, texts: list[str]) -> Callable[[str], np.ndarray]:
+    """Function of one text: its jaro_winkler_text with each of `texts`, of 64 characters at most, all of which begin with a.
+
+    Sets of places are bits of a number. Common first characters always match each other in turn, so they are left out; the
+    greedy choice is the same from either side, so the order of the two texts doesn't matter.
+    """
+    skip, number = len(a), np.uint32 if max(map(len, texts), default=0) <= 32 else np.uint64
+    length = np.array([len(t) for t in texts], np.int64)
+    letters = sorted(set("".join(texts)))
+    place = {c: i for i, c in enumerate(letters)}
+    at = np.zeros((len(letters) + 1, len(texts)), number)  # where a letter is in each text; the last row for letters of none
+    for j, t in enumerate(texts):
+        for i, c in enumerate(t[skip:], skip):
+            at[place[c], j] |= number(1 << i)
+    begins = [np.array([t[i : i + 1] for t in texts]) for i in range(4)]
+    bits, one = number(0).itemsize * 8, number(1)
+    everything = (1 << bits) - 1
+
+    def similarity(text: str) -> np.ndarray:
+        own = [at[place.get(c, -1)] for c in text[skip:]]
+        reaches = np.maximum(np.maximum(length, len(text)) // 2 - 1, 0)
+        kinds = np.unique(reaches)
+        free = np.full(len(texts), everything, number)
+        hits = []
+        for i, row in enumerate(own, skip):
+            windows = [number(((1 << min(bits, i + int(r) + 1)) - 1) & ~((1 << max(0, i - int(r))) - 1) & everything) for r in kinds]
+            hit = row & free
+            hit &= windows[0] if len(kinds) == 1 else np.array(windows, number)[np.searchsorted(kinds, reaches)]
+            hit &= ~hit + one  # the first place
+            free ^= hit
+            hits.append(hit != 0)
+        taken, common, turns = ~free, np.full(len(texts), skip, np.int64), np.zeros(len(texts), np.int64)
+        for row, hit in zip(own, hits):
+            first = taken & (~taken + one)
+            common += hit
+            turns += hit & ((row & first) == 0)
+            taken ^= np.where(hit, first, number(0))
+        turns //= 2
+        jaro = np.where(common > 0, (common / max(len(text), 1) + common / np.maximum(length, 1) + (common - turns) / np.maximum(common, 1)) / 3, 0.0)
+        same, prefix = np.ones(len(texts), bool), np.zeros(len(texts))
+        for i, c in enumerate(text[:4]):
+            same &= begins[i] == c
+            prefix += same
+        return np.where(jaro > 0.7, jaro + 0.1 * prefix * (1 - jaro), jaro)
+
+    return similarity
+
+
+def levenshtein_to(a: str, texts: list[str]) -> Callable[[str], np.ndarray]:
+    """Function of one text: its edit distance to each of `texts`, all of which begin with a."""
+    skip, n = len(a), len(texts)
+    length = np.array([len(t) - skip for t in texts], np.int64)
+    width = int(length.max(initial=0))
+    codes = np.zeros((width, n), np.int64)
+    for j, t in enumerate(texts):
+        codes[: len(t) - skip, j] = [ord(c) + 1 for c in t[skip:]]
+
+    def distance(text: str) -> np.ndarray:
+        row = np.repeat(np.arange(width + 1)[:, None], n, 1)
+        for i, c in enumerate(text[skip:], 1):
+            cost, before = codes != ord(c) + 1, row
+            row = np.empty_like(before)
+            row[0] = i
+            for j in range(1, width + 1):
+                row[j] = np.minimum(np.minimum(row[j - 1], before[j]) + 1, before[j - 1] + cost[j - 1])
+        return row[length, np.arange(n)]
+
+    return distance
+
+
+def level_matrix(kind: str, thresholds: tuple[float, ...], left: list[str], right: list[str]) -> np.ndarray:
+    """The agreement levels of each text of the left with each of the right, as gamma() has them."""
+    out = np.zeros((len(left), len(right)), np.int8)
+    if not out.size:
+        return out
+    if kind == "email":
+        part = lambda t, i: t.split("@")[i] if t.count("@") >= i else None
+        low = [[x.lower() for x in side] for side in (left, right)]
+        for level, of in ((1, lambda t: part(t, 1)), (2, lambda t: part(t, 0)), (3, lambda t: t)):
+            a, b = (np.array([of(x) for x in side], object) for side in low)
+            out[(a[:, None] == b[None, :]) & (a != None)[:, None]] = level  # noqa: E711
+        return out
+    if kind == "exact":
+        return (np.array(left, object)[:, None] == np.array(right, object)[None, :]).astype(np.int8)
+    if kind not in ("levenshtein", "jaro_winkler"):
+        raise ValueError(f"unknown comparison: {kind!r}")
+    begin = os.path.commonprefix([min(left), max(left), min(right), max(right)])
+    short = np.array([kind == "levenshtein" or len(t) <= 64 for t in right])
+    some, long = [t for t, s in zip(right, short) if s], [t for t, s in zip(right, short) if not s]
+    known, place = {t: i for i, t in enumerate(right)}, np.flatnonzero(short)
+    of = (levenshtein_to if kind == "levenshtein" else jaro_winkler_to)(begin, some) if some else None
+    for i, text in enumerate(left):
+        if kind == "levenshtein":
+            found = of(text)
+            for t in sorted(thresholds, reverse=True):
+                out[i][found <= t] += 1
+        else:
+            found = np.zeros(len(right))
+            if len(text) > 64:
+                found[:] = [jaro_winkler_text(text, t) for t in right]
+            else:
+                if some:
+                    found[place] = of(text)
+                found[~short] = [jaro_winkler_text(text, t) for t in long]
+            for t in thresholds:
+                out[i][found >= t] += 1
+        if text in known:
+            out[i, known[text]] = len(thresholds) + 1
+    return out
+
+
 def jaro_winkler() -> Callable[[ColumnLike, ColumnLike], Column]:
     """An Arrow function of two text columns; Spark has no such expression. Each pair of values in a batch is compared once."""
 

@@ -27,6 +27,45 @@ def test_balances_that_round_to_zero_from_below(spark, folder):
     same_as_sql(spark, folder, "gamma_counts_supplier")
 
 
+def test_levels_are_counted_without_rows_of_pairs(spark, rows, monkeypatch):
+    """Counts by tiles of classes are those of all pairs, copies and missing values included; no pair is a row."""
+    import random
+
+    from kindred.operators import pairs, score
+
+    g = random.Random(4)
+    texts = [None, "", "ab", "ba@x", "abc" * 30, *["Supplier" + "".join(g.choices("0123", k=g.randint(1, 5))) for _ in range(30)]]
+    df = spark.createDataFrame([(i, g.choice(["a", "b", "", None]), g.choice(texts), g.choice(texts), g.choice([1, 2, None])) for i in range(150)], "id long, block string, a string, b string, c int")
+    plan = {"a": ("jaro_winkler", (0.95, 0.9, 0.8)), "b": ("levenshtein", (1, 2)), "c": ("exact", ())}
+    wanted = rows(score.gamma_counts(score.add_gammas(pairs.blocked_pairs(df, "id", ["block"], list(plan)), plan), list(plan)))
+    monkeypatch.setattr(pairs, "blocked_pairs", None)
+    for part, most in ((2048, 1 << 22), (9, 100)):
+        monkeypatch.setattr(score, "_PART", part)
+        monkeypatch.setattr(score, "_PAIRS", most)
+        assert rows(score.block_gamma_counts(df, "block", plan)) == wanted
+
+
+def test_gamma_counts_have_no_limit_of_pairs(spark, folder, monkeypatch):
+    from kindred.operators import pairs
+
+    monkeypatch.setattr(pairs, "blocked_pairs", None)
+    same_as_sql(spark, folder, "gamma_counts_supplier")
+
+
+def test_texts_are_compared_many_at_once():
+    import random
+
+    from kindred.functions import compare as C
+
+    g = random.Random(2)
+    for letters in ("ab", "0123456789", "aé😀"):
+        for begin in ("", "ababab"):
+            a, b = ([begin + "".join(g.choices(letters, k=g.choice([0, 3, 9, 40, 70]))) for _ in range(15)] for _ in range(2))
+            a, b = sorted(set(a)), sorted({*b, *a[:3]})
+            found = C.level_matrix("jaro_winkler", (0.95, 0.9, 0.8), a, b)
+            assert [[4 if x == y else sum(C.jaro_winkler_text(x, y) >= t for t in (0.95, 0.9, 0.8)) for y in b] for x in a] == found.tolist()
+
+
 @pytest.mark.parametrize("name", ["score_linkage_customer_supplier", "score_linkage_blocked"])
 def test_linkage_of_equal_values(spark, folder, name):
     same_as_sql(spark, folder, name)
