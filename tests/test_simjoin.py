@@ -103,3 +103,18 @@ def test_elements_of_one_set_do_not_meet(spark, monkeypatch):
     sizes, whole = [], simjoin.dealt_join
     monkeypatch.setattr(simjoin, "dealt_join", lambda a, b, *more: sizes.append(b.count()) or whole(a, b, *more))
     assert simjoin.set_join(df, 0.8).count() == 0 and sizes == [0]
+
+
+def test_only_sets_that_may_be_similar_are_kept_or_shuffled(spark, monkeypatch):
+    """Of 60 texts of which four are alike, those four alone are written as sets; a class of copies counts once."""
+    text = lambda k, n=60: " ".join(f"w{k}x{i}" for i in range(n))
+    rows = [(i, text(i)) for i in range(56)] + [(i, text("a", n)) for i, n in ((56, 60), (57, 60), (58, 61), (59, 62), (60, 90))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tables, whole = {}, simjoin.written
+    monkeypatch.setattr(simjoin, "written", lambda d, name: tables.setdefault(name, whole(d, name)))
+    found, members = simjoin.class_join(df, "doc_id", "s", 0.8, lambda some, key: simjoin.shingle_sets(some, key, "text"))
+    assert {(r["left_id"], r["right_id"]) for r in found.collect()} == {(56, 58), (56, 59), (58, 59)}
+    assert {r["doc_id"]: r["id"] for r in members.collect()} == {i: 56 if i == 57 else i for i in range(61)}
+    assert sorted(r["id"] for r in tables["candidate-sets"].select("id").collect()) == [56, 58, 59]
+    # a prefix has a fifth of its set
+    assert tables["prefixes"].filter("size(prefix) > n / 5 + 1").count() == 0
