@@ -126,3 +126,18 @@ def test_models_are_compared_on_the_same_batches(spark):
     assert training.improved(start, model, batches, spark, 6) and not training.improved(model, start, batches, spark, 6)
     # what steps report is each of another batch: no model is better than itself, whatever the batches
     assert not training.improved(start, start, batches, spark, 6)
+
+
+@pytest.mark.parametrize("sizes", [(6, 5, 1), (6, 4, 3, 1), (6, 1)])
+def test_the_best_pairs_of_a_network_make_no_rows_of_the_others(spark, sizes):
+    import numpy as np
+
+    from kindred.operators import pairs, score
+
+    g = np.random.default_rng(len(sizes))
+    model = score.PairMLP([(g.normal(size=s), g.normal(size=s[1])) for s in zip(sizes, sizes[1:])])
+    df = spark.createDataFrame([(i, g.normal(size=6).tolist()) for i in range(600)], "id long, embedding array<double>")
+    found = model.best_pairs(df, "id", 8)
+    assert found.count() <= 8 * 6  # three tiles, or six
+    wanted = views.top_pairs(model.score_pairs(pairs.all_pairs(df, "id", ["embedding"])), 8).collect()
+    assert [(r[0], r[1], round(r[2], 9)) for r in views.top_pairs(found, 8).collect()] == [(r[0], r[1], round(r[2], 9)) for r in wanted]
